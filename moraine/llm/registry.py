@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from moraine.llm import mixing, packing, sharding, url_filter
+from moraine.llm import language, mixing, packing, ppm, quality, sharding, url_filter
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
+            language.op1_byte_recurrent_language,
             packing.op2_sum_of_squares_packing,
+            quality.op3_quadratic_quality,
             sharding.op4_prefix_shards,
             mixing.op5_hypergeometric_mix,
+            ppm.op7_partial_matching,
             url_filter.op10_url_reputation,
         )
     }
