@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moraine.llm import language, mixing, packing, ppm, quality, sharding, url_filter
+from moraine.llm import imatch, language, mixing, packing, ppm, quality, quantized, sharding, token_groups, url_filter
 
 
 def queries() -> dict:
@@ -14,7 +14,10 @@ def queries() -> dict:
             quality.op3_quadratic_quality,
             sharding.op4_prefix_shards,
             mixing.op5_hypergeometric_mix,
+            token_groups.op6_token_group_join,
             ppm.op7_partial_matching,
+            quantized.op8_quantized_tiles,
+            imatch.op9_imatch_fingerprints,
             url_filter.op10_url_reputation,
         )
     }
