@@ -9,8 +9,8 @@ arrival, and packs them with one counter per gap: memory follows the pieces of
 one task (about 40 bytes each), never the tokens.
 
 Tokenizing is one pass of Arrow batches: white space always ends a token of this
-vocabulary, so ids are remembered by white-space word in a table of bounded size
-and only unseen words reach the tokenizer.
+vocabulary, so ids are remembered by white-space word in tables of bounded size
+and only unseen words, or their unseen parts, reach the tokenizer.
 
 Edge cases: null and empty texts are the single id 0; equal documents are packed
 separately; an empty table gives no rows; other columns are ignored.
@@ -18,6 +18,7 @@ separately; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import chain
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from moraine.llm.common import table
 
 LENGTH, END = 2048, 0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 800_000  # of each of two tables in a worker
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -42,31 +43,105 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Remembered:
+    """A dictionary of bounded size: when the young half is full it becomes the
+    old one, and what is found in the old half moves to the young one."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The unknown ones of ``keys``; the known ones are young afterwards."""
+        rest = [k for k in keys if k not in self.young]
+        if len(self.young) + len(rest) > self.half:
+            self.old, self.young = self.young, {}
+            rest = list(keys)
+        if not self.old:
+            return rest
+        found = [k for k in rest if k in self.old]
+        self.young.update(zip(found, map(self.old.__getitem__, found)))
+        return [k for k in rest if k not in self.young] if found else rest
+
+
+#: Of lower-cased text up to U+00FF: what the vocabulary's pattern takes as one.
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+#: White space for Python but not for the vocabulary.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it
+    is visible, else the next one from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordIds:
-    """Ids of texts as little-endian uint32 bytes, by remembered words."""
+    """Ids of texts as little-endian uint32 bytes, by remembered words.
+
+    White space always ends a token, so a text's ids are those of its words. An
+    unseen word of plain letters, digits and signs (up to U+00FF) is split into
+    the parts that the vocabulary never joins, and only unseen parts are merged
+    by the tokenizer's model; all other words are encoded by the tokenizer.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), cache_words, {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.parts = Remembered(cache_words), Remembered(cache_words)
+        letters = _byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        self.by_parts = self._agrees()
+
+    def _agrees(self) -> bool:
+        """Whether working by parts gives this tokenizer's ids for samples."""
+        try:
+            samples = ["Don't", "x9's", "na\u00efve,42", "!!a--b", "\u00c9T\u00c9'LL", "\u00bd\u00b2\u00aa\u00d7"]
+            return all(self._merged(_PART.findall(s.lower())) == self._encoded([s])[0] for s in samples)
+        except Exception:
+            return False
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _part(self, part: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(part.translate(self.letters))], "<u4").tobytes()
+
+    def _merged(self, parts: list[str]) -> bytes:
+        return b"".join(map(self._part, parts))
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.words.young
+        plain = [w for w in new if self.by_parts and max(w) <= "\u00ff" and "<|" not in w]
+        split = [_PART.findall(w.lower()) for w in plain]
+        for p in self.parts.missing(set(chain.from_iterable(split))):
+            self.parts.young[p] = self._part(p)
+        parts = self.parts.young
+        for w, own in zip(plain, split):
+            known[w] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
+        if len(plain) < len(new):
+            other = [w for w in new if w not in known]
+            known.update(zip(other, self._encoded(other)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        missing = set(chain.from_iterable(split)) - self.known.keys()
-        if missing:
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-                missing = set(chain.from_iterable(split))
-            self._learn(missing)
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        split = [[] if _SEPARATORS.search(t) else t.split() for t in texts]
+        new = self.words.missing(set(chain.from_iterable(split)))
+        if new:
+            self._learn(new)
+        known = self.words.young
+        return [b"".join([known[w] for w in words]) if words else self._encoded([t])[0] for t, words in zip(texts, split)]
+
+
+_kept: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, so that tasks go on with what others remembered."""
+    if path not in _kept:
+        _kept[path] = WordIds(path)
+    return _kept[path]
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -77,7 +152,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = WordIds(path)
+        ids = word_ids(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
