@@ -89,7 +89,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
     (epoch, shard, place) for each time the mix takes the document; sorting a
     shard's draws by place shuffles it."""
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    mine = docs.withColumns({"_m_source": source, "_m_size": word_count(F.col("text"))})
+    # the row travels as one value, so that its names clash with nothing here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_m_row")
+    mine = docs.select(row, "doc_id", source.alias("_m_source"), word_count(F.col("text")).alias("_m_size"))
     spark = docs.sparkSession
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
 
@@ -136,7 +138,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
     has = (F.col("partial") == 2) | ((F.col("partial") == 1) & F.coalesce(F.struct(hash2.alias("h"), F.col("doc_id"), F.col("_m_size")) <= F.col("last"), F.lit(False)))
     draws = F.coalesce(F.when(has, F.col("drawn")).otherwise(whole), F.array().cast("array<struct<epoch:int,shard:int>>"))
     draws = F.transform(draws, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 4), d["epoch"], F.col("doc_id")).alias("place")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_m_size", "_m_source_size", "_m_target", draws.alias("_m_draws"))
+    return out.select("_m_row.*", "_m_size", "_m_source_size", "_m_target", draws.alias("_m_draws"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
