@@ -2,8 +2,8 @@
 
 A document's ids end with id 0; ids beyond ``length`` are cut into pieces of
 ``length``. A piece goes where the sum over residual gaps of the squared number
-of open sequences with that gap becomes smallest. Full pieces are sequences by
-themselves. Pieces are spread by hash into packing tasks; each task sorts its
+of open sequences with that gap becomes smallest; a new sequence is opened where
+none has room. Full pieces are sequences by themselves. Pieces are spread by hash into packing tasks; each task sorts its
 pieces by length (longest first), so its result does not depend on the order of
 arrival, and packs them with one counter per gap: memory follows the pieces of
 one task (about 40 bytes each), never the tokens.
@@ -174,7 +174,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
 
     With N[g] open sequences of gap g, adding s to one of gap g changes the sum
     of squares by 2 (N[g-s] - N[g] + 1), without the first part where it gets
-    full; a new one changes it by 2 N[capacity-s] + 1. Ties: the smallest gap.
+    full. The smallest change wins; a new sequence is opened where none has
+    room. Ties: the smallest gap.
     """
     count = np.zeros(capacity + 1, np.int64)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -184,12 +185,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
             sequence[i], made = made, made + 1
             continue
         here = count[s:capacity]
-        change = 2 * (count[: capacity - s] - here) + 2
-        change[0] = 1 - 2 * here[0]
-        change[here == 0] = 1 << 60
-        best = int(change.argmin())
-        if change[best] <= 2 * count[capacity - s] + 1:
-            g = best + s
+        if here.any():
+            change = 2 * (count[: capacity - s] - here) + 2
+            change[0] = 1 - 2 * here[0]
+            change[here == 0] = 1 << 60
+            g = int(change.argmin()) + s
             b = open_at[g].pop()
             count[g] -= 1
         else:
