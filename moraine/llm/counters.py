@@ -65,6 +65,6 @@ def counted(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterable[np.ndar
 
     blocks = rows.mapInArrow(run, "block int, data binary")
     out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
-    for r in blocks.repartition("block", F.pmod(F.xxhash64("data"), F.lit(4))).mapInArrow(add, "block int, data binary").toLocalIterator():
+    for r in blocks.repartition("block", F.pmod(F.xxhash64("data"), F.lit(4))).mapInArrow(add, "block int, data binary").collect():
         out[r["block"]] += np.frombuffer(zlib.decompress(bytes(r["data"])), "<i8")
     return out.reshape(-1)

@@ -1,18 +1,19 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's tokens are the 64-bit hashes of its distinct word shingles, kept
+A document's tokens are 48-bit hashes of its distinct word shingles, kept
 sorted. The join finds the connected components of all pairs with Jaccard
-similarity of at least ``percent`` / 100, exactly:
+similarity of at least ``percent`` / 100:
 
 1. Documents with equal token sets become one *set*.
 2. Similar sets are partitioned into groups: sets that agree on the smallest
-   tokens of a few residue classes meet in one task and are linked exactly;
-   groups of one round go on as their first set, for three rounds.
+   tokens of a few residue classes meet in one task and are linked exactly, in
+   three independent rounds; what is connected by then is a group.
 3. Token-group matrix: a set can only reach the threshold with another one if
    they share a token among the first ones (by a global order, rare tokens
    first) of both, as many as the threshold leaves to differ. A token's row
-   lists the groups that have it there; two groups of one row whose sizes allow
-   it are candidates.
+   lists the groups that have it there. Two groups of a row are candidates if
+   their sizes allow a link and if enough of both sets follows the token: what
+   comes before the first shared token is not shared.
 4. For a candidate the sets of the smaller group are queries. Their overlap with
    the token union of the larger group bounds their overlap with each member;
    only groups that qualify are opened, and links are decided by the tokens.
@@ -58,6 +59,16 @@ CHUNK = 2_000_000  # tokens of a chunk
 _SETS = "rid long, doc_id long, text_key binary, n long, key binary, sides array<long>, tokens binary"
 
 
+def packed_tokens(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked_tokens(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row per document: rid (unique), doc_id, text_key (md5), n (distinct
     tokens), key (of the token set), sides (what decides the group of each
@@ -71,11 +82,12 @@ def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 texts = encoded(texts_of_batch.slice(at, 128))
                 rows = []
-                for own in distinct(*shingle_hashes(*word_hashes(texts), words)):
+                runs, counts = shingle_hashes(*word_hashes(texts), words)
+                for own in distinct(runs >> np.uint64(16), counts):
                     least = np.full(classes, -1, np.int64).view(np.uint64)
                     least[(own[::-1] % np.uint64(classes)).astype(np.int64)] = own[::-1]
                     sides = [int(mix(least[r * MINIMA : (r + 1) * MINIMA]).sum().view(np.int64)) for r in range(ROUNDS)]
-                    data = own.astype("<u8").tobytes()
+                    data = packed_tokens(own)
                     rows.append((rid, len(own), hashlib.blake2b(data, digest_size=16).digest(), sides, data))
                     rid += 1
                 r, n, key, sides, data = zip(*rows)
@@ -90,7 +102,7 @@ def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def token_rarity(sets: DataFrame) -> np.ndarray:
     """uint8 per counter: eight steps for each doubling of the count of the
     tokens that fall there."""
-    got = counted(sets.select("tokens"), lambda b: (np.frombuffer(t, np.uint64) for t in b.column(0).to_pylist()))
+    got = counted(sets.select("tokens"), lambda b: map(unpacked_tokens, b.column(0).to_pylist()))
     return np.minimum(8 * np.log2(got + 1.0), 255).astype(np.uint8)
 
 
@@ -114,7 +126,7 @@ def _marks(rids: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], ["block", "data"])
 
     out = np.zeros((BLOCKS, MAP_BITS // 8 // BLOCKS), np.uint8)
-    for r in bits.mapInArrow(run, "block int, data binary").repartition("block").mapInArrow(united, "block int, data binary").toLocalIterator():
+    for r in bits.mapInArrow(run, "block int, data binary").repartition("block").mapInArrow(united, "block int, data binary").collect():
         out[r["block"]] |= np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
     return out.reshape(-1)
 
@@ -194,24 +206,23 @@ def chunk_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
-def _grouped(leaders: DataFrame, sets: DataFrame, side: int, percent: int) -> DataFrame:
-    """(sid, leader) for the sets of ``leaders`` (sid, sides) that meet others
-    in the round's groups."""
-    own = leaders.select("sid", F.col("sides")[side].alias("side"), "n")
+def _grouped(ids: DataFrame, sets: DataFrame, side: int, percent: int) -> DataFrame:
+    """Links (a, b) of the sets of ``ids`` (sid, sides, n) that meet in the
+    round's groups, to the first one of each component there."""
+    own = ids.select("sid", F.col("sides")[side].alias("side"), "n")
     sizes = own.groupBy("side").agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1").drop("m")
     chunk = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / CHUNK)).cast("int")
     wanted = cut(own.join(sizes, "side").select("sid", "side", chunk.alias("chunk")))
-    if wanted.isEmpty():
-        return None
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("sid", ignore_index=True)
-        root = chunk_components([np.frombuffer(t, np.uint64) for t in pdf["tokens"]], percent)
-        return pd.DataFrame({"sid": pdf["sid"], "leader": pdf["sid"].to_numpy()[root]})
+        root = chunk_components([unpacked_tokens(t) for t in pdf["tokens"]], percent)
+        sid, moved = pdf["sid"].to_numpy(), root != np.arange(len(pdf))
+        return pd.DataFrame({"a": sid[moved], "b": sid[root[moved]]})
 
-    return cut(with_tokens(wanted, sets).groupBy("side", "chunk").applyInPandas(run, "sid long, leader long"))
+    return cut(with_tokens(wanted, sets).groupBy("side", "chunk").applyInPandas(run, "a long, b long"))
 
 
 def first_tokens(tokens: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
@@ -230,14 +241,51 @@ def _distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x[new], y[new]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, all second bytes, ...: high bytes are alike, and so the
+    shuffle's compression finds them."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: str, width: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    out = np.zeros((len(data) // width, size), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view(kind).reshape(-1)
+
+
+def row_pairs(token: np.ndarray, g: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, percent: int):
+    """Candidate pairs of the groups that share a token. Rows are (token, group)
+    with the smallest and largest size of its sets that have the token first
+    and the most tokens that any of them has from there on; yields arrays of
+    distinct pairs."""
+    order = np.lexsort((low, token))
+    token, g, low, high, left = token[order], g[order], low[order], high[order], left[order]
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    end = np.repeat(np.r_[start[1:], len(token)], np.diff(np.r_[start, len(token)]))
+    # by growing least size, partners follow while theirs is in reach of the largest
+    code = np.cumsum(np.r_[False, token[1:] != token[:-1]]) * (1 << 33)
+    limit = np.searchsorted(code + low, code + np.minimum(100 * high // percent, (1 << 33) - 1), side="right")
+    n = np.minimum(limit, end) - np.arange(len(token)) - 1
+    # the smaller of two sets shares percent/(100+percent) of both: at least twice that of itself
+    n[(high == low) & (left * (100 + percent) < 2 * percent * low)] = 0
+    some = np.flatnonzero(n > 0)
+    for block in np.array_split(some, int(n[some].sum() >> 22) + 1) if len(some) else []:
+        i = np.repeat(block, n[block])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n[block]) - n[block], n[block])
+        fits = (g[i] != g[j]) & (np.minimum(left[i], left[j]) * (100 + percent) >= percent * (low[i] + low[j]))
+        i, j = g[i[fits]], g[j[fits]]
+        yield _distinct_pairs(np.minimum(i, j), np.maximum(i, j))
+
+
 def candidates(sets: DataFrame, groups: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """Pairs (g1 < g2) of groups that share a first token, with sizes that allow
-    a link; ``groups``: (sid, g)."""
+    """Pairs (g1 < g2) of groups that share a first token, with sizes and places
+    that allow a link; ``groups``: (sid, g)."""
     shared = sets.sparkSession.sparkContext.broadcast(rarity)
 
     def firsts(batches):
         for b in batches:
-            rows = [first_tokens(np.frombuffer(t, np.uint64), shared.value, percent).tobytes() for t in b.column(2).to_pylist()]
+            rows = [packed_tokens(first_tokens(unpacked_tokens(t), shared.value, percent)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["sid", "n", "first"])
 
     first = sets.where("n > 0").select(F.col("rid").alias("sid"), "n", "tokens").mapInArrow(firsts, "sid long, n long, first binary").join(groups.select("sid", "g"), "sid")
@@ -247,26 +295,29 @@ def candidates(sets: DataFrame, groups: DataFrame, rarity: np.ndarray, percent:
         held, size = [], 0
 
         def emit():
-            token, g, n = (np.concatenate(x) for x in zip(*held))
+            token, g, n, left = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((n, g, token))
-            token, g, n = token[order], g[order], n[order]
+            token, g, n, left = token[order], g[order], n[order], left[order]
             new = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (g[1:] != g[:-1])])
-            token, g, lo, hi = token[new], g[new], n[new], n[np.r_[new[1:], len(n)] - 1]
+            token, g, low, high, left = token[new], g[new], n[new], n[np.r_[new[1:], len(n)] - 1], np.maximum.reduceat(left, new)
             part = (mix(token) % np.uint64(4 * parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             ends = np.flatnonzero(np.r_[part[order][1:] != part[order][:-1], True]) + 1
             rows, at = [], 0
             for e in ends.tolist():
                 o = order[at:e]
-                rows.append((int(part[o[0]]), token[o].tobytes(), g[o].tobytes(), lo[o].astype("<i4").tobytes(), hi[o].astype("<i4").tobytes()))
+                rows.append((int(part[o[0]]), packed_planes(token[o]), _planes(g[o]), *(_planes(x[o].astype("<i4")) for x in (low, high - low, left))))
                 at = e
             p, *rest = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], ["part", "token", "g", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], ["part", "token", "g", "low", "more", "left"])
+
+        def packed_planes(token):
+            return _planes(token.astype("<u8"))[: 6 * len(token)]
 
         for b in batches:
             for n, data, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                token = np.frombuffer(data, np.uint64)
-                held.append((token, np.full(len(token), g, np.int64), np.full(len(token), n, np.int64)))
+                token = unpacked_tokens(data)
+                held.append((token, np.full(len(token), g, np.int64), np.full(len(token), n, np.int64), n - np.arange(len(token))))
                 size += len(token)
                 if size > 1 << 20:
                     yield emit()
@@ -279,26 +330,14 @@ def candidates(sets: DataFrame, groups: DataFrame, rarity: np.ndarray, percent:
         for b in batches:
             for p, *rest in zip(*(c.to_pylist() for c in b.columns)):
                 held.setdefault(p, []).append(rest)
+        kinds = (("<u8", 6), ("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4))
         for rows in held.values():
-            token, g, lo, hi = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.uint64, np.int64, "<i4", "<i4")))
-            order = np.lexsort((lo, token))
-            token, g, lo, hi = token[order], g[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
-            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            end = np.repeat(np.r_[start[1:], len(token)], np.diff(np.r_[start, len(token)]))
-            # by growing least size: partners follow while their least size is in reach of the largest
-            reach, code = 100 * hi // percent, np.cumsum(np.r_[False, token[1:] != token[:-1]])
-            limit = np.searchsorted(code * (1 << 33) + lo, code * (1 << 33) + np.minimum(reach, (1 << 33) - 1), side="right")
-            n = np.minimum(limit, end) - np.arange(len(token)) - 1
-            some = np.flatnonzero(n > 0)
-            for block in np.array_split(some, int(n[some].sum() >> 22) + 1) if len(some) else []:
-                i = np.repeat(block, n[block])
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n[block]) - n[block], n[block])
-                x, y = np.minimum(g[i], g[j]), np.maximum(g[i], g[j])
-                x, y = x[x != y], y[x != y]
-                out = _distinct_pairs(x, y)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["g1", "g2"])
-
-    rows = first.mapInArrow(packed, "part int, token binary, g binary, lo binary, hi binary")
+            token, g, low, more, left = (np.concatenate([_from_planes(r[i], *k) for r in rows]) for i, k in enumerate(kinds))
+            low = low.astype(np.int64)
+            for x, y in row_pairs(token, g, low, low + more, left.astype(np.int64), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["g1", "g2"])
+
+    rows = first.mapInArrow(packed, "part int, token binary, g binary, low binary, more binary, left binary")
     return rows.repartition(parts, "part").mapInArrow(pairs, "g1 long, g2 long").distinct()
 
 
@@ -323,7 +362,7 @@ def opened(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -
         import pandas as pd
 
         asks = pdf["small"].notna().to_numpy()
-        tokens = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
+        tokens = [unpacked_tokens(t) for t in pdf["tokens"]]
         index = Index([t for t, q in zip(tokens, asks) if not q])
         linked = set()
         for g, i in zip(pdf["small"][asks].astype("int64"), np.flatnonzero(asks)):
@@ -337,16 +376,11 @@ def opened(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -
 def set_components(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(key, sid) of the distinct sets and (sid, root) of their components."""
     ids = cut(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("sid"), F.first("sides").alias("sides"), F.first("n").alias("n")))
-    leaders, steps = ids.select("sid", "sides", "n"), []
-    for side in range(ROUNDS):
-        step = _grouped(leaders, sets, side, percent)
-        if step is not None:
-            steps.append(step)
-            leaders = cut(leaders.join(step.where("sid != leader").select("sid"), "sid", "left_anti"))
-    groups = ids.select("sid", "n", F.col("sid").alias("g"))
-    for step in steps:
-        groups = groups.join(step.select(F.col("sid").alias("g"), "leader"), "g", "left").select("sid", "n", F.coalesce("leader", "g").alias("g"))
-    groups = cut(groups)
+    links = _grouped(ids, sets, 0, percent)
+    for side in range(1, ROUNDS):
+        links = links.union(_grouped(ids, sets, side, percent))
+    found = components(links)
+    groups = cut(ids.select("sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("g")))
     pairs = cut(candidates(sets, groups, token_rarity(sets), percent))
     roots = groups.select("sid", F.col("g").alias("root"))
     if not pairs.isEmpty():
