@@ -6,11 +6,13 @@ extra columns, which operators either ignore or pass through unchanged.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: dict[str, str] = {}
+
+
+def _remove(path: str) -> None:
+    """Delete a folder of written tables when the driver ends."""
+    jvm = SparkContext._jvm
+    if jvm is not None:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = f"{shared_dir(spark)}/moraine-{app}"
+        atexit.register(_remove, _scratch[app])
+    return _scratch[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage
-    that survives the loss of any executor."""
+    that survives the loss of any executor. The table is there as long as the
+    driver runs."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/moraine-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
