@@ -37,7 +37,6 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +47,14 @@ from pyspark.sql.window import Window
 
 from moraine.llm.common import cut, encoded, table
 from moraine.llm.components import components
-from moraine.llm.counters import BLOCKS, block_rows, counted, place
+from moraine.llm.counters import counted, place
 from moraine.llm.words import distinct, mix, shingle_hashes, word_hashes
 
 WORDS, PERCENT = 4, 85
 STAGE_WORDS, STAGE_PERCENT = 5, 80
 ROUNDS, MINIMA = 3, 3
 MAP_BITS = 1 << 24
+NO_ID = -(2**63)  # stands for a null id meanwhile
 CHUNK = 2_000_000  # tokens of a chunk
 _SETS = "rid long, doc_id long, text_key binary, n long, key binary, sides array<long>, tokens binary"
 
@@ -106,44 +106,26 @@ def token_rarity(sets: DataFrame) -> np.ndarray:
     return np.minimum(8 * np.log2(got + 1.0), 255).astype(np.uint8)
 
 
-def _marks(rids: DataFrame) -> np.ndarray:
-    """A bit map of fixed size in which the bits of all ``rid`` are set."""
-    bits = rids.select(F.pmod(F.xxhash64("rid"), F.lit(MAP_BITS)).cast("int").alias("bit"))
+def marks(rows: DataFrame, *keys: str) -> DataFrame:
+    """A bit map of fixed size in which the bits of all keys are set: rows
+    (_m_word, _m_bits), ``MAP_BITS`` / 64 at most."""
+    bit = F.expr("shiftleft(1L, cast(_m_hash % 64 as int))")
+    hashed = rows.select(F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS)).alias("_m_hash"))
+    return hashed.groupBy(F.floor(F.col("_m_hash") / 64).alias("_m_word")).agg(F.bit_or(bit).alias("_m_bits"))
 
-    def run(batches):
-        on = np.zeros(MAP_BITS, bool)
-        for b in batches:
-            on[b.column(0).to_numpy()] = True
-        yield from block_rows(np.packbits(on))
-
-    def united(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(data), np.uint8)
-                held[block] = held[block] | x if block in held else x
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], ["block", "data"])
 
-    out = np.zeros((BLOCKS, MAP_BITS // 8 // BLOCKS), np.uint8)
-    for r in bits.mapInArrow(run, "block int, data binary").repartition("block").mapInArrow(united, "block int, data binary").collect():
-        out[r["block"]] |= np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
-    return out.reshape(-1)
+def with_mark(rows: DataFrame, bits: DataFrame, *keys: str) -> DataFrame:
+    """Add ``_m_marked``: false for keys that are certainly not in the map."""
+    known = rows.withColumn("_m_hash", F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS))).withColumn("_m_word", F.floor(F.col("_m_hash") / 64))
+    bit = F.expr("shiftleft(1L, cast(_m_hash % 64 as int))")
+    marked = F.coalesce(F.col("_m_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return known.join(F.broadcast(bits), "_m_word", "left").withColumn("_m_marked", marked).drop("_m_hash", "_m_word", "_m_bits")
 
 
 def with_tokens(wanted: DataFrame, sets: DataFrame) -> DataFrame:
-    """``wanted`` (has a column sid) with the tokens of each set."""
-    spark = sets.sparkSession
-    marks = spark.sparkContext.broadcast(_marks(wanted.select(F.col("sid").alias("rid"))))
-
-    def run(batches):
-        on = np.unpackbits(marks.value).astype(bool)
-        for b in batches:
-            keep = on[b.column(0).to_numpy()]
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[1:]], ["sid", "tokens"])
-
-    some = sets.select(F.pmod(F.xxhash64("rid"), F.lit(MAP_BITS)).cast("int").alias("bit"), F.col("rid").alias("sid"), "tokens").mapInArrow(run, "sid long, tokens binary")
+    """``wanted`` (has a column sid) with the tokens of each set; only sets that
+    the bit map of wanted ones has are shuffled."""
+    some = with_mark(sets.select(F.col("rid").alias("sid"), "tokens"), cut(marks(wanted, "sid")), "sid").where("_m_marked").drop("_m_marked")
     return wanted.join(some, "sid")
 
 
@@ -415,15 +397,19 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, percent: int = STAGE_PERCENT) -> DataFrame:
     """One document of each component stays (the smallest id; null ids come
     last), its columns unchanged. Documents without words are no duplicates."""
-    rows = component_rows(docs, words, percent)
-    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_text"))
-    lost = rows.where((F.col("n") > 0) & ~first).select(F.col("doc_id").alias("_m_lost"), F.col("text_key").alias("_m_lost_text")).distinct()
-    mine = docs.withColumns({"_m_id": F.col("doc_id").cast("bigint"), "_m_text": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
-    kept = mine.join(lost, F.col("_m_id").eqNullSafe(F.col("_m_lost")) & (F.col("_m_text") == F.col("_m_lost_text")), "left_anti")
-    # rows that share id and text are copies too: one of them stays
+    rows = component_rows(docs, words, percent).where("n > 0").withColumn("_m_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    first = F.coalesce("first_id", F.lit(NO_ID))
+    # what is no component's first document, and first documents that are repeated
+    lost = (F.col("_m_id") != first) | (F.col("text_key") != F.col("first_text"))
+    told = cut(rows.groupBy("_m_id", F.col("text_key").alias("_m_text")).agg(F.max(lost).alias("_m_lost"), F.count("*").alias("_m_rows")).where("_m_lost or _m_rows > 1").drop("_m_rows"))
+    mine = docs.withColumns({"_m_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_m_text": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
+    marked = with_mark(mine, cut(marks(told, "_m_id", "_m_text")), "_m_id", "_m_text")
+    # only rows that may be told of are shuffled
+    met = marked.where("_m_marked").join(told, ["_m_id", "_m_text"], "left").where("not coalesce(_m_lost, false)")
     once = F.row_number().over(Window.partitionBy("_m_id", "_m_text").orderBy("_m_id"))
-    empty = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return kept.withColumns({"_m_n": once, "_m_empty": empty}).where("_m_n = 1 or _m_empty").select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = met.withColumn("_m_n", once).where("_m_n = 1 or _m_lost is null")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where("not _m_marked").select(*columns).union(met.select(*columns))
 
 
 def op6_token_group_join(spark, sf_dir: str) -> DataFrame:
