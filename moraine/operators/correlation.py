@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from moraine.functions.box import square, total
+from moraine.operators.sorting import exclusive_scan
 from moraine.operators.statistics import error_of_mean
 
 
@@ -130,8 +131,9 @@ def stress_autocorrelation(stress: DataFrame, scheme: BlockingScheme, particles:
 
 def helfand_moment(stress: DataFrame, scheme: BlockingScheme, particles: int, names: Sequence[str] = ("xy", "xz", "yz"), interval: int = 1, **options) -> DataFrame:
     """Mean squared growth of the running sums of the off-diagonal stress."""
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # one row a step
-    sums = stress.where(F.col("step") % interval == 0).select("step", *[F.sum(n).over(w).alias(n) for n in names])
+    sums = stress.where(F.col("step") % interval == 0).select("step", *names)
+    for n in names:
+        sums = exclusive_scan(sums, n, "step").withColumn(n, F.col(n) + F.col("scan")).drop("scan")
     width = interval * scheme.timestep
     return correlate(sums, scheme, lambda a, b: total([square((b[n] - a[n]) * width) for n in names]) / particles, **options)
 

@@ -75,7 +75,7 @@ def block_average(series: DataFrame, value: str, blocks: int, by: Sequence[str]
     if blocks < 2:
         raise ValueError("block averages need at least two blocks")
     spans = series.groupBy(*by).agg(F.min("step").alias("_first"), F.floor((F.max("step") - F.min("step") + 1) / blocks).alias("_length"))
-    rows = series.join(F.broadcast(spans), list(by)) if by else series.crossJoin(F.broadcast(spans))  # one row a series
+    rows = series.join(spans, list(by)) if by else series.crossJoin(F.broadcast(spans))  # a single row
     rows = rows.where(F.col("_length") > 0).withColumn("_block", F.floor((F.col("step") - F.col("_first")) / F.col("_length"))).where(F.col("_block") < blocks)
     means = rows.groupBy(*by, "_block").agg(F.avg(value).alias("_mean"))
     return means.groupBy(*by).agg(F.count("*").alias("count"), F.avg("_mean").alias("mean"), error_of_mean("_mean").alias("error"))
