@@ -6,6 +6,7 @@ Index functions count from 1, with the first axis running fastest.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -15,6 +16,8 @@ BOLTZMANN = 1.380649e-23  # J/K
 AVOGADRO = 6.02214076e23  # 1/mol
 ELECTRON_VOLT = 1.602176634e-19  # J
 DALTON = 1.66053906660e-27  # kg
+#: Limits of the number types in use.
+LIMITS = {"double": {"epsilon": sys.float_info.epsilon, "min": sys.float_info.min, "max": sys.float_info.max}, "int": {"min": -(2**31), "max": 2**31 - 1}, "bigint": {"min": -(2**63), "max": 2**63 - 1}}
 
 
 def _fold(a: Column, start: Column, step) -> Column:
@@ -78,6 +81,19 @@ def divide_scalar(a: Column, s) -> Column:
     return F.transform(a, lambda x: F.try_divide(x, F.lit(s) if not isinstance(s, Column) else s))
 
 
+def vector_max(a: Column) -> Column:
+    return F.array_max(a)
+
+
+def vector_min(a: Column) -> Column:
+    return F.array_min(a)
+
+
+def is_close(a: Column, b: Column, tolerance: float) -> Column:
+    """Whether two values differ by at most ``tolerance`` relative to both."""
+    return F.abs(a - b) <= tolerance * F.least(F.abs(a), F.abs(b))
+
+
 def vector_floor(a: Column) -> Column:
     return F.transform(a, lambda x: F.floor(x).cast("double"))
 

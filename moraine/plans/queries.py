@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -261,6 +261,12 @@ def neighbours_between(spark, d):
     return rounded(neighbours.neighbours(p.where("species = 1"), box, 0.15, others=p.where("species = 2")).select("i", "j", "rr"), 9, "rr")
 
 
+@query("cell_binning", f"WITH {P} SELECT (((floor(x * 5) + 5) % 5))::INT AS cx, (((floor(y * 5) + 5) % 5))::INT AS cy, (((floor(z * 5) + 5) % 5))::INT AS cz, count(*) AS n FROM p GROUP BY ALL")
+def cell_binning(spark, d):
+    p, box = as_particles(spark, d)
+    return neighbours.with_cells(p, box, 0.2).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))
+
+
 @query("all_pairs", f"WITH {PAIRS} SELECT i, count(*) AS n, {_r(6, total='sum(rr)')} FROM q GROUP BY i")
 def all_pairs(spark, d):
     p, box = as_particles(spark, d)
@@ -355,6 +361,19 @@ for _kind in ("sharp", "force_shifted", "smooth_r4"):
     _forces("morse", _kind)
 
 
+@pot.register("spring")
+def spring(rr: Column) -> tuple[Column, Column]:
+    """A user's own potential: k/2 r^2 with k = epsilon."""
+    return -F.col("epsilon"), 0.5 * F.col("epsilon") * rr
+
+
+@query("forces_full_custom", f"""WITH {PAIRS}, s AS (SELECT i AS id, -2*dx AS fx, rr/2 AS u FROM q UNION ALL SELECT j, 2*dx, rr/2 FROM q) SELECT id, {_r(6, fx='sum(fx)', en_pot='sum(u)')} FROM s GROUP BY id""")
+def forces_full(spark, d):
+    p, box = as_particles(spark, d)
+    pairs = neighbours.all_pairs(p.select("id", "x", "y", "z"), box).withColumn("epsilon", F.lit(2.0))
+    return rounded(forces.pair_forces(pairs, box, pot.REGISTRY["spring"]).select("id", "fx", "en_pot"), 6, "fx", "en_pot")
+
+
 @query("pressure", _force_sql("morse", "smooth_r4") + ", g AS (SELECT p.*, coalesce(en_pot, 0) AS u, coalesce(sxx, 0) AS sxx, coalesce(syy, 0) AS syy, coalesce(szz, 0) AS szz, coalesce(sxy, 0) AS sxy, coalesce(fx, 0) AS fx FROM p LEFT JOIN fo USING (id)) SELECT "
        + _r(5, potential_energy="sum(u)/count(*)", internal_energy="sum(u)/count(*) + sum(0.5*mass*(vx*vx + vy*vy + vz*vz))/count(*)", virial="sum(sxx + syy + szz)/count(*)",
             pressure="count(*)*(2*sum(0.5*mass*(vx*vx + vy*vy + vz*vz))/count(*)/3 + sum(sxx + syy + szz)/count(*)/3)", stress_xx="sum(sxx + mass*vx*vx)", stress_xy="sum(sxy + mass*vx*vy)", total_force_x="sum(fx)") + " FROM g")
@@ -614,6 +633,12 @@ def fcc_lattice(spark, d):
     return rounded(generate.fcc_lattice(spark, 864, Box((9.0, 9.0, 9.0))), 9, "x", "y", "z")
 
 
+@query("hilbert_clustered", f"WITH {P} SELECT id, species FROM p")
+def hilbert_clustered(spark, d):
+    p, box = as_particles(spark, d)
+    return sorting.hilbert_clustered(p, box, 0.05).select("id", "species")
+
+
 @query("boltzmann_velocities")
 def boltzmann(spark, d):
     p, box = as_particles(spark, d)
@@ -638,6 +663,14 @@ def store_read_at_step(spark, d):
     return rounded(Reader(spark, path).read_at_step("particles/all", -1).select("id", "x"), 6, "x")
 
 
+@query("store_read_at_time", f"WITH {E} SELECT id, {_r(6, x='x')} FROM e WHERE step = (SELECT max(step) FROM e) - 4")
+def store_read_at_time(spark, d):
+    path = _scratch(spark)
+    rows = as_trajectory(spark, d).withColumn("time", F.col("step") * 0.5).select("step", "time", "id", "x")
+    Writer(spark, path).append("positions", rows)
+    return rounded(Reader(spark, path).read_at_time("positions", -2.0).select("id", "x"), 6, "x")
+
+
 @query("static_species", "SELECT user_id AS id, length(event_type) AS species FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
 def species(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")

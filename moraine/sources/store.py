@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from moraine.functions.box import Box
-from moraine.operators.groups import sampled_steps, set_columns
+from moraine.operators.groups import dense_index, sampled_steps, set_columns
 
 VERSION = (1, 0)
 TIME_TOLERANCE = 100 * sys.float_info.epsilon
@@ -71,9 +71,10 @@ class Writer:
             raise StoreError(f"{element}: a step has several times")
         if before and (span["first"]["step"] <= before[0] or span["first"]["low"] < before[1]):
             raise StoreError(f"{element}: step {span['first']['step']} does not follow step {before[0]}")
-        # within the new steps times must rise as well; the join is by step number
-        ranked = steps.selectExpr("step", "low")
-        falls = ranked.alias("a").join(ranked.selectExpr("step - 1 as step", "low as next").alias("b"), "step").where("next < low")
+        # within the new steps times must not fall back either
+        ranked = dense_index(steps.select("step", "low"), "step", "place")
+        following = ranked.select((F.col("place") - 1).alias("place"), F.col("low").alias("next"))
+        falls = ranked.join(following, "place").where("next < low")
         if not falls.isEmpty():
             raise StoreError(f"{element}: time decreases")
         first = before is None

@@ -30,7 +30,7 @@ def test_store(spark, tmp_path):
             w.append("particles/all", rows(spark, steps))
     w.append("particles/all", rows(spark, [6]))
     with pytest.raises(StoreError):
-        Writer(spark, path, overwrite=True).append("x", rows(spark, [0, 1]).withColumn("time", -F.col("time")))
+        Writer(spark, path, overwrite=True).append("x", rows(spark, [0, 5]).withColumn("time", -F.col("time")))
     w = Writer(spark, path, overwrite=True)
     w.append("particles/all", rows(spark, [0, 2, 4]))
     w.append("particles/all", rows(spark, [6]))
