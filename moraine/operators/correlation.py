@@ -67,10 +67,14 @@ def lagged_pairs(samples: DataFrame, scheme: BlockingScheme, keys: Sequence[str]
     ``_1``, of the later sample (of ``other``, if given) as ``_2``, level,
     lag_idx, lag_time. A sample is a row with ``step`` and ``keys``."""
     later = samples if other is None else other
-    lags = scheme.lags(samples.sparkSession)
     values = [c for c in samples.columns if c not in (*keys, "step")]
-    origins = samples.where(F.col("step") >= start).join(F.broadcast(lags), (F.col("step") - start) % (F.col("skip") * F.col("interval")) == 0)  # levels x lags rows
-    origins = origins.select(*keys, "level", "lag_idx", "lag_time", (F.col("step") + F.col("lag")).alias("step"), *[F.col(v).alias(v + "_1") for v in values])
+    # the levels are few and known here: each origin keeps those whose raster it is on
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(i).cast("long").alias("interval"), F.lit(i * s).cast("long").alias("raster")) for k, (i, s) in enumerate(scheme.levels())])
+    own = F.filter(levels, lambda v: (F.col("step") - start) % v["raster"] == 0)
+    origins = samples.where(F.col("step") >= start).withColumn("_level", F.explode(own)).withColumn("lag_idx", F.explode(F.sequence(F.lit(0), F.lit(scheme.size - 1))))
+    lag = F.col("_level.interval") * F.col("lag_idx")
+    origins = origins.select(*keys, F.col("_level.level").alias("level"), "lag_idx", (lag * F.lit(float(scheme.timestep))).alias("lag_time"),
+                             (F.col("step") + lag).alias("step"), *[F.col(v).alias(v + "_1") for v in values])
     later = later.select(*keys, "step", *[F.col(c).alias(c + "_2") for c in later.columns if c not in (*keys, "step")])
     return origins.join(later, [*keys, "step"])
 
