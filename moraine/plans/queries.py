@@ -190,9 +190,9 @@ def merge_accumulators(spark, d):
     return rounded(merged.select("event_type", "count", *_STATS), 6, *_STATS)
 
 
-@query("windowed_statistics", f"SELECT (event_id // 64) * 64 AS \"window\", {_moments_sql('value')} FROM events GROUP BY 1")
+@query("windowed_statistics", f"SELECT (event_id // 49) * 49 AS \"window\", {_moments_sql('value')} FROM events GROUP BY 1")
 def windowed(spark, d):
-    return rounded(statistics.windowed(as_series(spark, d), "value", 64), 6, *_STATS)
+    return rounded(statistics.windowed(as_series(spark, d), "value", 49), 6, *_STATS)
 
 
 @query("running_statistics", f"WITH {E} SELECT id, step, count(*) OVER w AS count, {_r(9, mean='avg(vx) OVER w')}, {_r(6, error='CASE WHEN count(*) OVER w > 1 THEN stddev_pop(vx) OVER w / sqrt(count(*) OVER w - 1) END')} FROM e WINDOW w AS (PARTITION BY id ORDER BY step ROWS UNBOUNDED PRECEDING)")
@@ -298,19 +298,20 @@ def excluded_volume(spark, d):
 
 def _params(spark: SparkSession, species: int = 10) -> DataFrame:
     """epsilon and sigma grow with both species; cutoffs differ a little."""
-    rows = [{"a": a, "b": b, "epsilon": 1 + 0.1 * (a + b), "sigma": 0.02 + 0.0005 * (a + b), "r_cut": 0.1 + 0.001 * (a + b), "r_min": 0.05, "distortion": 1.2, "r_core": 0.002} for a in range(species) for b in range(a, species)]
+    rows = [{"a": a, "b": b, "epsilon": 1 + 0.1 * (a + b), "sigma": 0.005 + 0.0001 * (a + b), "r_cut": 0.1 + 0.001 * (a + b), "r_min": 0.0125, "distortion": 1.2, "r_core": 0.0005} for a in range(species) for b in range(a, species)]
     return pot.species_pairs(spark, rows)
 
 
-_PAR = "1 + 0.1*(si + sj) AS e, 0.02 + 0.0005*(si + sj) AS s, 0.1 + 0.001*(si + sj) AS rc"
+_PAR = "1 + 0.1*(si + sj) AS e, 0.005 + 0.0001*(si + sj) AS s, 0.1 + 0.001*(si + sj) AS rc"
 # (potential, energy and fval in SQL by squared distance {r}; e, s: epsilon, sigma)
 POTENTIALS: dict[str, tuple[pot.Potential, str, str]] = {
     "lennard_jones": (pot.lennard_jones, "4*e*pow(s*s/({r}),3)*(pow(s*s/({r}),3) - 1)", "48*e/(s*s)*(s*s/({r}))*pow(s*s/({r}),3)*(pow(s*s/({r}),3) - 0.5)"),
     "mie": (pot.mie(10, 4), f"{10 / 6 * 2.5 ** (4 / 6)!r}::DOUBLE*e*pow(s*s/({{r}}),2)*(pow(s*s/({{r}}),3) - 1)", f"2*{10 / 6 * 2.5 ** (4 / 6)!r}::DOUBLE*e*pow(s*s/({{r}}),2)*(5*pow(s*s/({{r}}),3) - 2)/({{r}})"),
-    "morse": (pot.morse, "e/1.88*exp((0.05 - sqrt({r}))/s/1.2)*(exp(1.88*(0.05 - sqrt({r}))/s/1.2) - 2.88)", "2.88*e/1.88*exp((0.05 - sqrt({r}))/s/1.2)*(exp(1.88*(0.05 - sqrt({r}))/s/1.2) - 1)/(s*1.2*sqrt({r}))"),
+    "morse": (pot.morse, "e/1.88*exp((0.0125 - sqrt({r}))/s/1.2)*(exp(1.88*(0.0125 - sqrt({r}))/s/1.2) - 2.88)", "2.88*e/1.88*exp((0.0125 - sqrt({r}))/s/1.2)*(exp(1.88*(0.0125 - sqrt({r}))/s/1.2) - 1)/(s*1.2*sqrt({r}))"),
     "power_law": (pot.power_law(6), "e*pow(s*s/({r}),3)", "6*e*pow(s*s/({r}),3)/({r})"),
-    "power_law_hard_core": (pot.power_law_hard_core(6), "e*pow(s/(sqrt({r}) - 0.002),6)", "6*e*pow(s/(sqrt({r}) - 0.002),6)/((sqrt({r}) - 0.002)*sqrt({r}))"),
-    "hard_core_morse": (pot.hard_core(pot.morse), "e/1.88*exp((0.052 - sqrt({r}))/s/1.2)*(exp(1.88*(0.052 - sqrt({r}))/s/1.2) - 2.88)", "2.88*e/1.88*exp((0.052 - sqrt({r}))/s/1.2)*(exp(1.88*(0.052 - sqrt({r}))/s/1.2) - 1)/(s*1.2*sqrt({r}))"),
+    "power_law_hard_core": (pot.power_law_hard_core(6), "e*pow(s/(sqrt({r}) - 0.0005),6)", "6*e*pow(s/(sqrt({r}) - 0.0005),6)/((sqrt({r}) - 0.0005)*sqrt({r}))"),
+    "hard_core_morse": (pot.hard_core(pot.morse), "e/1.88*exp((0.0125 - abs(sqrt({r}) - 0.0005))/s/1.2)*(exp(1.88*(0.0125 - abs(sqrt({r}) - 0.0005))/s/1.2) - 2.88)",
+                        "sign(sqrt({r}) - 0.0005)*2.88*e/1.88*exp((0.0125 - abs(sqrt({r}) - 0.0005))/s/1.2)*(exp(1.88*(0.0125 - abs(sqrt({r}) - 0.0005))/s/1.2) - 1)/(s*1.2*sqrt({r}))"),
 }
 _H = 0.02
 
@@ -678,12 +679,12 @@ def species(spark, d):
     return static_species(e.select(F.col("user_id").alias("id"), step.alias("step"), F.length("event_type").cast("bigint").alias("species")))
 
 
-@query("stream_windows", f"SELECT (event_id // 100) * 100 AS \"window\", {_moments_sql('value')} FROM events GROUP BY 1")
+@query("stream_windows", f"SELECT (event_id // 49) * 49 AS \"window\", {_moments_sql('value')} FROM events GROUP BY 1")
 def stream_windows(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").select(F.col("event_id").alias("step"), "value")
     name = f"windows_{uuid4().hex}"
-    q = online.windowed_stream(stream, "value", 100).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _scratch(spark)).start()
+    q = online.windowed_stream(stream, "value", 49).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _scratch(spark)).start()
     q.processAllAvailable()
     q.stop()
     return rounded(spark.table(name), 6, *_STATS)
