@@ -41,18 +41,23 @@ def counted(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterable[np.ndar
     64-bit hashes of a batch, array by array."""
 
     def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint32)
         held, size = [], 0
+
+        def add_up():
+            at, n = np.unique(place(np.concatenate(held)), return_counts=True)
+            total[at] += n.astype(np.uint32)
+
         for batch in batches:
             for own in values(batch):
                 held.append(own)
                 size += len(own)
-                if size > 1 << 22:
-                    total += np.bincount(place(np.concatenate(held)), minlength=COUNTERS)
+                if size > 1 << 20:
+                    add_up()
                     held, size = [], 0
         if held:
-            total += np.bincount(place(np.concatenate(held)), minlength=COUNTERS)
-        yield from block_rows(np.minimum(total, (1 << 32) - 1).astype("<u4"))
+            add_up()
+        yield from block_rows(total)
 
     def add(batches):
         held: dict[int, np.ndarray] = {}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from moraine.llm.common import table
 
 LENGTH, END = 2048, 0
-CACHE_WORDS = 800_000  # of each of two tables in a worker
+CACHE_WORDS = 300_000  # of each of two tables in a worker
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"

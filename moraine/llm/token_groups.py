@@ -55,7 +55,7 @@ STAGE_WORDS, STAGE_PERCENT = 5, 80
 ROUNDS, MINIMA = 3, 3
 MAP_BITS = 1 << 24
 NO_ID = -(2**63)  # stands for a null id meanwhile
-CHUNK = 2_000_000  # tokens of a chunk
+CHUNK = 500_000  # tokens of a chunk
 _SETS = "rid long, doc_id long, text_key binary, n long, key binary, sides array<long>, tokens binary"
 
 
@@ -301,7 +301,7 @@ def candidates(sets: DataFrame, groups: DataFrame, rarity: np.ndarray, percent:
                 token = unpacked_tokens(data)
                 held.append((token, np.full(len(token), g, np.int64), np.full(len(token), n, np.int64), n - np.arange(len(token))))
                 size += len(token)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield emit()
                     held, size = [], 0
         if held:
