@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from moraine.llm.common import table
 
 LENGTH, END = 2048, 0
-CACHE_WORDS = 300_000  # of each of two tables in a worker
+CACHE_WORDS = 500_000  # of each of two tables in a worker
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -107,14 +108,14 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def _part(self, part: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(part.translate(self.letters))], "<u4").tobytes()
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() and part.isalnum() else part.translate(self.letters))]).tobytes()
 
     def _merged(self, parts: list[str]) -> bytes:
         return b"".join(map(self._part, parts))
 
     def _learn(self, new: list[str]) -> None:
         known = self.words.young
-        plain = [w for w in new if self.by_parts and max(w) <= "\u00ff" and "<|" not in w]
+        plain = [w for w in new if self.by_parts and (w.isascii() or max(w) <= "\u00ff") and "<|" not in w]
         split = [_PART.findall(w.lower()) for w in plain]
         for p in self.parts.missing(set(chain.from_iterable(split))):
             self.parts.young[p] = self._part(p)
