@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from moraine.llm.common import encoded, hash_unit, held_out, table
+from moraine.llm.common import encoded, hash_unit, held_out, small_batches, table
 
 SPAN, HIDDEN, STEPS, BATCH = 48, 8, 350, 256
 PER_LANGUAGE, WINDOWS, SEED = 400, 6, 5
@@ -224,6 +224,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOW
 def identify(docs: DataFrame, model: Identifier, keep=None) -> DataFrame:
     """``docs`` with lang_pred and score (names that clash with a column get the
     prefix ``_m_``); with ``keep(name, score)`` only the rows for which it holds."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     names = [f"_m_{c}" if c in docs.columns else c for c in ("lang_pred", "score")]
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{names[0]}` string, `{names[1]}` double").fields])

@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import table
+from moraine.llm.common import small_batches, table
 
 LENGTH, END = 2048, 0
 CACHE_WORDS = 500_000  # of each of two tables in a worker
@@ -44,24 +44,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Remembered:
-    """A dictionary of bounded size: when the young half is full it becomes the
-    old one, and what is found in the old half moves to the young one."""
+class Remembered(dict):
+    """A dictionary of bounded size that makes what it lacks: when it is full it
+    becomes the old half, and what is found there moves to the new one."""
 
-    def __init__(self, most: int):
-        self.half, self.young, self.old = most // 2, {}, {}
+    def __init__(self, most: int, make: Callable[[str], bytes]):
+        super().__init__()
+        self.half, self.old, self.make = most // 2, {}, make
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The unknown ones of ``keys``; the known ones are young afterwards."""
-        rest = [k for k in keys if k not in self.young]
-        if len(self.young) + len(rest) > self.half:
-            self.old, self.young = self.young, {}
-            rest = list(keys)
-        if not self.old:
-            return rest
-        found = [k for k in rest if k in self.old]
-        self.young.update(zip(found, map(self.old.__getitem__, found)))
-        return [k for k in rest if k not in self.young] if found else rest
+    def __missing__(self, key: str) -> bytes:
+        value = self.old[key] if key in self.old else self.make(key)
+        if len(self) >= self.half:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+        return value
 
 
 #: Of lower-cased text up to U+00FF: what the vocabulary's pattern takes as one.
@@ -91,7 +88,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = Remembered(cache_words), Remembered(cache_words)
+        self.words, self.parts = Remembered(cache_words, self._word), Remembered(cache_words, self._part)
         letters = _byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self.by_parts = self._agrees()
@@ -113,26 +110,15 @@ class WordIds:
     def _merged(self, parts: list[str]) -> bytes:
         return b"".join(map(self._part, parts))
 
-    def _learn(self, new: list[str]) -> None:
-        known = self.words.young
-        plain = [w for w in new if self.by_parts and (w.isascii() or max(w) <= "\u00ff") and "<|" not in w]
-        split = [_PART.findall(w.lower()) for w in plain]
-        for p in self.parts.missing(set(chain.from_iterable(split))):
-            self.parts.young[p] = self._part(p)
-        parts = self.parts.young
-        for w, own in zip(plain, split):
-            known[w] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
-        if len(plain) < len(new):
-            other = [w for w in new if w not in known]
-            known.update(zip(other, self._encoded(other)))
+    def _word(self, word: str) -> bytes:
+        if self.by_parts and (word.isascii() or max(word) <= "\u00ff") and "<|" not in word:
+            parts = _PART.findall(word.lower())
+            return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
+        return self._encoded([word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[] if _SEPARATORS.search(t) else t.split() for t in texts]
-        new = self.words.missing(set(chain.from_iterable(split)))
-        if new:
-            self._learn(new)
-        known = self.words.young
-        return [b"".join([known[w] for w in words]) if words else self._encoded([t])[0] for t, words in zip(texts, split)]
+        known = self.words.__getitem__
+        return [self._encoded([t])[0] if _SEPARATORS.search(t) else b"".join(map(known, t.split())) for t in texts]
 
 
 _kept: dict[str, WordIds] = {}
@@ -147,6 +133,7 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """One row per piece; a piece's ids are known by their crc32."""
+    small_batches(docs.sparkSession)
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):

@@ -24,7 +24,7 @@ def _power(base: int, n: int) -> np.ndarray:
     p = _powers[base]
     while len(p) < n:
         p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-    _powers[base] = p if len(p) <= 1 << 23 else _powers[base]
+    _powers[base] = p if len(p) <= 1 << 20 else _powers[base]
     return p[:n]
 
 
@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(texts: list[bytes], segment: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], segment: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, text after text, and each text's word count.
     Bytes are worked on in segments that end between words."""
     data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
