@@ -6,15 +6,15 @@ trie of byte contexts up to ``order`` bytes. Its statistics are exact counts of
 all (order+1)-byte grams of the training documents; shorter contexts are
 marginals. A context takes half a count from each of its distinct successors for
 the escape (method D); on escape, all symbols of the longer context are excluded in the
-shorter one; below order 0 the rest of the 256 bytes share equally. With a
-pretrained (static) trie the resulting probability of every symbol in every kept
-context can be worked out once, so scoring is a walk of table look-ups that
-numpy makes for many positions at a time.
+shorter one; below order 0 the rest of the 256 bytes share equally.
 
-Of each order the ``contexts`` most frequent contexts are kept (a documented
-bound of model size, so that what is broadcast is at most
-``order * contexts * 256`` entries); rarer ones back off. Counts cover all
-training documents.
+Every context of the training documents is kept, in a written table of counts.
+With a pretrained (static) model the probability at a position depends only on
+the gram that ends there. The most frequent grams (at most ``grams_head``) have theirs
+broadcast; the others are counted per text, and their distinct ones meet the counts
+in tasks that hold all grams of equal last contexts (three bytes), where
+:func:`gram_logs` backs off as far as needed. Counts of shorter contexts (at most
+256 ** 3 grams, however large the corpus) are broadcast to these tasks.
 
 The unigram base needs the exact count of each word. The ``head`` most frequent
 words (bounded) are broadcast; the others, each of which is rare by
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 
 from moraine.llm.common import cut, encoded, held_out, table
 
-ORDER, CONTEXTS, HEAD = 5, 24_576, 131_072
+ORDER, HEAD, GRAMS_HEAD = 5, 131_072, 2_097_152
+BASE = 3  # contexts of fewer bytes are known to every task
 WORD, GRAM = 0, 1
 _COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
 
@@ -130,7 +131,7 @@ _COUNTS_DDL = "kind byte, key long, n long"
 
 
 class Trie:
-    """Kept contexts as rows: ``child[node, byte class]`` is the node one byte
+    """A model that fits into memory. Its contexts as rows: ``child[node, byte class]`` is the node one byte
     older (0: none), ``logp[node, byte class]`` the log10 probability of the
     next byte. Node 0 stands for none, node 1 for the empty context."""
 
@@ -197,41 +198,156 @@ class Trie:
         return total[spans[:, 1] - order] - total[spans[:, 0] - order]
 
 
-def learn_trie(counts: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> Trie:
-    """The trie of the ``contexts`` most frequent contexts of each order."""
-    rows = counts.where(F.col("kind") == GRAM)
-    levels = []
+def _mask(size: int) -> int:
+    return (1 << 8 * size) - 1
+
+
+class Table:
+    """Values of distinct keys of at least 0, by open addressing, half full at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, np.nan)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]  # of several the last one stays
+            placed = self.keys[slot] == keys[left]
+            self.values[slot[placed]] = values[left[placed]]
+            left, slot = left[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, NaN where there is none."""
+        slot = self._slot(keys)
+        got = self.keys.take(slot)
+        out = np.where(got == keys, self.values.take(slot), np.nan)
+        left = np.flatnonzero((got != keys) & (got >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            got, own = self.keys.take(slot[left]), keys[left]
+            hit = got == own
+            out[left[hit]] = self.values.take(slot[left[hit]])
+            left = left[~hit & (got >= 0)]
+        return out
+
+
+def _place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key lies in the sorted table, and whether it does."""
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def gram_logs(wanted: np.ndarray, grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """log10 probability of the last byte of each wanted gram. ``grams`` are all
+    of training whose last contexts of ``min(BASE, order)`` bytes are those of the
+    wanted ones, ``low`` all grams of so many bytes, with their counts.
+
+    The successors of a context are among those of each shorter one, so what is
+    excluded after an escape are the successors of the last context that occurs."""
+    base = min(BASE, order)
+    levels: list[tuple] = []
     for k in range(order + 1):
-        gram = rows.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")).withColumn("ctx", F.shiftright("gram", 8))
-        if k:
-            top = gram.groupBy("ctx").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "ctx").limit(contexts).select("ctx")
-            gram = gram.join(F.broadcast(top), "ctx")
-        got = gram.select("ctx", F.col("gram").bitwiseAND(255).alias("s"), "n").toPandas().sort_values(["ctx", "s"])  # at most contexts * 256 rows
-        ctx, s, n = (got[c].to_numpy() for c in ("ctx", "s", "n"))
-        at = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(ctx) else []
-        levels.append({int(ctx[i]): (s[i:j], n[i:j]) for i, j in zip(at, [*at[1:], len(ctx)])})
-    return Trie(levels)
-
-
-def score(docs: DataFrame, training: DataFrame, order: int = ORDER, contexts: int = CONTEXTS, head: int = HEAD) -> DataFrame:
+        g, n = (low if k < base else (grams, counts))
+        g, n = _merge([g & _mask(k + 1)], [n])
+        first = np.flatnonzero(np.r_[True, g[1:] >> 8 != g[:-1] >> 8]) if len(g) else np.zeros(0, np.int64)
+        excluded = np.zeros(len(first), np.int64)  # of each context, what its successors have in the next shorter one
+        if k and len(g):
+            up, up_n = levels[-1][:2]
+            excluded = np.add.reduceat(up_n[np.searchsorted(up, g & _mask(k))], first)
+        levels.append((g, n, g[first] >> 8, np.add.reduceat(n, first) if len(g) else n, np.diff(np.r_[first, len(g)]), excluded))
+    out, scale, open_ = np.zeros(len(wanted)), np.zeros(len(wanted)), np.ones(len(wanted), bool)
+    gone, gone_kinds = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+    for k in range(order, -1, -1):
+        g, n, contexts, totals, kinds, excluded = levels[k]
+        if not len(g):
+            continue
+        code = wanted & _mask(k + 1)
+        at, known = _place(contexts, code >> 8)
+        total, distinct = np.where(known, totals[at] - gone, 0), np.where(known, kinds[at] - gone_kinds, 0)
+        place, seen = _place(g, code)
+        now = open_ & seen
+        out[now] = scale[now] + np.log10((n[place[now]] - np.where(kinds[at[now]] < 256, 0.5, 0.0)) / total[now])
+        open_ &= ~seen
+        scale += np.where(total > 0, np.log10(np.maximum(distinct, 1) / np.maximum(2 * total, 1)), 0.0)
+        gone, gone_kinds = np.where(known, excluded[at], 0), np.where(known, kinds[at], 0)
+    out[open_] = scale[open_] - np.log10(np.maximum(256 - len(levels[0][0]), 1))
+    return out
+
+
+def scored_grams(wanted: DataFrame, grams: DataFrame, order: int, parts: int) -> DataFrame:
+    """key, value: log10 probability of each of the ``wanted`` grams (key) under the
+    counts ``grams`` (key, n), in ``parts`` tasks."""
+    spark = wanted.sparkSession
+    base = min(BASE, order)
+    got = grams.groupBy(F.col("key").bitwiseAND(_mask(base)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    low = spark.sparkContext.broadcast((got["key"].to_numpy(), got["n"].to_numpy()))
+
+    def run(batches):
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
+            counts.append(batch.column(1).to_numpy(zero_copy_only=False))
+        k, n = np.concatenate(keys), np.concatenate(counts)
+        asked = k[n < 0]
+        logs = gram_logs(asked, k[n > 0], n[n > 0], low.value, order)
+        for at in range(0, len(asked), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(asked[at : at + 50_000]), pa.array(logs[at : at + 50_000])], ["key", "value"])
+
+    both = grams.select("key", "n").union(wanted.select("key", F.lit(-1).cast("long").alias("n")))
+    return both.repartition(parts, F.shiftright("key", 8).bitwiseAND(_mask(base))).mapInArrow(run, "key long, value double")
+
+
+def frequent_grams(grams: DataFrame, most: int) -> tuple[Table, int]:
+    """The log10 probabilities of at most ``most`` grams, those of the highest
+    counts, and how many grams there are."""
+    size = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r["size"], r["count"]) for r in grams.groupBy(size.alias("size")).count().collect()), reverse=True)
+    all_, taken, least = sum(c for _, c in sizes), 0, None
+    for s, c in sizes:
+        if taken + c > most:
+            break
+        taken, least = taken + c, s
+    context = F.shiftright("key", 8).alias("context")
+    totals = grams.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    own = F.when(F.col("kinds") < 256, 0.5).otherwise(0.0)
+    head = grams.where(size >= least if least is not None else F.lit(False)).select("key", "n", context).join(totals, "context")
+    got = head.select("key", F.log10((F.col("n") - own) / F.col("total")).alias("value")).toArrow()  # at most ``most`` rows
+    return Table(got["key"].to_numpy(), got["value"].to_numpy()), all_
+
+
+def score(docs: DataFrame, training: DataFrame, order: int = ORDER, head: int = HEAD, grams_head: int = GRAMS_HEAD) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each of
-    ``docs`` under the model and the unigram counts of ``training``."""
+    ``docs`` under the model and the unigram counts of ``training``. ``head`` and
+    ``grams_head`` say how much is broadcast; results don't depend on them."""
+    if not 0 <= order <= 6:
+        raise ValueError("order must be from 0 to 6")
     spark = docs.sparkSession
     counts = cut(corpus_counts(training.select("text"), order))
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
     top = words.orderBy(F.desc("n"), "word").limit(head).toPandas().sort_values("word")
-    model = spark.sparkContext.broadcast((learn_trie(counts, order, contexts), top["word"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.float64) + 1)))
+    grams_ = counts.where(F.col("kind") == GRAM).select("key", "n")
+    frequent, n_grams = frequent_grams(grams_, grams_head)
+    model = spark.sparkContext.broadcast((frequent, top["word"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.float64) + 1)))
 
     def run(batches):
-        trie, known, logs = model.value
+        table_, known, logs = model.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 split = [t.lower().split() for t in encoded(part.column(1))]
-                s = trie.score(split)
+                flat, spans = streams(split, order)
+                code = grams(flat, spans, order)
+                p = table_.find(code)
+                lengths = spans[:, 1] - spans[:, 0]
+                other = np.isnan(p)
+                s = np.add.reduceat(np.where(other, 0.0, p), np.cumsum(lengths) - lengths)
+                rare_grams, gram_times = np.unique((np.repeat(np.arange(len(split)), lengths)[other] << 56) | code[other], return_counts=True)
                 own = list(set(chain.from_iterable(split))) + [b""]
                 index = dict(zip(own, range(len(own))))
                 keys = np.fromiter(map(hash_word, own), np.int64, len(own))
@@ -245,22 +361,33 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, contexts: in
                 owner = np.repeat(np.arange(len(split)), lengths)
                 rare = ~is_head[flat]
                 pair, times = np.unique((owner[rare] << 32) | flat[rare], return_counts=True)
-                ends = np.searchsorted(pair >> 32, np.arange(len(split) + 1)).astype(np.int32)
-                word, n = pa.array(keys[pair & 0xFFFFFFFF]), pa.array(times.astype(np.int32))
-                tail = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([word, n], ["word", "n"]))
+
+                def listed(owners, key, n):
+                    ends = np.searchsorted(owners, np.arange(len(split) + 1)).astype(np.int32)
+                    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(key), pa.array(n.astype(np.int32))], ["key", "n"]))
+
+                tails = [listed(pair >> 32, keys[pair & 0xFFFFFFFF], times), listed(rare_grams >> 56, rare_grams & _mask(7), gram_times)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + np.arange(len(split))), part.column(0).cast(pa.int64()), pa.array(lengths), pa.array(n_head), pa.array(log_sum), pa.array(s), tail],
-                    ["uid", "doc_id", "n_tokens", "n_head", "log_sum", "score", "tail"],
+                    [pa.array(uid + np.arange(len(split))), part.column(0).cast(pa.int64()), pa.array(lengths), pa.array(n_head), pa.array(log_sum), pa.array(s), *tails],
+                    ["uid", "doc_id", "n_tokens", "n_head", "log_sum", "head_score", "tail", "tail_grams"],
                 )
                 uid += len(split)
 
-    rows = cut(docs.select("doc_id", "text").mapInArrow(run, "uid long, doc_id long, n_tokens long, n_head long, log_sum double, score double, tail array<struct<word:long,n:int>>"))
-    tail = rows.select("uid", F.explode("tail").alias("t")).select("uid", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
-    tail = tail.join(words, "word").groupBy("uid").agg(F.sum("times").alias("n_tail"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_sum"))
-    out = rows.drop("tail").join(tail, "uid", "left")
+    entries = "array<struct<key:long,n:int>>"
+    rows = cut(docs.select("doc_id", "text").mapInArrow(run, f"uid long, doc_id long, n_tokens long, n_head long, log_sum double, head_score double, tail {entries}, tail_grams {entries}"))
+
+    def tail(name):
+        return rows.select("uid", F.explode(name).alias("t")).select("uid", F.col("t.key").alias("key"), F.col("t.n").alias("times"))
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_grams // 500_000 + 1)
+    logs = scored_grams(tail("tail_grams").select("key").distinct(), grams_, order, parts)
+    word_sums = tail("tail").join(words.withColumnRenamed("word", "key"), "key").groupBy("uid").agg(F.sum("times").alias("n_tail"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_sum"))
+    gram_sums = tail("tail_grams").join(logs, "key").groupBy("uid").agg(F.sum(F.col("times") * F.col("value")).alias("gram_sum"))
+    out = rows.drop("tail", "tail_grams").join(word_sums, "uid", "left").join(gram_sums, "uid", "left")
     zero = F.lit(0)
     base = F.col("log_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
-    return out.select("doc_id", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", zero)).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+    total_score = F.col("head_score") + F.coalesce("gram_sum", F.lit(0.0))
+    return out.select("doc_id", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", zero)).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"), base.alias("base_score"), total_score.alias("score"))
 
 
 def op7_partial_matching(spark, sf_dir: str) -> DataFrame:

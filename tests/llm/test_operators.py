@@ -394,6 +394,54 @@ def test_scores(docs, empty):
     assert ppm.score(docs, empty).where("score <= 0 and n_known = 0").count() == len(corpus())
 
 
+def brute_ppm(training: list[bytes], texts: list[bytes], order: int) -> list[float]:
+    """PPM-D with exclusion, symbol by symbol, over every context."""
+    seen = defaultdict(Counter)
+    for t in training:
+        padded = bytes(order) + t
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                seen[padded[i - k : i]][padded[i]] += 1
+
+    def log(context, symbol):
+        p, excluded = 1.0, set()
+        for k in range(order, -1, -1):
+            left = {s: n for s, n in seen[context[order - k :]].items() if s not in excluded}
+            if not left:
+                continue
+            if symbol in left:
+                return np.log10(p * (left[symbol] - 0.5) / sum(left.values()))
+            p *= len(left) / (2 * sum(left.values()))
+            excluded |= set(left)
+        return np.log10(p / (256 - len(excluded)))
+
+    return [sum(log((bytes(order) + t)[i : i + order], t[i]) for i in range(len(t))) for t in texts]
+
+
+@pytest.mark.parametrize("order", [0, 2, 5])
+def test_every_context_is_kept(spark, order):
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh" if i % 5 else "abcdefghxyé") for _ in range(r.randint(2, 9))) for _ in range(60))) for i in range(150)]
+    stream = lambda t: " ".join([*t.split(), ""]).encode() + b"\0"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_ppm([stream(t) for i, t in rows if i % 5], [stream(t) for _, t in rows], order)
+    for most in (0, 300, 1 << 20):  # all by the join, some, all from the broadcast
+        got = {x["doc_id"]: x["score"] for x in ppm.score(docs, docs.where("doc_id % 5 != 0"), order=order, grams_head=most).collect()}
+        assert all(abs(got[i] - w) < 1e-6 for (i, _), w in zip(rows, want))
+
+
+def test_rare_contexts_count(spark):
+    """More contexts than the 24,576 of an order that were once kept."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(9000)]
+    rows = [(i, " ".join(texts[i * 90 : i * 90 + 90])) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stream = [" ".join([t, ""]).encode() + b"\0" for _, t in rows]
+    assert len({(bytes(5) + t)[i : i + 5] for t in stream for i in range(len(t))}) > 24_576
+    got = {x["doc_id"]: x["score"] for x in ppm.score(docs, docs).collect()}
+    assert all(abs(got[i] - w) < 1e-6 for (i, _), w in zip(rows, brute_ppm(stream, stream, 5)))
+
+
 # ---- 10: hosts
 
 
