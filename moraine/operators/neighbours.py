@@ -3,21 +3,22 @@
 The range join becomes an equi-join: space is cut into cells at least one cutoff
 wide, each row of one side is copied to the cells around it (half of them in a
 self-join), and the distance is tested on what meets. With fewer than three
-cells along an axis the copies would repeat, so then the plain theta join of the
-rows of a step is used, which is only sensible for small tables.
+cells along an axis some cells around are the same one and are taken once. A box
+of less than ``FEW_CELLS`` cells has all pairs formed, in tiles.
 """
 
 from __future__ import annotations
 
 from itertools import product
-from math import floor
+from math import floor, prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.functions.box import Box, minimum_image, square, total
 
-PLAIN_ROWS = 20_000
+TILE_ROWS = 2_048  # rows of a step in a block of ids, about
+FEW_CELLS = 27
 
 
 def cell_counts(box: Box, reach: float) -> list[int]:
@@ -46,10 +47,13 @@ def _sides(particles: DataFrame, side: str, keys: list[str]) -> DataFrame:
 def _cell_join(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[str], same: bool) -> DataFrame:
     counts = cell_counts(box, reach)
     cells = ["c" + a for a in box.axes]
-    offsets = [o for o in product((-1, 0, 1), repeat=box.dimension) if not same or o >= (0,) * box.dimension]
-    around = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, cells)]) for o in offsets])
-    left = with_cells(left, box, reach).withColumn("_o", F.explode(around))
-    left = left.withColumn("_home", F.lit(True) if not same else total([F.abs(F.col("_o")[c]) for c in cells]) == 0)
+    offsets = list(product(*[sorted({-1 % k, 0, 1 % k}) for k in counts]))
+    back = {o: tuple(-v % k for v, k in zip(o, counts)) for o in offsets}
+    if same:
+        offsets = [o for o in offsets if o <= back[o]]
+    # what is its own way back, home too, meets from both ends
+    around = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, cells)], F.lit(o == back[o]).alias("home")) for o in offsets])
+    left = with_cells(left, box, reach).withColumn("_o", F.explode(around)).withColumn("_home", F.col("_o.home"))
     left = left.withColumns({c: F.pmod(F.col(c) + F.col("_o")[c], F.lit(k)).cast("int") for c, k in zip(cells, counts)}).drop("_o")
     both = [*keys, *cells]
     met = _sides(left.drop("_home") if not same else left, "i", both).join(_sides(with_cells(right, box, reach), "j", both), both).drop(*cells)
@@ -62,16 +66,31 @@ def _cell_join(left: DataFrame, right: DataFrame, box: Box, reach: float, keys:
     return met.select(*keys, *ends)
 
 
+def _blocks(rows: DataFrame, keys: list[str]) -> int:
+    """How many blocks of ``TILE_ROWS`` rows the largest step has."""
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else rows.count()
+    return -(-(most or 0) // TILE_ROWS) or 1
+
+
 def all_pairs(particles: DataFrame, box: Box, others: DataFrame | None = None) -> DataFrame:
-    """Every pair of a step, without a cutoff: quadratic, so only for small
-    tables (at most ``PLAIN_ROWS`` rows a side)."""
+    """Every pair of a step, without a cutoff, which is quadratic. Ids are dealt
+    into blocks, and an equi-join forms each tile of two blocks by itself."""
     keys = ["step"] if "step" in particles.columns else []
-    sides = [particles] if others is None else [particles, others]
-    if any(s.limit(PLAIN_ROWS + 1).count() > PLAIN_ROWS for s in sides):
-        raise ValueError(f"pairs without a cutoff are for at most {PLAIN_ROWS} rows")
-    i, j = _sides(particles, "i", keys), _sides(particles if others is None else others, "j", keys)
-    apart = F.col("id_i") < F.col("id_j") if others is None else F.lit(True)
-    met = i.join(j, keys).where(apart) if keys else i.join(F.broadcast(j), apart)
+    if others is None:  # blocks are ranges of ids, so that tiles above the diagonal have i < j
+        n = _blocks(particles, keys)
+        bounds = sorted(set(particles.approxQuantile("id", [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+        block = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
+        left, right = particles.withColumn("_bi", block), particles.withColumn("_bj", block)
+        left = left.withColumn("_bj", F.explode(F.sequence(F.col("_bi"), F.lit(len(bounds)))))
+        right = right.withColumn("_bi", F.explode(F.sequence(F.lit(0), F.col("_bj"))))
+    else:
+        n, m = _blocks(particles, keys), _blocks(others, keys)
+        left = particles.withColumn("_bi", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("_bj", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        right = others.withColumn("_bj", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("_bi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    tile = [*keys, "_bi", "_bj"]
+    met = _sides(left, "i", tile).join(_sides(right, "j", tile), tile).drop("_bi", "_bj")
+    if others is None:
+        met = met.where(F.col("id_i") < F.col("id_j"))
     return _ordered(_distances(met, box), keys, others is None)
 
 
@@ -87,7 +106,7 @@ def neighbours(particles: DataFrame, box: Box, cutoff: float, skin: float = 0.0,
     pair, up to ``cutoff``, and joins its columns."""
     keys = ["step"] if "step" in particles.columns else []
     reach, same = cutoff + skin, others is None
-    if min(cell_counts(box, reach)) < 3:
+    if prod(cell_counts(box, reach)) < FEW_CELLS:
         pairs = all_pairs(particles, box, others)
     else:
         met = _cell_join(particles, particles if same else others, box, reach, keys, same)

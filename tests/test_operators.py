@@ -49,6 +49,37 @@ def test_cell_join_equals_all_pairs(spark, lengths, cutoff):
     assert between == {(i, j) if i % 2 == 0 else (j, i) for i, j in set(found) if (i + j) % 2}
 
 
+@pytest.mark.parametrize("lengths, cutoff", [((1.0, 9.0, 9.0), 0.9), ((2.0, 2.0, 9.0), 0.95), ((0.5, 30.0), 0.9), ((2.0, 30.0), 0.9)])
+def test_few_cells_along_an_axis(spark, lengths, cutoff):
+    box = Box(lengths)
+    p = cloud(spark, 150, box)
+    found = [(r["i"], r["j"]) for r in neighbours.neighbours(p, box, cutoff).select("i", "j").collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_pairs(p, box, cutoff)
+    between = [(r["i"], r["j"]) for r in neighbours.neighbours(p.where("species = 0"), box, cutoff, others=p.where("species = 1")).select("i", "j").collect()]
+    assert sorted(between) == sorted((i, j) if i % 2 == 0 else (j, i) for i, j in set(found) if (i + j) % 2)
+
+
+def test_all_pairs_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 7)
+    box = Box((2.0, 2.0))
+    p = cloud(spark, 60, box)
+    found = sorted((r["i"], r["j"]) for r in neighbours.all_pairs(p, box).select("i", "j").collect())
+    ids = sorted(r["id"] for r in p.collect())
+    assert found == [(i, j) for i in ids for j in ids if i < j]
+    one, two = p.where("species = 0"), p.where("species = 1")
+    found = sorted((r["i"], r["j"]) for r in neighbours.all_pairs(one, box, two).select("i", "j").collect())
+    assert found == sorted((a["id"], b["id"]) for a in one.collect() for b in two.collect())
+    steps = p.withColumn("step", F.col("id") % 3)
+    assert neighbours.all_pairs(steps, box).count() == sum(n * (n - 1) // 2 for n in [r["count"] for r in steps.groupBy("step").count().collect()])
+
+
+def test_large_tables_have_pairs(spark):
+    """More rows than the 20,000 that were once the limit."""
+    p = spark.range(20_500).select("id", F.rand(1).alias("x"), (F.rand(2) * 300).alias("y"))
+    assert neighbours.all_pairs(p, Box((1.0, 300.0))).count() == 20_500 * 20_499 // 2
+    assert neighbours.neighbours(p, Box((1.0, 300.0)), 0.6).count() > 0
+
+
 def test_cell_join_has_no_nested_loops(spark):
     box = Box((5.0, 5.0, 5.0))
     plan = neighbours.neighbours(cloud(spark, 20, box), box, 1.0)._jdf.queryExecution().executedPlan().toString()
