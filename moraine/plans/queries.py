@@ -595,9 +595,10 @@ def compact(spark, d):
 @query("permute", f"WITH {P} SELECT (id * 7) % (SELECT count(*) FROM p) AS \"index\", x FROM p WHERE (SELECT count(*) FROM p) % 7 <> 0")
 def permute(spark, d):
     p, _ = as_particles(spark, d)
-    n = p.count()
-    moves = p.select(((F.col("id") * 7) % n).alias("index"), F.col("id").alias("source"))
-    return sorting.permute(p.select(F.col("id").alias("index"), "x"), moves).where(F.lit(n % 7 != 0))
+    n = max(p.count(), 1)
+    by = next(k for k in range(7, n + 9) if math.gcd(k, n) == 1)  # 7 where that permutes
+    moves = p.select(((F.col("id") * by) % n).alias("index"), F.col("id").alias("source"))
+    return sorting.permute(p.select(F.col("id").alias("index"), "x"), moves)
 
 
 @query("top_k", "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 5")

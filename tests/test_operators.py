@@ -329,3 +329,15 @@ def test_thermostats(spark):
 
     hoover.run(p, 3, hooks={"sample": [extended]})
     assert max(seen) - min(seen) < 2e-2
+
+
+@pytest.mark.parametrize("n", [0, 1, 20, 21, 210])
+def test_permute_has_every_row(spark, tmp_path, n):
+    from moraine.plans.queries import QUERIES
+
+    rows = spark.range(n).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: (k + F.col("id")).cast("float")).alias("embedding"), F.lit(0).alias("label"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["permute"](spark, str(tmp_path)).collect()
+    assert sorted(r["index"] for r in got) == list(range(n)) and len({r["x"] for r in got}) == n
+    if n % 7:
+        assert all(r["index"] == int(r["x"] - 1) * 7 % n for r in got)
