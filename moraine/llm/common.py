@@ -35,10 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (single-machine tests) a temporary one is made.
+    Only where that is unset and the session runs on a single machine (tests) a
+    temporary one is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='moraine-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,7 +51,7 @@ _scratch: dict[str, str] = {}
 
 
 def _remove(path: str) -> None:
-    """Delete a folder of written tables when the driver ends."""
+    """Delete a folder of written tables."""
     jvm = SparkContext._jvm
     if jvm is not None:
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,7 +59,7 @@ def _remove(path: str) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """This application's own folder in the shared one."""
+    """This application's own folder in the shared one, deleted when the driver ends."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         _scratch[app] = f"{shared_dir(spark)}/moraine-{app}"
@@ -64,15 +67,66 @@ def scratch_dir(spark: SparkSession) -> str:
     return _scratch[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage
-    that survives the loss of any executor. The table is there as long as the
-    driver runs."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut in the lineage
+    that survives the loss of any executor. The table is there as long as the
+    driver runs."""
+    return _written(df)[0]
+
+
+class Tables:
+    """The written tables of one operator: all that :meth:`cut` writes is deleted
+    at the end of the ``with`` block, so that only what the operator's result
+    still reads (written by the function :func:`cut`) takes room after it."""
+
+    def __enter__(self) -> Tables:
+        self.paths: dict[int, str] = {}
+        return self
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            if (path := self.paths.pop(id(t), None)) is not None:
+                _remove(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths.values():
+            _remove(path)
+
+
+#: Keys with more than one part in ``HOT_SHARE`` of all rows are hot: there are fewer than ``HOT_SHARE`` of them, whatever the data.
+HOT_SHARE = 4096
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which has one row for each key
+    and in ``count`` how many of ``rows`` have it. Rows of hot keys, which would
+    all meet in one task, are joined by a broadcast of less than ``HOT_SHARE``
+    rows; all others by a shuffle. Both tables should be written ones."""
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_SHARE > total
+    few = F.broadcast(per_key.where(hot).drop(count))
+    rest = rows.join(F.broadcast(per_key.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(per_key.where(~hot).drop(count), key))
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table with the hint to broadcast it if it has at most ``most``
+    rows; without the hint otherwise."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def crc_mod(doc_id: str | Column, m: int) -> Column:

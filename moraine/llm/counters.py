@@ -1,8 +1,10 @@
 """Counts of hashed values over a whole table in an array of fixed size.
 
-Each task counts into an array of its own and sends its compressed blocks, whose
-sums are gathered on the driver: ``COUNTERS`` numbers, whatever the input.
-Values that share a counter add up, so a count is never too small.
+Each task counts into an array of its own and sends its compressed blocks. They
+are added up in two levels, first those of ``FAN`` tasks at a time, so that no
+task reads the blocks of all others; the sums are gathered on the driver:
+``COUNTERS`` numbers, whatever the input. Values that share a counter add up, so
+a count is never too small.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COUNTERS, BLOCKS = 1 << 22, 64
+COUNTERS, BLOCKS, FAN = 1 << 22, 64, 64
 
 
 def place(values: np.ndarray) -> np.ndarray:
@@ -30,10 +33,16 @@ def packed(values: np.ndarray):
             yield i, zlib.compress(part.tobytes(), 1)
 
 
+def unpacked(data: bytes) -> np.ndarray:
+    """A block's numbers: of 4 bytes from a task, of 8 bytes once added up."""
+    raw = zlib.decompress(data)
+    return np.frombuffer(raw, "<u4" if len(raw) == 4 * COUNTERS // BLOCKS else "<i8").astype(np.int64)
+
+
 def block_rows(values: np.ndarray):
-    made = list(packed(values))
+    made, part = list(packed(values)), TaskContext.get().partitionId() // FAN
     if made:
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], ["block", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.int32()), pa.array([part] * len(made), pa.int32()), pa.array([x for _, x in made], pa.binary())], ["block", "part", "data"])
 
 
 def counted(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterable[np.ndarray]]) -> np.ndarray:
@@ -62,14 +71,15 @@ def counted(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterable[np.ndar
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(data), "<u4").astype("<i8")
+            for block, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                x = unpacked(data)
                 held[block] = held[block] + x if block in held else x
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], ["block", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([0] * len(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], ["block", "part", "data"])
 
-    blocks = rows.mapInArrow(run, "block int, data binary")
+    ddl = "block int, part int, data binary"
+    sums = rows.mapInArrow(run, ddl).repartition("block", "part").mapInArrow(add, ddl).repartition("block").mapInArrow(add, ddl)
     out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
-    for r in blocks.repartition("block", F.pmod(F.xxhash64("data"), F.lit(4))).mapInArrow(add, "block int, data binary").collect():
-        out[r["block"]] += np.frombuffer(zlib.decompress(bytes(r["data"])), "<i8")
+    for r in sums.collect():  # one row a block
+        out[r["block"]] += unpacked(bytes(r["data"]))
     return out.reshape(-1)

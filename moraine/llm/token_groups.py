@@ -23,9 +23,16 @@ The order of tokens comes from counts of all tokens in a fixed table of hashed
 counters, so that what many documents share is never used to find candidates
 unless a set has little else. It only affects speed, not results.
 
-Bounds: broadcasts are the table of counters and bit maps of wanted sets (fixed
-sizes); groups are opened in chunks of about ``CHUNK`` tokens of members against
-as many of queries; a bit map's false positives only cost time.
+Tokens are never written: only slim rows (digests and sizes) are, and the tokens
+of sets that a step wants are made again from the texts that a bit map of wanted
+documents marks. Intermediate tables are deleted as soon as nothing reads them.
+
+Bounds: broadcasts are the table of counters, bit maps of wanted sets (fixed
+sizes) and rows of hot keys (fewer than 4,096); groups are opened in chunks of
+about ``CHUNK`` tokens of members against as many of queries; a token's row that
+is expected to list more than ``ROW`` groups is dealt into blocks of about that
+many, and each pair of blocks is a row of its own; tasks of the matrix hold about
+``PART`` entries. A bit map's false positives only cost time.
 
 Edge cases: null and empty texts and texts of white space have no tokens and
 link with nothing; with fewer words than ``words`` the whole sequence is the one
@@ -40,12 +47,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from moraine.llm.common import cut, encoded, table
+from moraine.llm.common import Tables, cut, encoded, join_hot, ranges, table
 from moraine.llm.components import components
 from moraine.llm.counters import counted, place
 from moraine.llm.words import distinct, mix, shingle_hashes, word_hashes
@@ -56,7 +61,8 @@ ROUNDS, MINIMA = 3, 3
 MAP_BITS = 1 << 24
 NO_ID = -(2**63)  # stands for a null id meanwhile
 CHUNK = 500_000  # tokens of a chunk
-_SETS = "rid long, doc_id long, text_key binary, n long, key binary, sides array<long>, tokens binary"
+ROW, PART = 20_000, 1_000_000  # groups of a token's block; entries of the matrix in a task
+_SETS = "doc_id long, text_key binary, n long, key binary, sides array<long>"
 
 
 def packed_tokens(tokens: np.ndarray) -> bytes:
@@ -69,41 +75,50 @@ def unpacked_tokens(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def token_lists(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """The sorted distinct tokens of each text."""
+    runs, counts = shingle_hashes(*word_hashes(texts), words)
+    return distinct(runs >> np.uint64(16), counts)
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 128):
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row per document: rid (unique), doc_id, text_key (md5), n (distinct
-    tokens), key (of the token set), sides (what decides the group of each
-    round), tokens."""
+    """One row per document: doc_id, text_key (md5), n (distinct tokens), key
+    (of the token set), sides (what decides the group of each round)."""
 
     def run(batches):
-        rid = TaskContext.get().partitionId() << 40
         classes = ROUNDS * MINIMA
         for batch in batches:
-            texts_of_batch = batch.column(1)
-            for at in range(0, batch.num_rows, 128):
-                texts = encoded(texts_of_batch.slice(at, 128))
-                rows = []
-                runs, counts = shingle_hashes(*word_hashes(texts), words)
-                for own in distinct(runs >> np.uint64(16), counts):
+            for part in _slices(batch):
+                rows, texts = [], encoded(part.column(1))
+                for text, own in zip(texts, token_lists(texts, words)):
                     least = np.full(classes, -1, np.int64).view(np.uint64)
                     least[(own[::-1] % np.uint64(classes)).astype(np.int64)] = own[::-1]
                     sides = [int(mix(least[r * MINIMA : (r + 1) * MINIMA]).sum().view(np.int64)) for r in range(ROUNDS)]
-                    data = packed_tokens(own)
-                    rows.append((rid, len(own), hashlib.blake2b(data, digest_size=16).digest(), sides, data))
-                    rid += 1
-                r, n, key, sides, data = zip(*rows)
+                    rows.append((hashlib.md5(text).digest(), len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), sides))
+                text_key, n, key, sides = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r), batch.column(0).slice(at, 128).cast(pa.int64()), pa.array([hashlib.md5(t).digest() for t in texts]), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sides, pa.list_(pa.int64())), pa.array(data, pa.binary())],
-                    ["rid", "doc_id", "text_key", "n", "key", "sides", "tokens"],
+                    [part.column(0).cast(pa.int64()), pa.array(text_key, pa.binary()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sides, pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "n", "key", "sides"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SETS)
 
 
-def token_rarity(sets: DataFrame) -> np.ndarray:
+def token_rarity(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, float]:
     """uint8 per counter: eight steps for each doubling of the count of the
-    tokens that fall there."""
-    got = counted(sets.select("tokens"), lambda b: map(unpacked_tokens, b.column(0).to_pylist()))
-    return np.minimum(8 * np.log2(got + 1.0), 255).astype(np.uint8)
+    tokens that fall there; and the mean of the counters."""
+
+    def values(batch):
+        for part in _slices(batch):
+            yield from token_lists(encoded(part.column(0)), words)
+
+    got = counted(docs.select("text"), values)
+    return np.minimum(8 * np.log2(got + 1.0), 255).astype(np.uint8), float(got.mean())
 
 
 def marks(rows: DataFrame, *keys: str) -> DataFrame:
@@ -122,11 +137,28 @@ def with_mark(rows: DataFrame, bits: DataFrame, *keys: str) -> DataFrame:
     return known.join(F.broadcast(bits), "_m_word", "left").withColumn("_m_marked", marked).drop("_m_hash", "_m_word", "_m_bits")
 
 
-def with_tokens(wanted: DataFrame, sets: DataFrame) -> DataFrame:
-    """``wanted`` (has a column sid) with the tokens of each set; only sets that
-    the bit map of wanted ones has are shuffled."""
-    some = with_mark(sets.select(F.col("rid").alias("sid"), "tokens"), cut(marks(wanted, "sid")), "sid").where("_m_marked").drop("_m_marked")
-    return wanted.join(some, "sid")
+def text_rows(docs: DataFrame) -> DataFrame:
+    """text_key (md5), doc_id and text of each document."""
+    return docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def tokens_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """text_key and tokens of the documents of ``wanted`` (text_key, doc_id), and
+    of a few others that the bit map takes for them; one row per text. Only
+    these are tokenized and shuffled, each text at most once by a task."""
+
+    def run(batches):
+        done = set()
+        for batch in batches:
+            for part in _slices(batch):
+                keys = part.column(0).to_pylist()
+                own = [i for i, k in enumerate(keys) if k not in done and not done.add(k)]
+                if own:
+                    texts = encoded(part.column(1).take(pa.array(own)))
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.binary()), pa.array([packed_tokens(x) for x in token_lists(texts, words)], pa.binary())], ["text_key", "tokens"])
+
+    marked = with_mark(text_rows(docs), wanted, "text_key", "doc_id").where("_m_marked").select("text_key", "text")
+    return marked.mapInArrow(run, "text_key binary, tokens binary").groupBy("text_key").agg(F.first("tokens").alias("tokens"))
 
 
 class Index:
@@ -188,23 +220,25 @@ def chunk_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
-def _grouped(ids: DataFrame, sets: DataFrame, side: int, percent: int) -> DataFrame:
-    """Links (a, b) of the sets of ``ids`` (sid, sides, n) that meet in the
-    round's groups, to the first one of each component there."""
-    own = ids.select("sid", F.col("sides")[side].alias("side"), "n")
-    sizes = own.groupBy("side").agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1").drop("m")
+def grouped(ids: DataFrame, docs: DataFrame, words: int, percent: int, t: Tables) -> DataFrame:
+    """Links (a, b) of the sets of ``ids`` that meet in the groups of any round,
+    to the first one of each component there."""
+    own = ids.select("sid", "text_key", "doc_id", F.posexplode("sides").alias("round", "side"), "n")
+    sizes = own.groupBy("round", "side").agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1").drop("m")
     chunk = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / CHUNK)).cast("int")
-    wanted = cut(own.join(sizes, "side").select("sid", "side", chunk.alias("chunk")))
+    wanted = t.cut(own.join(sizes, ["round", "side"]).select("sid", "text_key", "doc_id", "round", "side", chunk.alias("chunk")))
+    tokens = tokens_of(docs, t.cut(marks(wanted, "text_key", "doc_id")), words)
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("sid", ignore_index=True)
-        root = chunk_components([unpacked_tokens(t) for t in pdf["tokens"]], percent)
+        root = chunk_components([unpacked_tokens(x) for x in pdf["tokens"]], percent)
         sid, moved = pdf["sid"].to_numpy(), root != np.arange(len(pdf))
         return pd.DataFrame({"a": sid[moved], "b": sid[root[moved]]})
 
-    return cut(with_tokens(wanted, sets).groupBy("side", "chunk").applyInPandas(run, "a long, b long"))
+    met = wanted.drop("doc_id").join(tokens, "text_key").drop("text_key")
+    return t.cut(met.groupBy("round", "side", "chunk").applyInPandas(run, "a long, b long"))
 
 
 def first_tokens(tokens: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
@@ -260,24 +294,53 @@ def row_pairs(token: np.ndarray, g: np.ndarray, low: np.ndarray, high: np.ndarra
         yield _distinct_pairs(np.minimum(i, j), np.maximum(i, j))
 
 
-def candidates(sets: DataFrame, groups: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+def in_blocks(token: np.ndarray, g: np.ndarray, rarity: np.ndarray, load: float) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, token) of the rows in which each entry (token, group) is listed.
+    Of a token that about ``ROW`` groups or less are expected to have, that is
+    its own row. Else the groups are dealt into blocks by hash, and each pair of
+    blocks is a row, so that any two groups meet in one row at least."""
+    expected = 2.0 ** (rarity[place(token)] / 8) - load  # what else falls into the counter is taken off
+    blocks = np.ceil(np.maximum(expected, 1) / ROW).astype(np.int64)
+    if (blocks == 1).all():
+        return np.arange(len(token)), token
+    entry = np.repeat(np.arange(len(token)), np.maximum(blocks - 1, 1))
+    own = (mix(g.view(np.uint64)).astype(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)[entry]
+    other = ranges(np.maximum(blocks - 1, 1))
+    other += other >= own
+    split = blocks[entry] > 1
+    pair = (np.minimum(own, other) << 24) + np.maximum(own, other)
+    return entry, np.where(split, mix(token[entry] + mix(pair.view(np.uint64))) >> np.uint64(16), token[entry])
+
+
+def candidates(docs: DataFrame, groups: DataFrame, rarity: np.ndarray, load: float, words: int, percent: int) -> DataFrame:
     """Pairs (g1 < g2) of groups that share a first token, with sizes and places
-    that allow a link; ``groups``: (sid, g)."""
-    shared = sets.sparkSession.sparkContext.broadcast(rarity)
+    that allow a link; ``groups``: (text_key, n, g)."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(rarity)
+    wide = [("text_key", pa.binary()), ("first", pa.binary())]
 
     def firsts(batches):
-        for b in batches:
-            rows = [packed_tokens(first_tokens(unpacked_tokens(t), shared.value, percent)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["sid", "n", "first"])
-
-    first = sets.where("n > 0").select(F.col("rid").alias("sid"), "n", "tokens").mapInArrow(firsts, "sid long, n long, first binary").join(groups.select("sid", "g"), "sid")
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        done = set()
+        for batch in batches:
+            for part in _slices(batch):
+                keys = part.column(0).to_pylist()
+                own = [i for i, k in enumerate(keys) if k not in done and not done.add(k)]
+                if own:
+                    lists = token_lists(encoded(part.column(2).take(pa.array(own))), words)
+                    rows = [packed_tokens(first_tokens(x, shared.value, percent)) for x in lists]
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.binary()), pa.array(rows, pa.binary())], schema=pa.schema(wide))
+
+    first = text_rows(docs).mapInArrow(firsts, "text_key binary, first binary").join(groups.where("n > 0").select("text_key", "n", "g"), "text_key").select("n", "first", "g")
+    entries = groups.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries) // PART + 1)
 
     def packed(batches):
         held, size = [], 0
 
         def emit():
             token, g, n, left = (np.concatenate(x) for x in zip(*held))
+            entry, token = in_blocks(token, g, shared.value, load)
+            g, n, left = g[entry], n[entry], left[entry]
             order = np.lexsort((n, g, token))
             token, g, n, left = token[order], g[order], n[order], left[order]
             new = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (g[1:] != g[:-1])])
@@ -297,7 +360,7 @@ def candidates(sets: DataFrame, groups: DataFrame, rarity: np.ndarray, percent:
             return _planes(token.astype("<u8"))[: 6 * len(token)]
 
         for b in batches:
-            for n, data, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for n, data, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 token = unpacked_tokens(data)
                 held.append((token, np.full(len(token), g, np.int64), np.full(len(token), n, np.int64), n - np.arange(len(token))))
                 size += len(token)
@@ -313,7 +376,8 @@ def candidates(sets: DataFrame, groups: DataFrame, rarity: np.ndarray, percent:
             for p, *rest in zip(*(c.to_pylist() for c in b.columns)):
                 held.setdefault(p, []).append(rest)
         kinds = (("<u8", 6), ("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4))
-        for rows in held.values():
+        while held:
+            rows = held.popitem()[1]
             token, g, low, more, left = (np.concatenate([_from_planes(r[i], *k) for r in rows]) for i, k in enumerate(kinds))
             low = low.astype(np.int64)
             for x, y in row_pairs(token, g, low, low + more, left.astype(np.int64), percent):
@@ -323,22 +387,24 @@ def candidates(sets: DataFrame, groups: DataFrame, rarity: np.ndarray, percent:
     return rows.repartition(parts, "part").mapInArrow(pairs, "g1 long, g2 long").distinct()
 
 
-def opened(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def opened(pairs: DataFrame, groups: DataFrame, docs: DataFrame, words: int, percent: int, t: Tables) -> DataFrame:
     """Links (a, b) between groups of ``pairs`` of which two sets are linked."""
     sizes = groups.groupBy("g").agg(F.sum("n").alias("m"))
-    groups = groups.select("sid", "g")
+    groups = groups.select("sid", "text_key", "doc_id", "g")
     sided = pairs.join(sizes.select(F.col("g").alias("g1"), F.col("m").alias("m1")), "g1").join(sizes.select(F.col("g").alias("g2"), F.col("m").alias("m2")), "g2")
     first_larger = F.col("m1") >= F.col("m2")
-    sided = sided.select(
+    sided = t.cut(sided.select(
         F.when(first_larger, F.col("g1")).otherwise(F.col("g2")).alias("big"), F.when(first_larger, F.col("g2")).otherwise(F.col("g1")).alias("small"),
         F.ceil(F.greatest("m1", "m2") / CHUNK).cast("int").alias("chunks"), F.least("m1", "m2").alias("m"),
-    )
+    ))
     load = sided.groupBy("big").agg(F.max("chunks").alias("chunks"), F.ceil(F.sum("m") / CHUNK).cast("int").alias("salts"))
+    who = ["sid", "text_key", "doc_id", "big"]
     members = load.join(groups.withColumnRenamed("g", "big"), "big").select(
-        "sid", "big", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("small"))
+        *who, F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("small"))
     asking = sided.select("big", "small").join(load, "big").join(groups.withColumnRenamed("g", "small"), "small").select(
-        "sid", "big", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), "small")
-    wanted = cut(members.unionByName(asking))
+        *who, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), "small")
+    wanted = t.cut(members.unionByName(asking))
+    tokens = tokens_of(docs, t.cut(marks(wanted, "text_key", "doc_id")), words)
 
     def run(pdf):
         import pandas as pd
@@ -352,40 +418,42 @@ def opened(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -
                 linked.add(g)
         return pd.DataFrame({"a": [int(pdf["big"].iloc[0])] * len(linked), "b": sorted(linked)}, dtype="int64")
 
-    return with_tokens(wanted, sets).groupBy("big", "chunk", "salt").applyInPandas(run, "a long, b long")
+    return wanted.drop("sid", "doc_id").join(tokens, "text_key").groupBy("big", "chunk", "salt").applyInPandas(run, "a long, b long")
 
 
-def set_components(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(key, sid) of the distinct sets and (sid, root) of their components."""
-    ids = cut(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("sid"), F.first("sides").alias("sides"), F.first("n").alias("n")))
-    links = _grouped(ids, sets, 0, percent)
-    for side in range(1, ROUNDS):
-        links = links.union(_grouped(ids, sets, side, percent))
+def set_components(sets: DataFrame, docs: DataFrame, words: int, percent: int, t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets (key, sid, least, m: what has the smallest id, and how
+    many documents there are of it) and (sid, root) of their components."""
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    ids = sets.where("n > 0").groupBy("key").agg(F.min(least).alias("least"), F.count("*").alias("m"), F.first("sides").alias("sides"), F.first("n").alias("n"))
+    ids = t.cut(ids.select(F.monotonically_increasing_id().alias("sid"), "key", "least", "m", "sides", "n", "least.doc_id", "least.text_key"))
+    links = grouped(ids, docs, words, percent, t)
     found = components(links)
-    groups = cut(ids.select("sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("g")))
-    pairs = cut(candidates(sets, groups, token_rarity(sets), percent))
+    groups = t.cut(ids.select("sid", "n", "text_key", "doc_id").join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "text_key", "doc_id", F.coalesce("root", "sid").alias("g")))
+    rarity, load = token_rarity(docs, words)
+    pairs = t.cut(candidates(docs, groups, rarity, load, words, percent))
     roots = groups.select("sid", F.col("g").alias("root"))
     if not pairs.isEmpty():
-        links = components(opened(pairs, groups, sets, percent))
+        links = components(opened(pairs, groups, docs, words, percent, t))
         roots = groups.join(links.select(F.col("node").alias("g"), "root"), "g", "left").select("sid", F.coalesce("root", "g").alias("root"))
-    return ids.select("key", "sid"), cut(roots)
+    return ids.select("key", "sid", "least", "m"), roots
 
 
 def component_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row per document: rid, doc_id, text_key, n, and of its component (null
+    """A row per document: doc_id, text_key, n, and of its component (null
     without tokens) first_id, the smallest id, and first_text, the text_key of a
     document that has it."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
-    sets = cut(token_sets(docs, words))
-    ids, roots = set_components(sets, percent)
-    by_key = ids.join(roots, "sid").select("key", "root")
-    rows = sets.select("rid", "doc_id", "text_key", "n", "key")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    own = rows.groupBy("key").agg(F.min(order).alias("least"))
-    least = own.join(by_key, "key").groupBy("root").agg(F.min("least").alias("least"))
-    firsts = cut(by_key.join(least, "root").select("key", F.col("least.doc_id").alias("first_id"), F.col("least.text_key").alias("first_text")))
-    return rows.join(firsts, "key", "left").drop("key")
+    with Tables() as t:
+        sets = t.cut(token_sets(docs, words))
+        ids, roots = set_components(sets, docs, words, percent, t)
+        named = t.cut(ids.join(roots, "sid").drop("sid"))
+        least = t.cut(named.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("sets")))
+        firsts = t.cut(join_hot(named.drop("least"), least, "root", "sets").select("key", "m", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_text")))
+        rows = sets.select("doc_id", "text_key", "n", "key")
+        none = rows.where("n = 0").select("doc_id", "text_key", "n", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("binary").alias("first_text"))
+        return cut(join_hot(rows.where("n > 0"), firsts, "key", "m").drop("key").unionByName(none))
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -402,14 +470,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, percent: int
     # what is no component's first document, and first documents that are repeated
     lost = (F.col("_m_id") != first) | (F.col("text_key") != F.col("first_text"))
     told = cut(rows.groupBy("_m_id", F.col("text_key").alias("_m_text")).agg(F.max(lost).alias("_m_lost"), F.count("*").alias("_m_rows")).where("_m_lost or _m_rows > 1").drop("_m_rows"))
-    mine = docs.withColumns({"_m_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_m_text": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
+    # a row travels as one value, so that its names clash with nothing here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_m_row")
+    mine = docs.select(row, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_m_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_m_text"))
     marked = with_mark(mine, cut(marks(told, "_m_id", "_m_text")), "_m_id", "_m_text")
     # only rows that may be told of are shuffled
-    met = marked.where("_m_marked").join(told, ["_m_id", "_m_text"], "left").where("not coalesce(_m_lost, false)")
-    once = F.row_number().over(Window.partitionBy("_m_id", "_m_text").orderBy("_m_id"))
-    met = met.withColumn("_m_n", once).where("_m_n = 1 or _m_lost is null")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return marked.where("not _m_marked").select(*columns).union(met.select(*columns))
+    met = marked.where("_m_marked").join(told, ["_m_id", "_m_text"], "left")
+    repeated = met.where("not _m_lost").groupBy("_m_id", "_m_text").agg(F.first("_m_row").alias("_m_row"))
+    kept = marked.where("not _m_marked").select("_m_row").union(met.where("_m_lost is null").select("_m_row")).union(repeated.select("_m_row"))
+    return kept.select("_m_row.*")
 
 
 def op6_token_group_join(spark, sf_dir: str) -> DataFrame:
