@@ -1,111 +1,135 @@
-"""Contiguous shards of near-equal bytes from global prefix sums.
-
-Documents are ordered by (md5 of the text, doc_id), so that equal texts are
-neighbours and the order says nothing about the source. The range-partitioned
-slim rows (no texts) are written once; each partition then reports its totals,
-the driver adds up one summary per *partition* (not per row), and every
-partition turns its own prefix sums into global ones. Cut points are multiples
-of total/shards; a unit (a document, or all equal texts together) belongs to the
-shard that holds its middle. Equal texts stay in one shard as long as together
-they are at most ``whole`` of a shard's target; larger groups (a hot group may
-hold a third of all rows) are cut like any other rows. So each shard is within
-one unit of its target.
+"""Contiguous shards of equal bytes from global prefix sums.
+
+Documents are ordered by the md5 of their text, so that equal texts are
+neighbours and the order says nothing about the source. One pass over the slim
+rows (no texts), range-partitioned and sorted, gives every row its prefix sum
+within its partition; each partition reports one row of totals, the driver adds
+these up, and the global prefix sum of a row is its partition's base plus its
+own. Shards are cut from the order at targets that make all of them equal.
+
+Equal texts stay together. They count from the start of their first row, so they
+all lie in one shard, and a shard exceeds its target by less than one such group.
+Texts that have more than ``1 / LARGE`` of a shard's target, alone or with all
+their copies (there are fewer than ``shards * LARGE`` of them, whatever the
+data), would make shards uneven: they are given to the shard with the fewest
+bytes of such texts, largest first, and the targets of the others' prefix sums
+are less by as much. Only copies of more than half a shard's target together
+can't stay whole if sizes are to be near equal: they are placed one by one.
 
 Edge cases: a null text has no bytes, crc 0 and forms a group of its own with
-the empty text; a null doc_id sorts first; repeated rows keep separate places; an empty
-table gives no rows; other columns are ignored.
+the empty text; null and repeated ids and repeated rows keep separate places; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import cut, table
-
-SHARDS, OVERHEAD, WHOLE = 40, 16, 0.05
-NO_ID = -(2**63)  # stands for a null doc_id meanwhile
-
-
-def _runs(keys: np.ndarray) -> np.ndarray:
-    """Index of the first row of each run of equal keys."""
-    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-
-
-def _sorted(pdf):
-    return pdf.sort_values(["key", "doc_id", "size"], kind="stable", ignore_index=True)
-
-
-def _summary(pdf):
-    import pandas as pd
-
-    pdf = _sorted(pdf)
-    keys, size = pdf["key"].to_numpy(), pdf["size"].to_numpy()
-    starts = _runs(keys)
-    by_run = np.add.reduceat(size, starts)
-    return pd.DataFrame({"part": pdf["part"].iloc[:1], "rows": [len(pdf)], "bytes": [size.sum()], "first": [keys[0]], "first_bytes": [by_run[0]], "last": [keys[-1]], "last_bytes": [by_run[-1]]})
-
-
-def _bases(parts: list) -> dict[int, tuple]:
-    """part -> (bytes before, rows before, bytes of the first key before, of the
-    first key after, of the last key before, of the last key after)."""
-    out, b, r = {}, 0, 0
-    for p in parts:
-        out[p["part"]] = [b, r, 0, 0, 0, 0]
-        b, r = b + p["bytes"], r + p["rows"]
-    run = 0  # bytes of the key that the previous parts end with
-    for q, p in zip([None, *parts], parts):
-        same = q is not None and q["last"] == p["first"]
-        out[p["part"]][2] = run if same else 0
-        run = (run if same and p["first"] == p["last"] else 0) + p["last_bytes"]
-    after = 0  # bytes of the key that the following parts start with
-    for p, q in reversed(list(zip(parts, [*parts[1:], None]))):
-        follows = after if q is not None and q["first"] == p["last"] else 0
-        out[p["part"]][5] = follows
-        if p["first"] == p["last"]:
-            out[p["part"]][3], out[p["part"]][4] = follows, out[p["part"]][2]
-        after = p["first_bytes"] + (follows if p["first"] == p["last"] else 0)
-    return {k: tuple(v) for k, v in out.items()}
-
-
-def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, whole: float = WHOLE) -> DataFrame:
+from moraine.llm.common import Tables, cut, table
+
+SHARDS, OVERHEAD, LARGE = 40, 16, 40
+_ROW = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("text_crc32", pa.int64()), ("group", pa.int32()), ("start", pa.int64()), ("place", pa.int64())])
+_DDL = "part int, doc_id long, size long, text_crc32 long, group int, start long, place long"
+TOTALS = -2  # of a row that holds its partition's totals; other rows: -1 or the number of a large group
+
+
+def dealt(large: list[int], shards: int) -> list[int]:
+    """The shard of each large group (sizes falling): always that with the least."""
+    heap = [(0, s) for s in range(shards)]
+    out = []
+    for n in large:
+        load, s = heapq.heappop(heap)
+        out.append(s)
+        heapq.heappush(heap, (load + n, s))
+    return out
+
+
+def prefix_sums(rows: DataFrame) -> DataFrame:
+    """For sorted rows (key, doc_id, size, text_crc32, group): start, the bytes
+    before the first row of the same key in its partition, and place, the number
+    of rows before it; rows of large groups have places of their own and no
+    bytes. The last row of a partition holds its totals."""
+
+    def run(batches):
+        part, bytes_, places, key, start, seen = TaskContext.get().partitionId(), 0, 0, None, 0, 0
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            keys, size, group = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(), b.column(4).to_numpy()
+            plain = group < 0
+            counted = np.where(plain, size, 0)
+            before = bytes_ + np.cumsum(counted) - counted
+            new = np.r_[keys[0] != key, keys[1:] != keys[:-1]]
+            first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            starts = np.where(first < 0, start, before[np.maximum(first, 0)])
+            rank = np.where(plain, places + np.cumsum(plain) - plain, seen + np.arange(n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), b.column(1), b.column(2), b.column(3), b.column(4), pa.array(starts), pa.array(rank)], schema=_ROW)
+            bytes_, places, seen, key, start = bytes_ + int(counted.sum()), places + int(plain.sum()), seen + n, keys[-1], int(starts[-1])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, None, bytes_, seen, TOTALS, 0, places), _ROW.types)], schema=_ROW)
+
+    return rows.mapInArrow(run, _DDL)
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"),
-        (F.octet_length(text) + overhead).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(text.cast("binary")).alias("key"),
-    )
-    ranged = cut(slim.repartitionByRange("key", "doc_id").withColumn("part", F.spark_partition_id()))
-    parts = [r.asDict() for r in ranged.groupBy("part").applyInPandas(_summary, "part int, rows long, bytes long, first string, first_bytes long, last string, last_bytes long").sort("part").collect()]
-    bases, total = _bases(parts), sum(p["bytes"] for p in parts)
-    target = max(total, 1) / shards
-
-    def place(pdf):
-        import pandas as pd
-
-        pdf = _sorted(pdf)
-        before, row, first_before, first_after, last_before, last_after = bases[int(pdf["part"].iloc[0])]
-        size, starts = pdf["size"].to_numpy(), _runs(pdf["key"].to_numpy())
-        by_run = np.add.reduceat(size, starts)
-        run_start, run_size = before + np.cumsum(by_run) - by_run, by_run.copy()
-        run_start[0], run_size[0] = run_start[0] - first_before, run_size[0] + first_before + first_after
-        if len(starts) > 1:
-            run_size[-1] += last_after
-        counts = np.diff(np.r_[starts, len(size)])
-        kept = np.repeat(run_size <= whole * target, counts)
-        start = np.where(kept, np.repeat(run_start, counts), before + np.cumsum(size) - size)
-        unit = np.where(kept, np.repeat(run_size, counts), size)
-        shard = np.minimum(((2 * start + unit) * shards) // (2 * total), shards - 1)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "size": size, "text_crc32": pdf["text_crc32"], "shard": shard.astype("int32"), "place": row + np.arange(len(size))})
-
-    placed = cut(ranged.groupBy("part").applyInPandas(place, "doc_id long, size long, text_crc32 long, shard int, place long"))
-    first = placed.groupBy("shard").agg(F.min("place").alias("first"))  # at most `shards` rows
-    return placed.join(F.broadcast(first), "shard").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"))
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    with Tables() as t:
+        slim = t.cut(docs.select(F.md5(text).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + overhead).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")))
+        total = slim.agg(F.sum("size")).first()[0] or 0
+        target = total / shards
+        # fewer than shards * LARGE rows
+        large = slim.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).where(F.col("bytes") * LARGE > target).collect()
+        large = sorted(large, key=lambda r: (-r["bytes"], r["key"]))
+        cut_up = [r["key"] for r in large if 2 * r["bytes"] > target and r["rows"] > 1]
+        whole = [r for r in large if 2 * r["bytes"] <= target or r["rows"] == 1]
+        shard_of = dealt([r["bytes"] for r in whole], shards)
+        groups = spark.createDataFrame([(r["key"], i) for i, r in enumerate(whole)] + [(k, -1) for k in cut_up], "key string, group int")
+        # rows of a hot text are spread over the ranges; all others of a text lie in one range
+        tie = F.when(F.col("group").isNull(), F.lit(0)).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id()))
+        hot = F.col("group") == -1
+        mine = slim.join(F.broadcast(groups), "key", "left").withColumn("tie", tie)
+        # each row of a text that is cut up counts for itself
+        mine = mine.select(F.when(hot, F.concat("key", F.lit(" "), F.hex("tie"))).otherwise(F.col("key")).alias("key"), "doc_id", "size", "text_crc32", F.coalesce("group", F.lit(-1)).alias("group"), "tie")
+        ranged = mine.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id").drop("tie")
+        summed = cut(prefix_sums(ranged))
+
+    totals = summed.where(F.col("group") == TOTALS).select("part", F.col("size").alias("bytes"), F.col("text_crc32").alias("seen"), F.col("place").alias("places")).sort("part").collect()  # one row a partition
+    bases, at = [], (0, 0, 0)
+    for r in totals:
+        bases.append((r["part"], *at))
+        at = (at[0] + r["bytes"], at[1] + r["places"], at[2] + r["seen"])
+    given = [0] * shards
+    for r, s in zip(whole, shard_of):
+        given[s] += r["bytes"]
+    room = np.maximum(target - np.array(given, float), 0)
+    ends = np.cumsum(room) * (at[0] / max(room.sum(), 1e-9))  # prefix sums at which the next shard begins
+    reached = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends[:-1]]), lambda e: e <= F.col("global"))) if shards > 1 else F.lit(0)
+    shards_ = spark.createDataFrame([(i, s) for i, s in enumerate(shard_of)], "group int, given int")
+    bases = spark.createDataFrame(bases, "part int, bytes_before long, places_before long, seen_before long")
+    placed = summed.where(F.col("group") != TOTALS).join(F.broadcast(bases), "part").withColumn("global", F.col("start") + F.col("bytes_before"))
+    placed = placed.join(F.broadcast(shards_), "group", "left").select(
+        "doc_id", "size", "text_crc32", "group", F.coalesce("given", reached).cast("int").alias("shard"),
+        (F.col("place") + F.when(F.col("group") < 0, F.col("places_before")).otherwise(F.col("seen_before"))).alias("place"),
+    )
+    # a stretch: the plain rows of a shard, or a large group; fewer than shards * (LARGE + 1)
+    stretches = placed.groupBy("shard", "group").agg(F.min("place").alias("first"), F.count("*").alias("rows")).sort("shard", "group").collect()
+    firsts, filled = [], [0] * shards
+    for r in stretches:
+        firsts.append((r["shard"], r["group"], filled[r["shard"]] - r["first"]))
+        filled[r["shard"]] += r["rows"]
+    firsts = spark.createDataFrame(firsts, "shard int, group int, shift long")
+    return placed.join(F.broadcast(firsts), ["shard", "group"]).select("doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("shift")).alias("slot"))
 
 
 def op4_prefix_shards(spark, sf_dir: str) -> DataFrame:
