@@ -5,24 +5,32 @@ share ``share`` times all words; a target stops at ``limit`` times its source's
 size and the excess is shared again by weight.
 
 Draw: a source's documents fall into hash blocks (equal in expectation, at most
-``max_blocks`` a source), so a block is both small and a random set. One pass
-over a source's permuted blocks is an epoch; full epochs take every block, the
-last one takes blocks in permuted order until the quota is reached, and the
-block at the border gives its documents in hash order as long as they fit
-better with than without. Which output shard gets how many blocks of which source comes from
-a multivariate-hypergeometric splitting tree: the vector of exact block quotas
-is split between the left and right half of the shards, again and again. A
-shard's own blocks are disjoint stretches of the permuted order, and the
-documents of a shard are shuffled locally by hash.
-
-Scale: sizes are aggregated by (source, block) before anything else; the driver
-sees one row per source; windows run over a source's blocks (at most
-``max_blocks``) and over the documents of border blocks only. All draws come
-from hashes and a seed, so reruns agree.
-
-Edge cases: a null text has no words; documents without words are taken in full
-epochs as size 0; a source of size 0 has target 0; an empty table gives no rows;
-equal rows share one fate; other columns are kept out of the way.
+``max_blocks`` a source), so a block is both small and a random set. Each pass
+over a source is an epoch with a permutation of its blocks; one epoch after the
+other, the blocks are numbered in permuted order. A source's quota is the number
+of blocks whose words reach its target; the block at the border is split in two
+in hash order of its documents, and only the first part counts as that block.
+
+Splitting tree: the vector of exact block quotas of all sources is split between
+the left and the right half of the output shards by one multivariate
+hypergeometric draw, and so on down to single shards. A shard takes the next
+disjoint stretch of each source's permuted blocks, as long as its quota says;
+what no shard's stretch reaches isn't taken. The documents of a shard are
+shuffled locally, by a hash of epoch and document.
+
+Scale: the texts are read once for slim rows (size and hashes) and once for the
+mixed rows. Sizes are aggregated by (source, block) before anything else; the
+driver sees one row per source (computing targets needs all of them; at most
+``MAX_SOURCES``, else an error); windows run over a source's blocks (at most
+``max_blocks`` an epoch) and over the slim rows of border blocks only (a
+source's share of ``1 / max_blocks`` or ``block_words``). The number of shards
+follows the words. All draws come from hashes and a seed, so reruns agree.
+
+Edge cases: a null text has no words; documents without words are taken like
+others, with size 0; a source of size 0 has target 0 and isn't taken; an empty
+table gives no rows; rows without an id or with repeated ids are told apart by
+their texts; rows equal in id and text share one fate (a block's border can't
+lie between them); other columns are kept out of the way.
 """
 
 from __future__ import annotations
@@ -32,10 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from moraine.llm.common import cut, table
+from moraine.llm.common import Tables, cut, small, table
 
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2.0
-BLOCK_WORDS, MAX_BLOCKS, SHARDS, SEED = 20_000, 4096, 16, 11
+BLOCK_WORDS, MAX_BLOCKS, SEED = 20_000, 4096, 11
+SHARDS, SHARD_WORDS = 16, 20_000_000  # at least so many shards; more if they would have more words
+MAX_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -53,7 +63,7 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     free = [s for s, _ in order]
     while free:
         total = sum(weight[s] for s in free)
-        over = [s for s in free if left * weight[s] / total > limit * size[s]]
+        over = {s for s in free if left * weight[s] / total > limit * size[s]}
         if not over:
             return out | {s: left * weight[s] / total for s in free}
         for s in over:
@@ -83,69 +93,105 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, block_words: int = BLOCK_WORDS,
-        max_blocks: int = MAX_BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` with _m_size, _m_source_size, _m_target and _m_draws: one struct
-    (epoch, shard, place) for each time the mix takes the document; sorting a
-    shard's draws by place shuffles it."""
+def _keyed(docs: DataFrame, seed: int, max_blocks: int) -> list[Column]:
+    """The source, the fine block and the place in its block of each document."""
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    # the row travels as one value, so that its names clash with nothing here
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_m_row")
-    mine = docs.select(row, "doc_id", source.alias("_m_source"), word_count(F.col("text")).alias("_m_size"))
-    spark = docs.sparkSession
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-
-    # fine blocks by a hash of fixed width; a source's blocks are runs of them
-    fine = cut(mine.groupBy("_m_source", F.pmod(key, F.lit(max_blocks)).cast("int").alias("fine")).agg(F.sum("_m_size").alias("words"), F.count("*").alias("rows")))
-    totals = {r[0]: r[1] for r in fine.groupBy("_m_source").agg(F.sum("words")).collect()}
+    own = F.xxhash64(F.lit(seed), "doc_id", "text")
+    return [source.alias("_m_source"), F.pmod(own, F.lit(max_blocks)).cast("int").alias("_m_fine"), F.xxhash64(F.lit(seed + 3), own).alias("_m_hash")]
+
+
+def slim_rows(docs: DataFrame, seed: int = SEED, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """doc_id, size and what decides a document's fate; the only pass over texts
+    that counts words."""
+    return docs.select("doc_id", *_keyed(docs, seed, max_blocks), word_count(F.col("text")).alias("_m_size"))
+
+
+def draws(slim: DataFrame, tables: Tables, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, block_words: int = BLOCK_WORDS,
+          max_blocks: int = MAX_BLOCKS, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """What is dealt of each (_m_source, _m_fine): _m_whole, the (epoch, shard)
+    of its draws, _m_part, those in which it is a border block and only
+    documents up to the hash _m_last are taken; and the source's _m_source_size
+    and _m_target. ``slim``: a written table of :func:`slim_rows`."""
+    spark = slim.sparkSession
+    fine = tables.cut(slim.groupBy("_m_source", "_m_fine").agg(F.sum("_m_size").alias("words")))
+    totals = fine.groupBy("_m_source").agg(F.sum("words")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources can't have targets computed on the driver")
+    totals = {r[0]: r[1] for r in totals}
     names = {k: None if k == "n" else k[1:] for k in totals}
     goal = targets([(names[k], n) for k, n in totals.items()], weights, share, limit)
     plan = [(k, int(n), float(goal[names[k]]), int(max(1, min(max_blocks, -(-n // block_words)))), int(goal[names[k]] // n) if n else 0) for k, n in totals.items()]
-    sources = F.broadcast(spark.createDataFrame(plan, "_m_source string, _m_source_size long, _m_target double, blocks int, epochs int"))  # one row a source
-
-    def block(fine_col: Column) -> Column:
-        return F.floor(fine_col * F.col("blocks") / max_blocks).cast("int")
-
-    by_block = fine.join(sources, "_m_source").groupBy("_m_source", block(F.col("fine")).alias("block")).agg(
-        F.sum("words").alias("words"), F.first("_m_source_size").alias("_m_source_size"), F.first("_m_target").alias("_m_target"), F.first("epochs").alias("epochs"))
-    w = Window.partitionBy("_m_source").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block")
-    quota = F.col("_m_target") - F.col("epochs") * F.col("_m_source_size")
-    by_block = by_block.withColumn("before", F.sum("words").over(w) - F.col("words")).withColumn("left", quota - F.col("before")).withColumn("part", F.least(F.greatest(F.col("left"), F.lit(0.0)), F.col("words").cast("double")))
-    by_block = cut(by_block.withColumn("partial", F.when(F.col("left") <= 0, 0).when(F.col("left") >= F.col("words"), 2).otherwise(1)))
-
-    # how many blocks of each source the mix takes, and which shard gets them
-    drawn = by_block.select("*", F.explode(F.when(F.col("partial") > 0, F.sequence(F.lit(0), F.col("epochs"))).when(F.col("epochs") > 0, F.sequence(F.lit(0), F.col("epochs") - 1)).otherwise(F.array().cast("array<int>"))).alias("epoch"))
-    counts = {r[0]: r[1] for r in drawn.groupBy("_m_source").count().collect()}
-    order = sorted(counts)
-    tree = splitting_tree(np.array([counts[s] for s in order], np.int64), shards, seed) if order else np.zeros((shards, 0), np.int64)
+    sources = F.broadcast(spark.createDataFrame(plan, "_m_source string, _m_source_size long, _m_target double, blocks int, epochs int"))  # MAX_SOURCES rows at most
+
+    # fine blocks by a hash of fixed width; a source's blocks are runs of them
+    block = F.floor(F.col("_m_fine") * F.col("blocks") / max_blocks).cast("int").alias("block")
+    fine = fine.join(sources, "_m_source").select("_m_source", "_m_fine", block, "words", "_m_source_size", "_m_target", "epochs")
+    by_block = fine.groupBy("_m_source", "block").agg(F.sum("words").alias("words"), *[F.first(c).alias(c) for c in ("_m_source_size", "_m_target", "epochs")])
+    # the blocks of each epoch in permuted order
+    ordered = by_block.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
+    run = Window.partitionBy("_m_source", "epoch").orderBy(F.xxhash64(F.lit(seed + 1), "epoch", "block"), "block")
+    ordered = ordered.withColumn("before", F.sum("words").over(run) - F.col("words")).withColumn("rank", F.row_number().over(run) - 1).withColumn("in_epoch", F.count("*").over(Window.partitionBy("_m_source", "epoch")))
+    left = F.col("_m_target") - F.col("epoch") * F.col("_m_source_size") - F.col("before")
+    ordered = tables.cut(ordered.select("_m_source", "block", "epoch", "words", (F.col("epoch") * F.col("in_epoch") + F.col("rank")).alias("position"), left.alias("left")))
+
+    # quotas: the blocks whose words reach the target; the tree deals them to the shards
+    quota = {r[0]: r[1] for r in ordered.where("left > 0").groupBy("_m_source").agg(F.count("*")).collect()}
+    order = sorted(quota)
+    if shards is None:
+        shards = max(SHARDS, int(sum(goal.values()) // SHARD_WORDS) + 1)
+    tree = splitting_tree(np.array([quota[s] for s in order], np.int64), shards, seed) if order else np.zeros((shards, 0), np.int64)
     ends = [(s, [int(x) for x in np.cumsum(tree[:, i])]) for i, s in enumerate(order)]
     ends = F.broadcast(spark.createDataFrame(ends, "_m_source string, ends array<long>"))
-    rank = F.row_number().over(Window.partitionBy("_m_source").orderBy(F.xxhash64(F.lit(seed + 2), "epoch", "block"), "epoch", "block"))
-    shard = F.size(F.filter("ends", lambda e: e < F.col("rank"))).alias("shard")
-    drawn = drawn.withColumn("rank", rank).join(ends, "_m_source").groupBy("_m_source", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", shard))).alias("drawn"))
-    # at most max_blocks rows a source: a bounded table
-    blocks = by_block.select("_m_source", "block", "partial", "part").join(drawn, ["_m_source", "block"], "left")
-
-    placed = mine.withColumn("_m_fine", F.pmod(key, F.lit(max_blocks)).cast("int")).join(sources, "_m_source").withColumn("block", block(F.col("_m_fine")))
-    hash2 = F.xxhash64(F.lit(seed + 3), "doc_id")
-    border = placed.join(F.broadcast(by_block.where("partial = 1").select("_m_source", "block", "part")), ["_m_source", "block"]).select("_m_source", "block", "part", "doc_id", "_m_size", hash2.alias("h"))
-    run = Window.partitionBy("_m_source", "block").orderBy("h", "doc_id", "_m_size")
-    # the last document that a border block gives (at most one border a source)
-    upto = border.withColumn("upto", F.sum("_m_size").over(run.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") - F.col("_m_size") / 2 <= F.col("part")).groupBy("_m_source", "block").agg(
-        F.max(F.struct("h", "doc_id", "_m_size")).alias("last"))
-    out = placed.join(F.broadcast(blocks.join(upto, ["_m_source", "block"], "left")), ["_m_source", "block"])
-    whole = F.filter("drawn", lambda d: d["epoch"] < F.col("epochs"))
-    has = (F.col("partial") == 2) | ((F.col("partial") == 1) & F.coalesce(F.struct(hash2.alias("h"), F.col("doc_id"), F.col("_m_size")) <= F.col("last"), F.lit(False)))
-    draws = F.coalesce(F.when(has, F.col("drawn")).otherwise(whole), F.array().cast("array<struct<epoch:int,shard:int>>"))
-    draws = F.transform(draws, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 4), d["epoch"], F.col("doc_id")).alias("place")))
-    return out.select("_m_row.*", "_m_size", "_m_source_size", "_m_target", draws.alias("_m_draws"))
-
-
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, columns unchanged."""
-    return mix(docs, **options).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("_m_draws").alias("_m_draw")).drop("_m_draw")
+    # a shard's stretch of the permuted blocks: positions from the end of the shard before to its own
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("position")))
+    dealt = ordered.join(ends, "_m_source").withColumn("shard", shard).where(F.col("shard") < F.size("ends"))
+    drawn = dealt.select("_m_source", "block", F.struct("epoch", "shard").alias("draw"), "words", "left")
+    border = F.col("left") < F.col("words")
+    by_draws = tables.cut(drawn.groupBy("_m_source", "block").agg(
+        F.sort_array(F.collect_list(F.when(~border, F.col("draw")))).alias("_m_whole"), F.sort_array(F.collect_list(F.when(border, F.col("draw")))).alias("_m_part"), F.min(F.when(border, F.col("left"))).alias("left")))
+    # where a border block is split: behind the document whose middle is the last before the quota
+    fine_draws = fine.select("_m_source", "_m_fine", "block", "_m_source_size", "_m_target").join(by_draws, ["_m_source", "block"], "left")
+    fine_draws = tables.cut(fine_draws)
+    split = slim.join(small(tables.cut(fine_draws.where("size(_m_part) > 0").select("_m_source", "_m_fine", "block", "left"))), ["_m_source", "_m_fine"])
+    up = Window.partitionBy("_m_source", "block").orderBy("_m_hash").rangeBetween(Window.unboundedPreceding, 0)
+    last = split.withColumn("upto", F.sum("_m_size").over(up)).where(F.col("upto") - F.col("_m_size") / 2 <= F.col("left")).groupBy("_m_source", "block").agg(F.max("_m_hash").alias("_m_last"))
+    none = F.array().cast("array<struct<epoch:int,shard:int>>")
+    return cut(fine_draws.join(last, ["_m_source", "block"], "left").select(
+        "_m_source", "_m_fine", "_m_source_size", "_m_target", F.coalesce("_m_whole", none).alias("_m_whole"), F.coalesce("_m_part", none).alias("_m_part"), "_m_last"))
+
+
+def _drawn(seed: int) -> Column:
+    """(epoch, shard, place) of each time that a document is taken."""
+    has = F.coalesce(F.col("_m_hash") <= F.col("_m_last"), F.lit(False))
+    own = F.concat("_m_whole", F.when(has, F.col("_m_part")).otherwise(F.array().cast("array<struct<epoch:int,shard:int>>")))
+    return F.transform(own, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 4), d["epoch"], F.col("_m_hash")).alias("place")))
+
+
+def mix(docs: DataFrame, seed: int = SEED, max_blocks: int = MAX_BLOCKS, **options) -> DataFrame:
+    """doc_id, _m_size, _m_source_size, _m_target and _m_draws of each document:
+    one struct (epoch, shard, place) for each time that a shard takes it; sorting
+    a shard's draws by place shuffles it."""
+    slim = cut(slim_rows(docs, seed, max_blocks))
+    with Tables() as tables:
+        plan = draws(slim, tables, seed=seed, max_blocks=max_blocks, **options)
+    return slim.join(small(plan), ["_m_source", "_m_fine"]).select("doc_id", "_m_size", "_m_source_size", "_m_target", _drawn(seed).alias("_m_draws"))
+
+
+def mixed_rows(docs: DataFrame, seed: int = SEED, max_blocks: int = MAX_BLOCKS, **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, columns unchanged,
+    laid out shard after shard and shuffled within each."""
+    with Tables() as tables:
+        plan = draws(tables.cut(slim_rows(docs, seed, max_blocks)), tables, seed=seed, max_blocks=max_blocks, **options)
+    # the row travels as one value, so that its names clash with nothing here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_m_row")
+    mine = docs.select(row, *_keyed(docs, seed, max_blocks)).join(small(plan), ["_m_source", "_m_fine"]).select("_m_row", F.explode(_drawn(seed)).alias("_m_draw"))
+    order = ["_m_draw.shard", "_m_draw.place"]
+    return mine.repartitionByRange(*order).sortWithinPartitions(*order).select("_m_row.*")
 
 
 def op5_hypergeometric_mix(spark, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("_m_size").alias("size"), F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), (F.col("_m_size") * F.size("_m_draws")).alias("taken"))
+    return out.select(
+        "doc_id", F.col("_m_size").alias("size"), F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"),
+        (F.col("_m_size") * F.size("_m_draws")).alias("taken"), F.to_json("_m_draws").alias("draws"),
+    )
