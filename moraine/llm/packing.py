@@ -2,18 +2,23 @@
 
 A document's ids end with id 0; ids beyond ``length`` are cut into pieces of
 ``length``. A piece goes where the sum over residual gaps of the squared number
-of open sequences with that gap becomes smallest; a new sequence is opened where
-none has room. Full pieces are sequences by themselves. Pieces are spread by hash into packing tasks; each task sorts its
-pieces by length (longest first), so its result does not depend on the order of
-arrival, and packs them with one counter per gap: memory follows the pieces of
-one task (about 40 bytes each), never the tokens.
+of open sequences with that gap becomes smallest, a new sequence being one of
+the choices. Where that ends with more sequences than the ids need, the same
+pieces are also packed with new sequences only where none has room, and the
+better of the two packings stands. Full pieces are sequences by themselves.
+
+Pieces (slim rows) are written and dealt round robin to packing tasks of about
+``PER_TASK`` pieces, whatever their ids are; each task sorts its pieces by length
+(longest first; ties by id, piece and crc), so its result does not depend on the
+order of arrival, and packs them with one counter per gap: memory follows the
+pieces of one task (about 40 bytes each), never the tokens.
 
 Tokenizing is one pass of Arrow batches: white space always ends a token of this
 vocabulary, so ids are remembered by white-space word in tables of bounded size
 and only unseen words, or their unseen parts, reach the tokenizer.
 
-Edge cases: null and empty texts are the single id 0; equal documents are packed
-separately; an empty table gives no rows; other columns are ignored.
+Edge cases: null and empty texts are the single id 0; equal documents, null and
+repeated ids are packed separately; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import small_batches, table
+from moraine.llm.common import Tables, cut, small_batches, table
 
 LENGTH, END = 2048, 0
+PER_TASK = 50_000
 CACHE_WORDS = 500_000  # of each of two tables in a worker
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -157,13 +163,14 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH, opening: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each length in the order given.
 
     With N[g] open sequences of gap g, adding s to one of gap g changes the sum
-    of squares by 2 (N[g-s] - N[g] + 1), without the first part where it gets
-    full. The smallest change wins; a new sequence is opened where none has
-    room. Ties: the smallest gap.
+    of squares by 2 (N[g-s] - N[g] + 1), or by 1 - 2 N[g] where it gets full; a new
+    sequence changes it by 2 N[capacity-s] + 1. The smallest change wins. Ties: the
+    smallest gap, an open sequence before a new one. Without ``opening`` a new
+    sequence is no choice as long as any has room.
     """
     count = np.zeros(capacity + 1, np.int64)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -172,16 +179,19 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
         if s == capacity:
             sequence[i], made = made, made + 1
             continue
-        here = count[s:capacity]
+        here, g = count[s:capacity], capacity
         if here.any():
             change = 2 * (count[: capacity - s] - here) + 2
             change[0] = 1 - 2 * here[0]
             change[here == 0] = 1 << 60
-            g = int(change.argmin()) + s
+            best = int(change.argmin())
+            if not opening or change[best] <= 2 * count[capacity - s] + 1:
+                g = best + s
+        if g < capacity:
             b = open_at[g].pop()
             count[g] -= 1
         else:
-            g, b, made = capacity, made, made + 1
+            b, made = made, made + 1
         sequence[i], offset[i] = b, capacity - g
         if g > s:
             open_at[g - s].append(b)
@@ -189,22 +199,33 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
     return sequence, offset
 
 
-def pack(rows: DataFrame, capacity: int = LENGTH) -> DataFrame:
-    """Add sequence_id and offset to rows that have doc_id, piece and length."""
+def best_packing(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The packing by :func:`sum_of_squares`, with ``opening`` or without, that
+    needs fewer sequences."""
+    found = sum_of_squares(lengths, capacity)
+    if len(lengths) and found[0].max() + 1 > -(-int(lengths.sum()) // capacity):
+        other = sum_of_squares(lengths, capacity, opening=False)
+        if other[0].max() < found[0].max():
+            return other
+    return found
 
-    def run(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        if not t.num_rows:
-            return
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        sequence, offset = sum_of_squares(t.column("length").to_numpy(), capacity)
-        sequence += TaskContext.get().partitionId() << 40
-        yield from t.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches()
-
-    return rows.repartition(F.xxhash64("doc_id", "piece")).mapInArrow(run, PACKED)
+
+def pack(rows: DataFrame, capacity: int = LENGTH, per_task: int = PER_TASK) -> DataFrame:
+    """Add sequence_id and offset to rows that have doc_id, piece and length."""
+    with Tables() as tables:
+        rows = tables.cut(rows)
+        tasks = -(-rows.count() // per_task) or 1
+
+        def run(batches):
+            t = pa.Table.from_batches(list(batches), schema=_PIECES)  # about per_task slim rows
+            if not t.num_rows:
+                return
+            t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+            sequence, offset = best_packing(t.column("length").to_numpy(), capacity)
+            sequence += TaskContext.get().partitionId() << 40
+            yield from t.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches()
+
+        return cut(rows.repartition(tasks).mapInArrow(run, PACKED))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
