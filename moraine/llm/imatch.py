@@ -1,28 +1,35 @@
 """Document fingerprints by I-Match with randomised lexicon subsets.
 
 A text's terms are its distinct words whose inverse document frequency lies in a
-band (too common and too rare ones say little). Each of ``LEXICONS`` randomised
-lexicons keeps a part of them; its signature is a hash of the kept terms in
-sorted order. An edit leaves the signatures of those lexicons alone that hold
-none of the changed terms. How much a lexicon keeps is halved from level to
-level; a text uses the two levels at which about one of its terms is kept, so
-short and long texts are alike; a fingerprint names its level. The likeness of
-two fingerprints is the share of equal signatures among those that say anything,
-at the best level that both have.
-
-Document frequencies are counted over all documents, in hashed counters of a
-fixed size (terms that share a counter count together), so the lexicon does not
-grow with the corpus.
+band (too common and too rare ones say little). Document frequencies are exact:
+each task adds up what it sees, and Spark sums by 64-bit term hash. A band of
+``2 ** -high`` to ``2 ** -low`` of all documents has at most ``2 ** high`` times the
+mean number of distinct terms of a text, however large the corpus: only the
+band's terms are gathered and broadcast (checked against ``MOST_TERMS``).
+
+Randomised lexicons: ``LEXICONS`` fixed subsets of the band for each share of
+``SHARES``; a term belongs to a lexicon if a hash of both says so, whatever the text.
+A signature is a hash of the terms, sorted, that text and lexicon share; an edit
+leaves the signatures of those lexicons alone that hold none of the changed
+terms. Large lexicons tell short texts apart, small ones let long texts survive
+edits. A fingerprint lists the signatures of all lexicons, share by share. The
+likeness of two fingerprints is the share of equal signatures among the
+lexicons of one share that hold a term of either text, for the share at which it
+is largest; shares with less than ``LEAST`` such lexicons don't count.
+
+A text with words but none in the band has no I-Match signature. Its terms are
+then all its words, in the same lexicons, and its fingerprint begins with
+``w`` instead of ``b``; fingerprints of different kinds have likeness 0. A text
+without words has the fingerprint ``e``.
 
 The next document (ascending id; after the last the first) is found by range
 partitioning: tasks stream over sorted rows, and only each partition's first and
-last row meet in a join of one row per partition.
+last row meet in a join of one row per partition. Texts travel compressed.
 
-Edge cases: a null text is empty; a text without terms in the band uses all its
-words, one without words has the empty fingerprint; equal texts have equal
-fingerprints; null ids come first and rows of equal id follow each other by the
-hash of their text; a single document is its own next; an empty table gives no
-rows; other columns are ignored.
+Edge cases: a null text is empty; equal texts have equal fingerprints; null ids
+come first and rows of equal id follow each other by the hash of their text; a
+single document is its own next; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,81 +42,108 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import cut, encoded, table
-from moraine.llm.counters import COUNTERS, counted, place
+from moraine.llm.common import Tables, cut, encoded, table
 from moraine.llm.words import distinct, mix, word_hashes
 
 BAND = (3.0, 12.0)  # log2 of (documents / documents with the term)
-LEXICONS, SEED = 32, 97
+SHARES, LEXICONS, LEAST, SEED = (8, 64, 512, 4096), 16, 4, 97  # a lexicon keeps one in so many terms of the band
+MOST_TERMS = 20_000_000
 BATCH = 64
-_SEEDS = np.random.default_rng(SEED).integers(0, 1 << 63, LEXICONS, dtype=np.uint64)
+_SEEDS = np.random.default_rng(SEED).integers(0, 1 << 63, (len(SHARES), LEXICONS), dtype=np.uint64)
 
 
-def band_terms(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
-    """For each counter whether its terms lie in the band."""
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """term (hash of the word), n: the texts that have it; tasks add up in
+    tables of bounded size before the shuffle."""
 
-    def values(batch):
-        for at in range(0, batch.num_rows, BATCH):
-            yield from distinct(*word_hashes(encoded(batch.column(0).slice(at, BATCH))))
+    def run(batches):
+        held, size = [], 0
 
-    texts = docs.select("text")
-    n, got = texts.count(), counted(texts, values)
-    return (got >= n * 2.0 ** -band[1]) & (got <= n * 2.0 ** -band[0])
+        def emit():
+            term, n = np.unique(np.concatenate(held).view(np.int64), return_counts=True)
+            for at in range(0, len(term), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(term[at : at + 50_000]), pa.array(n[at : at + 50_000])], ["term", "n"])
 
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                for own in distinct(*word_hashes(encoded(batch.column(0).slice(at, BATCH)))):
+                    held.append(own)
+                    size += len(own)
+                if size > 1 << 22:
+                    yield from emit()
+                    held, size = [], 0
+        if held:
+            yield from emit()
 
-def signatures(terms: list[np.ndarray], level: np.ndarray) -> np.ndarray:
-    """(texts, LEXICONS) hashes of the sorted terms that each lexicon keeps at
-    the texts' levels; 0 where it keeps none."""
+    return texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def band_terms(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
+    """The sorted hashes of the band's terms."""
+    texts = docs.select("text")
+    n = texts.count()
+    inside = document_frequencies(texts).where((F.col("n") >= n * 2.0 ** -band[1]) & (F.col("n") <= n * 2.0 ** -band[0])).select("term")
+    with Tables() as t:
+        inside = t.cut(inside)
+        if (found := inside.count()) > MOST_TERMS:
+            raise ValueError(f"the band has {found} terms, more than {MOST_TERMS}; choose a narrower one")
+        return np.sort(inside.toArrow()["term"].to_numpy().view(np.uint64))
+
+
+def signatures(terms: list[np.ndarray]) -> np.ndarray:
+    """(texts, shares, LEXICONS) hashes of the sorted terms that each lexicon
+    keeps; 0 where it keeps none."""
     counts = np.array([len(t) for t in terms], np.int64)
-    out = np.zeros((LEXICONS, len(terms)), np.uint16)
+    out = np.zeros((len(SHARES), LEXICONS, len(terms)), np.uint16)
     flat = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(terms)), counts)
-    # kept if the leading bits are zero, as many as the level says
-    limit = np.repeat(np.uint64(0xFFFFFFFFFFFFFFFF) >> level.astype(np.uint64), counts)
     step = max(1, (1 << 21) // max(len(flat), 1))
     with np.errstate(over="ignore"):
-        for a in range(0, LEXICONS, step):
-            row, at = np.nonzero(mix(flat ^ _SEEDS[a : a + step, None]) <= limit)
-            if not len(row):
-                continue
-            run = row * len(terms) + owner[at]
-            first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-            rank = np.arange(len(run)) - np.repeat(first, np.diff(np.r_[first, len(run)]))
-            total = mix(np.add.reduceat(mix(flat[at] + mix(rank.astype(np.uint64) + np.uint64(1))), first))
-            out[a:].reshape(-1)[run[first]] = np.maximum((total >> np.uint64(48)).astype(np.uint16), 1)
-    return out.T
+        for s, share in enumerate(SHARES):
+            limit = np.uint64(((1 << 64) - 1) // share)
+            for a in range(0, LEXICONS, step):
+                row, at = np.nonzero(mix(flat ^ _SEEDS[s, a : a + step, None]) <= limit)
+                if not len(row):
+                    continue
+                run = row * len(terms) + owner[at]
+                first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+                rank = np.arange(len(run)) - np.repeat(first, np.diff(np.r_[first, len(run)]))
+                total = mix(np.add.reduceat(mix(flat[at] + mix(rank.astype(np.uint64) + np.uint64(1))), first))
+                out[s, a:].reshape(-1)[run[first]] = np.maximum((total >> np.uint64(48)).astype(np.uint16), 1)
+    return out.transpose(2, 0, 1)
 
 
-class Fingerprints:
-    """Levels (texts) and signatures (texts, 2, LEXICONS) of some texts."""
+def fingerprints(texts: list[bytes], band: np.ndarray) -> list[str]:
+    """The fingerprint of each text: its kind and, for each share that has any,
+    the share's number and signatures."""
+    terms, kinds = [], []
+    for own in distinct(*word_hashes(texts)):
+        inside = own[band[np.minimum(np.searchsorted(band, own), len(band) - 1)] == own] if len(band) else own[:0]
+        kinds.append("b" if len(inside) else "w" if len(own) else "e")
+        terms.append(inside if len(inside) else own)
+    return [k + "".join(f"{s}{row.astype('>u2').tobytes().hex()}" for s, row in enumerate(own) if row.any()) for k, own in zip(kinds, signatures(terms))]
 
-    def __init__(self, texts: list[bytes], band: np.ndarray):
-        terms = []
-        for own in distinct(*word_hashes(texts)):
-            inside = own[band[place(own)]]
-            terms.append(inside if len(inside) else own)
-        self.level = np.array([max(len(t), 1).bit_length() - 1 for t in terms], np.int64)
-        self.signs = np.stack([signatures(terms, self.level), signatures(terms, self.level + 1)], 1)
 
-    def strings(self) -> list[str]:
-        return [f"{n:02x}{s.astype('>u2').tobytes().hex()}" for n, s in zip(self.level.tolist(), self.signs)]
+_WIDTH = 1 + 4 * LEXICONS
 
 
-def parsed(fingerprint: str) -> tuple[int, np.ndarray]:
-    return int(fingerprint[:2], 16), np.frombuffer(bytes.fromhex(fingerprint[2:]), ">u2").reshape(2, LEXICONS)
+def parsed(fingerprint: str) -> dict[int, np.ndarray]:
+    return {int(fingerprint[a]): np.frombuffer(bytes.fromhex(fingerprint[a + 1 : a + _WIDTH]), ">u2") for a in range(1, len(fingerprint), _WIDTH)}
 
 
 def likeness(a: str, b: str) -> float:
     """Of two fingerprints, 0 to 1."""
     if a == b:
         return 1.0
-    (m, x), (n, y), best = parsed(a), parsed(b), 0.0
-    for i in range(2):
-        k = m + i - n
-        if 0 <= k < 2:
-            told = (x[i] > 0) | (y[k] > 0)
-            if told.any():
-                best = max(best, float(((x[i] == y[k]) & told).sum() / told.sum()))
+    if a[0] != b[0]:
+        return 0.0
+    x, y, best = parsed(a), parsed(b), 0.0
+    none = np.zeros(LEXICONS, np.uint16)
+    for s in x.keys() | y.keys():
+        p, q = x.get(s, none), y.get(s, none)
+        told = int(((p > 0) | (q > 0)).sum())
+        if told >= LEAST:
+            best = max(best, float(((p == q) & (p > 0)).sum() / told))
     return best
 
 
@@ -126,7 +160,7 @@ _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 def _judged(rows: list[tuple], band: np.ndarray) -> list[list]:
     """Columns for rows (doc_id, text, fingerprint, next text, its fingerprint)."""
     edited = [edited_text(r[1], r[3]).encode() for r in rows]
-    prints = Fingerprints(edited, band).strings()
+    prints = fingerprints(edited, band)
     return [
         [r[0] for r in rows], [len(r[1]) for r in rows], [hashlib.sha256(e).hexdigest() for e in edited], [r[2] for r in rows], prints,
         [likeness(r[2], p) for r, p in zip(rows, prints)], [likeness(r[2], r[4]) for r in rows],
@@ -136,26 +170,41 @@ def _judged(rows: list[tuple], band: np.ndarray) -> list[list]:
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
+def _compressed(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (of equal ids) and the text, compressed."""
+
+    def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([press.compress(x) for x in encoded(part.column(2))], pa.binary())], ["doc_id", "tie", "packed"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, packed binary")
+
+
 def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """The rows of ``_ROW``, one per document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shared = spark.sparkContext.broadcast(np.packbits(band_terms(docs, band)))
-    order = ["doc_id", F.xxhash64("text")]
+    shared = spark.sparkContext.broadcast(band_terms(docs, band))
 
     def run(batches):
-        inside = np.unpackbits(shared.value).astype(bool)[:COUNTERS]
-        part, last = TaskContext.get().partitionId(), None
+        import zstandard
+
+        part, last, unpack = TaskContext.get().partitionId(), None, zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 b = batch.slice(at, BATCH)
-                texts = b.column(1).to_pylist()
-                own = list(zip(b.column(0).to_pylist(), texts, Fingerprints(encoded(b.column(1)), inside).strings()))
+                raw = [unpack.decompress(x) for x in b.column(2).to_pylist()]
+                own = list(zip(b.column(0).to_pylist(), [x.decode() for x in raw], fingerprints(raw, shared.value)))
                 ends = [] if last else [(part, 1, *own[0])]
                 line = [last, *own] if last else own
                 done = [(*x, y[1], y[2]) for x, y in zip(line, line[1:])]
                 last = own[-1]
-                yield _batch(_judged(done, inside), ends)
+                yield _batch(_judged(done, shared.value), ends)
         if last:
             yield _batch([[]] * len(_TYPES), [(part, 2, *last)])
 
@@ -166,17 +215,17 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
         own = [done[0] + doc, done[1] + [0] * m, done[2] + [None] * m, done[3] + mark, done[4] + [None] * m, done[5] + [None] * m, done[6] + [None] * m]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns + own, [pa.int32(), pa.int32(), pa.string(), *_TYPES])], ["part", "kind", "text", *_NAMES])
 
-    rows = cut(docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"part int, kind int, text string, {_ROW}"))
+    order = ["doc_id", "tie"]
+    rows = cut(_compressed(docs).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"part int, kind int, text string, {_ROW}"))
     parts = sorted(r[0] for r in rows.where("kind = 1").select("part").collect())  # one number a partition
     following = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]])), "part int, next_part int")
     firsts = rows.where("kind = 1").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
     ends = rows.where("kind = 2").select("part", "doc_id", "text", "fingerprint").join(following, "part").join(firsts, "next_part").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
 
     def finish(batches):
-        inside = np.unpackbits(shared.value).astype(bool)[:COUNTERS]
         for b in batches:
             rows = list(zip(*(c.to_pylist() for c in b.columns)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_judged(rows, inside), _TYPES)], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_judged(rows, shared.value), _TYPES)], _NAMES)
 
     return rows.where("kind = 0").select(_NAMES).unionByName(ends.mapInArrow(finish, _ROW))
 
