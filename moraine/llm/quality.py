@@ -8,8 +8,8 @@ rows. The score is the difference of the classes' Mahalanobis log densities,
 from Cholesky factors inverted once per model, mapped to 0..1 by a two-parameter
 logistic fit on the same fold.
 
-The fit uses at most ``max_rows`` labelled rows, chosen by hash (a documented
-bound, default 20,000); they are broadcast to the scan, so only statistics of
+The fit uses about ``max_rows`` labelled rows, chosen by hash (a documented
+bound, default 20,000; no more than the hash's share of it varies); labels are broadcast to the scan, so only statistics of
 labelled documents come back. Scoring is one pass of Arrow batches.
 
 Edge cases: null and empty texts have the statistics of an empty text and get a
@@ -132,20 +132,25 @@ class Discriminant:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Discriminant:
-    """Learn from (doc_id, quality) of ``labels`` and the texts of ``docs``."""
-    labels = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("_m_y"))
+    """Learn from (doc_id, quality) of ``labels`` and the texts of ``docs``. If
+    more than ``max_rows`` labels or labelled documents are found, a share of them is chosen by hash."""
+    labels = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("_m_y")).distinct()
     n = labels.count()
-    u = hash_unit(F.lit(3), F.col("doc_id"))
-    if n > max_rows:  # a margin below the bound, so that the limit never bites in practice
-        labels = labels.where(u < (max_rows - 4 * max_rows**0.5) / n).limit(max_rows)
+    if n > max_rows:
+        labels = labels.where(hash_unit(F.lit(3), F.col("doc_id")) < max_rows / n)
     found = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", "_m_y")
+    m = docs.select("doc_id").join(F.broadcast(labels), "doc_id").count()
+    if m > 2 * max_rows:  # ids are repeated
+        found = found.where(hash_unit(F.lit(4), F.col("doc_id"), F.col("text")) < max_rows / m)
 
     def run(batches):
         for b in batches:
             x = [statistics(t) for t in encoded(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = found.mapInArrow(run, "doc_id long, y int, x array<double>").withColumn("fold", crc_mod("doc_id", 5) == 1).sort("doc_id", "y").limit(2 * max_rows).toPandas()
+    # rows that are equal in id and statistics count once
+    got = found.mapInArrow(run, "doc_id long, y int, x array<double>").distinct().withColumn("fold", crc_mod("doc_id", 5) == 1).toPandas()
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (got["doc_id"].iat[i], got["y"].iat[i], tuple(got["x"].iat[i])))]
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), WIDTH)
     return Discriminant(x, got["y"].to_numpy(np.float64), got["fold"].to_numpy(bool))
 
