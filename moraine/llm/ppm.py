@@ -21,7 +21,8 @@ words (bounded) are broadcast; the others, each of which is rare by
 construction, meet their counts in one equi-join on a 64-bit hash. Hot words
 thus never meet in a task.
 
-Edge cases: a null text is empty (it has just the end token); null ids are
+Edge cases: a null text is empty (it has just the end token); a zero byte within
+a text is the same symbol as the end and is predicted like it; null ids are
 never held out; equal texts get equal scores; without training documents the
 model is uniform over bytes; an empty table gives no rows; other columns are
 ignored.
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from moraine.llm.common import cut, encoded, held_out, table
 
-ORDER, HEAD, GRAMS_HEAD = 5, 131_072, 2_097_152
+ORDER, HEAD, GRAMS_HEAD = 5, 131_072, 1_000_000
 BASE = 3  # contexts of fewer bytes are known to every task
 WORD, GRAM = 0, 1
 _COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
