@@ -13,7 +13,7 @@ import pytest
 
 from moraine.llm import imatch, language, mixing, packing, ppm, quality, quantized, sharding, token_groups, url_filter
 from moraine.llm.components import components
-from moraine.llm.words import distinct, shingle_hashes, word_hashes
+from moraine.llm.words import distinct, mix, shingle_hashes, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, blocks string, n long"
 
@@ -122,6 +122,28 @@ def test_token_groups_with_small_chunks(docs, monkeypatch):
     assert got == sorted(brute_components(corpus(), 4, 85), key=str)
 
 
+def test_hot_tokens_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(token_groups, "ROW", 3)
+    monkeypatch.setattr(token_groups, "PART", 200)
+    got = sorted(map(tuple, token_groups.link_components(docs, 2, 50).collect()), key=str)
+    assert got == sorted(brute_components(corpus(), 2, 50), key=str)
+
+
+def test_blocks_let_any_two_groups_meet():
+    g, token = np.arange(50, dtype=np.int64), np.full(50, 12345, np.uint64)
+    rarity = np.full(token_groups.place(token).max() + 1, int(8 * np.log2(51)), np.uint8)
+    old, token_groups.ROW = token_groups.ROW, 7
+    try:
+        entry, row = token_groups.in_blocks(token, g, rarity, 0.0)
+    finally:
+        token_groups.ROW = old
+    rows = defaultdict(set)
+    for e, t in zip(entry.tolist(), row.tolist()):
+        rows[t].add(e)
+    assert {(a, b) for m in rows.values() for a in m for b in m if a < b} == {(a, b) for a in range(50) for b in range(a + 1, 50)}
+    assert max(map(len, rows.values())) < 25
+
+
 def test_near_duplicates_leave_one_of_each(docs):
     kept = token_groups.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -189,6 +211,51 @@ def test_quantisation_bounds_are_rigorous():
 # ---- 9: fingerprints
 
 
+def word_hash(word: str) -> int:
+    return int(word_hashes([word.encode()])[0][0])
+
+
+def scrambled(x: int) -> int:
+    return int(mix(np.array([x % (1 << 64)], np.uint64))[0])
+
+
+def brute_band(texts) -> set[int]:
+    df = Counter(h for t in texts for h in {word_hash(w) for w in words_of(t)})
+    return {h for h, n in df.items() if len(texts) / 2**12 <= n <= len(texts) / 2**3}
+
+
+def brute_fingerprint(text: str, band: set[int]):
+    """(kind, {(share, lexicon): signature})."""
+    own = {word_hash(w) for w in words_of(text)}
+    terms, out = (own & band) or own, {}
+    for s, share in enumerate(imatch.SHARES):
+        for k in range(imatch.LEXICONS):
+            kept = sorted(t for t in terms if scrambled(t ^ int(imatch._SEEDS[s, k])) <= ((1 << 64) - 1) // share)
+            if kept:
+                total = sum(scrambled(t + scrambled(i + 1)) for i, t in enumerate(kept))
+                out[s, k] = max(scrambled(total) >> 48, 1)
+    return ("b" if own & band else "w" if own else "e"), out
+
+
+def brute_string(fingerprint) -> str:
+    kind, signs = fingerprint
+    parts = [str(s) + "".join(f"{signs.get((s, k), 0):04x}" for k in range(imatch.LEXICONS)) for s in range(len(imatch.SHARES)) if any(a == s for a, _ in signs)]
+    return kind + "".join(parts)
+
+
+def brute_likeness(a, b) -> float:
+    if brute_string(a) == brute_string(b):
+        return 1.0
+    if a[0] != b[0]:
+        return 0.0
+    best = 0.0
+    for s in range(len(imatch.SHARES)):
+        told = [k for k in range(imatch.LEXICONS) if (s, k) in a[1] or (s, k) in b[1]]
+        if len(told) >= imatch.LEAST:
+            best = max(best, sum(a[1].get((s, k)) == b[1].get((s, k)) for k in told) / len(told))
+    return best
+
+
 def test_fingerprints(docs, spark, empty):
     rows = sorted([r for r in corpus()], key=lambda r: (r[0] is not None, r[0] or 0))
     got = imatch.fingerprint_documents(docs).collect()
@@ -214,6 +281,17 @@ def test_fingerprints(docs, spark, empty):
     assert all(r["near_next"] == 1 for r in copies)
     usual = [r for r in got if r["n_chars"] > 300 and r["doc_id"] is not None and r["doc_id"] < 120]
     assert np.mean([r["near_edited"] > r["near_next"] for r in usual]) > 0.95
+    # every fingerprint, that of the edited text and both likenesses against plain versions
+    band = brute_band([r[1] for r in rows])
+    plain = {r[1] or "": brute_fingerprint(r[1] or "", band) for r in rows}
+    for i, r in enumerate(rows):
+        own, following = by_id[r[0]][0], rows[(i + 1) % len(rows)]
+        assert own["fingerprint"] == brute_string(plain[r[1] or ""])
+        if 5 not in (r[0], following[0]):
+            edited = brute_fingerprint(imatch.edited_text(r[1] or "", following[1] or ""), band)
+            assert own["edited_fingerprint"] == brute_string(edited)
+            assert own["near_edited"] == pytest.approx(brute_likeness(plain[r[1] or ""], edited))
+            assert own["near_next"] == pytest.approx(brute_likeness(plain[r[1] or ""], plain[following[1] or ""]))
     assert imatch.fingerprint_documents(empty).count() == 0
     one = imatch.fingerprint_documents(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).first()
     assert one["near_next"] == 1 and one["edited_sha256"] == hashlib.sha256(b"a b c a").hexdigest()
@@ -321,6 +399,68 @@ def test_sum_of_squares_never_overfills():
         assert [a for a, _ in at] == np.cumsum([0, *[n for _, n in at]])[:-1].tolist()
 
 
+def brute_sum_of_squares(lengths, capacity, opening):
+    """Every choice weighed by counting all squares anew."""
+    gaps, out = {}, []  # sequence -> gap
+    squares = lambda g: sum(n * n for n in Counter(x for x in g.values() if 0 < x < capacity).values())
+    for s in lengths:
+        open_ = [b for b, g in gaps.items() if s <= g < capacity] if s < capacity else []
+        choices = [(squares(gaps | {b: gaps[b] - s}), 0, gaps[b]) for b in open_]
+        if opening or not open_:
+            choices.append((squares(gaps | {len(gaps): capacity - s}), 1, capacity))
+        gap = min(choices)[2]
+        b = len(gaps) if gap == capacity else next(b for b in open_ if gaps[b] == gap)
+        out.append((gap, capacity - gap))
+        gaps[b] = gap - s
+    return out, len(gaps)
+
+
+@pytest.mark.parametrize("opening", [True, False])
+def test_placement_equals_brute_force(opening):
+    g = np.random.default_rng(3)
+    for lengths in (np.sort(g.integers(1, 31, 150))[::-1], g.integers(1, 31, 150), np.array([30, 30, 15, 15, 15, 1] * 8), np.array([1] * 40)):
+        sequence, offset = packing.sum_of_squares(lengths, 30, opening)
+        want, made = brute_sum_of_squares(lengths.tolist(), 30, opening)
+        assert offset.tolist() == [o for _, o in want] and sequence.max() + 1 == made
+    assert len(packing.best_packing(np.zeros(0, np.int64))[0]) == 0
+
+
+def test_pieces_without_ids_are_dealt_to_many_tasks(spark):
+    rows = spark.createDataFrame([(None, 0, 0, 7, 1)] * 600 + [(1, 0, 0, 9, 2)] * 300, packing.PIECES)
+    out = packing.pack(rows, 20, per_task=100).collect()
+    assert len({r["sequence_id"] >> 40 for r in out}) > 4 and len(out) == 900
+    used = Counter()
+    for r in out:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 20
+
+
+def test_equal_texts_share_a_shard(spark):
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice("abcdef ") for _ in range(r.randint(1, 300)))) for i in range(900)]
+    rows += [(None, "a copy without id " * 3)] * 30 + [(2000 + i, "twin " * 90) for i in range(14)] + [(3000 + i, f"pair {i // 2} " * 20) for i in range(60)]
+    rows += [(4000, "long " * 800), (4001, "long " * 800), (5000 + 0, None), (5001, ""), (5001, "")]
+    hot = [(6000 + i, "a third of all rows") for i in range(700)]
+    docs = spark.createDataFrame([(*x, "s", 1) for x in rows + hot], "doc_id long, text string, shard string, place int").repartition(5)
+    out = sharding.shard_documents(docs, shards=8).collect()
+    own, size, slots = defaultdict(set), Counter(), defaultdict(list)
+    for x in out:
+        own[x["text_crc32"], x["size"]].add(x["shard"])
+        size[x["shard"]] += x["size"]
+        slots[x["shard"]].append(x["slot"])
+    assert len(out) == len(rows) + len(hot) and set(size) == set(range(8))
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    target = sum(size.values()) / 8
+    together = Counter()
+    for x in out:
+        together[x["text_crc32"], x["size"]] += x["size"]
+    assert all(len(own[k]) == 1 for k, n in together.items() if 2 * n <= target)
+    assert any(len(own[k]) > 1 for k in own)  # the group that can't stay whole
+    assert max(abs(n - target) for n in size.values()) <= target / 20
+    again = sharding.shard_documents(docs, shards=8).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, shards=5).collect()
     assert len(rows) == len(corpus())
@@ -340,23 +480,77 @@ def test_sharding(docs, empty):
         sharding.shard_documents(docs, shards=0)
 
 
-def test_mixing(docs, empty):
-    out = mixing.mix(docs, block_words=500)
-    assert out.columns[: len(docs.columns)] == docs.columns
-    rows, again = out.collect(), mixing.mix(docs, block_words=500).collect()
-    key = lambda r: (str(r["doc_id"]), len(r["_m_draws"]))
-    assert sorted(map(key, rows)) == sorted(map(key, again)) and len(rows) == len(corpus())
-    sizes, taken, most = Counter(), Counter(), Counter()
+def level_of(sizes: dict, total: float) -> dict:
+    """Targets as the level at which min(weight * level, 2 * size) sum up to ``total``, by halving."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    low, high = 0.0, 4 * sum(sizes.values()) + 1.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(weight[s] * mid, 2 * sizes[s]) for s in sizes) < total else (low, mid)
+    return {s: min(weight[s] * high, 2 * sizes[s]) for s in sizes}
+
+
+def test_mixing(docs, empty, spark):
+    options = {"block_words": 500, "shards": 4}
+    rows, again = mixing.mix(docs, **options).collect(), mixing.mix(docs.repartition(2), **options).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again)) and len(rows) == len(corpus())
+    texts, sources = defaultdict(set), {r[0]: r[3] for r in corpus()}
+    for r in corpus():
+        texts[r[0]].add(len(words_of(r[1])))
+    sizes, taken, most, places = Counter(), Counter(), Counter(), defaultdict(list)
     for r in rows:
-        assert r["_m_size"] == len(words_of(r["text"])) and len(r["_m_draws"]) <= 2
-        sizes[r["source"]] += r["_m_size"]
-        taken[r["source"]] += r["_m_size"] * len(r["_m_draws"])
-        most[r["source"]] = max(most[r["source"]], r["_m_size"])
-    goal = mixing.targets(list(sizes.items()))
-    assert all(abs(taken[s] - goal[s]) <= most[s] for s in sizes)
-    assert abs(sum(goal.values()) - 1.5 * sum(sizes.values())) < 1e-6 and all(goal[s] <= 2 * sizes[s] + 1e-6 for s in sizes)
-    assert mixing.mixed_rows(docs).columns == docs.columns
-    assert mixing.mix(empty).count() == 0 and mixing.targets([]) == {}
+        s = sources[r["doc_id"]]
+        assert r["_m_size"] in texts[r["doc_id"]] and len(r["_m_draws"]) <= 2
+        sizes[s] += r["_m_size"]
+        taken[s] += r["_m_size"] * len(r["_m_draws"])
+        most[s] = max(most[s], r["_m_size"])
+        for d in r["_m_draws"]:
+            places[d["shard"]].append((d["place"], r["doc_id"]))
+    goal = level_of(sizes, 1.5 * sum(sizes.values()))
+    assert all(r["_m_source_size"] == sizes[sources[r["doc_id"]]] and abs(r["_m_target"] - goal[sources[r["doc_id"]]]) < 1e-3 for r in rows)
+    assert all(abs(taken[s] - goal[s]) <= most[s] for s in sizes) and set(places) == set(range(4))
+    # the mix itself: shard after shard, each in the order of its places
+    mixed = mixing.mixed_rows(docs, **options)
+    assert mixed.columns == docs.columns and mixing.mixed_rows(empty).count() == 0
+    got, want = [r["doc_id"] for r in mixed.collect()], [sorted(places[s], key=lambda x: x[0]) for s in range(4)]
+    at = 0
+    for own in want:
+        assert Counter(got[at : at + len(own)]) == Counter(i for _, i in own)
+        assert got[at : at + len(own)] == [i for _, i in own] or len({p for p, _ in own}) < len(own)
+        assert [i for _, i in own] != sorted([i for _, i in own], key=str)
+        at += len(own)
+    assert at == len(got) and mixing.mix(empty).count() == 0 and mixing.targets([]) == {}
+
+
+def test_mixing_tells_rows_without_ids_apart(spark):
+    rows = spark.createDataFrame([(None, f"w{i} " * 20, "s", 1) for i in range(200)] + [(7, f"v{i} " * 20, "t", 1) for i in range(200)], "doc_id long, text string, source string, block int")
+    taken = Counter()
+    for r in mixing.mix(rows, block_words=400).collect():
+        taken[r["doc_id"], len(r["_m_draws"])] += 1
+    assert taken[None, 1] + 2 * taken[None, 2] == pytest.approx(400, abs=1) and taken[7, 1] == pytest.approx(200, abs=1)
+
+
+def test_shards_get_the_blocks_of_the_tree(docs, spark):
+    from moraine.llm.common import Tables, cut
+
+    slim = cut(mixing.slim_rows(docs, max_blocks=64))
+    with Tables() as t:
+        plan = mixing.draws(slim, t, block_words=100, max_blocks=64, shards=3).collect()
+    own = defaultdict(set)  # a block's fine parts agree; (source, epoch, shard, block) is told by its draws
+    for r in plan:
+        for d in [*r["_m_whole"], *r["_m_part"]]:
+            own[r["_m_source"]].add((r["_m_fine"], d["epoch"], d["shard"]))
+    blocks = defaultdict(set)
+    words = {s: n for s, n in slim.groupBy("_m_source").sum("_m_size").collect()}
+    for s, draws in own.items():
+        n = max(1, min(64, -(-words[s] // 100)))
+        for fine, epoch, shard in draws:
+            blocks[s].add((fine * n // 64, epoch, shard))
+        assert len(blocks[s]) == len({(b, e) for b, e, _ in blocks[s]})  # disjoint
+    order = sorted(blocks)
+    tree = mixing.splitting_tree(np.array([len(blocks[s]) for s in order]), 3, mixing.SEED)
+    assert [[sum(x[2] == k for x in blocks[s]) for s in order] for k in range(3)] == tree.tolist()
 
 
 def test_splitting_tree_keeps_quotas():
@@ -430,6 +624,15 @@ def test_every_context_is_kept(spark, order):
         assert all(abs(got[i] - w) < 1e-6 for (i, _), w in zip(rows, want))
 
 
+def test_zero_bytes_are_end_symbols(spark):
+    rows = [(1, "ab\0 cd"), (2, "\0"), (3, "ab cd ab"), (4, None)]
+    stream = lambda t: " ".join([*(t or "").split(), ""]).encode() + b"\0"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_ppm([stream(t) for _, t in rows], [stream(t) for _, t in rows], 5)
+    got = {x["doc_id"]: x["score"] for x in ppm.score(docs, docs).collect()}
+    assert all(abs(got[i] - w) < 1e-6 for (i, _), w in zip(rows, want))
+
+
 def test_rare_contexts_count(spark):
     """More contexts than the 24,576 of an order that were once kept."""
     r = random.Random(4)

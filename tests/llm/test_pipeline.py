@@ -75,3 +75,9 @@ def test_stages(spark, tmp_path):
 
     again = Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, DATA).collect())
     assert again == pieces
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels"):
+        table(spark, DATA, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
