@@ -121,7 +121,7 @@ def velocity_autocorrelation(velocities: DataFrame, scheme: BlockingScheme, axes
 def intermediate_scattering(modes: DataFrame, wavevectors: DataFrame, scheme: BlockingScheme, norm: float, other: DataFrame | None = None, **options) -> DataFrame:
     """Per shell: the mean of Re[rho(t1) rho*(t2)] / norm over its wavevectors
     and the origins."""
-    shells = F.broadcast(wavevectors.select("q_id", "shell", "wavenumber"))
+    shells = wavevectors.select("q_id", "shell", "wavenumber")
     keep = ["step", "q_id", "shell", "wavenumber", "re", "im"]
     first = modes.join(shells, "q_id").select(keep)
     second = None if other is None else other.join(shells, "q_id").select(keep)

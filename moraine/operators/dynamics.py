@@ -1,34 +1,14 @@
-"""Integrators as driver loops over declarative steps.
+"""The two projections of which integration steps consist.
 
-One simulation step is a few Spark jobs, so this is for small systems and for
-checking observables, not for speed. Each step's particles are written to the
-shared checkpoint folder: lineage stays short and survives lost executors.
+Simulations themselves are no work for Spark: a step would be several jobs.
 """
 
 from __future__ import annotations
 
-import math
-import tempfile
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.functions.box import Box, reduce_periodic, square, total
-from moraine.operators.forces import with_forces
-from moraine.operators.generate import boltzmann_velocities
-
-Forces = Callable[[DataFrame], DataFrame]
-Hook = Callable[[int, DataFrame], None]
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="moraine-"))
-    return df.checkpoint()
+from moraine.functions.box import Box, reduce_periodic
 
 
 def drift(particles: DataFrame, box: Box, dt: float) -> DataFrame:
@@ -39,134 +19,3 @@ def drift(particles: DataFrame, box: Box, dt: float) -> DataFrame:
 def kick(particles: DataFrame, box: Box, dt: float) -> DataFrame:
     """v += f dt / m."""
     return particles.withColumns({"v" + a: F.col("v" + a) + dt * F.col("f" + a) / F.col("mass") for a in box.axes})
-
-
-@dataclass
-class Integrator:
-    """Base of all: moves free particles (Euler). ``forces`` gives the force rows
-    of a table of particles; the state keeps the last forces."""
-
-    box: Box
-    dt: float
-    forces: Forces | None = None
-
-    def start(self, particles: DataFrame) -> DataFrame:
-        return checkpointed(self.refreshed(particles))
-
-    def refreshed(self, particles: DataFrame) -> DataFrame:
-        if self.forces is None:
-            return particles
-        known = [c for c in particles.columns if c.startswith(("fx", "fy", "fz", "s")) and c != "species" or c == "en_pot"]
-        return with_forces(particles.drop(*known), self.forces(particles), self.box)
-
-    def step(self, particles: DataFrame, step: int) -> DataFrame:
-        return drift(particles, self.box, self.dt)
-
-    def run(self, particles: DataFrame, steps: int, first: int = 0, hooks: dict[str, list[Hook]] | None = None) -> DataFrame:
-        """Sampler: prepare hooks, a step, sample hooks; start and finish hooks
-        around all. Returns the last state."""
-        hooks = hooks or {}
-
-        def call(name: str, at: int) -> None:
-            for h in hooks.get(name, []):
-                h(at, now)
-
-        now = self.start(particles)
-        call("start", first)
-        call("sample", first)
-        for at in range(first + 1, first + steps + 1):
-            call("prepare", at)
-            now = checkpointed(self.step(now, at))
-            call("sample", at)
-        call("finish", first + steps)
-        return now
-
-
-@dataclass
-class Verlet(Integrator):
-    """Velocity Verlet: constant energy."""
-
-    def step(self, particles: DataFrame, step: int) -> DataFrame:
-        moved = drift(kick(particles, self.box, self.dt / 2), self.box, self.dt)
-        return kick(self.refreshed(checkpointed(moved)), self.box, self.dt / 2)
-
-
-@dataclass
-class Andersen(Verlet):
-    """Constant temperature: in place of the second half-kick each particle's
-    velocity is drawn anew with probability rate * dt, with unit mass."""
-
-    temperature: float = 1.0
-    rate: float = 1.0
-    seed: int = 0
-
-    def step(self, particles: DataFrame, step: int) -> DataFrame:
-        moved = self.refreshed(checkpointed(drift(kick(particles, self.box, self.dt / 2), self.box, self.dt)))
-        moved = moved.withColumn("_u", F.rand(self.seed + 7 * step))
-        kicked = {"v" + a: F.col("v" + a) + self.dt / 2 * F.col("f" + a) / F.col("mass") for a in self.box.axes}
-        drawn = {"v" + a: F.randn(self.seed + 7 * step + 1 + k) * math.sqrt(self.temperature) for k, a in enumerate(self.box.axes)}
-        return moved.withColumns({n: F.when(F.col("_u") < self.rate * self.dt, drawn[n]).otherwise(kicked[n]) for n in kicked}).drop("_u")
-
-
-@dataclass
-class NoseHoover(Verlet):
-    """Constant temperature by a chain of two heat-bath variables; the kinetic
-    energy of the chain counts unit masses."""
-
-    temperature: float = 1.0
-    frequency: float = 5.0
-    xi: list[float] = field(default_factory=lambda: [0.0, 0.0])
-    v_xi: list[float] = field(default_factory=lambda: [0.0, 0.0])
-    count: int = 0
-
-    def start(self, particles: DataFrame) -> DataFrame:
-        now = super().start(particles)
-        self.count = now.count()
-        return now
-
-    def masses(self) -> tuple[float, float]:
-        w2 = (2 * math.pi * self.frequency) ** 2
-        return self.box.dimension * self.count * self.temperature / w2, self.temperature / w2
-
-    def _chain(self, particles: DataFrame) -> DataFrame:
-        q0, q1 = self.masses()
-        target = self.box.dimension * self.count * self.temperature
-        twice = particles.agg(F.sum(total([square(F.col("v" + a)) for a in self.box.axes]))).first()[0] or 0.0
-        v, dt = self.v_xi, self.dt
-
-        def inner(damp: float) -> None:
-            v[0] = (v[0] * damp + (twice - target) / q0 * dt / 4) * damp
-
-        v[1] += (q0 * v[0] ** 2 - self.temperature) / q1 * dt / 4
-        damp = math.exp(-v[1] * dt / 8)
-        inner(damp)
-        self.xi = [x + w * dt / 2 for x, w in zip(self.xi, v)]
-        scale = math.exp(-v[0] * dt / 2)
-        twice *= scale * scale
-        inner(damp)
-        v[1] += (q0 * v[0] ** 2 - self.temperature) / q1 * dt / 4
-        return particles.withColumns({"v" + a: F.col("v" + a) * scale for a in self.box.axes})
-
-    def chain_energy(self) -> float:
-        """Energy of the heat bath per particle."""
-        q0, q1 = self.masses()
-        dof = self.box.dimension * self.count
-        energy = (q0 * self.v_xi[0] ** 2 + q1 * self.v_xi[1] ** 2) / 2 + self.temperature * (dof * self.xi[0] + self.xi[1])
-        return energy / max(self.count, 1)
-
-    def step(self, particles: DataFrame, step: int) -> DataFrame:
-        return self._chain(checkpointed(super().step(self._chain(particles), step)))
-
-
-@dataclass
-class BoltzmannVerlet(Verlet):
-    """Constant energy with a full redraw of velocities every few steps."""
-
-    temperature: float = 1.0
-    rate: float = 1.0
-    seed: int = 0
-
-    def step(self, particles: DataFrame, step: int) -> DataFrame:
-        now = super().step(particles, step)
-        every = max(1, round(1 / (self.rate * self.dt)))
-        return boltzmann_velocities(now, self.box, self.temperature, self.seed + step) if step % every == 0 else now

@@ -97,7 +97,7 @@ def structure_factor(modes: DataFrame, wavevectors: DataFrame, norm: float, othe
     keys = [c for c in ("step",) if c in modes.columns]
     second = (modes if other is None else other).select(*keys, "q_id", F.col("re").alias("re2"), F.col("im").alias("im2"))
     value = (F.col("re") * F.col("re2") + F.col("im") * F.col("im2")) / norm
-    rows = modes.join(second, [*keys, "q_id"]).join(F.broadcast(wavevectors.select("q_id", "shell", "wavenumber")), "q_id").withColumn("_v", value)
+    rows = modes.join(second, [*keys, "q_id"]).join(wavevectors.select("q_id", "shell", "wavenumber"), "q_id").withColumn("_v", value)
     return rows.groupBy(*keys, "shell", "wavenumber").agg(F.avg("_v").alias("value"), F.coalesce(error_of_mean("_v"), F.lit(0.0)).alias("error"), F.count("*").alias("count"))
 
 
@@ -106,7 +106,7 @@ def density_profile(modes: DataFrame, wavevectors: DataFrame, box: Box, axis: st
     averaged over steps, smoothed by a Gaussian and divided by the mean over the
     central part ``bulk`` of the box. Wavevectors: dense, other axes filtered."""
     length = box.lengths[box.axes.index(axis)]
-    mean = modes.groupBy("q_id").agg(F.avg("re").alias("re"), F.avg("im").alias("im")).join(F.broadcast(wavevectors.select("q_id", F.col("q" + axis).alias("q"))), "q_id")
+    mean = modes.groupBy("q_id").agg(F.avg("re").alias("re"), F.avg("im").alias("im")).join(wavevectors.select("q_id", F.col("q" + axis).alias("q")), "q_id")
     grid = modes.sparkSession.range(points).select(((F.col("id") + 0.5) * (length / points) - length / 2).alias("position"))
     phase = F.col("q") * F.col("position")
     wave = F.exp(-sigma * sigma * F.col("q") * F.col("q") / 2) * (F.col("re") * F.cos(phase) - F.col("im") * F.sin(phase))

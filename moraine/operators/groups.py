@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 from moraine.functions.box import Box, extend_periodic, reduce_periodic, square, total
 
 
+NO_BUCKET = -(1 << 62)  # of rows without an order
+
+
 @dataclass(frozen=True)
 class Cuboid:
     lowest: tuple[float, ...]
@@ -125,9 +128,10 @@ def to_particle(group: DataFrame, box: Box, count: int | None = None) -> DataFra
 
 
 def dense_index(rows: DataFrame, order: str, name: str, width: int = 65_536) -> DataFrame:
-    """Add 0, 1, ... in the order of a whole-number column: a running number in
-    each range of values, above the count of all ranges before."""
-    bucketed = rows.withColumn("_bucket", F.floor(F.col(order) / width))
+    """Add 0, 1, ... in the order of a whole-number column (rows without a value
+    come first): a running number in each range of values, above the count of all
+    ranges before."""
+    bucketed = rows.withColumn("_bucket", F.coalesce(F.floor(F.col(order) / width), F.lit(NO_BUCKET)))
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1

@@ -111,8 +111,8 @@ def neighbours(particles: DataFrame, box: Box, cutoff: float, skin: float = 0.0,
     else:
         met = _cell_join(particles, particles if same else others, box, reach, keys, same)
         pairs = _ordered(_distances(met, box), keys, same)
-    if params is not None:  # one row per species pair
-        pairs = pairs.join(F.broadcast(params), (F.col("species_i") == F.col("a")) & (F.col("species_j") == F.col("b"))).drop("a", "b")
+    if params is not None:  # one row per species pair; Spark broadcasts the table if it is small
+        pairs = pairs.join(params, (F.col("species_i") == F.col("a")) & (F.col("species_j") == F.col("b"))).drop("a", "b")
         return pairs.where(F.col("rr") < square(F.col("r_cut") + skin))
     return pairs.where(F.col("rr") < reach**2)
 

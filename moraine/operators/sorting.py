@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from moraine.functions.box import Box
 from moraine.functions.hilbert import curve_depth, hilbert_code
-from moraine.operators.groups import dense_index
+from moraine.operators.groups import NO_BUCKET, dense_index
+from moraine.sources.scratch import written
 
 
 def sort_by_key(rows: DataFrame, key: str, tie: str) -> DataFrame:
@@ -18,6 +19,18 @@ def sort_by_key(rows: DataFrame, key: str, tie: str) -> DataFrame:
     return rows.orderBy(key, tie)
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add 0, 1, ... in the order of any columns. Rows are range-partitioned by
+    them and written once; a row's number is its place in its range above the
+    counts of the ranges before, of which there is one row each."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # that id holds the partition above 33 bits of the place in it
+    ranged = written(ranged.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_own")).drop("_id"))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
 def permute(rows: DataFrame, permutation: DataFrame, index: str = "index") -> DataFrame:
     """Row ``source`` moves to ``index``: (index, source) joins rows by place."""
     return permutation.select(index, "source").join(rows.withColumnRenamed(index, "source"), "source").drop("source")
@@ -25,8 +38,10 @@ def permute(rows: DataFrame, permutation: DataFrame, index: str = "index") -> Da
 
 def exclusive_scan(rows: DataFrame, value: str, order: str, width: int = 65_536) -> DataFrame:
     """Add ``scan``, the sum of all earlier values in the order of a whole-number
-    column: scans of ranges, above the totals of the ranges before."""
-    bucket = F.floor(F.col(order) / width)
+    column: scans of ranges, above the totals of the ranges before. Rows without an
+    order come first. Rows of equal order come in any order among themselves, so
+    their scans may change places from run to run."""
+    bucket = F.coalesce(F.floor(F.col(order) / width), F.lit(NO_BUCKET))
     own = F.coalesce(F.sum(value).over(Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_bucket", bucket)
     totals = rows.groupBy("_bucket").agg(F.sum(value).alias("_total"))

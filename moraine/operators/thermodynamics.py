@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from moraine.functions.box import Box, square, total
 from moraine.functions.vectors import stress_outer
 from moraine.operators.forces import stress_names
+from moraine.operators.groups import sampled_steps
+from moraine.sources.scratch import written
 
 
 def variables(box: Box, volume: float | Callable[[], float] | None = None) -> dict[str, Column]:
@@ -49,6 +51,7 @@ def variables(box: Box, volume: float | Callable[[], float] | None = None) -> di
     return out
 
 
+_COMPONENTS = ("x", "y", "z", "xx", "yy", "zz", "xy", "xz", "yz")
 DEFAULT = ("potential_energy", "pressure", "temperature", "center_of_mass_velocity")
 
 
@@ -62,13 +65,33 @@ def thermodynamics(particles: DataFrame, box: Box, names: Sequence[str] | dict[s
         keys.insert(keys.index("step") + 1, "time")
     chosen = []
     for alias, name in (names.items() if isinstance(names, dict) else [(n, n) for n in names]):
-        own = [k for k in known if k == name or k.startswith(name + "_") and k[len(name) + 1 :] in ("x", "y", "z", "xx", "yy", "zz", "xy", "xz", "yz")]
+        own = [k for k in known if k == name or k.startswith(name + "_") and k[len(name) + 1 :] in _COMPONENTS]
         if not own:
             raise ValueError(f"unknown state variable {name!r}")
         chosen += [known[k].alias(alias + k[len(name) :]) for k in own]
     return particles.groupBy(*keys).agg(*chosen) if keys else particles.agg(*chosen)
 
 
+def write_series(writer, particles: DataFrame, box: Box, names: Sequence[str] | dict[str, str] = DEFAULT, every: int = 1, location: str = "observables",
+                 fluctuating: bool = False, volume: float | None = None) -> None:
+    """Store state variables of every ``every``-th step in a trajectory store:
+    one series ``location/name`` (step, time and its components) for each name.
+    The volume, and unless the group is ``fluctuating`` the number of particles and
+    the density, don't change: they are written once, as static elements."""
+    constants = ["volume"] + ([] if fluctuating else ["particle_number", "density"])
+    chosen = {n: n for n in names} if not isinstance(names, dict) else dict(names)
+    chosen = {k: v for k, v in chosen.items() if v not in constants} | ({n: n for n in ("particle_number", "density")} if fluctuating else {})
+    rows = sampled_steps(particles, 0, every)
+    first = rows.where(F.col("step") == (rows.agg(F.min("step")).first()[0] or 0))
+    once = thermodynamics(first.drop("step", "time"), box, constants, volume=volume)
+    for n in constants:
+        writer.replace(f"{location}/{n}", once.select(F.col(n).alias("value")).coalesce(1))
+    series = written(thermodynamics(rows, box, chosen, volume=volume))  # one row a step
+    for n in chosen:
+        own = [c for c in series.columns if c == n or c.startswith(n + "_") and c[len(n) + 1 :] in _COMPONENTS]
+        writer.append(f"{location}/{n}", series.select("step", "time", *[F.col(c).alias("value" + c[len(n) :]) for c in own]))
+
+
 def rescaling_factor(particles: DataFrame, box: Box, temperature: float | None = None, internal_energy: float | None = None) -> DataFrame:
     """One row: the drift velocity and the factor that, after removing the drift,
     brings the group to a temperature or to a total energy per particle."""

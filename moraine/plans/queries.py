@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +20,9 @@ from moraine.functions.box import Box, extend_periodic, reduce_periodic
 from moraine.functions.hilbert import hilbert_code
 from moraine.operators import correlation as tcf
 from moraine.operators import dynamics, forces, fourier, generate, groups, neighbours, sorting, statistics
-from moraine.operators.thermodynamics import rescaling_factor, thermodynamics
-from moraine.sources.store import Reader, Writer, as_particles, as_series, as_trajectory, static_species
+from moraine.operators.thermodynamics import rescaling_factor, thermodynamics, write_series
+from moraine.sources.scratch import scratch, written
+from moraine.sources.store import Reader, StoreError, Writer, as_particles, as_series, as_trajectory, static_species
 from moraine.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,29 @@ def _r(digits: int, **columns: str) -> str:
     return ", ".join(f"round(({c})::DOUBLE, {digits}) + 0.0 AS {n}" for n, c in columns.items())
 
 
+DIGITS = 7
+
+
+def significant(df: DataFrame, **scales: list[str]) -> DataFrame:
+    """Columns that share a scale, the largest of their values in a row, as whole
+    numbers of ``DIGITS`` digits for that scale, whose power of ten is a column of
+    its own: every row tells as much, however large or small its values."""
+    for name, columns in scales.items():
+        largest = F.greatest(*[F.abs(c) for c in columns]) if len(columns) > 1 else F.abs(columns[0])
+        df = df.withColumn(name, F.when(largest > 0, F.floor(F.log10(largest))).otherwise(F.lit(0)).cast("int"))
+        # 10 ** a / 10 ** b with both exact
+        up, down = F.pow(F.lit(10.0), F.greatest(DIGITS - 1 - F.col(name), F.lit(0))), F.pow(F.lit(10.0), F.greatest(F.col(name) - DIGITS + 1, F.lit(0)))
+        df = df.withColumns({c: F.round(F.col(c) * up / down).cast("bigint") for c in columns})
+    return df
+
+
+def _significant_sql(source: str, keep: str, **scales: list[str]) -> str:
+    """The same in SQL: a SELECT from ``source``."""
+    inner = ", ".join(f"(CASE WHEN greatest({', '.join(f'abs({c})' for c in cs)}) > 0 THEN floor(log10(greatest({', '.join(f'abs({c})' for c in cs)}))) ELSE 0 END)::INT AS {n}" for n, cs in scales.items())
+    outer = ", ".join([*scales, *[f"round({c} * pow(10.0::DOUBLE, greatest({DIGITS - 1} - {n}, 0)) / pow(10.0::DOUBLE, greatest({n} - {DIGITS - 1}, 0)))::BIGINT AS {c}" for n, cs in scales.items() for c in cs]])
+    return f"SELECT {keep}, {outer} FROM (SELECT *, {inner} FROM {source})"
+
+
 # ---- selections and periodic boxes
 
 SPHERE, CUBOID = groups.Sphere((0.0, 0.0, 0.0), 0.2), groups.Cuboid((-0.1, -0.15, -0.2), (0.25, 0.2, 0.3))
@@ -164,12 +187,17 @@ def coprime_indices(spark, d):
 # ---- statistics
 
 def _moments_sql(v: str, digits: int = 6) -> str:
-    return f"count({v}) AS count, " + _r(digits, sum=f"sum({v})", mean=f"avg({v})", variance=f"var_pop({v})", sigma=f"stddev_pop({v})", error=f"CASE WHEN count({v}) > 1 THEN stddev_pop({v}) / sqrt(count({v}) - 1) END")
+    return f"count({v}) AS count, " + _r(6, variance=f"var_pop({v})") + ", " + _r(digits, sum=f"sum({v})", mean=f"avg({v})", sigma=f"stddev_pop({v})", error=f"CASE WHEN count({v}) > 1 THEN stddev_pop({v}) / sqrt(count({v}) - 1) END")
 
 
 _STATS = ("sum", "mean", "variance", "sigma", "error")
 
 
+def _rounded_moments(df: DataFrame) -> DataFrame:
+    """Means of few values of two decimals lie on ties of six digits; of nine they don't."""
+    return rounded(rounded(df, 9, "sum", "mean", "sigma", "error"), 6, "variance")
+
+
 @query("accumulate", f"SELECT event_type, {_moments_sql('value')} FROM events GROUP BY event_type")
 def accumulate(spark, d):
     return rounded(statistics.accumulate(as_series(spark, d), "value", ["event_type"]), 6, *_STATS)
@@ -190,9 +218,9 @@ def merge_accumulators(spark, d):
     return rounded(merged.select("event_type", "count", *_STATS), 6, *_STATS)
 
 
-@query("windowed_statistics", f"SELECT (event_id // 49) * 49 AS \"window\", {_moments_sql('value')} FROM events GROUP BY 1")
+@query("windowed_statistics", f"SELECT (event_id // 64) * 64 AS \"window\", {_moments_sql('value', 9)} FROM events GROUP BY 1")
 def windowed(spark, d):
-    return rounded(statistics.windowed(as_series(spark, d), "value", 49), 6, *_STATS)
+    return _rounded_moments(statistics.windowed(as_series(spark, d), "value", 64))
 
 
 @query("running_statistics", f"WITH {E} SELECT id, step, count(*) OVER w AS count, {_r(9, mean='avg(vx) OVER w')}, {_r(6, error='CASE WHEN count(*) OVER w > 1 THEN stddev_pop(vx) OVER w / sqrt(count(*) OVER w - 1) END')} FROM e WINDOW w AS (PARTITION BY id ORDER BY step ROWS UNBOUNDED PRECEDING)")
@@ -254,11 +282,11 @@ def neighbour_counts(spark, d):
     return pairs.select(F.explode(F.array("i", "j")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("neighbours_between", f"""WITH {P}, q0 AS (SELECT a.id AS i, b.id AS j, a.x - b.x AS ux, a.y - b.y AS uy, a.z - b.z AS uz FROM p a, p b WHERE a.species = 1 AND b.species = 2),
+@query("neighbours_between", f"""WITH {P}, q0 AS (SELECT a.id AS i, b.id AS j, a.x - b.x AS ux, a.y - b.y AS uy, a.z - b.z AS uz FROM p a, p b WHERE a.species < 5 AND b.species >= 5),
 q AS (SELECT i, j, pow({_MI.format('ux')}, 2) + pow({_MI.format('uy')}, 2) + pow({_MI.format('uz')}, 2) AS rr FROM q0) SELECT i, j, {_r(9, rr='rr')} FROM q WHERE rr < 0.15*0.15""")
 def neighbours_between(spark, d):
     p, box = as_particles(spark, d)
-    return rounded(neighbours.neighbours(p.where("species = 1"), box, 0.15, others=p.where("species = 2")).select("i", "j", "rr"), 9, "rr")
+    return rounded(neighbours.neighbours(p.where("species < 5"), box, 0.15, others=p.where("species >= 5")).select("i", "j", "rr"), 9, "rr")
 
 
 @query("cell_binning", f"WITH {P} SELECT (((floor(x * 5) + 5) % 5))::INT AS cx, (((floor(y * 5) + 5) % 5))::INT AS cy, (((floor(z * 5) + 5) % 5))::INT AS cz, count(*) AS n FROM p GROUP BY ALL")
@@ -298,20 +326,20 @@ def excluded_volume(spark, d):
 
 def _params(spark: SparkSession, species: int = 10) -> DataFrame:
     """epsilon and sigma grow with both species; cutoffs differ a little."""
-    rows = [{"a": a, "b": b, "epsilon": 1 + 0.1 * (a + b), "sigma": 0.005 + 0.0001 * (a + b), "r_cut": 0.1 + 0.001 * (a + b), "r_min": 0.0125, "distortion": 1.2, "r_core": 0.0005} for a in range(species) for b in range(a, species)]
+    rows = [{"a": a, "b": b, "epsilon": 1 + 0.1 * (a + b), "sigma": 0.02 + 0.0005 * (a + b), "r_cut": 0.1 + 0.001 * (a + b), "r_min": 0.05, "distortion": 1.2, "r_core": 0.002} for a in range(species) for b in range(a, species)]
     return pot.species_pairs(spark, rows)
 
 
-_PAR = "1 + 0.1*(si + sj) AS e, 0.005 + 0.0001*(si + sj) AS s, 0.1 + 0.001*(si + sj) AS rc"
+_PAR = "1 + 0.1*(si + sj) AS e, 0.02 + 0.0005*(si + sj) AS s, 0.1 + 0.001*(si + sj) AS rc"
 # (potential, energy and fval in SQL by squared distance {r}; e, s: epsilon, sigma)
 POTENTIALS: dict[str, tuple[pot.Potential, str, str]] = {
     "lennard_jones": (pot.lennard_jones, "4*e*pow(s*s/({r}),3)*(pow(s*s/({r}),3) - 1)", "48*e/(s*s)*(s*s/({r}))*pow(s*s/({r}),3)*(pow(s*s/({r}),3) - 0.5)"),
     "mie": (pot.mie(10, 4), f"{10 / 6 * 2.5 ** (4 / 6)!r}::DOUBLE*e*pow(s*s/({{r}}),2)*(pow(s*s/({{r}}),3) - 1)", f"2*{10 / 6 * 2.5 ** (4 / 6)!r}::DOUBLE*e*pow(s*s/({{r}}),2)*(5*pow(s*s/({{r}}),3) - 2)/({{r}})"),
-    "morse": (pot.morse, "e/1.88*exp((0.0125 - sqrt({r}))/s/1.2)*(exp(1.88*(0.0125 - sqrt({r}))/s/1.2) - 2.88)", "2.88*e/1.88*exp((0.0125 - sqrt({r}))/s/1.2)*(exp(1.88*(0.0125 - sqrt({r}))/s/1.2) - 1)/(s*1.2*sqrt({r}))"),
+    "morse": (pot.morse, "e/1.88*exp((0.05 - sqrt({r}))/s/1.2)*(exp(1.88*(0.05 - sqrt({r}))/s/1.2) - 2.88)", "2.88*e/1.88*exp((0.05 - sqrt({r}))/s/1.2)*(exp(1.88*(0.05 - sqrt({r}))/s/1.2) - 1)/(s*1.2*sqrt({r}))"),
     "power_law": (pot.power_law(6), "e*pow(s*s/({r}),3)", "6*e*pow(s*s/({r}),3)/({r})"),
-    "power_law_hard_core": (pot.power_law_hard_core(6), "e*pow(s/(sqrt({r}) - 0.0005),6)", "6*e*pow(s/(sqrt({r}) - 0.0005),6)/((sqrt({r}) - 0.0005)*sqrt({r}))"),
-    "hard_core_morse": (pot.hard_core(pot.morse), "e/1.88*exp((0.0125 - abs(sqrt({r}) - 0.0005))/s/1.2)*(exp(1.88*(0.0125 - abs(sqrt({r}) - 0.0005))/s/1.2) - 2.88)",
-                        "sign(sqrt({r}) - 0.0005)*2.88*e/1.88*exp((0.0125 - abs(sqrt({r}) - 0.0005))/s/1.2)*(exp(1.88*(0.0125 - abs(sqrt({r}) - 0.0005))/s/1.2) - 1)/(s*1.2*sqrt({r}))"),
+    "power_law_hard_core": (pot.power_law_hard_core(6), "e*pow(s/(sqrt({r}) - 0.002),6)", "6*e*pow(s/(sqrt({r}) - 0.002),6)/((sqrt({r}) - 0.002)*sqrt({r}))"),
+    "hard_core_morse": (pot.hard_core(pot.morse), "e/1.88*exp((0.05 - abs(sqrt({r}) - 0.002))/s/1.2)*(exp(1.88*(0.05 - abs(sqrt({r}) - 0.002))/s/1.2) - 2.88)",
+                        "sign(sqrt({r}) - 0.002)*2.88*e/1.88*exp((0.05 - abs(sqrt({r}) - 0.002))/s/1.2)*(exp(1.88*(0.05 - abs(sqrt({r}) - 0.002))/s/1.2) - 1)/(s*1.2*sqrt({r}))"),
 }
 _H = 0.02
 
@@ -339,21 +367,20 @@ def _force_rows(spark, d, name: str, kind: str) -> tuple[DataFrame, DataFrame, B
 
 def _force_sql(name: str, kind: str) -> str:
     return f"""WITH {PAIRS}, w AS (SELECT *, {_PAR} FROM q), t AS (SELECT *, {_truncated_sql(name, kind)} FROM w WHERE rr < rc*rc),
-s AS (SELECT i AS id, f*dx AS fx, f*dy AS fy, f*dz AS fz, u/2 AS u, f*dx*dx/2 AS sxx, f*dy*dy/2 AS syy, f*dz*dz/2 AS szz, f*dx*dy/2 AS sxy FROM t UNION ALL
- SELECT j, -f*dx, -f*dy, -f*dz, u/2, f*dx*dx/2, f*dy*dy/2, f*dz*dz/2, f*dx*dy/2 FROM t),
-fo AS (SELECT id, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz, sum(u) AS en_pot, sum(sxx) AS sxx, sum(syy) AS syy, sum(szz) AS szz, sum(sxy) AS sxy FROM s GROUP BY id)"""
+s AS (SELECT i AS id, f*dx AS fx, f*dy AS fy, f*dz AS fz, u/2 AS u, f*dx*dx/2 AS sxx, f*dy*dy/2 AS syy, f*dz*dz/2 AS szz, f*dx*dy/2 AS sxy, f*dx*dz/2 AS sxz, f*dy*dz/2 AS syz FROM t UNION ALL
+ SELECT j, -f*dx, -f*dy, -f*dz, u/2, f*dx*dx/2, f*dy*dy/2, f*dz*dz/2, f*dx*dy/2, f*dx*dz/2, f*dy*dz/2 FROM t),
+fo AS (SELECT id, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz, sum(u) AS en_pot, sum(sxx) AS sxx, sum(syy) AS syy, sum(szz) AS szz, sum(sxy) AS sxy, sum(sxz) AS sxz, sum(syz) AS syz FROM s GROUP BY id)"""
 
 
-def _forces(name: str, kind: str) -> None:
-    digits = 1 if name in ("lennard_jones", "mie", "power_law", "power_law_hard_core") else 4
+_FORCES = {"f_scale": ["fx", "fy", "fz"], "u_scale": ["en_pot"], "s_scale": ["sxx", "syy", "szz", "sxy", "sxz", "syz"]}
 
+
+def _forces(name: str, kind: str) -> None:
     def run(spark, d):
         _, f, _ = _force_rows(spark, d, name, kind)
-        names = ["fx", "fy", "fz", "en_pot", "sxx", "sxy"]
-        return rounded(f.select("id", *names), digits, *names)
+        return significant(f.select("id", *[c for cs in _FORCES.values() for c in cs]), **_FORCES)
 
-    names = {n: n for n in ("fx", "fy", "fz", "en_pot", "sxx", "sxy")}
-    query(f"forces_{name}_{kind}", _force_sql(name, kind) + f" SELECT id, {_r(digits, **names)} FROM fo")(run)
+    query(f"forces_{name}_{kind}", _force_sql(name, kind) + " " + _significant_sql("fo", "id", **_FORCES))(run)
 
 
 for _name in POTENTIALS:
@@ -375,13 +402,35 @@ def forces_full(spark, d):
     return rounded(forces.pair_forces(pairs, box, pot.REGISTRY["spring"]).select("id", "fx", "en_pot"), 6, "fx", "en_pot")
 
 
-@query("pressure", _force_sql("morse", "smooth_r4") + ", g AS (SELECT p.*, coalesce(en_pot, 0) AS u, coalesce(sxx, 0) AS sxx, coalesce(syy, 0) AS syy, coalesce(szz, 0) AS szz, coalesce(sxy, 0) AS sxy, coalesce(fx, 0) AS fx FROM p LEFT JOIN fo USING (id)) SELECT "
+@query("forces_between", f"""WITH {P}, q0 AS (SELECT a.id AS id, a.x - b.x AS ux, a.y - b.y AS uy, a.z - b.z AS uz FROM p a, p b WHERE a.species < 5 AND b.species >= 5),
+q AS (SELECT id, {_MI.format('ux')} AS dx, {_MI.format('uy')} AS dy, {_MI.format('uz')} AS dz FROM q0), t AS (SELECT *, dx*dx + dy*dy + dz*dz AS rr FROM q),
+o AS (SELECT id, -3*sum(dx) AS fx, -3*sum(dy) AS fy, -3*sum(dz) AS fz, 0.7*sum(1.5*rr) AS en_pot, -0.7*3*sum(dx*dx) AS sxx, -0.7*3*sum(dy*dy) AS syy, -0.7*3*sum(dz*dz) AS szz,
+ -0.7*3*sum(dx*dy) AS sxy, -0.7*3*sum(dx*dz) AS sxz, -0.7*3*sum(dy*dz) AS syz FROM t WHERE rr < 0.04 GROUP BY id) """ + _significant_sql("o", "id", **_FORCES))
+def forces_between(spark, d):
+    """Of one table's particles on another's, for these alone, with a weight for energy and stress."""
+    p, box = as_particles(spark, d)
+    pairs = neighbours.neighbours(p.where("species < 5").select("id", "x", "y", "z"), box, 0.2, others=p.where("species >= 5").select("id", "x", "y", "z")).withColumn("epsilon", F.lit(3.0))
+    f = forces.pair_forces(pairs, box, pot.REGISTRY["spring"], aux_weight=0.7, both=False)
+    return significant(f.select("id", *[c for cs in _FORCES.values() for c in cs]), **_FORCES)
+
+
+@query("small_box_steps", f"""WITH {P}, t AS (SELECT species AS step, id, x, y, z FROM p), q0 AS (SELECT a.step AS step, a.id AS i, b.id AS j, a.x - b.x AS ux, a.y - b.y AS uy, a.z - b.z AS uz FROM t a JOIN t b ON a.step = b.step AND a.id < b.id),
+q AS (SELECT step, i, j, pow({_MI.format('ux')}, 2) + pow({_MI.format('uy')}, 2) + pow({_MI.format('uz')}, 2) AS rr FROM q0) SELECT step, i, count(*) AS n, {_r(6, total='sum(rr)')} FROM q WHERE rr < 0.16 GROUP BY step, i""")
+def small_box_steps(spark, d):
+    """Many steps in a box of few cells: each species stands for a step."""
+    p, box = as_particles(spark, d)
+    pairs = neighbours.neighbours(p.select(F.col("species").alias("step"), "id", "x", "y", "z"), box, 0.4)
+    return rounded(pairs.groupBy("step", "i").agg(F.count("*").alias("n"), F.sum("rr").alias("total")), 6, "total")
+
+
+@query("pressure", _force_sql("morse", "smooth_r4") + ", g AS (SELECT p.*, coalesce(en_pot, 0) AS u, coalesce(sxx, 0) AS sxx, coalesce(syy, 0) AS syy, coalesce(szz, 0) AS szz, coalesce(sxy, 0) AS sxy, coalesce(sxz, 0) AS sxz, coalesce(syz, 0) AS syz, coalesce(fx, 0) AS fx, coalesce(fy, 0) AS fy, coalesce(fz, 0) AS fz FROM p LEFT JOIN fo USING (id)) SELECT "
        + _r(5, potential_energy="sum(u)/count(*)", internal_energy="sum(u)/count(*) + sum(0.5*mass*(vx*vx + vy*vy + vz*vz))/count(*)", virial="sum(sxx + syy + szz)/count(*)",
-            pressure="count(*)*(2*sum(0.5*mass*(vx*vx + vy*vy + vz*vz))/count(*)/3 + sum(sxx + syy + szz)/count(*)/3)", stress_xx="sum(sxx + mass*vx*vx)", stress_xy="sum(sxy + mass*vx*vy)", total_force_x="sum(fx)") + " FROM g")
+            pressure="count(*)*(2*sum(0.5*mass*(vx*vx + vy*vy + vz*vz))/count(*)/3 + sum(sxx + syy + szz)/count(*)/3)", stress_xx="sum(sxx + mass*vx*vx)", stress_yy="sum(syy + mass*vy*vy)", stress_zz="sum(szz + mass*vz*vz)", stress_xy="sum(sxy + mass*vx*vy)", stress_xz="sum(sxz + mass*vx*vz)", stress_yz="sum(syz + mass*vy*vz)",
+            total_force_x="sum(fx)", total_force_y="sum(fy)", total_force_z="sum(fz)") + " FROM g")
 def pressure(spark, d):
     p, f, box = _force_rows(spark, d, "morse", "smooth_r4")
     out = thermodynamics(forces.with_forces(p, f, box), box, ["potential_energy", "internal_energy", "virial", "pressure", "stress", "total_force"])
-    names = ["potential_energy", "internal_energy", "virial", "pressure", "stress_xx", "stress_xy", "total_force_x"]
+    names = ["potential_energy", "internal_energy", "virial", "pressure", *["stress_" + c for c in ("xx", "yy", "zz", "xy", "xz", "yz")], *["total_force_" + a for a in "xyz"]]
     return rounded(out.select(names), 5, *names)
 
 
@@ -412,14 +461,19 @@ def harmonic_plus_pairs(spark, d):
 @query("verlet_step", f"WITH {P}, h AS (SELECT id, mass, x, vx - 0.05*3*x/mass AS v FROM p), m AS (SELECT id, mass, v, x + 0.1*v AS r FROM h), n AS (SELECT *, {_MI.format('r')} AS w FROM m) SELECT id, {_r(9, x='w', vx='v - 0.05*3*w/mass')} FROM n")
 def verlet_step(spark, d):
     p, box = as_particles(spark, d)
-    v = dynamics.Verlet(box, 0.1, lambda q: forces.external_forces(q, box, lambda r: pot.harmonic(r, (0.0, 0.0, 0.0), 3.0)))
-    return rounded(v.run(p, 1).select("id", "x", "vx"), 9, "x", "vx")
+
+    def pulled(q):
+        return forces.with_forces(q, forces.external_forces(q, box, lambda r: pot.harmonic(r, (0.0, 0.0, 0.0), 3.0)), box)
+
+    moved = dynamics.drift(dynamics.kick(pulled(p), box, 0.05), box, 0.1)
+    moved = dynamics.kick(pulled(moved.select(*p.columns)), box, 0.05)
+    return rounded(moved.select("id", "x", "vx"), 9, "x", "vx")
 
 
 @query("euler_step", f"WITH {P}, n AS (SELECT id, x + 0.7*vx AS r FROM p) SELECT id, {_r(9, x=_MI.format('r'))}, (CASE WHEN r > 0.5 THEN 1 WHEN r < -0.5 THEN -1 ELSE 0 END)::INT AS ix FROM n")
 def euler_step(spark, d):
     p, box = as_particles(spark, d)
-    return rounded(dynamics.Integrator(box, 0.7).run(p, 1).select("id", "x", "ix"), 9, "x")
+    return rounded(dynamics.drift(p, box, 0.7).select("id", "x", "ix"), 9, "x")
 
 
 # ---- Fourier space
@@ -552,6 +606,14 @@ def helfand_moment(spark, d):
     return _rounded_tcf(tcf.helfand_moment(_stress(spark, d), SCHEME, 7), 3)
 
 
+@query("helfand_slope", f"""WITH {_SERIES}, h AS (SELECT step, sum(xy) OVER w AS xy, sum(xz) OVER w AS xz, sum(yz) OVER w AS yz FROM e WINDOW w AS (ORDER BY step ROWS UNBOUNDED PRECEDING)), {_LAGS},
+m AS ({_tcf_sql('(pow((b.xy - a.xy)*0.01, 2) + pow((b.xz - a.xz)*0.01, 2) + pow((b.yz - a.yz)*0.01, 2)) / 7', samples='h', keys='', digits=12)})
+SELECT {_r(3, viscosity='0.3*sum(lag_time*value)/(2*sum(lag_time*lag_time))')} FROM m WHERE lag_time > 0.05""")
+def helfand_slope(spark, d):
+    m = tcf.helfand_moment(_stress(spark, d), SCHEME, 7).withColumn("lag_time", F.round("lag_time", 6))
+    return rounded(tcf.helfand_slope(m, 0.3, 0.05).select(F.col("value").alias("viscosity")), 3, "viscosity")
+
+
 _ISF_SCHEME = tcf.BlockingScheme(timestep=0.01, max_lag=0.1, every=1, size=4)
 _LINE = Box((50.0,))
 
@@ -592,12 +654,11 @@ def compact(spark, d):
     return sorting.compact(as_series(spark, d), F.col("value") > 10, "step").select("step", "place")
 
 
-@query("permute", f"WITH {P} SELECT (id * 7) % (SELECT count(*) FROM p) AS \"index\", x FROM p WHERE (SELECT count(*) FROM p) % 7 <> 0")
+@query("permute", f"WITH {P}, n AS (SELECT count(*) AS n FROM p) SELECT n - 1 - id AS \"index\", x FROM p, n")
 def permute(spark, d):
     p, _ = as_particles(spark, d)
-    n = max(p.count(), 1)
-    by = next(k for k in range(7, n + 9) if math.gcd(k, n) == 1)  # 7 where that permutes
-    moves = p.select(((F.col("id") * by) % n).alias("index"), F.col("id").alias("source"))
+    n = p.count()
+    moves = p.select((n - 1 - F.col("id")).alias("index"), F.col("id").alias("source"))
     return sorting.permute(p.select(F.col("id").alias("index"), "x"), moves)
 
 
@@ -609,15 +670,41 @@ def top_k(spark, d):
 
 @query("sort_by_key", "SELECT event_type, event_id, row_number() OVER (ORDER BY event_type, event_id) AS place FROM events")
 def sort_by_key(spark, d):
-    e = sorting.sort_by_key(spark.read.parquet(f"{d}/events.parquet").select("event_type", "event_id"), "event_type", "event_id")
-    # places: the count of each key's predecessors plus the rank in the key
-    counts = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("event_type").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return e.withColumn("rank", rank).join(before, "event_type").select("event_type", "event_id", (F.col("before") + F.col("rank")).alias("place"))
-
-
-@query("hilbert_code")
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_type", "event_id")
+    return sorting.numbered(rows, ["event_type", "event_id"], "place").withColumn("place", F.col("place") + 1)
+
+
+def _hilbert_sql(depth: int) -> str:
+    """Codes of cells in SQL: the transposed bits of a Hilbert curve, axis by axis and bit by bit."""
+    names = ["x0", "x1", "x2"]
+    steps = ["h0 AS (SELECT id, species, " + ", ".join(f"least(floor(({a} + 0.5 - floor({a} + 0.5)) * {1 << depth}), {(1 << depth) - 1})::BIGINT AS {n}" for a, n in zip("xyz", names)) + " FROM p)"]
+
+    def step(**new: str) -> None:
+        k = len(steps)
+        kept = ", ".join(f"({new[n]})::BIGINT AS {n}" if n in new else n for n in [*names, "g", "code"] if n in names or n in new or k > past)
+        steps.append(f"h{k} AS (SELECT id, species, {kept} FROM h{k - 1})")
+
+    past = 1 << 30  # until the columns g and code are there
+    q = 1 << (depth - 1)
+    while q > 1:
+        step(x0=f"CASE WHEN (x0 & {q}) > 0 THEN xor(x0, {q - 1}) ELSE x0 END")
+        for n in ("x1", "x2"):
+            swap = f"(xor(x0, {n}) & {q - 1})"
+            step(**{"x0": f"CASE WHEN ({n} & {q}) > 0 THEN xor(x0, {q - 1}) ELSE xor(x0, {swap}) END", n: f"CASE WHEN ({n} & {q}) > 0 THEN {n} ELSE xor({n}, {swap}) END"})
+        q >>= 1
+    step(x1="xor(x1, x0)", x2="xor(x2, xor(x1, x0))")
+    gray = "0::BIGINT"
+    q = 1 << (depth - 1)
+    while q > 1:
+        gray = f"xor({gray}, CASE WHEN (x2 & {q}) > 0 THEN {q - 1} ELSE 0 END)"
+        q >>= 1
+    bits = " + ".join(f"(((xor({n}, g) >> {level}) & 1) << {3 * level + 2 - i})" for level in range(depth) for i, n in enumerate(names))
+    k = len(steps)
+    steps.append(f"h{k} AS (SELECT *, ({gray})::BIGINT AS g FROM h{k - 1})")
+    return ", ".join(steps) + f", curve AS (SELECT id, species, {bits} AS hilbert FROM h{k})"
+
+
+@query("hilbert_code", f"WITH {P}, {_hilbert_sql(8)} SELECT id, hilbert FROM curve")
 def hilbert(spark, d):
     p, box = as_particles(spark, d)
     return p.select("id", hilbert_code([F.col(a) for a in box.axes], box, 8).alias("hilbert"))
@@ -635,10 +722,41 @@ def fcc_lattice(spark, d):
     return rounded(generate.fcc_lattice(spark, 864, Box((9.0, 9.0, 9.0))), 9, "x", "y", "z")
 
 
-@query("hilbert_clustered", f"WITH {P} SELECT id, species FROM p")
+@query("lattice_slab", """WITH s(k, sx, sy, sz) AS (VALUES (0, 0.25, 0.25, 0.25), (1, 0.75, 0.75, 0.25), (2, 0.75, 0.25, 0.75), (3, 0.25, 0.75, 0.75)), c AS (SELECT range AS id, range + range // 5 AS site FROM range(1000))
+SELECT id, """ + _r(9, x="((site // 4) % 6 + sx) * 1.6 - 4.8", y="((site // 24) % 5 + sy) * 1.6 - 4.0", z="(site // 120 + sz) * 1.6 - 8.0") + " FROM c JOIN s ON k = site % 4")
+def lattice_slab(spark, d):
+    """1,000 particles in the middle 9.6 x 8 x 16 of a box: 6 x 5 x 10 cells of edge 1.6, and every sixth of their 1,200 sites vacant."""
+    return rounded(generate.fcc_lattice(spark, 1000, Box((9.6, 16.0, 16.0)), (1.0, 0.5, 1.0)), 9, "x", "y", "z")
+
+
+@query("long_range_corrections", "SELECT rc, " + _r(12, energy="8.0/9*pi()*0.3*(pow(rc,-6) - 3)*pow(rc,-3)", pressure="32.0/9*pi()*0.09*(pow(rc,-6) - 1.5)*pow(rc,-3)") + " FROM (SELECT range / 2.0::DOUBLE AS rc FROM range(4, 12))")
+def long_range(spark, d):
+    rows = [(k / 2, *statistics.long_range_corrections(0.3, k / 2)) for k in range(4, 12)]
+    return rounded(spark.createDataFrame(rows, "rc double, energy double, pressure double"), 12, "energy", "pressure")
+
+
+@query("sample_positions", f"WITH {P}, q AS (SELECT id, species, x * 7 AS x FROM p WHERE {IN_SPHERE}) SELECT id, {_r(9, x='x')} FROM q")
+def sample_positions(spark, d):
+    p, box = as_particles(spark, d)
+    moved = reduce_periodic(_moved(groups.region(p, box, SPHERE), 7.0), box, until_inside=True)
+    return rounded(groups.sample_positions(moved, box).select("id", "x"), 9, "x")
+
+
+@query("sample_columns", f"WITH {P} SELECT id, vx, mass FROM p WHERE species = 4")
+def sample_columns(spark, d):
+    p, _ = as_particles(spark, d)
+    return groups.sample_columns(p.where("species = 4"), "vx", "mass")
+
+
+@query("hilbert_clustered", f"WITH {P}, {_hilbert_sql(5)} SELECT id, species, row_number() OVER (ORDER BY hilbert, id) - 1 AS place FROM curve")
 def hilbert_clustered(spark, d):
+    """With the place of each row in the layout: the partitions' rows in their order."""
     p, box = as_particles(spark, d)
-    return sorting.hilbert_clustered(p, box, 0.05).select("id", "species")
+    laid = sorting.hilbert_clustered(p, box, 0.05, 4).select("id", "species")
+    laid = written(laid.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("own")))
+    counts = laid.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return laid.join(before, "part").select("id", "species", (F.col("own") + F.col("before")).alias("place"))
 
 
 @query("boltzmann_velocities")
@@ -650,16 +768,9 @@ def boltzmann(spark, d):
 # ---- stores and streams
 
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='moraine-')}/store-{uuid4().hex}"
-
-
 @query("store_read_at_step", f"WITH {E} SELECT id, {_r(6, x='x')} FROM e WHERE step = (SELECT max(step) FROM e)")
 def store_read_at_step(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark)
     rows = as_trajectory(spark, d).withColumn("time", F.col("step") * 0.5).select("step", "time", "id", "x", "vx")
     Writer(spark, path, author="nobody").particles("all", rows, ["x", "vx"], every=1)
     return rounded(Reader(spark, path).read_at_step("particles/all", -1).select("id", "x"), 6, "x")
@@ -667,12 +778,77 @@ def store_read_at_step(spark, d):
 
 @query("store_read_at_time", f"WITH {E} SELECT id, {_r(6, x='x')} FROM e WHERE step = (SELECT max(step) FROM e) - 4")
 def store_read_at_time(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark)
     rows = as_trajectory(spark, d).withColumn("time", F.col("step") * 0.5).select("step", "time", "id", "x")
     Writer(spark, path).append("positions", rows)
     return rounded(Reader(spark, path).read_at_time("positions", -2.0).select("id", "x"), 6, "x")
 
 
+@query("store_overwrite", f"WITH {P} SELECT 'b' AS element, id, x FROM p")
+def store_overwrite(spark, d):
+    """Of a store that is made anew only the new elements are there."""
+    path = scratch(spark)
+    rows = as_particles(spark, d)[0].select(F.lit(0).cast("bigint").alias("step"), F.lit(0.0).alias("time"), "id", "x")
+    Writer(spark, path).append("a", rows)
+    Writer(spark, path, overwrite=True).append("b", rows)
+    reader, out = Reader(spark, path), None
+    for name in "ab":
+        try:
+            own = reader.element(name).select(F.lit(name).alias("element"), "id", "x")
+        except StoreError:
+            continue
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("store_box", "SELECT * FROM (VALUES (0, 2.5::DOUBLE, 'periodic'), (1, 3.0::DOUBLE, 'periodic')) t(axis, length, boundary)")
+def store_box(spark, d):
+    path = scratch(spark)
+    Writer(spark, path).box(Box((2.5, 3.0)))
+    box = Reader(spark, path).box()
+    return spark.createDataFrame([(i, n, "periodic") for i, n in enumerate(box.lengths)], "axis int, length double, boundary string")
+
+
+@query("store_averaged", f"""WITH w AS (SELECT (event_id // 64) * 64 AS step, {_moments_sql('value', 9)} FROM events GROUP BY 1) SELECT step, mean AS value, error, count FROM w WHERE step < 64 * 40""")
+def store_averaged(spark, d):
+    """Averaged elements, appended in two parts; and all of them read up to a step."""
+    path = scratch(spark)
+    w = rounded(statistics.windowed(as_series(spark, d), "value", 64), 9, *_STATS)
+    rows = w.select(F.col("window").alias("step"), F.col("window").cast("double").alias("time"), F.col("mean").alias("value"), "error", "count")
+    writer = Writer(spark, path)
+    for part in (F.col("step") < 64 * 3, F.col("step") >= 64 * 3):
+        writer.append_averaged("observables/value", rows.where(part))
+    return Reader(spark, path).element("observables/value").where(F.col("step") < 64 * 40).select("step", "value", "error", "count")
+
+
+@query("store_restore", f"WITH {P} SELECT id, {_r(9, x=_MI.format('x'), vx='vx + 1')} FROM (SELECT id, CASE WHEN species < 5 THEN y ELSE x END AS x, CASE WHEN species < 5 THEN vx ELSE vx - 1 END AS vx FROM p)")
+def store_restore(spark, d):
+    """A stored group's positions and velocities written back into a table."""
+    path = scratch(spark)
+    p, box = as_particles(spark, d)
+    rows = p.where("species < 5").select(F.lit(7).cast("bigint").alias("step"), F.lit(0.7).alias("time"), "id", F.col("y").alias("x"), (F.col("vx") + 1).alias("vx"))
+    Writer(spark, path).particles("some", rows, ["x", "vx"], every=7)
+    return rounded(Reader(spark, path).restore(p, "some", ["x", "vx"]).select("id", "x", "vx"), 9, "x", "vx")
+
+
+_LINE_SERIES = f"WITH {E}, m AS (SELECT *, 1.0 + id % 3 AS mass FROM e) SELECT step, {_r(9, temperature='2 * sum(0.5*mass*vx*vx)/count(*)', velocity='sum(mass*vx)/sum(mass)')}, count(*) AS particle_number, (SELECT count(*) FROM m WHERE step = 0) / 50.0::DOUBLE AS first_density"
+
+
+@query("thermodynamics_series", f"{_LINE_SERIES}, 50.0::DOUBLE AS volume FROM m WHERE step % 3 = 0 GROUP BY step")
+def thermodynamics_series(spark, d):
+    """Series of state variables, stored every third step of a line of particles, and the constants stored once."""
+    line = Box((50.0,))
+    rows = as_trajectory(spark, d).select("step", (F.col("step") * 0.5).alias("time"), "id", "vx", (1.0 + F.col("id") % 3).alias("mass"), "x", F.lit(0).alias("ix"))
+    path, other = scratch(spark), scratch(spark)
+    write_series(Writer(spark, path), rows, line, {"temperature": "temperature", "velocity": "center_of_mass_velocity"}, 3, fluctuating=True)
+    write_series(Writer(spark, other), rows, line, ["temperature", "density"], 3)
+    r = Reader(spark, path)
+    out = r.element("observables/temperature").select("step", F.col("value").alias("temperature")).join(r.element("observables/velocity").select("step", F.col("value_x").alias("velocity")), "step")
+    out = out.join(r.element("observables/particle_number").select("step", F.col("value").alias("particle_number")), "step")
+    out = out.crossJoin(r.element("observables/volume").select(F.col("value").alias("volume"))).crossJoin(Reader(spark, other).element("observables/density").select(F.col("value").alias("first_density")))  # single rows
+    return rounded(out, 9, "temperature", "velocity")
+
+
 @query("static_species", "SELECT user_id AS id, length(event_type) AS species FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
 def species(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -680,25 +856,31 @@ def species(spark, d):
     return static_species(e.select(F.col("user_id").alias("id"), step.alias("step"), F.length("event_type").cast("bigint").alias("species")))
 
 
-@query("stream_windows", f"SELECT (event_id // 49) * 49 AS \"window\", {_moments_sql('value')} FROM events GROUP BY 1")
+@query("stream_windows", f"SELECT (event_id // 100) * 100 AS \"window\", {_moments_sql('value', 9)} FROM events GROUP BY 1")
 def stream_windows(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").select(F.col("event_id").alias("step"), "value")
-    name = f"windows_{uuid4().hex}"
-    q = online.windowed_stream(stream, "value", 49).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _scratch(spark)).start()
+    path, windows = scratch(spark), online.windowed_stream(stream, "value", 100)
+    q = online.write_windows(windows, path, scratch(spark))
     q.processAllAvailable()
     q.stop()
-    return rounded(spark.table(name), 6, *_STATS)
+    return _rounded_moments(online.latest_windows(spark, path, "window long, count long, sum double, mean double, variance double, sigma double, error double"))
+
+
+STREAM_STEPS = 65_536  # steps of a micro-batch
 
 
 @query("stream_msd", f"WITH {E}, {_LAGS} {_tcf_sql('pow(b.x - a.x, 2)', digits=2)}")
 def stream_msd(spark, d):
-    path = _scratch(spark)
-    as_trajectory(spark, d).select("id", "step", "x").write.parquet(path)
-    stream = spark.readStream.schema("id long, step long, x double").parquet(path)
+    path = scratch(spark)
+    rows = written(as_trajectory(spark, d).select("id", "step", "x"))
+    last = rows.agg(F.max("step")).first()[0] or 0
+    for first in range(0, last + 1, STREAM_STEPS):  # arrives in ranges of steps, each of which is a micro-batch
+        rows.where((F.col("step") >= first) & (F.col("step") < first + STREAM_STEPS)).coalesce(1 if last < STREAM_STEPS else 8).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("id long, step long, x double").option("maxFilesPerTrigger", 1 if last < STREAM_STEPS else 8).parquet(path)
     parts = online.correlate_stream(stream, SCHEME, ["x"], lambda a, b: (b[0] - a[0]) ** 2)
-    out = f"{path}-parts"
-    q = parts.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{path}-state").outputMode("append").start()
+    out = scratch(spark)
+    q = parts.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark)).outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     got = online.finished(spark.read.schema(f"id long, {online._OUT}").parquet(out), SCHEME)

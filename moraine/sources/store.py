@@ -4,6 +4,14 @@ An element is a path such as ``particles/all/position``. Time-dependent elements
 are tables with ``step`` and ``time`` to which steps are appended in increasing
 order; static ones are replaced when they are written. A small table ``about``
 holds the format version, the creator and the author.
+
+A time-dependent element is a folder of batches, one for each append, in which
+rows are range-partitioned and sorted by step, so that a step's rows lie in few
+row groups, and a small table ``index`` of its steps (step, time, batch). An
+append writes its rows once, checks the order on the steps of the new batch
+and then makes it known to the index; a batch that failed is never read. Reads of
+a step look it up in the index and open its batch alone, with the step pushed
+down to the scan.
 """
 
 from __future__ import annotations
@@ -11,6 +19,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +28,7 @@ from pyspark.sql.types import StructType
 
 from moraine.functions.box import Box
 from moraine.operators.groups import dense_index, sampled_steps, set_columns
+from moraine.sources.scratch import delete, written
 
 VERSION = (1, 0)
 TIME_TOLERANCE = 100 * sys.float_info.epsilon
@@ -38,48 +48,67 @@ def check(spark: SparkSession, path: str) -> bool:
         return False
 
 
+_INDEX = "step long, time double, batch string"
+
+
 class Writer:
-    """Makes a store; an old one is only replaced with ``overwrite``."""
+    """Makes a store; an old one is only replaced with ``overwrite``, and then
+    wholly: nothing of it stays readable."""
 
     def __init__(self, spark: SparkSession, path: str, author: str = "", email: str = "", creator: str = "moraine", overwrite: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
+        if overwrite and check(spark, self.path):
+            delete(spark, self.path)
         about = spark.createDataFrame([(*VERSION, creator, "1", author, email)], ABOUT).coalesce(1)
-        about.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{self.path}/about")
-        self._last: dict[str, tuple[int, float]] = {}
-        self._fresh = overwrite
+        about.write.mode("errorifexists").parquet(f"{self.path}/about")
+        self._last: dict[str, tuple[int, float] | None] = {}
 
     def _previous(self, element: str) -> tuple[int, float] | None:
-        if element in self._last:
-            return self._last[element]
-        if self._fresh:
-            return None
-        try:
-            got = self.spark.read.parquet(f"{self.path}/{element}").agg(F.max(F.struct("step", "time")).alias("m")).first()["m"]
-        except AnalysisException:
-            return None
-        return got and (got["step"], got["time"])
+        if element not in self._last:
+            try:
+                got = self.spark.read.schema(_INDEX).parquet(f"{self.path}/{element}/index").agg(F.max(F.struct("step", "time")).alias("m")).first()["m"]
+            except AnalysisException:
+                got = None
+            self._last[element] = got and (got["step"], got["time"])
+        return self._last[element]
 
     def append(self, element: str, rows: DataFrame) -> None:
         """Add steps; they must lie after all stored ones and their times must
-        not fall back."""
-        steps = rows.groupBy("step").agg(F.min("time").alias("low"), F.max("time").alias("high"))
-        span = steps.agg(F.min(F.struct("step", "low")).alias("first"), F.max(F.struct("step", "high")).alias("last"), F.max(F.col("high") - F.col("low")).alias("spread")).first()
+        not fall back. Rows without a step are an error."""
+        batch = uuid4().hex
+        path = f"{self.path}/{element}/batch-{batch}"
+        rows.repartitionByRange("step").sortWithinPartitions("step").write.parquet(path)
+        steps = self.spark.read.parquet(path).groupBy("step").agg(F.min("time").alias("time"), F.max("time").alias("high"), F.count("*").alias("n"))
+        steps = written(steps)
+        try:
+            if not self._follows(element, steps):
+                delete(self.spark, path)
+                return
+        except StoreError:
+            delete(self.spark, path)
+            raise
+        index = steps.select(F.col("step").cast("bigint").alias("step"), F.col("time").cast("double").alias("time"), F.lit(batch).alias("batch"))
+        index.coalesce(1).write.mode("append").parquet(f"{self.path}/{element}/index")  # one row a step
+
+    def _follows(self, element: str, steps: DataFrame) -> bool:
+        """Whether there are any; an error if they can't follow the stored ones."""
+        span = steps.agg(F.min(F.struct("step", "time")).alias("first"), F.max(F.struct("step", "high")).alias("last"), F.max(F.col("high") - F.col("time")).alias("spread"), F.count_if(F.col("step").isNull()).alias("none")).first()
+        if span["none"]:
+            raise StoreError(f"{element}: rows without a step")
         if span["first"] is None:
-            return
+            return False
         before = self._previous(element)
-        if span["spread"] > 0:
+        if span["spread"] is not None and span["spread"] > 0:
             raise StoreError(f"{element}: a step has several times")
-        if before and (span["first"]["step"] <= before[0] or span["first"]["low"] < before[1]):
+        if before and (span["first"]["step"] <= before[0] or span["first"]["time"] < before[1]):
             raise StoreError(f"{element}: step {span['first']['step']} does not follow step {before[0]}")
         # within the new steps times must not fall back either
-        ranked = dense_index(steps.select("step", "low"), "step", "place")
-        following = ranked.select((F.col("place") - 1).alias("place"), F.col("low").alias("next"))
-        falls = ranked.join(following, "place").where("next < low")
-        if not falls.isEmpty():
+        ranked = dense_index(steps.select("step", "time"), "step", "place")
+        following = ranked.select((F.col("place") - 1).alias("place"), F.col("time").alias("next"))
+        if not ranked.join(following, "place").where("next < time").isEmpty():
             raise StoreError(f"{element}: time decreases")
-        first = before is None
-        rows.write.mode("overwrite" if first and self._fresh else "append").parquet(f"{self.path}/{element}")
         self._last[element] = (span["last"]["step"], span["last"]["high"])
+        return True
 
     def append_averaged(self, element: str, rows: DataFrame) -> None:
         """Steps with value, error and count."""
@@ -109,38 +138,51 @@ class Reader:
         self.spark, self.path = spark, path.rstrip("/")
         self.about = spark.read.parquet(f"{self.path}/about").first().asDict()
 
+    def steps(self, name: str) -> DataFrame:
+        """(step, time, batch) of a time-dependent element."""
+        try:
+            return self.spark.read.schema(_INDEX).parquet(f"{self.path}/{name}/index")
+        except AnalysisException as e:
+            raise StoreError(f"{name} has no steps in the store") from e
+
     def element(self, name: str) -> DataFrame:
+        """A whole element, time-dependent or static."""
+        try:
+            batches = [r[0] for r in self.steps(name).select("batch").distinct().sort("batch").collect()]  # one an append
+        except StoreError:
+            batches = None
         try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
+            return self.spark.read.parquet(*([f"{self.path}/{name}"] if batches is None else [f"{self.path}/{name}/batch-{b}" for b in batches]))
         except AnalysisException as e:
             raise StoreError(f"{name} is not in the store") from e
 
-    def _one(self, rows: DataFrame, what: str) -> DataFrame:
-        """``rows`` if they belong to one step."""
-        steps = rows.select("step", "time").distinct().limit(2).collect()
-        if not steps:
+    def _at(self, name: str, chosen: DataFrame, what: str) -> DataFrame:
+        """The rows of the one step that ``chosen`` has."""
+        found = chosen.select("step", "batch").limit(2).collect()
+        if not found:
             raise StoreError(f"nonexistent {what}")
-        if len(steps) > 1:
+        if len(found) > 1:
             raise StoreError(f"ambiguous {what}")
-        return rows
+        return self.spark.read.parquet(f"{self.path}/{name}/batch-{found[0]['batch']}").where(F.col("step") == found[0]["step"])
 
-    def _last(self, name: str, column: str):
-        last = self.element(name).agg(F.max(column)).first()[0]
+    def _last(self, steps: DataFrame, name: str, column: str):
+        last = steps.agg(F.max(column)).first()[0]
         if last is None:
             raise StoreError(f"{name} has no steps")
         return last
 
     def read_at_step(self, name: str, offset: int) -> DataFrame:
         """One step's rows; negative offsets count from the last step, -1."""
-        last = self._last(name, "step")
-        step = offset if offset >= 0 else offset + last + 1
-        return self._one(self.element(name).where(F.col("step") == step), "step")
+        steps = self.steps(name)
+        step = offset if offset >= 0 else offset + self._last(steps, name, "step") + 1
+        return self._at(name, steps.where(F.col("step") == step), "step")
 
     def read_at_time(self, name: str, offset: float) -> DataFrame:
         """As :meth:`read_at_step`; the sign bit decides, so -0.0 is the last."""
-        last = self._last(name, "time")
+        steps = self.steps(name)
+        last = self._last(steps, name, "time")
         time = offset if math.copysign(1, offset) > 0 else offset + last
-        return self._one(self.element(name).where(F.abs(F.col("time") - time) <= TIME_TOLERANCE * max(abs(time), abs(last))), "time")
+        return self._at(name, steps.where(F.abs(F.col("time") - time) <= TIME_TOLERANCE * max(abs(time), abs(last))), "time")
 
     def box(self) -> Box:
         rows = self.element("box").orderBy("axis").collect()

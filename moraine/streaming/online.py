@@ -11,13 +11,14 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from moraine.operators.correlation import BlockingScheme
-from moraine.operators.statistics import moments
+from moraine.operators.statistics import merge, moments
 
 Hook = Callable[[DataFrame, int], None]
 
@@ -43,60 +44,85 @@ def windowed_stream(stream: DataFrame, value: str, every: int, by: Sequence[str]
     return stream.groupBy(*by, window).agg(*moments(value))
 
 
+def write_windows(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
+    """Start a query that writes every micro-batch's changed windows to a folder
+    of its own under ``path``, by the executors; a batch that is run again
+    replaces its folder. :func:`latest_windows` reads what holds."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).start()
+
+
+def latest_windows(spark: SparkSession, path: str, schema: str, keys: Sequence[str] = ("window",)) -> DataFrame:
+    """The last state of each window that :func:`write_windows` has written."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return last.select(*keys, "_v.*")
+
+
 class OnlineCorrelator:
-    """Open origins of one series and what they add to (level, lag)."""
+    """Open origins of one series and what a stretch of it adds to (level, lag).
+    Whole stretches are worked on as arrays."""
 
     def __init__(self, scheme: BlockingScheme):
         self.levels, self.size = scheme.levels(), scheme.size
-        self.open: list[list[tuple[int, tuple]]] = [[] for _ in self.levels]
+        self.open: list[tuple[np.ndarray, list[np.ndarray]] | None] = [None for _ in self.levels]
         self.last: int | None = None
 
-    def add(self, step: int, sample: tuple, function: Callable[[tuple, tuple], float]) -> Iterable[tuple[int, int, float]]:
-        if self.last is not None and step <= self.last:
-            raise ValueError(f"step {step} comes after step {self.last}")
-        self.last = step
+    def add(self, steps: np.ndarray, samples: Sequence[np.ndarray], function: Callable[[tuple, tuple], np.ndarray]) -> Iterable[tuple[int, int, np.ndarray]]:
+        """(level, lag, values) of all pairs whose later sample is one of these;
+        ``function`` gets tuples of arrays, one for each value of a sample."""
+        if len(steps) and (self.last is not None and steps[0] <= self.last or (np.diff(steps) <= 0).any()):
+            raise ValueError(f"steps from {steps[0]} on do not grow, or come after step {self.last}")
+        if not len(steps):
+            return
+        self.last = int(steps[-1])
         for k, (interval, skip) in enumerate(self.levels):
-            if step % interval:
-                continue
-            if step % (interval * skip) == 0:
-                self.open[k].append((step, sample))
-            self.open[k] = [o for o in self.open[k] if step - o[0] < interval * self.size]
-            for at, first in self.open[k]:
-                yield k, (step - at) // interval, function(first, sample)
-
-
-_OUT = "level int, lag_idx int, n long, total double, squares double"
-
-
-def correlate_stream(stream: DataFrame, scheme: BlockingScheme, values: Sequence[str], function: Callable[[tuple, tuple], float], key: str = "id") -> DataFrame:
-    """(key, level, lag_idx, n, total, squares): what each micro-batch adds to
-    the correlation, to be summed by :func:`finished`. Steps start at 0."""
+            on = steps % interval == 0
+            later, values = steps[on], [s[on] for s in samples]
+            new = later % (interval * skip) == 0
+            origins, first = later[new], [v[new] for v in values]
+            if self.open[k] is not None:
+                origins, first = np.concatenate([self.open[k][0], origins]), [np.concatenate([a, b]) for a, b in zip(self.open[k][1], first)]
+            for lag in range(self.size if len(later) else 0):
+                wanted = origins + interval * lag
+                at = np.minimum(np.searchsorted(later, wanted), len(later) - 1)
+                hit = np.flatnonzero(later[at] == wanted)
+                if len(hit):
+                    yield k, lag, function(tuple(v[hit] for v in first), tuple(v[at[hit]] for v in values))
+            stays = self.last - origins < interval * self.size
+            self.open[k] = origins[stays], [v[stays] for v in first]
+
+
+_OUT = "level int, lag_idx int, count long, mean double, variance double"
+
+
+def correlate_stream(stream: DataFrame, scheme: BlockingScheme, values: Sequence[str], function: Callable[[tuple, tuple], np.ndarray], key: str = "id") -> DataFrame:
+    """(key, level, lag_idx, count, mean, variance): what each micro-batch adds
+    to the correlation, to be merged by :func:`finished`. Steps start at 0. A task
+    holds what one micro-batch has of a key: limit it by ``maxFilesPerTrigger``
+    where series are long."""
     kind = dict(stream.dtypes)[key]
 
     def run(keys: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
         own = pickle.loads(state.get[0]) if state.exists else OnlineCorrelator(scheme)
-        sums: dict[tuple[int, int], list] = {}
         rows = pd.concat(list(batches)).sort_values("step")
-        for step, *sample in rows[["step", *values]].itertuples(index=False):
-            for level, lag, v in own.add(int(step), tuple(sample), function):
-                s = sums.setdefault((level, lag), [0, 0.0, 0.0])
-                s[0], s[1], s[2] = s[0] + 1, s[1] + v, s[2] + v * v
+        out = [(*keys, level, lag, len(v), float(np.mean(v)), float(np.var(v))) for level, lag, v in own.add(rows["step"].to_numpy(), [rows[v].to_numpy() for v in values], function)]
         state.update((pickle.dumps(own),))
-        yield pd.DataFrame([(*keys, *k, *s) for k, s in sorted(sums.items())], columns=[key, "level", "lag_idx", "n", "total", "squares"])
+        yield pd.DataFrame(out, columns=[key, "level", "lag_idx", "count", "mean", "variance"])
 
     grouped = stream.select(key, "step", *values).groupBy(key)
     return grouped.applyInPandasWithState(run, f"{key} {kind}, {_OUT}", "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def finished(parts: DataFrame, scheme: BlockingScheme) -> DataFrame:
-    """(level, lag_idx, lag_time, value, error, count) from the sums of all
+    """(level, lag_idx, lag_time, value, error, count) from the moments of all
     micro-batches and series."""
-    n = F.sum("n")
-    mean = F.sum("total") / n
-    variance = F.greatest(F.sum("squares") / n - mean * mean, F.lit(0.0))
-    error = F.when(n > 1, F.sqrt(variance / (n - 1)))
-    out = parts.groupBy("level", "lag_idx").agg(mean.alias("value"), error.alias("error"), n.alias("count"))
-    return out.join(F.broadcast(scheme.lags(parts.sparkSession).select("level", "lag_idx", "lag_time")), ["level", "lag_idx"])
+    out = merge(parts, ["level", "lag_idx"]).select("level", "lag_idx", F.col("mean").alias("value"), "error", "count")
+    return out.join(F.broadcast(scheme.lags(parts.sparkSession).select("level", "lag_idx", "lag_time")), ["level", "lag_idx"])  # levels times lags
 
 
 def runtime_left(done: int, all_steps: int, seconds: float) -> str:

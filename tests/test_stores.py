@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from moraine.functions.box import Box
 from moraine.operators.correlation import BlockingScheme, mean_square_displacement
+from moraine.operators.thermodynamics import write_series
 from moraine.sources.store import Reader, StoreError, Writer, check, static_species
 from moraine.streaming import online
 
@@ -84,11 +86,84 @@ def test_streamed_correlation_equals_batch(spark, tmp_path):
     assert not got
 
 
+def test_overwrite_empties_the_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    w = Writer(spark, path)
+    w.append("old", rows(spark, [0, 1]))
+    w.replace("fixed", rows(spark, [0]).select("id"))
+    with pytest.raises(Exception):
+        Writer(spark, path)
+    Writer(spark, path, overwrite=True).append("new", rows(spark, [0]))
+    r = Reader(spark, path)
+    assert r.element("new").count() == 3
+    for name in ("old", "fixed"):
+        with pytest.raises(StoreError):
+            r.element(name)
+
+
+def test_failed_appends_are_never_read(spark, tmp_path):
+    w = Writer(spark, str(tmp_path / "store"))
+    w.append("a", rows(spark, [0, 5]))
+    for bad in (rows(spark, [5, 6]), rows(spark, [7]).withColumn("step", F.lit(None).cast("long")), rows(spark, [8, 9]).withColumn("time", F.col("id").cast("double"))):
+        with pytest.raises(StoreError):
+            w.append("a", bad)
+    w.append("a", rows(spark, [5]).limit(0))
+    r = Reader(spark, str(tmp_path / "store"))
+    assert {x["step"] for x in r.element("a").collect()} == {0, 5} and r.steps("a").count() == 2
+    again = Writer.__new__(Writer)
+    again.spark, again.path, again._last = spark, str(tmp_path / "store"), {}
+    again.append("a", rows(spark, [6]))  # a writer that comes back finds the last step
+    assert Reader(spark, str(tmp_path / "store")).read_at_step("a", -1).count() == 3
+
+
+def test_a_step_is_read_from_its_row_groups(spark, tmp_path):
+    w = Writer(spark, str(tmp_path / "store"))
+    for first in (0, 100):
+        w.append("a", spark.range(3000).selectExpr(f"{first} + id % 50 as step", f"({first} + id % 50) * 0.5 as time", "id", "id * 1.0 as x"))
+    found = Reader(spark, str(tmp_path / "store")).read_at_step("a", -1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(step,149)" in plan and found.count() == 60 and len(found.inputFiles()) < len(Reader(spark, str(tmp_path / "store")).element("a").inputFiles())
+
+
+def test_series_of_state_variables(spark, tmp_path):
+    line = Box((10.0,))
+    p = spark.range(60).selectExpr("id div 6 as step", "(id div 6) * 0.1D as time", "id % 6 as id", "1D as mass", "(id % 7) - 3D as vx", "0D as x", "0 as ix")
+    write_series(Writer(spark, str(tmp_path / "s")), p, line, ["temperature", "particle_number"], 3)
+    r = Reader(spark, str(tmp_path / "s"))
+    assert r.element("observables/particle_number").collect() == [(6,)] and r.element("observables/volume").first()[0] == 10 and r.element("observables/density").first()[0] == 0.6
+    assert [x["step"] for x in r.element("observables/temperature").sort("step").collect()] == [0, 3, 6, 9]
+
+
 def test_late_steps_are_errors():
     c = online.OnlineCorrelator(BlockingScheme(1.0, 5.0, size=3))
-    list(c.add(3, (1.0,), lambda a, b: 0.0))
-    with pytest.raises(ValueError):
-        list(c.add(3, (1.0,), lambda a, b: 0.0))
+    add = lambda *steps: list(c.add(np.array(steps), [np.zeros(len(steps))], lambda a, b: b[0] - a[0]))
+    add(2, 3)
+    for late in ((3,), (5, 4)):
+        with pytest.raises(ValueError):
+            add(*late)
+
+
+def test_streamed_variance_of_large_means(spark):
+    scheme = BlockingScheme(1.0, 5.0, size=3)
+    c, parts = online.OnlineCorrelator(scheme), []
+    seen = [t for t in range(100) if t % (scheme.levels()[0][0] * scheme.levels()[0][1]) == 0]
+    for steps in (np.arange(0, 50), np.arange(50, 100)):
+        parts += [(k, lag, len(v), float(v.mean()), float(v.var())) for k, lag, v in c.add(steps, [1e9 + steps % 2 * 1.0], lambda a, b: b[0]) if lag == 0 and k == 0]
+        expected = sum(p[2] for p in parts)
+    got = online.finished(spark.createDataFrame(parts, online._OUT), scheme).first()
+    assert got["count"] == expected and got["error"] == pytest.approx(float(np.std(1e9 + np.array(seen) % 2)) / (expected - 1) ** 0.5, rel=1e-6)
+
+
+def test_windows_are_written_by_the_executors(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for k in range(2):
+        spark.range(30 * k, 30 * k + 30).selectExpr("id as step", "cast(id as double) as value").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("step long, value double").option("maxFilesPerTrigger", 1).parquet(source)
+    q = online.write_windows(online.windowed_stream(stream, "value", 20), str(tmp_path / "out"), str(tmp_path / "state"))
+    q.processAllAvailable()
+    q.stop()
+    got = online.latest_windows(spark, str(tmp_path / "out"), "window long, count long, sum double").sort("window").collect()
+    assert [tuple(r) for r in got] == [(0, 20, 190.0), (20, 20, 590.0), (40, 20, 990.0)]
 
 
 def test_hooks_and_estimates(spark):
