@@ -656,3 +656,13 @@ def test_urls(spark):
     assert got[2]["verdict"] == "allow" and got[5]["rule"] == "net/fr/" and got[7]["rule"] is None and got[8]["rule"] == "com/"
     assert all(got[k]["host"] == "" and got[k]["path"] == "" for k in (3, 4, 9)) and url_filter.judge(table).count() == len(rows)
     assert url_filter.judge(table.limit(0)).count() == 0
+
+
+def test_domains_and_suffixes(spark):
+    cases = [("a.co.uk", "a.co.uk", "co.uk"), ("x.a.co.uk:81", "a.co.uk", "co.uk"), ("b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "uk"), ("a.b.com", "b.com", "com"), ("www.example.com:8080", "example.com", "com"),
+             ("1.2.3.4", "1.2.3.4", "#"), ("1.2.3.4:80", "1.2.3.4", "#"), ("[::1]:80", "[::1]", "#"), ("localhost", "localhost", "localhost"), ("", "", ""), ("me@a.org.au", "a.org.au", "org.au"), ("com.net", "com.net", "net")]
+    rows = spark.createDataFrame([(h,) for h, _, _ in cases], "host string")
+    from pyspark.sql import functions as F
+
+    got = {r["host"]: (r["d"], r["s"]) for r in rows.select("host", url_filter.domain(F.col("host")).alias("d"), url_filter.suffix(F.col("host")).alias("s")).collect()}
+    assert got == {h: (d, s) for h, d, s in cases}
