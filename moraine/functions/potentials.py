@@ -73,12 +73,15 @@ def mie(m: int, n: int) -> Potential:
 
 @register("morse")
 def morse(rr: Column) -> Pair:
-    """Needs r_min and distortion besides epsilon and sigma."""
-    b, a = _p("distortion"), 2 * _p("distortion") * _p("distortion") - 1
-    r = F.sqrt(rr) / _p("sigma") / b
-    d = _p("r_min") / _p("sigma") / b - r
-    own = _p("epsilon") * F.exp(d) / a
-    return (a + 1) * own * (F.exp(a * d) - 1) * r / rr, own * (F.exp(a * d) - a - 1)
+    """Needs r_min and distortion besides epsilon and sigma.
+
+    With x = (r_min - r) / w, w = sigma * distortion and a = 2 distortion^2 - 1 the energy
+    is epsilon / a * (e^((a + 1) x) - (a + 1) e^x); its derivative by r, over -r, is the force value."""
+    w, a = _p("sigma") * _p("distortion"), 2 * _p("distortion") * _p("distortion") - 1
+    r = F.sqrt(rr)
+    x = (_p("r_min") - r) / w
+    wide, steep, scale = F.exp(x), F.exp((a + 1) * x), _p("epsilon") / a
+    return scale * (a + 1) * (steep - wide) / (w * r), scale * (steep - (a + 1) * wide)
 
 
 def power_law(n: int) -> Potential:

@@ -75,6 +75,22 @@ def repeat_element(x: Column, n: int) -> Column:
     return F.array_repeat(x, n)
 
 
+def reversed_values(a: Column) -> Column:
+    return F.reverse(a)
+
+
+def keys(m: Column) -> Column:
+    return F.map_keys(m)
+
+
+def concatenated(*arrays: Column) -> Column:
+    return F.concat(*arrays)
+
+
+def is_empty(a: Column) -> Column:
+    return F.size(a) == 0
+
+
 def interpolate(template: str, values: dict[str, Column]) -> Column:
     """Fill ``{name}`` places of a template from columns."""
     out, rest = [], template

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from moraine.operators.groups import NO_BUCKET
+
 
 def error_of_mean(x: Column | str) -> Column:
     """sqrt(population variance / (n - 1)); null for fewer than two values."""
@@ -51,12 +53,33 @@ def merge(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumns({"sum": F.col("mean") * F.col("count"), "sigma": F.sqrt("variance"), "error": error})
 
 
-def running(series: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Statistics of all samples up to each step, without reset, per key."""
-    w = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(value).over(w)
-    error = F.when(n > 1, F.stddev_pop(value).over(w) / F.sqrt(n - F.lit(1.0)))
-    return series.withColumns({"count": n, "mean": F.avg(value).over(w), "variance": F.var_pop(value).over(w), "error": error})
+def running(series: DataFrame, value: str, keys: Sequence[str], width: int = 65_536) -> DataFrame:
+    """Statistics of all samples up to each step, without reset, per key: those
+    of ranges of ``width`` steps, merged with what all ranges before add up to, so
+    that a long series is never one task's. Values are taken about the key's mean, so
+    that large means don't cancel. Rows without a step come first; steps of a
+    key are distinct."""
+    own = [*keys, "_bucket"]
+    rows = series.withColumn("_bucket", F.coalesce(F.floor(F.col("step") / width), F.lit(NO_BUCKET)))
+    ranges = rows.groupBy(*own).agg(F.count(value).alias("_c"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    whole = Window.partitionBy(*keys)
+    shift = F.sum(F.col("_c") * F.col("_m")).over(whole) / F.sum("_c").over(whole)
+    ranges = ranges.withColumn("_shift", F.coalesce(shift, F.lit(0.0))).withColumn("_d", F.col("_m") - F.col("_shift"))
+    ranges = ranges.select(
+        *own, "_shift", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_n0"), F.coalesce(F.sum(F.col("_c") * F.col("_d")).over(upto), F.lit(0.0)).alias("_s0"),
+        F.coalesce(F.sum(F.col("_c") * (F.col("_v") + F.col("_d") * F.col("_d"))).over(upto), F.lit(0.0)).alias("_q0"),
+    )
+    w = Window.partitionBy(*own).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_n1": F.count(value).over(w), "_m1": F.avg(value).over(w), "_v1": F.var_pop(value).over(w)}).join(ranges, own)
+    n, d = F.col("_n0") + F.col("_n1"), F.coalesce(F.col("_m1") - F.col("_shift"), F.lit(0.0))
+    first = F.col("_n0") == 0  # nothing to merge: the range's own values
+    mean = F.when(first, F.col("_m1")).otherwise(F.col("_shift") + (F.col("_s0") + F.col("_n1") * d) / n)
+    about = mean - F.col("_shift")
+    merged = (F.col("_q0") + F.col("_n1") * (F.coalesce("_v1", F.lit(0.0)) + d * d)) / n - about * about
+    variance = F.when(first, F.col("_v1")).otherwise(F.greatest(merged, F.lit(0.0)))
+    error = F.when(n > 1, F.sqrt(variance / (n - F.lit(1.0))))
+    return rows.select(*series.columns, n.alias("count"), mean.alias("mean"), variance.alias("variance"), error.alias("error"))
 
 
 def windowed(series: DataFrame, value: str, every: int, by: Sequence[str] = (), start: int = 0) -> DataFrame:

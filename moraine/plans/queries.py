@@ -173,6 +173,47 @@ def vector_algebra(spark, d):
     return rounded(out, 9, "dot", "norm1", "norm2", "norminf", "total", "product", "lowest", "xy")
 
 
+@query("vector_functions", """WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE*10 AS a, embedding[2]::DOUBLE*10 AS b, embedding[3]::DOUBLE*10 AS c, embedding[4]::DOUBLE*10 AS d, embedding[5]::DOUBLE*10 AS e, embedding[6]::DOUBLE*10 AS f FROM embeddings)
+SELECT id, """ + _r(7, prod="a*d + b*e + c*f", div="a/d", modulo="b - e*trunc(b/e)", highest="greatest(a, d) + greatest(b, e) + greatest(c, f)", added="a + d + b + e + c + f", taken="a - d", scalars="((a + 2 - 1)*3)/4", most="greatest(a, b, c)", fewest="least(a, b, c)",
+ floors="floor(a) + floor(b) + floor(c)", ceils="ceil(a) + ceil(b) + ceil(c)", roots="sqrt(abs(a))", rounds="round(a)", trace="a + e + 2", turned="d", power="a*a*a*a*a") + """,
+ abs(a - d) <= 0.5*least(abs(a), abs(d)) AS is_near, CASE WHEN a = greatest(a, b, c) THEN 1 WHEN b = greatest(a, b, c) THEN 2 ELSE 3 END::BIGINT AS found FROM v""")
+def vector_functions(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    v = F.transform("embedding", lambda x: x.cast("double") * 10)
+    a, b = F.slice(v, 1, 3), F.slice(v, 4, 3)
+    m = F.array(a, b, vec.scalar_vector(3, 2.0))
+    out = {
+        "prod": vec.vector_sum(vec.element_prod(a, b)), "div": vec.element_div(a, b)[0], "modulo": vec.element_mod(a, b)[1], "highest": vec.vector_sum(vec.element_max(a, b)), "added": vec.vector_sum(vec.add(a, b)), "taken": vec.subtract(a, b)[0],
+        "scalars": vec.divide_scalar(vec.multiply_scalar(vec.subtract_scalar(vec.add_scalar(a, 2.0), 1.0), 3.0), 4.0)[0], "most": vec.vector_max(a), "fewest": vec.vector_min(a), "floors": vec.vector_sum(vec.vector_floor(a)),
+        "ceils": vec.vector_sum(vec.vector_ceil(a)), "roots": vec.vector_sqrt(F.transform(a, F.abs))[0], "rounds": vec.vector_round(a)[0], "trace": vec.trace(m), "turned": vec.transpose(m)[0][1], "power": vec.integer_power(a[0], 5),
+    }
+    rows = e.select(F.col("vec_id").alias("id"), *[c.alias(n) for n, c in out.items()], vec.is_close(a[0], b[0], 0.5).alias("is_near"), vec.find_component(a, vec.vector_max(a)).alias("found"))
+    return rounded(rows, 7, *out)
+
+
+@query("table_helpers", "SELECT event_id, event_type || '/' || user_id AS name, '3,2,1' AS down, '1,2,3' AS up, 'a,b' AS names, '7,7' AS twice, '1,2,9' AS joined, false AS empty FROM events")
+def table_helpers(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    three, two = F.array(F.lit(2), F.lit(3), F.lit(1)), F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
+    up = sorting.sorted_values(three)
+    lists = {
+        "down": sorting.reversed_values(up), "up": up, "names": sorting.keys(two), "twice": sorting.repeat_element(F.lit(7), 2),
+        "joined": sorting.concatenated(F.array(F.lit(1), F.lit(2)), F.array(F.lit(9))),
+    }
+    name = sorting.interpolate("{type}/{user}", {"type": F.col("event_type"), "user": F.col("user_id")}).alias("name")
+    return e.select("event_id", name, *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(n) for n, c in lists.items()], sorting.is_empty(three).alias("empty"))
+
+
+@query("iota", "SELECT range AS id FROM range(1000)")
+def iota(spark, d):
+    return generate.iota(spark, 1000)
+
+
+@query("all_particles", f"WITH {P} SELECT id, species, x FROM p")
+def everything(spark, d):
+    return groups.all_particles(as_particles(spark, d)[0]).select("id", "species", "x")
+
+
 @query("multi_index", "SELECT range AS o, range % 4 + 1 AS i, (range // 4) % 3 + 1 AS j, range // 12 + 1 AS k, range + 1 AS back FROM range(60)")
 def multi_index(spark, d):
     i, j, k = vec.offset_to_index(F.col("id") + 1, (4, 3, 5))
@@ -402,6 +443,17 @@ def forces_full(spark, d):
     return rounded(forces.pair_forces(pairs, box, pot.REGISTRY["spring"]).select("id", "fx", "en_pot"), 6, "fx", "en_pot")
 
 
+@query("forces_lennard_jones_simple", f"""WITH {PAIRS}, t AS (SELECT *, 48*pow(1/(rr*100), 4)*(pow(1/(rr*100), 3) - 0.5) AS f, 4*pow(1/(rr*100), 3)*(pow(1/(rr*100), 3) - 1) AS u FROM q WHERE rr < 0.0225), s AS (SELECT i AS id, f*dx*10 AS fx, f*dy*10 AS fy, u/2 AS u FROM t UNION ALL SELECT j, -f*dx*10, -f*dy*10, u/2 FROM t),
+o AS (SELECT id, sum(fx) AS fx, sum(fy) AS fy, sum(u) AS en_pot FROM s GROUP BY id) """ + _significant_sql("o", "id", f_scale=["fx", "fy"], u_scale=["en_pot"]))
+def forces_simple(spark, d):
+    """The parameter-free potential, in a box ten times as wide."""
+    p, _ = as_particles(spark, d)
+    box = Box((10.0, 10.0, 10.0))
+    pairs = neighbours.neighbours(_moved(p, 10.0).select("id", "x", "y", "z"), box, 1.5)
+    f = forces.pair_forces(pairs, box, pot.REGISTRY["lennard_jones_simple"])
+    return significant(f.select("id", "fx", "fy", "en_pot"), f_scale=["fx", "fy"], u_scale=["en_pot"])
+
+
 @query("forces_between", f"""WITH {P}, q0 AS (SELECT a.id AS id, a.x - b.x AS ux, a.y - b.y AS uy, a.z - b.z AS uz FROM p a, p b WHERE a.species < 5 AND b.species >= 5),
 q AS (SELECT id, {_MI.format('ux')} AS dx, {_MI.format('uy')} AS dy, {_MI.format('uz')} AS dz FROM q0), t AS (SELECT *, dx*dx + dy*dy + dz*dz AS rr FROM q),
 o AS (SELECT id, -3*sum(dx) AS fx, -3*sum(dy) AS fy, -3*sum(dz) AS fz, 0.7*sum(1.5*rr) AS en_pot, -0.7*3*sum(dx*dx) AS sxx, -0.7*3*sum(dy*dy) AS syy, -0.7*3*sum(dz*dz) AS szz,
@@ -765,6 +817,16 @@ def boltzmann(spark, d):
     return generate.boltzmann_velocities(p, box, 1.5, seed=3).select("id", "vx", "vy", "vz")
 
 
+@query("boltzmann_moments", f"WITH {P} SELECT count(*) AS n, true AS no_drift, true AS temperature_fits FROM p")
+def boltzmann_moments(spark, d):
+    """Of drawn velocities: no drift of the centre of mass, and a temperature within five standard errors."""
+    p, box = as_particles(spark, d)
+    v = generate.boltzmann_velocities(p, box, 1.5, seed=3)
+    drift = F.greatest(*[F.abs(F.sum(F.col("mass") * F.col(a))) for a in ("vx", "vy", "vz")])
+    twice = F.sum(F.col("mass") * (F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)) / F.count("*") / 3
+    return v.agg(F.count("*").alias("n"), (drift < 1e-8 * F.count("*")).alias("no_drift"), (F.abs(twice / 1.5 - 1) < 5 * F.sqrt(2 / (3.0 * F.count("*")))).alias("temperature_fits"))
+
+
 # ---- stores and streams
 
 

@@ -313,6 +313,17 @@ def test_rows_without_order_come_first(spark):
     assert {r["k"]: r["n"] for r in groups.dense_index(rows, "k", "n").collect()} == {None: 0, 3: 1, 4: 2, 70_000: 3}
 
 
+@pytest.mark.parametrize("width", [7, 65_536])
+def test_running_statistics_in_ranges(spark, width):
+    rows = [(k, t, 1e6 * k + float((t * 31 + k) % 17)) for k in range(2) for t in range(40)] + [(5, 3, None), (5, 9, 2.0)]
+    got = {(r["id"], r["step"]): r for r in statistics.running(spark.createDataFrame(rows, "id long, step long, v double"), "v", ["id"], width).collect()}
+    for k, t, _ in rows:
+        own = [v for a, s, v in rows if a == k and s <= t and v is not None]
+        r = got[k, t]
+        assert r["count"] == len(own) and (not own or r["mean"] == pytest.approx(np.mean(own), rel=1e-12))
+        assert len(own) < 2 or r["variance"] == pytest.approx(np.var(own), rel=1e-6) and r["error"] == pytest.approx((np.var(own) / (len(own) - 1)) ** 0.5, rel=1e-6)
+
+
 def test_numbered_follows_any_order(spark):
     rows = spark.range(500).select((F.col("id") % 3).cast("string").alias("k"), ((F.col("id") * 37) % 500).alias("v")).repartition(7)
     got = sorted((r["k"], r["v"], r["n"]) for r in sorting.numbered(rows, ["k", "v"], "n").collect())
