@@ -13,8 +13,8 @@ Texts that have more than ``1 / LARGE`` of a shard's target, alone or with all
 their copies (there are fewer than ``shards * LARGE`` of them, whatever the
 data), would make shards uneven: they are given to the shard with the fewest
 bytes of such texts, largest first, and the targets of the others' prefix sums
-are less by as much. Only copies of more than half a shard's target together
-can't stay whole if sizes are to be near equal: they are placed one by one.
+are less by as much. Only copies that together exceed a shard's target can't stay
+whole: each of them is placed like a text of its own.
 
 Edge cases: a null text has no bytes, crc 0 and forms a group of its own with
 the empty text; null and repeated ids and repeated rows keep separate places; an
@@ -91,10 +91,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERH
         # fewer than shards * LARGE rows
         large = slim.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).where(F.col("bytes") * LARGE > target).collect()
         large = sorted(large, key=lambda r: (-r["bytes"], r["key"]))
-        cut_up = [r["key"] for r in large if 2 * r["bytes"] > target and r["rows"] > 1]
-        whole = [r for r in large if 2 * r["bytes"] <= target or r["rows"] == 1]
-        shard_of = dealt([r["bytes"] for r in whole], shards)
-        groups = spark.createDataFrame([(r["key"], i) for i, r in enumerate(whole)] + [(k, -1) for k in cut_up], "key string, group int")
+        cut_up = [r for r in large if r["bytes"] > target and r["rows"] > 1]
+        fine = {r["key"] for r in cut_up if r["bytes"] * LARGE <= target * r["rows"]}
+        own = [r for r in large if r["key"] not in fine]  # texts with shards of their own
+        split = {r["key"] for r in cut_up} - fine  # whose copies are large themselves
+        items = sorted(((r["bytes"] // (r["rows"] if r["key"] in split else 1), i) for i, r in enumerate(own) for _ in range(r["rows"] if r["key"] in split else 1)), key=lambda x: (-x[0], x[1]))
+        shards_of, given = [[] for _ in own], [0] * shards
+        for (n, i), s in zip(items, dealt([n for n, _ in items], shards)):
+            shards_of[i].append(s)
+            given[s] += n
+        groups = spark.createDataFrame([(r["key"], i) for i, r in enumerate(own)] + [(k, -1) for k in sorted(fine)], "key string, group int")
         # rows of a hot text are spread over the ranges; all others of a text lie in one range
         tie = F.when(F.col("group").isNull(), F.lit(0)).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id()))
         hot = F.col("group") == -1
@@ -109,20 +115,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERH
     for r in totals:
         bases.append((r["part"], *at))
         at = (at[0] + r["bytes"], at[1] + r["places"], at[2] + r["seen"])
-    given = [0] * shards
-    for r, s in zip(whole, shard_of):
-        given[s] += r["bytes"]
     room = np.maximum(target - np.array(given, float), 0)
     ends = np.cumsum(room) * (at[0] / max(room.sum(), 1e-9))  # prefix sums at which the next shard begins
     reached = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends[:-1]]), lambda e: e <= F.col("global"))) if shards > 1 else F.lit(0)
-    shards_ = spark.createDataFrame([(i, s) for i, s in enumerate(shard_of)], "group int, given int")
     bases = spark.createDataFrame(bases, "part int, bytes_before long, places_before long, seen_before long")
-    placed = summed.where(F.col("group") != TOTALS).join(F.broadcast(bases), "part").withColumn("global", F.col("start") + F.col("bytes_before"))
-    placed = placed.join(F.broadcast(shards_), "group", "left").select(
-        "doc_id", "size", "text_crc32", "group", F.coalesce("given", reached).cast("int").alias("shard"),
-        (F.col("place") + F.when(F.col("group") < 0, F.col("places_before")).otherwise(F.col("seen_before"))).alias("place"),
-    )
-    # a stretch: the plain rows of a shard, or a large group; fewer than shards * (LARGE + 1)
+    placed = summed.where(F.col("group") != TOTALS).join(F.broadcast(bases), "part")
+    place = (F.col("place") + F.when(F.col("group") < 0, F.col("places_before")).otherwise(F.col("seen_before"))).alias("place")
+    placed = placed.select("doc_id", "size", "text_crc32", "group", (F.col("start") + F.col("bytes_before")).alias("global"), place)
+    # the copies of a large text in their order take its shards in theirs: fewer than shards * LARGE texts
+    begins = {r[0]: r[1] for r in placed.where("group >= 0").groupBy("group").agg(F.min("place")).collect()}
+    shards_ = spark.createDataFrame([(i, sorted(x), begins[i]) for i, x in enumerate(shards_of)], "group int, given array<int>, begin long")
+    given_ = F.col("given")[F.when(F.size("given") > 1, F.col("place") - F.col("begin")).otherwise(F.lit(0)).cast("int")]
+    placed = placed.join(F.broadcast(shards_), "group", "left").select("doc_id", "size", "text_crc32", "group", F.coalesce(given_, reached).cast("int").alias("shard"), "place")
+    # a stretch: the plain rows of a shard, or its copies of a large text; fewer than shards * (LARGE + 1)
     stretches = placed.groupBy("shard", "group").agg(F.min("place").alias("first"), F.count("*").alias("rows")).sort("shard", "group").collect()
     firsts, filled = [], [0] * shards
     for r in stretches:
