@@ -74,7 +74,7 @@ class Discriminant:
     """Fitted classes; ``score`` maps statistics (rows) to 0..1."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray):
-        self.share = float(y.mean()) if len(y) else 0.5
+        self.rows, self.share = len(y), float(y.mean()) if len(y) else 0.5
         self.classes = None
         if min((y == 0).sum(), (y == 1).sum()) < 2:
             return
