@@ -871,16 +871,16 @@ def store_box(spark, d):
     return spark.createDataFrame([(i, n, "periodic") for i, n in enumerate(box.lengths)], "axis int, length double, boundary string")
 
 
-@query("store_averaged", f"""WITH w AS (SELECT (event_id // 64) * 64 AS step, {_moments_sql('value', 9)} FROM events GROUP BY 1) SELECT step, mean AS value, error, count FROM w WHERE step < 64 * 40""")
+@query("store_averaged", f"""WITH w AS (SELECT (event_id // 64) * 64 AS step, {_moments_sql('value', 9)} FROM events GROUP BY 1) SELECT step, mean AS value, error, count FROM w""")
 def store_averaged(spark, d):
-    """Averaged elements, appended in two parts; and all of them read up to a step."""
+    """Averaged elements, appended in two parts and read back."""
     path = scratch(spark)
     w = rounded(statistics.windowed(as_series(spark, d), "value", 64), 9, *_STATS)
     rows = w.select(F.col("window").alias("step"), F.col("window").cast("double").alias("time"), F.col("mean").alias("value"), "error", "count")
     writer = Writer(spark, path)
     for part in (F.col("step") < 64 * 3, F.col("step") >= 64 * 3):
         writer.append_averaged("observables/value", rows.where(part))
-    return Reader(spark, path).element("observables/value").where(F.col("step") < 64 * 40).select("step", "value", "error", "count")
+    return Reader(spark, path).element("observables/value").select("step", "value", "error", "count")
 
 
 @query("store_restore", f"WITH {P} SELECT id, {_r(9, x=_MI.format('x'), vx='vx + 1')} FROM (SELECT id, CASE WHEN species < 5 THEN y ELSE x END AS x, CASE WHEN species < 5 THEN vx ELSE vx - 1 END AS vx FROM p)")
