@@ -12,8 +12,8 @@ Randomised lexicons: ``LEXICONS`` fixed subsets of the band for each share of
 A signature is a hash of the terms, sorted, that text and lexicon share; an edit
 leaves the signatures of those lexicons alone that hold none of the changed
 terms. Large lexicons tell short texts apart, small ones let long texts survive
-edits. A fingerprint lists the signatures of all lexicons, share by share. The
-likeness of two fingerprints is the share of equal signatures among the
+edits. A fingerprint is the signature of the whole band (all of the text's terms, 64 bits), then
+the signatures of all lexicons (16 bits each), share by share. The likeness of two fingerprints is the share of equal signatures among the
 lexicons of one share that hold a term of either text, for the share at which it
 is largest; shares with less than ``LEAST`` such lexicons don't count.
 
@@ -90,15 +90,23 @@ def band_terms(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
         return np.sort(inside.toArrow()["term"].to_numpy().view(np.uint64))
 
 
-def signatures(terms: list[np.ndarray]) -> np.ndarray:
-    """(texts, shares, LEXICONS) hashes of the sorted terms that each lexicon
-    keeps; 0 where it keeps none."""
+def _hashed(terms: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each run of sorted terms; ``first``: where the runs begin."""
+    rank = np.arange(len(terms)) - np.repeat(first, np.diff(np.r_[first, len(terms)]))
+    return mix(np.add.reduceat(mix(terms + mix(rank.astype(np.uint64) + np.uint64(1))), first))
+
+
+def signatures(terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's sorted terms: one hash of all, and (texts, shares, LEXICONS)
+    hashes of those that each lexicon keeps; 0 where there are none."""
     counts = np.array([len(t) for t in terms], np.int64)
-    out = np.zeros((len(SHARES), LEXICONS, len(terms)), np.uint16)
+    whole, out = np.zeros(len(terms), np.uint64), np.zeros((len(SHARES), LEXICONS, len(terms)), np.uint16)
     flat = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(terms)), counts)
     step = max(1, (1 << 21) // max(len(flat), 1))
     with np.errstate(over="ignore"):
+        if len(flat):
+            whole[counts > 0] = _hashed(flat, (np.cumsum(counts) - counts)[counts > 0])
         for s, share in enumerate(SHARES):
             limit = np.uint64(((1 << 64) - 1) // share)
             for a in range(0, LEXICONS, step):
@@ -107,28 +115,31 @@ def signatures(terms: list[np.ndarray]) -> np.ndarray:
                     continue
                 run = row * len(terms) + owner[at]
                 first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-                rank = np.arange(len(run)) - np.repeat(first, np.diff(np.r_[first, len(run)]))
-                total = mix(np.add.reduceat(mix(flat[at] + mix(rank.astype(np.uint64) + np.uint64(1))), first))
-                out[s, a:].reshape(-1)[run[first]] = np.maximum((total >> np.uint64(48)).astype(np.uint16), 1)
-    return out.transpose(2, 0, 1)
+                out[s, a:].reshape(-1)[run[first]] = np.maximum((_hashed(flat[at], first) >> np.uint64(48)).astype(np.uint16), 1)
+    return whole, out.transpose(2, 0, 1)
 
 
 def fingerprints(texts: list[bytes], band: np.ndarray) -> list[str]:
-    """The fingerprint of each text: its kind and, for each share that has any,
-    the share's number and signatures."""
+    """The fingerprint of each text: its kind, the signature of all its terms and, for
+    each share that has any, the share's number and signatures."""
     terms, kinds = [], []
     for own in distinct(*word_hashes(texts)):
         inside = own[band[np.minimum(np.searchsorted(band, own), len(band) - 1)] == own] if len(band) else own[:0]
         kinds.append("b" if len(inside) else "w" if len(own) else "e")
         terms.append(inside if len(inside) else own)
-    return [k + "".join(f"{s}{row.astype('>u2').tobytes().hex()}" for s, row in enumerate(own) if row.any()) for k, own in zip(kinds, signatures(terms))]
+    whole, parts = signatures(terms)
+    return [
+        k if k == "e" else f"{k}{w:016x}" + "".join(f"{s}{row.astype('>u2').tobytes().hex()}" for s, row in enumerate(own) if row.any())
+        for k, w, own in zip(kinds, whole.tolist(), parts)
+    ]
 
 
-_WIDTH = 1 + 4 * LEXICONS
+_HEAD, _WIDTH = 17, 1 + 4 * LEXICONS
 
 
 def parsed(fingerprint: str) -> dict[int, np.ndarray]:
-    return {int(fingerprint[a]): np.frombuffer(bytes.fromhex(fingerprint[a + 1 : a + _WIDTH]), ">u2") for a in range(1, len(fingerprint), _WIDTH)}
+    """The signatures of each share that has any."""
+    return {int(fingerprint[a]): np.frombuffer(bytes.fromhex(fingerprint[a + 1 : a + _WIDTH]), ">u2") for a in range(_HEAD, len(fingerprint), _WIDTH)}
 
 
 def likeness(a: str, b: str) -> float:
