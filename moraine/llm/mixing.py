@@ -107,11 +107,11 @@ def slim_rows(docs: DataFrame, seed: int = SEED, max_blocks: int = MAX_BLOCKS) -
 
 
 def draws(slim: DataFrame, tables: Tables, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, block_words: int = BLOCK_WORDS,
-          max_blocks: int = MAX_BLOCKS, shards: int | None = None, seed: int = SEED) -> DataFrame:
-    """What is dealt of each (_m_source, _m_fine): _m_whole, the (epoch, shard)
-    of its draws, _m_part, those in which it is a border block and only
-    documents up to the hash _m_last are taken; and the source's _m_source_size
-    and _m_target. ``slim``: a written table of :func:`slim_rows`."""
+          max_blocks: int = MAX_BLOCKS, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The sources (_m_source, _m_source_size, _m_target, _m_blocks) and what is
+    dealt of each block (_m_source, _m_block): _m_whole, the (epoch, shard) of its
+    draws, and _m_part, those in which it is a border block and only documents up
+    to the hash _m_last are taken. ``slim``: a written table of :func:`slim_rows`."""
     spark = slim.sparkSession
     fine = tables.cut(slim.groupBy("_m_source", "_m_fine").agg(F.sum("_m_size").alias("words")))
     totals = fine.groupBy("_m_source").agg(F.sum("words")).limit(MAX_SOURCES + 1).collect()
@@ -121,18 +121,16 @@ def draws(slim: DataFrame, tables: Tables, weights=WEIGHTS, share: float = SHARE
     names = {k: None if k == "n" else k[1:] for k in totals}
     goal = targets([(names[k], n) for k, n in totals.items()], weights, share, limit)
     plan = [(k, int(n), float(goal[names[k]]), int(max(1, min(max_blocks, -(-n // block_words)))), int(goal[names[k]] // n) if n else 0) for k, n in totals.items()]
-    sources = F.broadcast(spark.createDataFrame(plan, "_m_source string, _m_source_size long, _m_target double, blocks int, epochs int"))  # MAX_SOURCES rows at most
+    sources = spark.createDataFrame(plan, "_m_source string, _m_source_size long, _m_target double, _m_blocks int, epochs int")
 
     # fine blocks by a hash of fixed width; a source's blocks are runs of them
-    block = F.floor(F.col("_m_fine") * F.col("blocks") / max_blocks).cast("int").alias("block")
-    fine = fine.join(sources, "_m_source").select("_m_source", "_m_fine", block, "words", "_m_source_size", "_m_target", "epochs")
-    by_block = fine.groupBy("_m_source", "block").agg(F.sum("words").alias("words"), *[F.first(c).alias(c) for c in ("_m_source_size", "_m_target", "epochs")])
+    by_block = with_blocks(fine, sources, max_blocks).groupBy("_m_source", "_m_block").agg(F.sum("words").alias("words"), *[F.first(c).alias(c) for c in ("_m_source_size", "_m_target", "epochs")])
     # the blocks of each epoch in permuted order
     ordered = by_block.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
-    run = Window.partitionBy("_m_source", "epoch").orderBy(F.xxhash64(F.lit(seed + 1), "epoch", "block"), "block")
+    run = Window.partitionBy("_m_source", "epoch").orderBy(F.xxhash64(F.lit(seed + 1), "epoch", "_m_block"), "_m_block")
     ordered = ordered.withColumn("before", F.sum("words").over(run) - F.col("words")).withColumn("rank", F.row_number().over(run) - 1).withColumn("in_epoch", F.count("*").over(Window.partitionBy("_m_source", "epoch")))
     left = F.col("_m_target") - F.col("epoch") * F.col("_m_source_size") - F.col("before")
-    ordered = tables.cut(ordered.select("_m_source", "block", "epoch", "words", (F.col("epoch") * F.col("in_epoch") + F.col("rank")).alias("position"), left.alias("left")))
+    ordered = tables.cut(ordered.select("_m_source", "_m_block", "epoch", "words", (F.col("epoch") * F.col("in_epoch") + F.col("rank")).alias("position"), left.alias("left")))
 
     # quotas: the blocks whose words reach the target; the tree deals them to the shards
     quota = {r[0]: r[1] for r in ordered.where("left > 0").groupBy("_m_source").agg(F.count("*")).collect()}
@@ -145,25 +143,33 @@ def draws(slim: DataFrame, tables: Tables, weights=WEIGHTS, share: float = SHARE
     # a shard's stretch of the permuted blocks: positions from the end of the shard before to its own
     shard = F.size(F.filter("ends", lambda e: e <= F.col("position")))
     dealt = ordered.join(ends, "_m_source").withColumn("shard", shard).where(F.col("shard") < F.size("ends"))
-    drawn = dealt.select("_m_source", "block", F.struct("epoch", "shard").alias("draw"), "words", "left")
+    drawn = dealt.select("_m_source", "_m_block", F.struct("epoch", "shard").alias("draw"), "words", "left")
     border = F.col("left") < F.col("words")
-    by_draws = tables.cut(drawn.groupBy("_m_source", "block").agg(
+    by_draws = tables.cut(drawn.groupBy("_m_source", "_m_block").agg(
         F.sort_array(F.collect_list(F.when(~border, F.col("draw")))).alias("_m_whole"), F.sort_array(F.collect_list(F.when(border, F.col("draw")))).alias("_m_part"), F.min(F.when(border, F.col("left"))).alias("left")))
-    # where a border block is split: behind the document whose middle is the last before the quota
-    fine_draws = fine.select("_m_source", "_m_fine", "block", "_m_source_size", "_m_target").join(by_draws, ["_m_source", "block"], "left")
-    fine_draws = tables.cut(fine_draws)
-    split = slim.join(small(tables.cut(fine_draws.where("size(_m_part) > 0").select("_m_source", "_m_fine", "block", "left"))), ["_m_source", "_m_fine"])
-    up = Window.partitionBy("_m_source", "block").orderBy("_m_hash").rangeBetween(Window.unboundedPreceding, 0)
-    last = split.withColumn("upto", F.sum("_m_size").over(up)).where(F.col("upto") - F.col("_m_size") / 2 <= F.col("left")).groupBy("_m_source", "block").agg(F.max("_m_hash").alias("_m_last"))
-    none = F.array().cast("array<struct<epoch:int,shard:int>>")
-    return cut(fine_draws.join(last, ["_m_source", "block"], "left").select(
-        "_m_source", "_m_fine", "_m_source_size", "_m_target", F.coalesce("_m_whole", none).alias("_m_whole"), F.coalesce("_m_part", none).alias("_m_part"), "_m_last"))
+    # where a border block is split (one a source at most): behind the document whose middle is the last before the quota
+    split = with_blocks(slim, sources, max_blocks).join(small(tables.cut(by_draws.where("size(_m_part) > 0").select("_m_source", "_m_block", "left"))), ["_m_source", "_m_block"])
+    up = Window.partitionBy("_m_source", "_m_block").orderBy("_m_hash").rangeBetween(Window.unboundedPreceding, 0)
+    last = split.withColumn("upto", F.sum("_m_size").over(up)).where(F.col("upto") - F.col("_m_size") / 2 <= F.col("left")).groupBy("_m_source", "_m_block").agg(F.max("_m_hash").alias("_m_last"))
+    return sources.drop("epochs"), cut(by_draws.join(last, ["_m_source", "_m_block"], "left").drop("left"))
+
+
+def with_blocks(rows: DataFrame, sources: DataFrame, max_blocks: int) -> DataFrame:
+    """Rows with _m_fine get their block and what is known of their source."""
+    joined = rows.join(F.broadcast(sources), "_m_source")  # MAX_SOURCES rows at most
+    return joined.withColumn("_m_block", F.floor(F.col("_m_fine") * F.col("_m_blocks") / max_blocks).cast("int"))
+
+
+def with_draws(rows: DataFrame, plan: tuple[DataFrame, DataFrame], seed: int, max_blocks: int) -> DataFrame:
+    """Add _m_draws, one struct (epoch, shard, place) for each time that a row is taken."""
+    sources, blocks = plan
+    return with_blocks(rows, sources, max_blocks).join(small(blocks), ["_m_source", "_m_block"], "left").withColumn("_m_draws", _drawn(seed))
 
 
 def _drawn(seed: int) -> Column:
-    """(epoch, shard, place) of each time that a document is taken."""
     has = F.coalesce(F.col("_m_hash") <= F.col("_m_last"), F.lit(False))
-    own = F.concat("_m_whole", F.when(has, F.col("_m_part")).otherwise(F.array().cast("array<struct<epoch:int,shard:int>>")))
+    none = F.array().cast("array<struct<epoch:int,shard:int>>")
+    own = F.concat(F.coalesce("_m_whole", none), F.when(has, F.coalesce("_m_part", none)).otherwise(none))
     return F.transform(own, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 4), d["epoch"], F.col("_m_hash")).alias("place")))
 
 
@@ -174,7 +180,7 @@ def mix(docs: DataFrame, seed: int = SEED, max_blocks: int = MAX_BLOCKS, **optio
     slim = cut(slim_rows(docs, seed, max_blocks))
     with Tables() as tables:
         plan = draws(slim, tables, seed=seed, max_blocks=max_blocks, **options)
-    return slim.join(small(plan), ["_m_source", "_m_fine"]).select("doc_id", "_m_size", "_m_source_size", "_m_target", _drawn(seed).alias("_m_draws"))
+    return with_draws(slim, plan, seed, max_blocks).select("doc_id", "_m_size", "_m_source_size", "_m_target", "_m_draws")
 
 
 def mixed_rows(docs: DataFrame, seed: int = SEED, max_blocks: int = MAX_BLOCKS, **options) -> DataFrame:
@@ -184,7 +190,7 @@ def mixed_rows(docs: DataFrame, seed: int = SEED, max_blocks: int = MAX_BLOCKS,
         plan = draws(tables.cut(slim_rows(docs, seed, max_blocks)), tables, seed=seed, max_blocks=max_blocks, **options)
     # the row travels as one value, so that its names clash with nothing here
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_m_row")
-    mine = docs.select(row, *_keyed(docs, seed, max_blocks)).join(small(plan), ["_m_source", "_m_fine"]).select("_m_row", F.explode(_drawn(seed)).alias("_m_draw"))
+    mine = with_draws(docs.select(row, *_keyed(docs, seed, max_blocks)), plan, seed, max_blocks).select("_m_row", F.explode("_m_draws").alias("_m_draw"))
     order = ["_m_draw.shard", "_m_draw.place"]
     return mine.repartitionByRange(*order).sortWithinPartitions(*order).select("_m_row.*")
 
