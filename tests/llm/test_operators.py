@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -228,6 +229,8 @@ def brute_fingerprint(text: str, band: set[int]):
     """(kind, {(share, lexicon): signature})."""
     own = {word_hash(w) for w in words_of(text)}
     terms, out = (own & band) or own, {}
+    if terms:
+        out["all"] = scrambled(sum(scrambled(t + scrambled(i + 1)) for i, t in enumerate(sorted(terms))))
     for s, share in enumerate(imatch.SHARES):
         for k in range(imatch.LEXICONS):
             kept = sorted(t for t in terms if scrambled(t ^ int(imatch._SEEDS[s, k])) <= ((1 << 64) - 1) // share)
@@ -239,8 +242,8 @@ def brute_fingerprint(text: str, band: set[int]):
 
 def brute_string(fingerprint) -> str:
     kind, signs = fingerprint
-    parts = [str(s) + "".join(f"{signs.get((s, k), 0):04x}" for k in range(imatch.LEXICONS)) for s in range(len(imatch.SHARES)) if any(a == s for a, _ in signs)]
-    return kind + "".join(parts)
+    parts = [str(s) + "".join(f"{signs.get((s, k), 0):04x}" for k in range(imatch.LEXICONS)) for s in range(len(imatch.SHARES)) if any(k[0] == s for k in signs)]
+    return kind + "".join(parts) if "all" not in signs else f"{kind}{signs['all']:016x}" + "".join(parts)
 
 
 def brute_likeness(a, b) -> float:
@@ -256,6 +259,13 @@ def brute_likeness(a, b) -> float:
     return best
 
 
+def test_texts_of_few_terms_differ():
+    texts = [f"term{i}".encode() for i in range(300)] + [b"", b" \n"]
+    prints = imatch.fingerprints(texts, np.sort(np.concatenate([word_hashes([t])[0] for t in texts[:200]])))
+    assert len(set(prints)) == 301 and prints[-1] == prints[-2] == "e"
+    assert all(imatch.likeness(prints[0], p) < 1 for p in prints[1:]) and imatch.likeness(prints[3], prints[3]) == 1
+
+
 def test_fingerprints(docs, spark, empty):
     rows = sorted([r for r in corpus()], key=lambda r: (r[0] is not None, r[0] or 0))
     got = imatch.fingerprint_documents(docs).collect()
@@ -348,6 +358,40 @@ def test_quality(docs, empty, spark):
     assert {r["q"] for r in none} == {0.5}
 
 
+def test_samples_stay_bounded_when_ids_repeat(spark):
+    docs = spark.createDataFrame([(i % 60, f"text number {i} " * (1 + i % 9), "aa" if i % 2 else "bb") for i in range(3000)] + [(1, "same same", "aa")] * 500 + [(None, "no id", "aa")] * 300, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 3 + [(1, None), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, max_rows=100)
+    assert 50 < model.rows < 160 and model.classes is not None
+    assert 5 < quality.fit(docs, labels, max_rows=20).rows < 45  # labels are sampled first, then rows
+    model = language.fit(docs, per_language=50, windows=4)
+    assert set(model.names) == {"aa", "bb"} and model.net is not None
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_held_out_accuracy(spark):
+    path = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{path}/{n}.parquet") for n in ("documents", "labels"))
+    told = language.op1_byte_recurrent_language(spark, path).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in told]) > 0.97
+    told = quality.op3_quadratic_quality(spark, path).where("held_out").join(labels, "doc_id").where("quality is not null").collect()
+    assert np.mean([r["quality"] == r["predicted"] for r in told]) > 0.95
+
+
+def test_hot_keys_join_like_others(spark):
+    from moraine.llm.common import Tables, join_hot, small
+
+    rows = spark.createDataFrame([(0, i) for i in range(3000)] + [(k, k) for k in range(1, 5001)], "k long, v long")
+    with Tables() as t:
+        rows, counts = t.cut(rows), t.cut(rows.groupBy("k").count().selectExpr("k", "k * 2 as w", "count as n").where("k <> 7"))
+        got = sorted(map(tuple, join_hot(rows, counts, "k", "n").collect()))
+        assert got == sorted((k, v, 2 * k) for k, v in map(tuple, rows.collect()) if k != 7)
+        plan = join_hot(rows, counts, "k", "n")._jdf.queryExecution().toString()
+        assert "LeftAnti" in plan and small(counts, 10) is counts and small(counts) is not counts
+        paths = list(t.paths.values())
+    assert not any(os.path.exists(x.removeprefix("file://")) for x in paths)
+
+
 # ---- 2, 4, 5: packing, sharding, mixing
 
 
@@ -538,18 +582,12 @@ def test_shards_get_the_blocks_of_the_tree(docs, spark):
 
     slim = cut(mixing.slim_rows(docs, max_blocks=64))
     with Tables() as t:
-        plan = mixing.draws(slim, t, block_words=100, max_blocks=64, shards=3).collect()
-    own = defaultdict(set)  # a block's fine parts agree; (source, epoch, shard, block) is told by its draws
+        plan = mixing.draws(slim, t, block_words=100, max_blocks=64, shards=3)[1].collect()
+    blocks = defaultdict(set)
     for r in plan:
         for d in [*r["_m_whole"], *r["_m_part"]]:
-            own[r["_m_source"]].add((r["_m_fine"], d["epoch"], d["shard"]))
-    blocks = defaultdict(set)
-    words = {s: n for s, n in slim.groupBy("_m_source").sum("_m_size").collect()}
-    for s, draws in own.items():
-        n = max(1, min(64, -(-words[s] // 100)))
-        for fine, epoch, shard in draws:
-            blocks[s].add((fine * n // 64, epoch, shard))
-        assert len(blocks[s]) == len({(b, e) for b, e, _ in blocks[s]})  # disjoint
+            assert (r["_m_block"], d["epoch"]) not in {(b, e) for b, e, _ in blocks[r["_m_source"]]}  # disjoint
+            blocks[r["_m_source"]].add((r["_m_block"], d["epoch"], d["shard"]))
     order = sorted(blocks)
     tree = mixing.splitting_tree(np.array([len(blocks[s]) for s in order]), 3, mixing.SEED)
     assert [[sum(x[2] == k for x in blocks[s]) for s in order] for k in range(3)] == tree.tolist()
