@@ -301,20 +301,28 @@ def scored_grams(wanted: DataFrame, grams: DataFrame, order: int, parts: int) ->
     return both.repartition(parts, F.shiftright("key", 8).bitwiseAND(_mask(base))).mapInArrow(run, "key long, value double")
 
 
-def frequent_grams(grams: DataFrame, most: int) -> tuple[Table, int]:
-    """The log10 probabilities of at most ``most`` grams, those of the highest
-    counts, and how many grams there are."""
+def most_frequent(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The rows (key, n) of the highest counts, at most ``most``, and how many
+    rows there are: a cut between sixteenths of a doubling of the count, found from
+    one number for each, so that no task sends more than its share of the result."""
     size = F.floor(F.log2("n") * 16)
-    sizes = sorted(((r["size"], r["count"]) for r in grams.groupBy(size.alias("size")).count().collect()), reverse=True)
-    all_, taken, least = sum(c for _, c in sizes), 0, None
+    sizes = sorted(((r["size"], r["count"]) for r in rows.groupBy(size.alias("size")).count().collect()), reverse=True)
+    taken, least = 0, None
     for s, c in sizes:
         if taken + c > most:
             break
         taken, least = taken + c, s
+    return rows.where(size >= least if least is not None else F.lit(False)), sum(c for _, c in sizes)
+
+
+def frequent_grams(grams: DataFrame, most: int) -> tuple[Table, int]:
+    """The log10 probabilities of at most ``most`` grams, those of the highest
+    counts, and how many grams there are."""
+    own_rows, all_ = most_frequent(grams, most)
     context = F.shiftright("key", 8).alias("context")
     totals = grams.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     own = F.when(F.col("kinds") < 256, 0.5).otherwise(0.0)
-    head = grams.where(size >= least if least is not None else F.lit(False)).select("key", "n", context).join(totals, "context")
+    head = own_rows.select("key", "n", context).join(totals, "context")
     got = head.select("key", F.log10((F.col("n") - own) / F.col("total")).alias("value")).toArrow()  # at most ``most`` rows
     return Table(got["key"].to_numpy(), got["value"].to_numpy()), all_
 
@@ -330,10 +338,10 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, head: int =
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    top = words.orderBy(F.desc("n"), "word").limit(head).toPandas().sort_values("word")
+    top = most_frequent(words.withColumnRenamed("word", "key"), head)[0].toPandas().sort_values("key")  # at most ``head`` rows
     grams_ = counts.where(F.col("kind") == GRAM).select("key", "n")
     frequent, n_grams = frequent_grams(grams_, grams_head)
-    model = spark.sparkContext.broadcast((frequent, top["word"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.float64) + 1)))
+    model = spark.sparkContext.broadcast((frequent, top["key"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.float64) + 1)))
 
     def run(batches):
         table_, known, logs = model.value
