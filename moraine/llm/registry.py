@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moraine.llm import imatch, language, mixing, packing, ppm, quality, quantized, sharding, token_groups, url_filter
+from moraine.llm import imatch, language, mixing, packing, periodic, ppm, quality, quantized, sharding, token_counts, token_groups, url_filter, yinyang
 
 
 def queries() -> dict:
@@ -19,9 +19,12 @@ def queries() -> dict:
             quantized.op8_quantized_tiles,
             imatch.op9_imatch_fingerprints,
             url_filter.op10_url_reputation,
+            yinyang.op11_yinyang_grouping,
+            token_counts.op12_whole_token_shortcut,
+            periodic.op13_block_matching_runs,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_reputation": url_filter.SQL}
+    return {"op10_url_reputation": url_filter.SQL, "op11_yinyang_grouping": yinyang.SQL}
