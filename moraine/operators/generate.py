@@ -1,14 +1,16 @@
-"""Generated tables: lattices, random velocities, random draws, lag grids."""
+"""Generated tables: lattices, random velocities, shuffles, lag grids."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.functions.box import Box, total
+from moraine.functions.box import Box
+from moraine.functions.draws import normal, permuted
+from moraine.operators.sorting import numbered
 
 #: Sites of a face-centred unit cell, in quarters of its edge.
 FCC_SITES = {2: [(1, 1), (3, 3)], 3: [(1, 1, 1), (3, 3, 1), (3, 1, 3), (1, 3, 3)]}
@@ -61,32 +63,20 @@ def fcc_lattice(spark: SparkSession, n: int, box: Box, slab: Sequence[float] | N
 
 def boltzmann_velocities(particles: DataFrame, box: Box, temperature: float, seed: int = 0) -> DataFrame:
     """Normal velocities with variance T / m, without drift of the centre of
-    mass. The same partitioning and seed give the same draw."""
+    mass. A particle's draw depends on the seed, its id and the axis alone."""
     names = ["v" + a for a in box.axes]
-    drawn = particles.withColumns({n: F.randn(seed + k) * F.sqrt(temperature / F.col("mass")) for k, n in enumerate(names)})
+    drawn = particles.withColumns({n: normal(seed, "id", F.lit(k)) * F.sqrt(temperature / F.col("mass")) for k, n in enumerate(names)})
     drift = drawn.agg(F.sum("mass").alias("_m"), *[F.sum(F.col("mass") * F.col(n)).alias("_p" + n) for n in names])
     moved = drawn.crossJoin(F.broadcast(drift))  # one row
     return moved.withColumns({n: F.col(n) - F.col("_p" + n) / F.col("_m") for n in names}).drop("_m", *["_p" + n for n in names])
 
 
-def uniform(seed: int, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.rand(seed) * (high - low) + low
-
-
-def normal(seed: int, mean: float = 0.0, sigma: float = 1.0) -> Column:
-    return F.randn(seed) * sigma + mean
-
-
-def unit_vector(seed: int, dimension: int) -> list[Column]:
-    """Components of a random direction; wrap in one select, so that all use the
-    same draws."""
-    draws = [F.randn(seed + k) for k in range(dimension)]
-    norm = F.sqrt(total([c * c for c in draws]))
-    return [c / norm for c in draws]
-
-
-def shuffle(rows: DataFrame, seed: int) -> DataFrame:
-    return rows.orderBy(F.rand(seed))
+def shuffled(rows: DataFrame, seed: int, order: Sequence[str], name: str = "place") -> DataFrame:
+    """Add each row's place in a random order of all rows, which depends on the seed and
+    on the row's number in the order of the columns ``order`` alone. Nothing is sorted by a random
+    key; ``repartitionByRange`` on the place lays the rows out by it."""
+    ranked = numbered(rows, order, "_rank")
+    return ranked.withColumn(name, permuted("_rank", ranked.count(), seed)).drop("_rank")
 
 
 def semilog_grid(start: float, stop: float, decimation: int) -> list[float]:

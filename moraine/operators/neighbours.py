@@ -3,22 +3,26 @@
 The range join becomes an equi-join: space is cut into cells at least one cutoff
 wide, each row of one side is copied to the cells around it (half of them in a
 self-join), and the distance is tested on what meets. With fewer than three
-cells along an axis some cells around are the same one and are taken once. A box
-of less than ``FEW_CELLS`` cells has all pairs formed, in tiles.
+cells along an axis some cells around are the same one and are taken once. The rows of
+a dense cell are dealt into blocks and meet others block by block, so that one
+cell may hold any share of all rows, and a box may be a single cell.
+
+Spheres are placed one after the other (:func:`placed_in_order`) by the cells' first undecided ones, in rounds.
 """
 
 from __future__ import annotations
 
 from itertools import product
-from math import floor, prod
+from math import floor, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.functions.box import Box, minimum_image, square, total
+from moraine.sources.scratch import written
 
-TILE_ROWS = 2_048  # rows of a step in a block of ids, about
-FEW_CELLS = 27
+TILE_ROWS = 2_048  # rows of a block, about
+MOST_BROADCAST = 500_000
 
 
 def cell_counts(box: Box, reach: float) -> list[int]:
@@ -44,26 +48,73 @@ def _sides(particles: DataFrame, side: str, keys: list[str]) -> DataFrame:
     return particles.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in particles.columns if c not in keys])
 
 
-def _cell_join(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[str], same: bool) -> DataFrame:
-    counts = cell_counts(box, reach)
-    cells = ["c" + a for a in box.axes]
+def dense_cells(rows: DataFrame, by: list[str]) -> DataFrame | None:
+    """The cells of more than ``TILE_ROWS`` rows and in how many blocks their rows are dealt; None if
+    there are none. At most one row for ``TILE_ROWS`` ones, broadcast if that is few."""
+    found = written(rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > TILE_ROWS).select(*by, F.ceil(F.col("_n") / TILE_ROWS).cast("int").alias("_blocks")))
+    n = found.count()
+    return None if not n else F.broadcast(found) if n <= MOST_BROADCAST else found
+
+
+def _own_block(rows: DataFrame, dense: DataFrame | None, by: list[str], block: str, blocks: str) -> DataFrame:
+    """Add the number of blocks of a row's cell and the row's block."""
+    if dense is None:
+        return rows.withColumns({blocks: F.lit(1), block: F.lit(0)})
+    rows = rows.join(dense.withColumnRenamed("_blocks", blocks), by, "left").withColumn(blocks, F.coalesce(blocks, F.lit(1)))
+    return rows.withColumn(block, F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"))
+
+
+def dealt(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[str], same: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the columns on which rows of near cells meet. A row of ``left`` is copied to the
+    cells around its own (half of them in a self-join). The rows of a dense cell are dealt into blocks:
+    what is copied to it goes to each of its blocks (``_v``), and where the cell that rows come from is
+    dense, each of its blocks (``_u``, with the way it came as ``_tag``) is met apart. So no value of these
+    columns has more than a tile of two blocks, or the sparse cells around one block."""
+    counts, cells = cell_counts(box, reach), ["c" + a for a in box.axes]
     offsets = list(product(*[sorted({-1 % k, 0, 1 % k}) for k in counts]))
     back = {o: tuple(-v % k for v, k in zip(o, counts)) for o in offsets}
     if same:
         offsets = [o for o in offsets if o <= back[o]]
+    still = offsets.index((0,) * len(counts))
+    by = [*keys, *cells]
+    left, right = with_cells(left, box, reach), with_cells(right, box, reach)
+    from_dense = dense_cells(left, by)
+    to_dense = from_dense if same else dense_cells(right, by)
     # what is its own way back, home too, meets from both ends
-    around = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, cells)], F.lit(o == back[o]).alias("home")) for o in offsets])
-    left = with_cells(left, box, reach).withColumn("_o", F.explode(around)).withColumn("_home", F.col("_o.home"))
-    left = left.withColumns({c: F.pmod(F.col(c) + F.col("_o")[c], F.lit(k)).cast("int") for c, k in zip(cells, counts)}).drop("_o")
-    both = [*keys, *cells]
-    met = _sides(left.drop("_home") if not same else left, "i", both).join(_sides(with_cells(right, box, reach), "j", both), both).drop(*cells)
+    around = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, cells)], F.lit(k).alias("way"), F.lit(o == back[o]).alias("home")) for k, o in enumerate(offsets)])
+    shifted = {c: F.pmod(F.col(c) + F.col("_o")[c], F.lit(k)).cast("int") for c, k in zip(cells, counts)}
+    left = _own_block(left, from_dense, by, "_u", "_us").withColumn("_o", F.explode(around)).withColumns(shifted)
+    left = left.withColumn("_tag", F.when(F.col("_us") > 1, F.col("_o.way")).otherwise(F.lit(-1)))
+    inside = F.lit(same) & (F.col("_o.way") == still)  # blocks of one cell meet once
+    if to_dense is None:
+        left = left.withColumn("_v", F.lit(0))
+    else:
+        left = left.join(to_dense, by, "left")
+        left = left.withColumn("_v", F.explode(F.sequence(F.when(inside, F.col("_u")).otherwise(F.lit(0)), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks")
+    left = left.withColumn("_home", F.col("_o.home") & ~(inside & (F.col("_u") != F.col("_v")))).drop("_o", "_us")
+    right = _own_block(right, to_dense, by, "_v", "_vs")
+    if from_dense is None:
+        right = right.withColumns({"_tag": F.lit(-1), "_u": F.lit(0)})
+    else:
+        ways = from_dense.withColumn("_o", F.explode(around)).withColumns(shifted).groupBy(*by).agg(F.collect_list(F.struct(F.col("_o.way").alias("tag"), F.col("_blocks").alias("n"))).alias("_ways"))  # one a cell around
+        plain = F.array(F.struct(F.lit(-1).alias("tag"), F.lit(1).alias("n")))
+        right = right.join(ways, by, "left").withColumn("_w", F.explode(F.concat(plain, F.coalesce("_ways", F.slice(plain, 1, 0)))))
+        last = F.when(F.lit(same) & (F.col("_w.tag") == still), F.col("_v")).otherwise(F.col("_w.n") - 1)
+        right = right.withColumn("_tag", F.col("_w.tag")).withColumn("_u", F.explode(F.sequence(F.lit(0), last))).drop("_w", "_ways")
+    return left if same else left.drop("_home"), right.drop("_vs"), [*by, "_v", "_tag", "_u"]
+
+
+def _cell_join(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[str], same: bool) -> DataFrame:
+    """Pairs of near cells closer than ``reach``, with their distances."""
+    left, right, on = dealt(left, right, box, reach, keys, same)
+    met = _distances(_sides(left, "i", on).join(_sides(right, "j", on), on), box).where(F.col("rr") < reach**2).drop(*[c for c in on if c not in keys])
     if not same:
         return met
     # a pair of two cells comes once, in either order; make it the order of ids
     met = met.where(~F.col("_home_i") | (F.col("id_i") < F.col("id_j"))).drop("_home_i")
     names, turned = [c[:-2] for c in met.columns if c.endswith("_i")], F.col("id_i") > F.col("id_j")
     ends = [F.when(turned, F.col(f"{c}_{b}")).otherwise(F.col(f"{c}_{a}")).alias(f"{c}_{a}") for a, b in ("ij", "ji") for c in names]
-    return met.select(*keys, *ends)
+    return met.select(*keys, *ends, *[F.when(turned, -F.col("d" + a)).otherwise(F.col("d" + a)).alias("d" + a) for a in box.axes], "rr")
 
 
 def _blocks(rows: DataFrame, keys: list[str]) -> int:
@@ -106,15 +157,11 @@ def neighbours(particles: DataFrame, box: Box, cutoff: float, skin: float = 0.0,
     pair, up to ``cutoff``, and joins its columns."""
     keys = ["step"] if "step" in particles.columns else []
     reach, same = cutoff + skin, others is None
-    if prod(cell_counts(box, reach)) < FEW_CELLS:
-        pairs = all_pairs(particles, box, others)
-    else:
-        met = _cell_join(particles, particles if same else others, box, reach, keys, same)
-        pairs = _ordered(_distances(met, box), keys, same)
+    pairs = _ordered(_cell_join(particles, particles if same else others, box, reach, keys, same), keys, same)
     if params is not None:  # one row per species pair; Spark broadcasts the table if it is small
         pairs = pairs.join(params, (F.col("species_i") == F.col("a")) & (F.col("species_j") == F.col("b"))).drop("a", "b")
         return pairs.where(F.col("rr") < square(F.col("r_cut") + skin))
-    return pairs.where(F.col("rr") < reach**2)
+    return pairs
 
 
 def within(pairs: DataFrame, now: DataFrame, box: Box, cutoff: float) -> DataFrame:
@@ -139,3 +186,47 @@ def excluded_volume(spheres: DataFrame, placed: DataFrame, box: Box, largest: fl
     ``placed``: an anti-join by cells. ``largest``: the largest diameter of both."""
     hits = neighbours(spheres, box, largest, others=placed).where(F.col("rr") < square((F.col("diameter_i") + F.col("diameter_j")) / 2))
     return spheres.join(hits.select(F.col("i").alias("id")).distinct(), "id", "left_anti")
+
+
+def placed_in_order(spheres: DataFrame, box: Box, most_rounds: int = 10_000) -> DataFrame:
+    """The rows of ``spheres`` (id, x.., diameter) that find room when they are placed one after the other by
+    id: a sphere is placed unless it overlaps an earlier one that was placed.
+
+    The box is cut into fine cells whose diagonal is below the smallest diameter, so that all
+    spheres of a fine cell overlap and at most one of them is placed. In a round each fine cell
+    offers its first undecided sphere; it is placed if it overlaps no earlier undecided one, and all that
+    overlap it are out. The first undecided sphere of all is placed in every round; with ids in no
+    spatial order about log(n) rounds do, while ids that run along a line of overlaps take as many
+    rounds as the line is long.
+
+    A round is minima over cells and one cell join of the offers, of which no cell of a diameter's width
+    has more than it has fine cells, with the undecided rows: its work grows with the rows, however many of them
+    lie in one place. Ids are distinct; rows with a null position or diameter are not
+    placed; diameters must be positive."""
+    axes, cells = list(box.axes), ["f" + a for a in box.axes]
+    known = spheres.dropna(subset=["id", "diameter", *axes])
+    least, most = known.agg(F.min("diameter"), F.max("diameter")).first()
+    if least is None:
+        return known
+    if least <= 0:
+        raise ValueError("diameters must be positive")
+    counts = [floor(n * sqrt(box.dimension) / least) + 1 for n in box.lengths]
+    slim = known.select("id", *axes, "diameter").withColumns({c: cell_index(F.col(a), n, k) for c, a, n, k in zip(cells, axes, box.lengths, counts)})
+    undecided, placed = written(slim), []
+    for _ in range(most_rounds):
+        offers = written(undecided.groupBy(*cells).agg(F.min_by(F.struct("id", *axes, "diameter"), "id").alias("s")).select(*cells, "s.*"))
+        if offers.isEmpty():
+            break
+        met = neighbours(offers.select("id", *axes, "diameter"), box, most, others=undecided)
+        met = written(met.where((F.col("i") != F.col("j")) & (F.col("rr") < square((F.col("diameter_i") + F.col("diameter_j")) / 2))).select("i", "j"))
+        waits = met.where("j < i").select(F.col("i").alias("id")).distinct()
+        now = written(offers.select("id").join(waits, "id", "left_anti"))
+        placed.append(now)
+        out = met.join(now.select(F.col("id").alias("i")), "i").select(F.col("j").alias("id")).union(now).distinct()
+        undecided = written(undecided.join(out, "id", "left_anti"))
+    else:
+        raise RuntimeError(f"spheres were left after {most_rounds} rounds")
+    chosen = placed[0] if placed else undecided.select("id")
+    for p in placed[1:]:
+        chosen = chosen.union(p)
+    return known.join(chosen, "id", "left_semi")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from moraine.functions import draws
 from moraine.functions import potentials as pot
 from moraine.functions import vectors as vec
 from moraine.functions.box import Box, extend_periodic, reduce_periodic
@@ -365,6 +366,17 @@ def excluded_volume(spark, d):
     return neighbours.excluded_volume(s.where("species < 5"), s.where("species >= 5"), box, 0.2).select("id", "species")
 
 
+@query("sphere_placement", f"""WITH RECURSIVE {P}, s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS k, id, species, struct_pack(x := x, y := y, z := z, d := 0.1 + 0.01*species) AS s FROM p),
+g AS (SELECT 0::BIGINT AS k, 0::BIGINT AS id, 0 AS species, true AS fits, []::STRUCT(x DOUBLE, y DOUBLE, z DOUBLE, d DOUBLE)[] AS taken UNION ALL
+ SELECT k, id, species, fits, CASE WHEN fits THEN list_append(taken, s) ELSE taken END FROM (SELECT s.k, s.id, s.species, s.s, g.taken,
+  len(list_filter(g.taken, lambda t: pow({_MI.format('(t.x - s.s.x)')}, 2) + pow({_MI.format('(t.y - s.s.y)')}, 2) + pow({_MI.format('(t.z - s.s.z)')}, 2) < pow((t.d + s.s.d) / 2, 2))) = 0 AS fits FROM g JOIN s ON s.k = g.k + 1))
+SELECT id, species FROM g WHERE k > 0 AND fits""")
+def sphere_placement(spark, d):
+    """Spheres placed one after the other by id: each needs room among those placed before."""
+    p, box = as_particles(spark, d)
+    return neighbours.placed_in_order(p.select("id", "x", "y", "z", "species", (0.1 + 0.01 * F.col("species")).alias("diameter")), box).select("id", "species")
+
+
 def _params(spark: SparkSession, species: int = 10) -> DataFrame:
     """epsilon and sigma grow with both species; cutoffs differ a little."""
     rows = [{"a": a, "b": b, "epsilon": 1 + 0.1 * (a + b), "sigma": 0.02 + 0.0005 * (a + b), "r_cut": 0.1 + 0.001 * (a + b), "r_min": 0.05, "distortion": 1.2, "r_core": 0.002} for a in range(species) for b in range(a, species)]
@@ -811,10 +823,49 @@ def hilbert_clustered(spark, d):
     return laid.join(before, "part").select("id", "species", (F.col("own") + F.col("before")).alias("place"))
 
 
-@query("boltzmann_velocities")
+def _draw_sql(key: str, place: int = 0) -> str:
+    return f"(('0x' || substr(md5({key}), {1 + 13 * place}, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def _normal_sql(key: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {_draw_sql(key)})) * cos(6.283185307179586 * {_draw_sql(key, 1)}))"
+
+
+def _permuted_sql(seed: int, rounds: int = 6) -> str:
+    """(id, n, x) for ``s`` (id of 0..n-1, n): the rounds one by one, then, by recursion, again for numbers outside."""
+    a, b = "ceil(sqrt(n))::BIGINT", "ceil(n / ceil(sqrt(n)))::BIGINT"
+
+    def once(source: str) -> str:
+        out = f"SELECT id, n, x // ({b}) AS l, x % ({b}) AS r FROM {source}"
+        for k in range(rounds):
+            own, other, size = ("l", "r", a) if k % 2 == 0 else ("r", "l", b)
+            hashed = f"('0x' || substr(md5('{seed}:{k}:' || {other}), 1, 13))::BIGINT"
+            out = f"SELECT id, n, ({own} + {hashed} % ({size})) % ({size}) AS {own}, {other} FROM ({out})"
+        return f"SELECT id, n, l * ({b}) + r AS x FROM ({out})"
+
+    return f"w AS ({once('(SELECT id, n, id AS x FROM s)')} UNION ALL {once('(SELECT id, n, x FROM w WHERE x >= n)')})"
+
+
+@query("random_draws", f"""WITH {P}, u AS (SELECT id, {", ".join(f"{_normal_sql(f"'8:' || id || ':{k}'")} AS n{k}" for k in range(3))} FROM p)
+SELECT id, {_r(9, u=_draw_sql("'6:' || id") + " * 2 + 3", n=_normal_sql("'7:' || id") + " * 0.5 + 1", a="n0 / sqrt(n0*n0 + n1*n1 + n2*n2)", b="n1 / sqrt(n0*n0 + n1*n1 + n2*n2)", c="n2 / sqrt(n0*n0 + n1*n1 + n2*n2)")} FROM u""")
+def random_draws(spark, d):
+    p, _ = as_particles(spark, d)
+    direction = dict(zip("abc", draws.unit_vector(8, "id")))
+    rows = p.select("id", draws.uniform(6, "id", low=3.0, high=5.0).alias("u"), draws.normal(7, "id", mean=1.0, sigma=0.5).alias("n"), *[c.alias(n) for n, c in direction.items()])
+    return rounded(rows, 9, "u", "n", "a", "b", "c")
+
+
+@query("shuffled", f"WITH RECURSIVE {P}, s AS (SELECT row_number() OVER (ORDER BY x, p.id) - 1 AS id, p.id AS own, count(*) OVER () AS n FROM p), {_permuted_sql(11)} SELECT s.own AS id, w.x AS place FROM w JOIN s USING (id) WHERE w.x < w.n")
+def shuffled(spark, d):
+    p, _ = as_particles(spark, d)
+    return generate.shuffled(p.select("id", "x"), 11, ["x", "id"]).select("id", "place")
+
+
+@query("boltzmann_velocities", f"""WITH {P}, v AS (SELECT id, mass, {", ".join(f"{_normal_sql(f"'3:' || id || ':{k}'")} * sqrt(1.5 / mass) AS v{a}" for k, a in enumerate("xyz"))} FROM p),
+c AS (SELECT sum(mass) AS m, sum(mass * vx) AS px, sum(mass * vy) AS py, sum(mass * vz) AS pz FROM v) SELECT id, {_r(9, vx="vx - px / m", vy="vy - py / m", vz="vz - pz / m")} FROM v, c""")
 def boltzmann(spark, d):
     p, box = as_particles(spark, d)
-    return generate.boltzmann_velocities(p, box, 1.5, seed=3).select("id", "vx", "vy", "vz")
+    return rounded(generate.boltzmann_velocities(p, box, 1.5, seed=3).select("id", "vx", "vy", "vz"), 9, "vx", "vy", "vz")
 
 
 @query("boltzmann_moments", f"WITH {P} SELECT count(*) AS n, true AS no_drift, true AS temperature_fits FROM p")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from moraine.functions import draws
 from moraine.functions import potentials as pot
 from moraine.functions.box import Box
 from moraine.operators import correlation as tcf
@@ -59,6 +60,31 @@ def test_few_cells_along_an_axis(spark, lengths, cutoff):
     assert sorted(between) == sorted((i, j) if i % 2 == 0 else (j, i) for i, j in set(found) if (i + j) % 2)
 
 
+def test_dense_cells_are_dealt_into_blocks(spark, monkeypatch):
+    """Nine tenths of all rows in one cell, some of them at its border, and a dense neighbour."""
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 40)
+    box, g = Box((6.0, 6.0)), np.random.default_rng(3)
+    rows = [(i, i % 2, *(g.uniform(0.0, 1.0, 2) if i < 540 else g.uniform(1.0, 1.3, 2) - (0.0, 1.0) if i < 600 else g.uniform(-3, 3, 2)).tolist()) for i in range(660)]
+    p = spark.createDataFrame(rows, "id long, species int, x double, y double").repartition(4).cache()
+    want = brute_pairs(p, box, 0.3)
+    found = [(r["i"], r["j"], r["x_i"] - r["x_j"], r["dx"]) for r in neighbours.neighbours(p, box, 0.3).collect()]
+    assert len(found) == len(want) and {f[:2] for f in found} == want and all(abs(a - b - round((a - b) / 6) * 6) < 1e-12 for *_, a, b in found)
+    one, two = p.where("id < 300"), p.where("id >= 300")
+    between = [(r["i"], r["j"]) for r in neighbours.neighbours(one, box, 0.3, others=two).select("i", "j").collect()]
+    assert sorted(between) == sorted((i, j) for i, j in want if i < 300 <= j)
+    small, large = p.where("species = 0 and id >= 540"), p.where("species = 1")  # only one side is dense, from either end
+    for a, b in ((small, large), (large, small)):
+        between = {(r["i"], r["j"]) for r in neighbours.neighbours(a, box, 0.3, others=b).select("i", "j").collect()}
+        assert between == {(i, j) if b is large else (j, i) for x, y in want for i, j in ((x, y), (y, x)) if i % 2 == 0 and i >= 540 and j % 2}
+    for left, right, same in ((p, p, True), (one, two, False)):
+        left, right, on = neighbours.dealt(left, right, box, 1.0, [], same)
+        work = left.groupBy(*on).count().join(right.groupBy(*on).agg(F.count("*").alias("n")), on).select((F.col("count") * F.col("n")).alias("pairs"))
+        most, whole = work.agg(F.max("pairs"), F.sum("pairs")).first()
+        assert most <= 70 * 200 and most < whole / 20  # a block against a block or the sparse cells around it
+    inner, one_cell = p.where("id < 600"), Box((3.0, 3.0))
+    assert {(r["i"], r["j"]) for r in neighbours.neighbours(inner, one_cell, 1.6).select("i", "j").collect()} == brute_pairs(inner, one_cell, 1.6)
+
+
 def test_all_pairs_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TILE_ROWS", 7)
     box = Box((2.0, 2.0))
@@ -270,11 +296,11 @@ def test_random_draws(spark):
     p = generate.boltzmann_velocities(generate.fcc_lattice(spark, 3000, box).withColumn("mass", 1.0 + F.col("id") % 2), box, 2.0, seed=4)
     row = thermodynamics(p, box, ["temperature", "center_of_mass_velocity"]).first()
     assert abs(row["temperature"] - 2) < 4.5 * 2 * math.sqrt(2 / 9000) and all(abs(row[f"center_of_mass_velocity_{a}"]) < 1e-12 for a in "xyz")
-    u = spark.range(500).select(*[c.alias(n) for c, n in zip(generate.unit_vector(3, 3), "abc")])
+    u = spark.range(500).select(*[c.alias(n) for c, n in zip(draws.unit_vector(3, "id"), "abc")])
     assert all(abs(r["a"] ** 2 + r["b"] ** 2 + r["c"] ** 2 - 1) < 1e-12 for r in u.collect())
-    x = spark.range(2000).select(generate.uniform(1, 2, 4).alias("u"), generate.normal(2, 5, 0.5).alias("n")).agg(F.avg("u"), F.avg("n"), F.min("u"), F.max("u")).first()
+    x = spark.range(2000).select(draws.uniform(1, "id", low=2, high=4).alias("u"), draws.normal(2, "id", mean=5, sigma=0.5).alias("n")).agg(F.avg("u"), F.avg("n"), F.min("u"), F.max("u")).first()
     assert abs(x[0] - 3) < 0.1 and abs(x[1] - 5) < 0.1 and 2 <= x[2] and x[3] <= 4
-    assert sorted(r[0] for r in generate.shuffle(spark.range(50), 1).collect()) == list(range(50))
+    assert sorted(r[0] for r in generate.shuffled(spark.range(50), 1, ["id"]).select("place").collect()) == list(range(50))
 
 
 def test_excluded_volume(spark):
@@ -286,6 +312,60 @@ def test_excluded_volume(spark):
     assert free == set(range(30)) - hit
 
 
+def test_draws_do_not_depend_on_the_layout(spark):
+    rows = spark.range(300).withColumn("mass", F.lit(2.0))
+    columns = [draws.uniform(1, "id").alias("u"), draws.normal(1, "id").alias("n"), draws.permuted("id", 300, 9).alias("p"), *[c.alias(a) for c, a in zip(draws.unit_vector(3, "id", dimension=2), "xy")]]
+    first = sorted(map(tuple, rows.repartition(1).select("id", *columns).collect()))
+    assert first == sorted(map(tuple, rows.orderBy(F.desc("id")).repartition(7).select("id", *columns).collect()))
+    assert len({r[1] for r in first}) == 300 and [r[3] for r in first] != list(range(300))
+    other = sorted(map(tuple, rows.select("id", draws.uniform(2, "id").alias("u")).collect()))
+    assert sum(a[1] == b[1] for a, b in zip(first, other)) == 0
+    box = Box((3.0, 3.0, 3.0))
+    a, b = (sorted(map(tuple, generate.boltzmann_velocities(r, box, 1.0, 5).select("id", F.round("vx", 10)).collect())) for r in (rows.repartition(1), rows.repartition(5)))
+    assert a == b
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 99, 1000, 4097])
+def test_permutations_are_bijections(spark, n):
+    moved = {r["id"]: r["p"] for r in spark.range(n).repartition(3).select("id", draws.permuted("id", n, 4).alias("p")).collect()}
+    assert sorted(moved.values()) == list(range(n))
+    if n >= 1000:  # no trend, and neighbours land anywhere
+        assert abs(np.corrcoef(list(moved), list(moved.values()))[0, 1]) < 0.12
+        assert abs(np.abs(np.diff([moved[i] for i in range(n)])).mean() / n - 1 / 3) < 0.05
+
+
+def brute_placement(rows, box):
+    taken = []
+    for r in sorted(rows, key=lambda r: r["id"]):
+        apart = lambda t: sum((d - n * round(d / n)) ** 2 for a, n in zip(box.axes, box.lengths) for d in [r[a] - t[a]])
+        if all(apart(t) >= ((r["diameter"] + t["diameter"]) / 2) ** 2 for t in taken):
+            taken.append(r)
+    return [t["id"] for t in taken]
+
+
+@pytest.mark.parametrize("lengths, crowd", [((4.0, 4.0, 4.0), 0), ((5.0, 3.0), 200), ((1.0, 30.0), 0)])
+def test_placement_is_that_of_one_after_the_other(spark, lengths, crowd, monkeypatch):
+    box = Box(lengths)
+    p = cloud(spark, 220, box).withColumn("diameter", 0.5 + 0.2 * F.col("species"))
+    if crowd:  # a hot spot, in blocks, with ids among the others
+        monkeypatch.setattr(neighbours, "TILE_ROWS", 50)
+        spot = cloud(spark, crowd, Box((0.2, 0.1)), 7).withColumns({"id": 3 * F.col("id") + 1, "diameter": F.lit(0.4)})
+        p = p.withColumn("id", 3 * F.col("id")).unionByName(spot)
+    p = p.select("id", *box.axes, "diameter", "species").cache()
+    extra = spark.createDataFrame([(9000, None, 0.5), (9001, 0.0, None)], "id long, x double, diameter double")
+    got = neighbours.placed_in_order(p.unionByName(extra, allowMissingColumns=True).repartition(5), box)
+    assert sorted(r["id"] for r in got.collect()) == brute_placement(p.collect(), box)
+
+
+def test_placement_along_a_line_and_of_nothing(spark):
+    box = Box((40.0, 4.0))
+    line = spark.range(20).select("id", (F.col("id") * 0.6 - 19).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("diameter"))
+    assert sorted(r["id"] for r in neighbours.placed_in_order(line, box).collect()) == list(range(0, 20, 2))
+    assert neighbours.placed_in_order(line.where("id < 0"), box).count() == 0
+    with pytest.raises(ValueError):
+        neighbours.placed_in_order(line.withColumn("diameter", F.lit(0.0)), box)
+
+
 def test_orders(spark):
     rows = spark.range(1000).selectExpr("id as o", "id * 7 % 13 as v").repartition(5)
     got = {r["o"]: r["scan"] for r in sorting.exclusive_scan(rows, "v", "o", 64).collect()}
