@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: dict[str, str] = {}
 
 
-def _remove(path: str) -> None:
+def remove(path: str) -> None:
     """Delete a folder of written tables."""
     jvm = SparkContext._jvm
     if jvm is not None:
@@ -63,7 +64,7 @@ def scratch_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         _scratch[app] = f"{shared_dir(spark)}/moraine-{app}"
-        atexit.register(_remove, _scratch[app])
+        atexit.register(remove, _scratch[app])
     return _scratch[app]
 
 
@@ -75,11 +76,27 @@ def _written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_alone: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage
     that survives the loss of any executor. The table is there as long as the
-    driver runs."""
-    return _written(df)[0]
+    driver runs, or :func:`alone` does."""
+    out, path = _written(df)
+    if _alone:
+        _alone[-1].append(path)
+    return out
+
+
+def alone(make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What ``make`` gives, written, and its folder; all tables that :func:`cut` wrote for it are deleted."""
+    _alone.append([])
+    try:
+        return _written(make())
+    finally:
+        for path in _alone.pop():
+            remove(path)
 
 
 class Tables:
@@ -88,23 +105,23 @@ class Tables:
     still reads (written by the function :func:`cut`) takes room after it."""
 
     def __enter__(self) -> Tables:
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # the frames too, so that no other one gets their ids
         return self
 
     def cut(self, df: DataFrame) -> DataFrame:
         out, path = _written(df)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for t in tables:
-            if (path := self.paths.pop(id(t), None)) is not None:
-                _remove(path)
+            if (found := self.paths.pop(id(t), None)) is not None:
+                remove(found[1])
 
     def __exit__(self, *_) -> None:
-        for path in self.paths.values():
-            _remove(path)
+        for _, path in self.paths.values():
+            remove(path)
 
 
 #: Keys with more than one part in ``HOT_SHARE`` of all rows are hot: there are fewer than ``HOT_SHARE`` of them, whatever the data.
