@@ -1,4 +1,4 @@
-"""Contiguous shards of equal bytes from global prefix sums.
+"""Balanced shards from global prefix sums of bytes.
 
 Documents are ordered by the md5 of their text, so that equal texts are
 neighbours and the order says nothing about the source. One pass over the slim
@@ -7,14 +7,18 @@ within its partition; each partition reports one row of totals, the driver adds
 these up, and the global prefix sum of a row is its partition's base plus its
 own. Shards are cut from the order at targets that make all of them equal.
 
-Equal texts stay together. They count from the start of their first row, so they
-all lie in one shard, and a shard exceeds its target by less than one such group.
-Texts that have more than ``1 / LARGE`` of a shard's target, alone or with all
-their copies (there are fewer than ``shards * LARGE`` of them, whatever the
-data), would make shards uneven: they are given to the shard with the fewest
-bytes of such texts, largest first, and the targets of the others' prefix sums
-are less by as much. Only copies that together exceed a shard's target can't stay
-whole: each of them is placed like a text of its own.
+Equal texts stay together: they count as one interval of the prefix sums, and lie in one shard.
+
+An interval can't be cut, so a shard may miss its target by half an interval at either end.
+That is little for small texts, not for large ones. So the law is applied
+from coarse to fine: texts (with all their copies) of like size, within a factor of two, have
+prefix sums of their own, which are cut, by the intervals' middles, at the targets that even out what
+the shards have from the coarser ones (:func:`rooms`); the last and finest prefix sums, over all
+texts below ``1 / LARGE`` of a shard, even out what is left. Every text is placed by prefix sums, and each shard is a contiguous stretch of
+every class. There are fewer than ``shards * LARGE`` coarse texts, whatever the data.
+Only copies that together exceed a shard's target can't stay
+whole: each of them is placed like a text of its own. A text larger than a shard's target takes the place of
+what else the shard would get.
 
 Edge cases: a null text has no bytes, crc 0 and forms a group of its own with
 the empty text; null and repeated ids and repeated rows keep separate places; an
@@ -23,8 +27,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,15 +41,30 @@ _DDL = "part int, doc_id long, size long, text_crc32 long, group int, start long
 TOTALS = -2  # of a row that holds its partition's totals; other rows: -1 or the number of a large group
 
 
-def dealt(large: list[int], shards: int) -> list[int]:
-    """The shard of each large group (sizes falling): always that with the least."""
-    heap = [(0, s) for s in range(shards)]
-    out = []
-    for n in large:
-        load, s = heapq.heappop(heap)
-        out.append(s)
-        heapq.heappush(heap, (load + n, s))
-    return out
+def rooms(loads: np.ndarray, amount: float) -> np.ndarray:
+    """How much of ``amount`` each shard takes so that the smallest ``loads`` rise to one level."""
+    rising = np.sort(loads)
+    levels = (amount + np.cumsum(rising)) / np.arange(1, len(loads) + 1)  # if the k smallest ones take all
+    level = levels[np.flatnonzero(levels >= rising)[-1]]
+    return np.maximum(level - loads, 0)
+
+
+def cut_at(sizes: np.ndarray, loads: np.ndarray) -> np.ndarray:
+    """The shard of each size, by the middle of its interval in the prefix sums."""
+    ends = np.cumsum(rooms(loads, sizes.sum()))
+    return np.searchsorted(ends[:-1], np.cumsum(sizes) - sizes / 2, side="right")
+
+
+def coarse_shards(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard of each of some large sizes, in the order given; bytes of each shard), class by class from the
+    largest: sizes of a class differ by less than a factor of two."""
+    out, loads = np.zeros(len(sizes), np.int64), np.zeros(shards)
+    kind = np.floor(np.log2(np.maximum(sizes, 1)))
+    for k in np.unique(kind)[::-1]:
+        own = np.flatnonzero(kind == k)
+        out[own] = cut_at(sizes[own].astype(float), loads)
+        loads += np.bincount(out[own], sizes[own], shards)
+    return out, loads
 
 
 def prefix_sums(rows: DataFrame) -> DataFrame:
@@ -90,16 +107,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERH
         target = total / shards
         # fewer than shards * LARGE rows
         large = slim.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).where(F.col("bytes") * LARGE > target).collect()
-        large = sorted(large, key=lambda r: (-r["bytes"], r["key"]))
+        large = sorted(large, key=lambda r: r["key"])
         cut_up = [r for r in large if r["bytes"] > target and r["rows"] > 1]
         fine = {r["key"] for r in cut_up if r["bytes"] * LARGE <= target * r["rows"]}
-        own = [r for r in large if r["key"] not in fine]  # texts with shards of their own
+        own = [r for r in large if r["key"] not in fine]
         split = {r["key"] for r in cut_up} - fine  # whose copies are large themselves
-        items = sorted(((r["bytes"] // (r["rows"] if r["key"] in split else 1), i) for i, r in enumerate(own) for _ in range(r["rows"] if r["key"] in split else 1)), key=lambda x: (-x[0], x[1]))
-        shards_of, given = [[] for _ in own], [0] * shards
-        for (n, i), s in zip(items, dealt([n for n, _ in items], shards)):
-            shards_of[i].append(s)
-            given[s] += n
+        times = np.array([r["rows"] if r["key"] in split else 1 for r in own], np.int64)
+        items = np.repeat(np.array([r["bytes"] for r in own], np.int64) // np.maximum(times, 1), times)
+        of, given = coarse_shards(items, shards)
+        shards_of = [x.tolist() for x in np.split(of, np.cumsum(times)[:-1])] if own else []
         groups = spark.createDataFrame([(r["key"], i) for i, r in enumerate(own)] + [(k, -1) for k in sorted(fine)], "key string, group int")
         # rows of a hot text are spread over the ranges; all others of a text lie in one range
         tie = F.when(F.col("group").isNull(), F.lit(0)).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id()))
@@ -115,8 +131,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERH
     for r in totals:
         bases.append((r["part"], *at))
         at = (at[0] + r["bytes"], at[1] + r["places"], at[2] + r["seen"])
-    room = np.maximum(target - np.array(given, float), 0)
-    ends = np.cumsum(room) * (at[0] / max(room.sum(), 1e-9))  # prefix sums at which the next shard begins
+    ends = np.cumsum(rooms(given, at[0]))  # prefix sums at which the next shard begins
     reached = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends[:-1]]), lambda e: e <= F.col("global"))) if shards > 1 else F.lit(0)
     bases = spark.createDataFrame(bases, "part int, bytes_before long, places_before long, seen_before long")
     placed = summed.where(F.col("group") != TOTALS).join(F.broadcast(bases), "part")

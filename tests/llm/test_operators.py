@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from moraine.llm import imatch, language, mixing, packing, ppm, quality, quantized, sharding, token_groups, url_filter
 from moraine.llm.components import components
@@ -435,7 +436,7 @@ def test_words_by_parts_equal_the_tokenizer():
 def test_sum_of_squares_never_overfills():
     g = np.random.default_rng(1)
     lengths = np.sort(g.integers(1, 101, 500))[::-1]
-    sequence, offset = packing.sum_of_squares(lengths, 100)
+    sequence, offset = packing.best_packing(lengths, 100)  # what the query runs
     used = np.bincount(sequence, lengths)
     assert used.max() <= 100 and len(used) <= lengths.sum() / 100 * 1.03 + 2
     for s in range(len(used)):
@@ -507,6 +508,46 @@ def test_equal_texts_share_a_shard(spark):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def plain_cut(sizes, loads):
+    """Rise the lowest shards bit by bit to find the rooms, then walk over the intervals."""
+    level, whole = min(loads), sum(sizes)
+    low, high = level, max(loads) + whole + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(max(0, level - x) for x in loads) < whole else (low, level)
+    ends, at, out = [], 0, []
+    for x in loads:
+        at += max(0, level - x)
+        ends.append(at)
+    at = 0
+    for n in sizes:
+        out.append(min(sum(e <= at + n / 2 for e in ends[:-1]), len(loads) - 1))
+        at += n
+    return out
+
+
+def test_cuts_of_prefix_sums():
+    g = np.random.default_rng(6)
+    for _ in range(60):
+        sizes, loads = g.integers(1, 1000, int(g.integers(0, 60))), g.integers(0, 4000, int(g.integers(1, 9))) * float(g.integers(0, 2))
+        assert sharding.rooms(loads, sizes.sum()).sum() == pytest.approx(sizes.sum())
+        assert sharding.cut_at(sizes.astype(float), loads).tolist() == plain_cut(sizes.tolist(), loads.tolist())
+    sizes = np.sort(np.exp(g.normal(6, 2, 4000)).astype(np.int64) + 16)
+    g.shuffle(sizes)
+    shard, loads = sharding.coarse_shards(sizes, 20)
+    assert np.allclose(np.bincount(shard, sizes, 20), loads) and loads.max() - loads.min() < 0.01 * loads.mean()
+    plain = np.bincount(sharding.cut_at(sizes.astype(float), np.zeros(20)), sizes, 20)
+    assert plain.max() - plain.min() <= 2 * sizes.max()  # a single class: within the texts at either end
+
+
+def test_shards_are_balanced_though_most_bytes_are_in_large_texts(spark):
+    g = np.random.default_rng(2)
+    rows = [(i, f"{i} " + "y" * int(n)) for i, n in enumerate(np.exp(g.normal(5, 1.8, 1500)))]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shards=10)
+    size = Counter({r["shard"]: r["n"] for r in out.groupBy("shard").agg(F.sum("size").alias("n")).collect()})
+    assert len(size) == 10 and max(size.values()) - min(size.values()) < 0.05 * sum(size.values()) / 10
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, shards=5).collect()
     assert len(rows) == len(corpus())
@@ -698,11 +739,21 @@ def test_urls(spark):
     assert url_filter.judge(table.limit(0)).count() == 0
 
 
+def test_hosts_of_a_suffix_differ(spark):
+    """A rule blocks a path; hosts stand by how much of what they have is below it, within one suffix and domain."""
+    share = {"bad.a.net": (60, 57), "good.a.net": (60, 2), "half.a.net": (60, 30), "bad.b.net": (40, 40), "one.b.net": (1, 1), "none.c.org": (50, 0), "new.d.org": (1, 0)}
+    rows = [(f"http://{h}/{'es' if i < bad else 'de'}/{i}",) for h, (n, bad) in share.items() for i in range(n)] + [(f"http://{h}/free",) for h in share]
+    pages = spark.createDataFrame([(k, u) for k, (u,) in enumerate(rows)], "page_id long, url string")
+    got = {r["host"]: r["verdict"] for r in url_filter.judge(pages).where("path = '/free'").collect()}
+    assert got["bad.a.net"] == got["bad.b.net"] == "block"
+    assert {got[h] for h in ("good.a.net", "half.a.net", "none.c.org", "new.d.org")} == {"allow"}
+    rep = {r["host"]: r for r in url_filter.judge(pages).where("path = '/free'").collect()}
+    assert rep["one.b.net"]["bound"] < rep["bad.b.net"]["bound"] and rep["new.d.org"]["mean"] < 0.2
+
+
 def test_domains_and_suffixes(spark):
     cases = [("a.co.uk", "a.co.uk", "co.uk"), ("x.a.co.uk:81", "a.co.uk", "co.uk"), ("b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "uk"), ("a.b.com", "b.com", "com"), ("www.example.com:8080", "example.com", "com"),
              ("1.2.3.4", "1.2.3.4", "#"), ("1.2.3.4:80", "1.2.3.4", "#"), ("[::1]:80", "[::1]", "#"), ("localhost", "localhost", "localhost"), ("", "", ""), ("me@a.org.au", "a.org.au", "org.au"), ("com.net", "com.net", "net")]
     rows = spark.createDataFrame([(h,) for h, _, _ in cases], "host string")
-    from pyspark.sql import functions as F
-
     got = {r["host"]: (r["d"], r["s"]) for r in rows.select("host", url_filter.domain(F.col("host")).alias("d"), url_filter.suffix(F.col("host")).alias("s")).collect()}
     assert got == {h: (d, s) for h, d, s in cases}
