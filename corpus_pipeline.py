@@ -1,14 +1,15 @@
 """A corpus pipeline: quality, language, near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before it kept; all but the last return the columns of ``documents``.
+before it kept; all but the last return the columns of ``documents``. A stage's
+table is deleted once the next one's is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm.common import cut, table
+from moraine.llm.common import alone, remove, table
 from moraine.llm.language import filter_language
 from moraine.llm.mixing import mixed_rows
 from moraine.llm.packing import pack_documents
@@ -43,9 +44,11 @@ STAGES = [("quality", quality), ("language", language), ("near_duplicates", near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)  # still reads the table of the stage before
+        docs, now = alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            remove(before)
+        before = now
