@@ -1,8 +1,8 @@
 """Time-correlation functions over a multi-level grid of lags.
 
-The lag grid is a small table; origins that lie on a level's raster join the
-samples ``lag`` steps later by key and step, and are averaged: one equi-join and
-one aggregation for all levels.
+Samples are cut into ranges of steps with a halo of the next samples, so that every
+pair of a level lies in one range; pairs are made and added up where the range is: one
+shuffle of the samples and one of sums.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from moraine.operators.sorting import exclusive_scan
 from moraine.operators.statistics import error_of_mean
 
 
+RANGE = 4_096  # samples of a level in a range
+
+
 @dataclass(frozen=True)
 class BlockingScheme:
     """Levels of ``size`` lags; steps count in units of the time step."""
@@ -65,18 +68,39 @@ class BlockingScheme:
 def lagged_pairs(samples: DataFrame, scheme: BlockingScheme, keys: Sequence[str], start: int = 0, other: DataFrame | None = None) -> DataFrame:
     """All pairs of samples that the scheme correlates: columns of the origin as
     ``_1``, of the later sample (of ``other``, if given) as ``_2``, level,
-    lag_idx, lag_time. A sample is a row with ``step`` and ``keys``."""
-    later = samples if other is None else other
+    lag_idx, lag_time and the later one's step. A sample is a row with ``step`` and ``keys``, of which there is
+    one for a key and step; rows without a key or step have no pairs.
+
+    A level takes the samples on its raster of steps, in ranges of ``RANGE`` of them; the first ``size - 1``
+    samples of a range are also sent to the range before, as later ones only. Within a range each lag is a
+    window frame of one step. So samples are shuffled once per level that they lie on (levels get sparser), never
+    origins times lags, and a long series is many ranges."""
     values = [c for c in samples.columns if c not in (*keys, "step")]
-    # the levels are few and known here: each origin keeps those whose raster it is on
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(i).cast("long").alias("interval"), F.lit(i * s).cast("long").alias("raster")) for k, (i, s) in enumerate(scheme.levels())])
-    own = F.filter(levels, lambda v: (F.col("step") - start) % v["raster"] == 0)
-    origins = samples.where(F.col("step") >= start).withColumn("_level", F.explode(own)).withColumn("lag_idx", F.explode(F.sequence(F.lit(0), F.lit(scheme.size - 1))))
+    both = samples.select(*keys, "step", F.struct(*values).alias("_a"), F.struct(*values).alias("_b"))
+    if other is not None:
+        later = [c for c in other.columns if c not in (*keys, "step")]
+        b = other.select(*keys, "step", F.struct(*later).alias("_b"))
+        both = both.drop("_b").unionByName(b, allowMissingColumns=True)
+    else:
+        later = values
+    # the levels are few and known here: a sample goes to those on whose raster of steps it lies
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(i).cast("long").alias("interval"), F.lit(s).cast("long").alias("skip")) for k, (i, s) in enumerate(scheme.levels())])
+    own = F.filter(levels, lambda v: (F.col("step") - start) % v["interval"] == 0)
+    rows = both.dropna(subset=[*keys, "step"]).where(F.col("step") >= start).withColumn("_level", F.explode(own))
+    rows = rows.withColumn("_u", ((F.col("step") - start) / F.col("_level.interval")).cast("long"))
+    width = max(RANGE, scheme.size)
+    home = F.floor(F.col("_u") / width)
+    halo = (F.col("_u") % width < scheme.size - 1) & (home > 0)
+    rows = rows.withColumn("_range", F.explode(F.when(halo, F.array(home, home - 1)).otherwise(F.array(home))))
+    origin = (F.col("_range") == home) & (F.col("_u") % F.col("_level.skip") == 0)
+    rows = rows.withColumn("_a", F.when(origin, F.col("_a")))
+    w = Window.partitionBy(*keys, "_level", "_range").orderBy("_u")
+    after = F.array(*[F.first("_b", True).over(w.rangeBetween(k, k)) for k in range(scheme.size)])
+    rows = rows.withColumn("_after", after).where(F.col("_a").isNotNull())
+    rows = rows.select(*keys, "step", "_level", "_a", F.posexplode("_after").alias("lag_idx", "_b")).where(F.col("_b").isNotNull())
     lag = F.col("_level.interval") * F.col("lag_idx")
-    origins = origins.select(*keys, F.col("_level.level").alias("level"), "lag_idx", (lag * F.lit(float(scheme.timestep))).alias("lag_time"),
-                             (F.col("step") + lag).alias("step"), *[F.col(v).alias(v + "_1") for v in values])
-    later = later.select(*keys, "step", *[F.col(c).alias(c + "_2") for c in later.columns if c not in (*keys, "step")])
-    return origins.join(later, [*keys, "step"])
+    return rows.select(*keys, F.col("_level.level").alias("level"), "lag_idx", (lag * F.lit(float(scheme.timestep))).alias("lag_time"), (F.col("step") + lag).alias("step"),
+                       *[F.col("_a")[v].alias(v + "_1") for v in values], *[F.col("_b")[v].alias(v + "_2") for v in later])
 
 
 def correlate(samples: DataFrame, scheme: BlockingScheme, function: Callable[..., Column], keys: Sequence[str] = (), by: Sequence[str] = (),

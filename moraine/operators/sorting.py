@@ -49,6 +49,26 @@ def exclusive_scan(rows: DataFrame, value: str, order: str, width: int = 65_536)
     return rows.withColumn("_own", own).join(before, "_bucket").withColumn("scan", F.col("_own") + F.col("_before")).drop("_own", "_before", "_bucket")
 
 
+def keyed_scan(rows: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], number: str = "number", scan: str = "scan") -> DataFrame:
+    """Add each row's number among those of its key, from 0, and the sum of values up to and with it, in the
+    order of any columns. Rows are range-partitioned by keys and order, so that a key with many rows is many
+    ranges, and written once; a range's numbers and sums go above those of the key's ranges before, of which
+    there is one row each."""
+    by = [*keys, *order]
+    ranged = written(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("_part", *keys).orderBy(*order)
+    totals = ranged.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", *[F.col(k).alias("_k" + k) for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s"))
+    told = ranged.withColumns({number: F.row_number().over(within), scan: F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0))})
+    same = [F.col(k).eqNullSafe(F.col("_k" + k)) for k in keys]
+    on = F.col("t._part") == F.col("b._part")
+    for c in same:
+        on = on & c
+    told = told.alias("t").join(totals.alias("b"), on)
+    return told.select(*[F.col(f"t.{c}") for c in rows.columns], (F.col(number) + F.col("_n") - 1).cast("bigint").alias(number), (F.col(scan) + F.col("_s")).alias(scan))
+
+
 def compact(rows: DataFrame, predicate: Column, order: str) -> DataFrame:
     """Rows that satisfy the predicate, with their new places in the old order."""
     return dense_index(rows.where(predicate), order, "place")

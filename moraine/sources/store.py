@@ -225,10 +225,8 @@ def as_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a trajectory: each user is a particle whose value is its
     velocity, and the running sum of values its position."""
-    from pyspark.sql.window import Window
+    from moraine.operators.sorting import keyed_scan
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    step = (F.row_number().over(w) - 1).cast("bigint")
-    position = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return e.select(F.col("user_id").alias("id"), step.alias("step"), F.col("value").alias("vx"), position.alias("x"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value")
+    rows = keyed_scan(e, "value", ["user_id"], ["ts", "event_id"], "step", "x")
+    return rows.select(F.col("user_id").alias("id"), "step", F.col("value").alias("vx"), "x")

@@ -273,6 +273,50 @@ def test_array_correlations(spark):
     assert {(r["lag_idx"], r["index"]): r["value"] for r in out} == {(j, k): (float(j) if k == 0 else 4.0) for j in range(4) for k in range(2)}
 
 
+@pytest.mark.parametrize("size, shift, separation, start, width", [(4, None, None, 0, 8), (5, 1, 3, 3, 5), (3, 2, 1, 0, 4096), (6, 3, 20, 1, 6)])
+def test_lagged_pairs_equal_brute_force_in_many_ranges(spark, monkeypatch, size, shift, separation, start, width):
+    """Series with gaps, a hot key, null keys, and a second table of later samples."""
+    monkeypatch.setattr(tcf, "RANGE", width)
+    scheme, g = tcf.BlockingScheme(0.5, 40.0, size=size, shift=shift, separation=separation), np.random.default_rng(size)
+    rows = [(k, s, float(g.normal())) for k, n in ((1, 150), (2, 7), (3, 40)) for s in range(n) if g.random() > 0.1] + [(None, 3, 1.0), (1, None, 2.0)]
+    second = [(k, s, v * 2) for k, s, v in rows if g.random() > 0.2]
+    a, b = (spark.createDataFrame(r, "id long, step long, v double").repartition(3) for r in (rows, second))
+    for later, table in ((rows, None), (second, b)):
+        got = tcf.lagged_pairs(a, scheme, ["id"], start, table)
+        at = {(k, s): v for k, s, v in later if k is not None and s is not None}
+        want = []
+        for level, (i, skip) in enumerate(scheme.levels()):
+            for k, s, v in rows:
+                if k is not None and s is not None and s >= start and (s - start) % (i * skip) == 0:
+                    want += [(k, level, n, n * i * 0.5, s + n * i, v, at[k, s + n * i]) for n in range(size) if (k, s + n * i) in at]
+        assert sorted(map(tuple, got.select("id", "level", "lag_idx", "lag_time", "step", "v_1", "v_2").collect())) == sorted(want)
+    plan = tcf.lagged_pairs(a, scheme, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_a_single_series_runs_in_many_tasks(spark, monkeypatch):
+    df = spark.range(4000).select(F.lit(7).alias("id"), F.col("id").alias("step"), (F.col("id") % 5).cast("double").alias("x"))
+    monkeypatch.setattr(tcf, "RANGE", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = tcf.lagged_pairs(df, tcf.BlockingScheme(1.0, 100.0), ["id"]).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in pairs.groupBy("part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 2 and max(sizes) < 0.7 * sum(sizes)
+
+
+def test_scans_of_a_hot_key(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(k), int(t), i, float(v)) for i, (k, t, v) in enumerate(zip(np.where(r.random(900) < 0.7, 1, r.integers(2, 9, 900)), r.integers(0, 300, 900), r.integers(-9, 9, 900)))] + [(None, 4, 1000, 2.0), (None, 3, 1001, 5.0)]
+    got = sorting.keyed_scan(spark.createDataFrame(rows, "k long, t long, e long, v double").repartition(6), "v", ["k"], ["t", "e"]).collect()
+    want, seen = {}, {}
+    for k, t, e, v in sorted(rows, key=lambda x: (x[1], x[2])):
+        n, s = seen.get(k, (-1, 0.0))
+        seen[k] = want[e] = (n + 1, s + v)
+    assert {x["e"]: (x["number"], x["scan"]) for x in got} == want and len(got) == len(rows)
+
+
 def test_diffusion_of_a_known_line(spark):
     df = spark.createDataFrame([(float(t), 6 * 0.25 * t, 0.1 + t) for t in range(6)], "lag_time double, value double, error double")
     assert tcf.diffusion_constant(df, 3).first()["diffusion"] == pytest.approx(0.25)
