@@ -2,7 +2,7 @@
 
 Wavevector tables are small (shells of a reciprocal grid); they are made on
 Spark, checked in size, and broadcast to the particles, whose contributions are
-summed before any shuffle. Modes use exp(-i q.r).
+summed in the tasks before any shuffle. Modes use exp(-i q.r).
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from moraine.functions.box import Box, total
@@ -19,6 +22,7 @@ from moraine.functions.vectors import coprime, multi_range
 from moraine.operators.statistics import error_of_mean
 
 MAX_WAVEVECTORS = 1_000_000
+ROWS, HELD = 512, 2_000_000  # particles at a time; sums of a task
 
 
 def _checked_filter(filter_: Sequence[int] | None, box: Box) -> tuple[int, ...]:
@@ -79,16 +83,87 @@ def _numbered(rows: DataFrame, box: Box) -> DataFrame:
     return rows.select(shell.alias("shell"), "wavenumber", q_id.cast("bigint").alias("q_id"), *["q" + a for a in box.axes])
 
 
+def powers(r: np.ndarray, length: float, top: int) -> np.ndarray:
+    """exp(-2 pi i k r / length) for k = 0..top, one row for each k: each the one before times the first."""
+    out = np.empty((top + 1, len(r)), complex)
+    out[0] = 1
+    if top:
+        out[1] = np.exp(-2j * np.pi / length * r)
+    for k in range(2, top + 1):  # doubling keeps errors small
+        out[k] = out[k // 2] * out[k - k // 2]
+    return out
+
+
+def mode_sums(r: list[np.ndarray], lengths: Sequence[float], index: np.ndarray, block: int = 256) -> np.ndarray:
+    """Sums over particles of exp(-i q.r) for wavevectors of whole ``index`` per axis: phases are products of the axes'
+    powers, and all wavevectors that differ in the last axis alone are one product of matrices."""
+    phases = [powers(x, n, int(np.abs(index[:, k]).max(initial=0))) for k, (x, n) in enumerate(zip(r, lengths))]
+
+    def phase(k: int, i: np.ndarray) -> np.ndarray:
+        return np.where((i < 0)[:, None], phases[k][np.abs(i)].conj(), phases[k][np.abs(i)])
+
+    last = np.unique(index[:, -1])
+    heads, which = np.unique(index[:, :-1], axis=0, return_inverse=True)
+    which, place = which.reshape(-1), np.searchsorted(last, index[:, -1])
+    ends, out = phase(len(r) - 1, last).T, np.empty(len(index), complex)
+    order = np.argsort(which, kind="stable")
+    for at in range(0, len(heads), block):
+        part = np.ones((len(heads[at : at + block]), len(r[0])), complex)
+        for k in range(len(r) - 1):
+            part *= phase(k, heads[at : at + block, k])
+        own = order[np.searchsorted(which[order], at) : np.searchsorted(which[order], at + block)]
+        out[own] = (part @ ends)[which[own] - at, place[own]]
+    return out
+
+
 def density_modes(particles: DataFrame, wavevectors: DataFrame, box: Box, by: Sequence[str] = ()) -> DataFrame:
-    """(step, by, q_id, re, im): sums over particles of exp(-i q.r). Every
-    particle meets every wavevector by definition; the sums are partial before
-    they are shuffled, so what moves is one row per task, step and wavevector."""
+    """(step, by, q_id, re, im): sums over particles of exp(-i q.r), for wavevectors of the box's reciprocal lattice.
+
+    No row is made for a particle and a wavevector: tasks take ``ROWS`` particles at a time, get all phases from
+    powers along the axes and matrix products, and keep one array of sums per step; arrays are sent on as a
+    task holds ``HELD`` numbers, and at its end. So what is shuffled is one row per task, step and wavevector."""
     keys = [*(["step"] if "step" in particles.columns else []), *by]
     if wavevectors.limit(MAX_WAVEVECTORS + 1).count() > MAX_WAVEVECTORS:
         raise ValueError("too many wavevectors")
-    phase = total([F.col("q" + a) * F.col(a) for a in box.axes])
-    met = particles.select(*keys, *box.axes).crossJoin(F.broadcast(wavevectors.select("q_id", *["q" + a for a in box.axes])))
-    return met.withColumn("_p", phase).groupBy(*keys, "q_id").agg(F.sum(F.cos("_p")).alias("re"), F.sum(-F.sin("_p")).alias("im"))
+    known = wavevectors.select("q_id", *["q" + a for a in box.axes]).toPandas()  # of checked size
+    unit = [2 * math.pi / n for n in box.lengths]
+    raw = np.stack([known["q" + a].to_numpy(float) / u for a, u in zip(box.axes, unit)], 1).reshape(len(known), box.dimension)
+    index = np.rint(raw).astype(np.int64)
+    if len(raw) and np.abs(raw - index).max() > 1e-6:
+        raise ValueError("wavevectors must be multiples of 2 pi / length along each axis")
+    model = particles.sparkSession.sparkContext.broadcast((known["q_id"].to_numpy(np.int64), index))
+    lengths, n = box.lengths, len(keys)
+    rows = particles.select(*keys, *[F.col(a).cast("double").alias(a) for a in box.axes]).dropna(subset=list(box.axes))
+    schema = StructType([*rows.schema.fields[:n], StructField("q_id", LongType()), StructField("re", DoubleType()), StructField("im", DoubleType())])
+
+    def run(batches):
+        q_id, index = model.value
+        sums: dict[tuple, np.ndarray] = {}
+        types = []
+
+        def emit():
+            for key, s in sums.items():
+                own = [pa.array([v] * len(s), t) for v, t in zip(key, types)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(q_id), pa.array(s.real.copy()), pa.array(s.imag.copy())], schema.names)
+            sums.clear()
+
+        for batch in batches:
+            types = [batch.column(k).type for k in range(n)]
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                keys_ = list(zip(*[part.column(k).to_pylist() for k in range(n)])) if n else [()] * part.num_rows
+                groups: dict[tuple, list[int]] = {}
+                for i, key in enumerate(keys_):
+                    groups.setdefault(key, []).append(i)
+                r = [part.column(n + k).to_numpy(zero_copy_only=False) for k in range(len(lengths))]
+                for key, own in groups.items():
+                    s = mode_sums([x[own] for x in r], lengths, index)
+                    sums[key] = sums[key] + s if key in sums else s
+                    if len(sums) * len(q_id) > HELD:
+                        yield from emit()
+        yield from emit()
+
+    return rows.mapInArrow(run, schema).groupBy(*keys, "q_id").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def structure_factor(modes: DataFrame, wavevectors: DataFrame, norm: float, other: DataFrame | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from math import floor, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from moraine.functions.box import Box, minimum_image, square, total
 from moraine.sources.scratch import written
@@ -174,6 +175,47 @@ def within(pairs: DataFrame, now: DataFrame, box: Box, cutoff: float) -> DataFra
     return _distances(met, box).where(F.col("rr") < cutoff**2)
 
 
+def rebuild_steps(series: DataFrame, box: Box, skin: float, look: int = 16) -> list[int]:
+    """The steps of a trajectory (step, id, x..) at which a neighbour table made with this skin has to be made anew:
+    the first one, then each first step at which a particle has moved more than half the skin since the last
+    of them (or is new). Steps are looked at in stretches that begin with the length of the last epoch and double:
+    jobs grow with the number of epochs, and only a step number reaches the driver from each."""
+    first, last = series.agg(F.min("step"), F.max("step")).first()
+    if first is None:
+        return []
+    out = [first]
+    while True:
+        ref = series.where(F.col("step") == out[-1]).select("id", *[F.col(a).alias("_" + a) for a in box.axes])
+        moved = total([square(minimum_image(F.col(a) - F.col("_" + a), n)) for a, n in zip(box.axes, box.lengths)])
+        low, high, hit = out[-1], out[-1] + look, None
+        while hit is None and low < last:
+            part = series.where((F.col("step") > low) & (F.col("step") <= high)).join(ref, "id", "left")
+            hit = part.where(F.coalesce(moved > (skin / 2) ** 2, F.lit(True))).agg(F.min("step")).first()[0]
+            low, high = high, high + 2 * (high - out[-1])
+        if hit is None:
+            return out
+        look = max(hit - out[-1], 1)
+        out.append(hit)
+
+
+def neighbour_series(series: DataFrame, box: Box, cutoff: float, skin: float) -> DataFrame:
+    """(step, i, j, dx.., rr) of all pairs below the cutoff at every step of a trajectory. Pairs are found by cells only at the
+    steps of :func:`rebuild_steps`, all in one join, and re-filtered by the positions of each step until the next of
+    them. ``series`` should be a written table, as it is read several times."""
+    spark, keys = series.sparkSession, ["step", "_made"]
+    made = spark.createDataFrame([(int(s), int(s)) for s in rebuild_steps(series, box, skin)], "step long, _made long")
+    # one row a step: each belongs to the last table made before it
+    steps = series.select(F.col("step").cast("bigint").alias("step")).distinct().join(made, "step", "left").select("step", F.last("_made", True).over(Window.orderBy("step")).alias("_made"))
+    rows = written(series.select("step", "id", *box.axes).join(steps, "step").select(*keys, "id", *box.axes))
+    stored = neighbours(rows.where(F.col("step") == F.col("_made")).select("step", "id", *box.axes), box, cutoff, skin=skin).select(F.col("step").alias("_made"), "i", "j")
+
+    def side(s: str) -> DataFrame:
+        return rows.select("_made", "step", F.col("id").alias(s), *[F.col(a).alias(f"{a}_{s}") for a in box.axes])
+
+    met = stored.join(side("i"), ["_made", "i"]).join(side("j"), ["_made", "step", "j"])
+    return _distances(met, box).where(F.col("rr") < cutoff**2).select("step", "i", "j", *["d" + a for a in box.axes], "rr")
+
+
 def max_displacement(before: DataFrame, now: DataFrame, box: Box) -> DataFrame:
     """One row: the largest distance that a particle moved."""
     old = before.select("id", *[F.col(a).alias("_" + a) for a in box.axes])

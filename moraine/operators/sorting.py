@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from moraine.functions.box import Box
-from moraine.functions.hilbert import curve_depth, hilbert_code
+from moraine.functions.hilbert import curve_depth, with_hilbert_code
 from moraine.operators.groups import NO_BUCKET, dense_index
 from moraine.sources.scratch import written
 
@@ -81,8 +81,7 @@ def top_k(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], k:
 
 def hilbert_clustered(particles: DataFrame, box: Box, cell: float, partitions: int | None = None) -> DataFrame:
     """Rows laid out along a Hilbert curve: near particles share partitions."""
-    code = hilbert_code([F.col(a) for a in box.axes], box, curve_depth(box, cell))
-    rows = particles.withColumn("hilbert", code)
+    rows = with_hilbert_code(particles, box, curve_depth(box, cell))
     ranged = rows.repartitionByRange(partitions, "hilbert") if partitions else rows.repartitionByRange("hilbert")
     return ranged.sortWithinPartitions("hilbert", "id")
 

@@ -18,10 +18,11 @@ from moraine.functions import draws
 from moraine.functions import potentials as pot
 from moraine.functions import vectors as vec
 from moraine.functions.box import Box, extend_periodic, reduce_periodic
-from moraine.functions.hilbert import hilbert_code
+from moraine.functions.hilbert import with_hilbert_code
 from moraine.operators import correlation as tcf
 from moraine.operators import dynamics, forces, fourier, generate, groups, neighbours, sorting, statistics
 from moraine.operators.thermodynamics import rescaling_factor, thermodynamics, write_series
+from moraine.sources.clustered import read_region, write_clustered
 from moraine.sources.scratch import scratch, written
 from moraine.sources.store import Reader, StoreError, Writer, as_particles, as_series, as_trajectory, static_species
 from moraine.streaming import online
@@ -101,6 +102,22 @@ query("region_cylinder", f"""WITH {P}, c AS (SELECT *, pow((x + 2*(y - 0.05) + 2
 SELECT id, species FROM c WHERE x*x + (y - 0.05)*(y - 0.05) + z*z - along <= 0.0225 AND along <= 0.0225""")(_region(CYLINDER))
 
 
+def _clustered(geometry, species: int | None = None) -> Query:
+    """The same region from a table laid out along the curve."""
+
+    def run(spark, d):
+        p, box = as_particles(spark, d)
+        path = scratch(spark)
+        write_clustered(p, box, path, 0.01)
+        return read_region(spark, path, box, geometry, 0.01, species=species).select("id", "species")
+
+    return run
+
+
+query("clustered_sphere", f"WITH {P} SELECT id, species FROM p WHERE {IN_SPHERE}")(_clustered(SPHERE))
+query("clustered_cuboid", f"WITH {P} SELECT id, species FROM p WHERE x + 0.1 BETWEEN 0 AND 0.25 AND y + 0.15 BETWEEN 0 AND 0.2 AND z + 0.2 BETWEEN 0 AND 0.3 AND species = 3")(_clustered(CUBOID, 3))
+
+
 @query("region_mask", f"WITH {P} SELECT id, CASE WHEN {IN_SPHERE} THEN 1 ELSE 0 END AS mask FROM p")
 def region_mask(spark, d):
     p, box = as_particles(spark, d)
@@ -351,6 +368,18 @@ def skin_reuse(spark, d):
     return rounded(neighbours.within(stored, p, box, 0.09).select("i", "j", "rr"), 9, "rr")
 
 
+@query("neighbour_series", f"""WITH {P}, t AS (SELECT step, id, """ + ", ".join(f"({a} + 0.01 * step * v{a}) - (CASE WHEN {a} + 0.01 * step * v{a} > 0.5 THEN 1 WHEN {a} + 0.01 * step * v{a} < -0.5 THEN -1 ELSE 0 END) AS {a}" for a in "xyz") + f""" FROM p, (SELECT unnest(range(9)) AS step)),
+q0 AS (SELECT a.step AS step, a.x - b.x AS ux, a.y - b.y AS uy, a.z - b.z AS uz FROM t a JOIN t b ON a.step = b.step AND a.id < b.id),
+q AS (SELECT step, pow({_MI.format('ux')}, 2) + pow({_MI.format('uy')}, 2) + pow({_MI.format('uz')}, 2) AS rr FROM q0) SELECT step, count(*) AS n, {_r(9, total='sum(rr)')} FROM q WHERE rr < 0.04*0.04 GROUP BY step""")
+def neighbour_series(spark, d):
+    """Pairs at each step of a drift, from tables that are made anew only when half the skin is used up."""
+    p, box = as_particles(spark, d)
+    steps = p.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(8)).cast("array<bigint>")))
+    moved = reduce_periodic(steps.withColumns({a: F.col(a) + 0.01 * F.col("step") * F.col("v" + a) for a in box.axes}), box)
+    pairs = neighbours.neighbour_series(written(moved.select("step", "id", *box.axes)), box, 0.04, skin=0.02)
+    return rounded(pairs.groupBy("step").agg(F.count("*").alias("n"), F.sum("rr").alias("total")), 9, "total")
+
+
 @query("max_displacement", f"WITH {P} SELECT {_r(9, max_displacement='max(0.3 * sqrt(vx*vx + vy*vy + vz*vz))')} FROM p")
 def displacement(spark, d):
     p, box = as_particles(spark, d)
@@ -771,7 +800,7 @@ def _hilbert_sql(depth: int) -> str:
 @query("hilbert_code", f"WITH {P}, {_hilbert_sql(8)} SELECT id, hilbert FROM curve")
 def hilbert(spark, d):
     p, box = as_particles(spark, d)
-    return p.select("id", hilbert_code([F.col(a) for a in box.axes], box, 8).alias("hilbert"))
+    return with_hilbert_code(p, box, 8).select("id", "hilbert")
 
 
 @query("semilog_grid", "SELECT place, " + _r(9, x="0.1 * CASE WHEN place < 3 THEN 1 + place WHEN place < 6 THEN 4 + 2*(place - 3) WHEN place < 9 THEN 10 + 4*(place - 6) ELSE 22 + 8*(place - 9) END") + " FROM (SELECT range AS place FROM range(12))")

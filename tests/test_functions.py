@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from moraine.functions import potentials as pot
 from moraine.functions import vectors as vec
 from moraine.functions.box import Box, extend_periodic, reduce_periodic
-from moraine.functions.hilbert import curve_codes, hilbert_code
+from moraine.functions.hilbert import curve_codes, curve_intervals, with_hilbert_code
 
 
 def test_wrapping(spark):
@@ -105,7 +105,7 @@ def test_walls_and_traps(spark):
 @pytest.mark.parametrize("d, depth", [(2, 4), (3, 3)])
 def test_curve_is_continuous(d, depth):
     grid = np.stack(np.meshgrid(*[np.arange(1 << depth)] * d, indexing="ij"), -1).reshape(-1, d)
-    codes = curve_codes(list(grid.T), depth)
+    codes = np.array([curve_codes(c, depth) for c in grid.tolist()])
     assert sorted(codes.tolist()) == list(range(1 << depth * d))
     line = grid[np.argsort(codes)]
     assert (np.abs(np.diff(line, axis=0)).sum(1) == 1).all()
@@ -114,10 +114,31 @@ def test_curve_is_continuous(d, depth):
 def test_codes_of_positions(spark):
     box = Box((2.0, 2.0))
     p = spark.createDataFrame([(-0.99, -0.99), (0.99, 0.99), (1.01, 1.01)], "x double, y double")
-    codes = [r[0] for r in p.select(hilbert_code([F.col("x"), F.col("y")], box, 3)).collect()]
+    codes = [r["hilbert"] for r in with_hilbert_code(p, box, 3).collect()]
     assert codes[2] == codes[0] and 0 <= min(codes) and max(codes) < 64
     with pytest.raises(ValueError):
-        hilbert_code([F.col("x"), F.col("y")], box, 17)
+        with_hilbert_code(p, box, 17)
+
+
+@pytest.mark.parametrize("lengths, depth", [((1.0, 1.0), 6), ((1.0, 2.0, 3.0), 4)])
+def test_columns_prefixes_and_intervals_of_the_curve(spark, lengths, depth):
+    box, g = Box(lengths), np.random.default_rng(1)
+    points = (g.uniform(-0.5, 0.5, (400, len(lengths))) * lengths).tolist()
+    rows = spark.createDataFrame(points, ", ".join(f"{a} double" for a in box.axes))
+    got = with_hilbert_code(rows, box, depth).collect()
+    for r in got:
+        cell = [int((r[a] / n + 0.5) * (1 << depth)) for a, n in zip(box.axes, lengths)]
+        assert r["hilbert"] == curve_codes(cell, depth)
+        assert r["hilbert"] >> len(lengths) * (depth - 2) == curve_codes([c >> depth - 2 for c in cell], 2)  # coarser cells are prefixes
+    for low, high in (([-0.1] * 3, [0.2] * 3), ([0.3] * 3, [0.7] * 3), ([-0.5] * 3, [0.5] * 3)):  # the second goes round the box
+        bounds = [(a * n, b * n) for a, b, n in zip(low, high, lengths)]
+        found = curve_intervals(box, bounds, depth, 8)
+        assert 1 <= len(found) <= 8 and all(a <= b for a, b in found) and all(x[1] < y[0] for x, y in zip(found, found[1:]))
+        for r in got:
+            inside = all(a <= r[x] + k * n <= b or a <= r[x] + n <= b for x, n, (a, b) in zip(box.axes, lengths, bounds) for k in (0,))
+            assert not inside or any(a <= r["hilbert"] <= b for a, b in found)
+    part = sum(b - a + 1 for a, b in curve_intervals(box, [(0.0, 0.1 * n) for n in lengths], depth))
+    assert part <= (1 << len(lengths) * depth) / 4
 
 
 def test_species_pairs_are_symmetric(spark):

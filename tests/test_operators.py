@@ -14,6 +14,7 @@ from moraine.functions.box import Box
 from moraine.operators import correlation as tcf
 from moraine.operators import dynamics, forces, fourier, generate, groups, neighbours, sorting, statistics
 from moraine.operators.thermodynamics import thermodynamics
+from moraine.sources.clustered import read_region, write_clustered
 
 
 def cloud(spark, n: int, box: Box, seed: int = 1, species: int = 2):
@@ -121,6 +122,30 @@ def test_skin_and_displacement(spark):
     assert {(r["i"], r["j"]) for r in neighbours.within(stored, moved, box, 0.9).select("i", "j").collect()} == brute_pairs(moved, box, 0.9)
 
 
+def test_neighbours_of_a_series(spark, monkeypatch):
+    """Tables are made anew just where a particle leaves half the skin; pairs of every step are those of brute force."""
+    box, g = Box((4.0, 4.0)), np.random.default_rng(12)
+    at, rows, speed = g.uniform(-2, 2, (50, 2)), [], g.normal(0, 0.02, (50, 2))
+    for step in [*range(0, 30), *range(33, 40)]:
+        at = (at + speed * (3 if step == 20 else 1) + 2) % 4 - 2
+        rows += [(step, i, *map(float, at[i])) for i in range(50 if step < 25 else 49)] + ([(step, 77, 0.1, 0.2)] if step >= 30 else [])
+    series = spark.createDataFrame(rows, "step long, id long, x double, y double").repartition(4).cache()
+    steps = {s: {r[1]: r[2:] for r in rows if r[0] == s} for s in sorted({r[0] for r in rows})}
+    apart = lambda a, b: math.sqrt(sum((x - y - 4 * round((x - y) / 4)) ** 2 for x, y in zip(a, b)))
+    want = [0]
+    for s, now in steps.items():
+        if any(i not in steps[want[-1]] or apart(r, steps[want[-1]][i]) > 0.15 for i, r in now.items()):
+            want.append(s)
+    assert neighbours.rebuild_steps(series, box, 0.3, look=2) == want and 3 < len(want) < 30
+    calls = []
+    real = neighbours.neighbours
+    monkeypatch.setattr(neighbours, "neighbours", lambda *a, **k: calls.append(1) or real(*a, **k))
+    got = sorted((r["step"], r["i"], r["j"]) for r in neighbours.neighbour_series(series, box, 0.5, 0.3).collect())
+    assert len(calls) == 1  # one cell join for all epochs
+    assert got == sorted((s, i, j) for s, now in steps.items() for i in now for j in now if i < j and apart(now[i], now[j]) < 0.5)
+    assert neighbours.neighbour_series(series.where("id < 0"), box, 0.5, 0.3).count() == 0
+
+
 def test_forces_are_balanced(spark):
     box = Box((4.0, 4.0, 4.0))
     p = cloud(spark, 60, box)
@@ -209,6 +234,36 @@ def test_structure_of_a_crystal(spark):
     assert s["count"] == len(rows)
 
 
+def test_modes_equal_the_plain_sum(spark, monkeypatch):
+    """Many wavevectors, steps and species, in small portions."""
+    monkeypatch.setattr(fourier, "ROWS", 7)
+    monkeypatch.setattr(fourier, "HELD", 900)
+    box = Box((3.0, 4.0, 5.0))
+    p = cloud(spark, 60, box).withColumn("step", F.col("id") % 3)
+    w = fourier.dense_wavevectors(spark, box, [9.0]).cache()
+    rows, waves = p.collect(), w.collect()
+    assert len(waves) > 500
+    got = {(r["step"], r["species"], r["q_id"]): (r["re"], r["im"]) for r in fourier.density_modes(p.repartition(3), w, box, ["species"]).collect()}
+    assert len(got) == 6 * len(waves)
+    for v in waves[::7]:
+        want = {}
+        for r in rows:
+            key, phase = (r["step"], r["species"], v["q_id"]), sum(v["q" + a] * r[a] for a in "xyz")
+            want[key] = want.get(key, 0) + complex(math.cos(phase), -math.sin(phase))
+        assert all(abs(complex(*got[k]) - x) < 1e-11 for k, x in want.items())
+    assert fourier.density_modes(p.where("id < 0"), w, box).count() == 0
+    with pytest.raises(ValueError):
+        fourier.density_modes(p, w.withColumn("qx", F.col("qx") + 0.1), box)
+
+
+def test_modes_of_100000_wavevectors(spark):
+    box = Box((1.0, 1.0, 1.0))
+    w = fourier.dense_wavevectors(spark, box, [2 * math.pi * 29]).cache()
+    assert w.count() > 100_000
+    modes = fourier.density_modes(cloud(spark, 300, box), w, box)
+    assert modes.count() == w.count() and modes.join(w.where("qx = 0 and qy = 0 and qz = 0"), "q_id").first()["re"] == pytest.approx(300)
+
+
 def test_wavevector_shells(spark):
     box = Box((math.pi / 2, 4 * math.pi))
     w = fourier.dense_wavevectors(spark, box, [0.6, 1.1, 2.6, 4.05])
@@ -410,6 +465,37 @@ def test_placement_along_a_line_and_of_nothing(spark):
         neighbours.placed_in_order(line.withColumn("diameter", F.lit(0.0)), box)
 
 
+def test_regions_of_a_clustered_table(spark, tmp_path):
+    box = Box((2.0, 3.0, 4.0))
+    p = cloud(spark, 2000, box).repartition(4)
+    path = f"file://{tmp_path}/clustered"
+    write_clustered(p, box, path, 0.1)
+    everything = spark.read.parquet(path)
+    files = len(everything.inputFiles())
+    assert everything.count() == 2000 and files >= 64
+    shapes = [groups.Sphere((0.4, 0.5, -1.0), 0.45), groups.Cuboid((-0.9, -1.4, 1.0), (0.4, 0.5, 0.6)), groups.Cylinder((0.3, 0.2, 0.1), (1.0, 2.0, 0.5), 0.3, 0.8), groups.Sphere((0.0, 0.0, 0.0), 9.0)]
+    for shape in shapes:
+        got = read_region(spark, path, box, shape, 0.1)
+        assert got.columns == p.columns
+        ids = sorted(r["id"] for r in got.collect())
+        assert ids == sorted(r["id"] for r in groups.region(p, box, shape).collect()) and ids
+        opened = got.select(F.col("id"), F.input_file_name().alias("f")).distinct().groupBy("f").count().count()
+        read = sum(int(m.value()) for m in [x.metrics().get("numFiles").get() for x in leaves(got)])
+        assert opened <= read and (read == files if shape is shapes[-1] else read < files / 3)
+    plan = read_region(spark, path, box, shapes[0], 0.1, species=1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(block" in plan or "PartitionFilters: [block" in plan
+    assert "Or(" in plan.split("PushedFilters")[1].split("ReadSchema")[0]  # the intervals of codes
+
+
+def leaves(df):
+    """The file scans of an executed plan."""
+    df._jdf.queryExecution().toRdd().count()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.getClass().getName() else plan
+    found = plan.collectLeaves()
+    return [found.apply(k) for k in range(found.size())]
+
+
 def test_orders(spark):
     rows = spark.range(1000).selectExpr("id as o", "id * 7 % 13 as v").repartition(5)
     got = {r["o"]: r["scan"] for r in sorting.exclusive_scan(rows, "v", "o", 64).collect()}
