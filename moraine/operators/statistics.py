@@ -114,9 +114,9 @@ def heat_capacity_nvt(potential: Column | str, kinetic: Column | str, temperatur
     return particles * (F.var_pop(potential) + F.var_pop(kinetic)) / temperature**2
 
 
-def long_range_corrections(density: float, cutoff: float, dimension: int = 3) -> tuple[float, float]:
+def long_range_corrections(density: float | Column, cutoff: float | Column, dimension: int = 3) -> tuple:
     """Energy per particle and pressure of a Lennard-Jones fluid beyond the
-    cutoff, for a uniform tail, in reduced units."""
+    cutoff, for a uniform tail, in reduced units; of numbers or columns."""
     c6 = cutoff**-6
     if dimension == 3:
         return 8 / 9 * math.pi * density * (c6 - 3) * cutoff**-3, 32 / 9 * math.pi * density**2 * (c6 - 1.5) * cutoff**-3

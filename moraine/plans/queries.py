@@ -209,22 +209,26 @@ def vector_functions(spark, d):
     return rounded(rows, 7, *out)
 
 
-@query("table_helpers", "SELECT event_id, event_type || '/' || user_id AS name, '3,2,1' AS down, '1,2,3' AS up, 'a,b' AS names, '7,7' AS twice, '1,2,9' AS joined, false AS empty FROM events")
+@query("table_helpers", """SELECT event_id, event_type || '/' || user_id AS name, array_to_string(list_reverse_sort([event_id % 5, user_id % 7, 3]), ',') AS down, array_to_string(list_sort([event_id % 5, user_id % 7, 3]), ',') AS up,
+ event_type || ',b' AS names, user_id || ',' || user_id AS twice, (event_id % 3) || ',' || (user_id % 4) || ',9' AS joined, event_id % 5 <= 3 AND user_id % 7 <= 3 AS empty FROM events""")
 def table_helpers(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    three, two = F.array(F.lit(2), F.lit(3), F.lit(1)), F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
+    three = F.array(F.col("event_id") % 5, F.col("user_id") % 7, F.lit(3).cast("bigint"))
     up = sorting.sorted_values(three)
     lists = {
-        "down": sorting.reversed_values(up), "up": up, "names": sorting.keys(two), "twice": sorting.repeat_element(F.lit(7), 2),
-        "joined": sorting.concatenated(F.array(F.lit(1), F.lit(2)), F.array(F.lit(9))),
+        "down": sorting.reversed_values(up), "up": up, "names": sorting.keys(F.create_map("event_type", F.lit(1), F.lit("b"), F.lit(2))), "twice": sorting.repeat_element(F.col("user_id"), 2),
+        "joined": sorting.concatenated(F.array(F.col("event_id") % 3, F.col("user_id") % 4), F.array(F.lit(9).cast("bigint"))),
     }
     name = sorting.interpolate("{type}/{user}", {"type": F.col("event_type"), "user": F.col("user_id")}).alias("name")
-    return e.select("event_id", name, *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(n) for n, c in lists.items()], sorting.is_empty(three).alias("empty"))
+    empty = sorting.is_empty(F.filter(three, lambda x: x > 3)).alias("empty")
+    return e.select("event_id", name, *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(n) for n, c in lists.items()], empty)
 
 
-@query("iota", "SELECT range AS id FROM range(1000)")
+@query("iota", f"WITH {P} SELECT p.id, species FROM range((SELECT count(*) FROM p)) i JOIN p ON p.id = i.range")
 def iota(spark, d):
-    return generate.iota(spark, 1000)
+    """The particles whose ids are numbers of a filled sequence."""
+    p, _ = as_particles(spark, d)
+    return generate.iota(spark, p.count()).join(p, "id").select("id", "species")
 
 
 @query("all_particles", f"WITH {P} SELECT id, species, x FROM p")
@@ -232,15 +236,19 @@ def everything(spark, d):
     return groups.all_particles(as_particles(spark, d)[0]).select("id", "species", "x")
 
 
-@query("multi_index", "SELECT range AS o, range % 4 + 1 AS i, (range // 4) % 3 + 1 AS j, range // 12 + 1 AS k, range + 1 AS back FROM range(60)")
+@query("multi_index", f"WITH {P} SELECT id, id % 60 % 4 + 1 AS i, (id % 60 // 4) % 3 + 1 AS j, id % 60 // 12 + 1 AS k, id % 60 + 1 AS back FROM p")
 def multi_index(spark, d):
-    i, j, k = vec.offset_to_index(F.col("id") + 1, (4, 3, 5))
-    return spark.range(60).select(F.col("id").alias("o"), i.alias("i"), j.alias("j"), k.alias("k"), vec.index_to_offset([i, j, k], (4, 3, 5)).alias("back"))
+    p, _ = as_particles(spark, d)
+    i, j, k = vec.offset_to_index(F.col("id") % 60 + 1, (4, 3, 5))
+    return p.select("id", i.alias("i"), j.alias("j"), k.alias("k"), vec.index_to_offset([i, j, k], (4, 3, 5)).alias("back"))
 
 
-@query("coprime_indices", "SELECT a.range AS i0, b.range AS i1 FROM range(12) a, range(12) b WHERE gcd(a.range, b.range) = 1")
+@query("coprime_indices", "SELECT l_partkey % 12 AS i0, l_suppkey % 12 AS i1, count(*) AS n FROM lineitem WHERE gcd(l_partkey % 12, l_suppkey % 12) = 1 GROUP BY ALL")
 def coprime_indices(spark, d):
-    return vec.multi_range(spark, (0, 0), (12, 12)).where(vec.coprime(F.col("i0"), F.col("i1")))
+    """Rows by two indices without a common divisor."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_partkey") % 12).cast("bigint").alias("i0"), (F.col("l_suppkey") % 12).cast("bigint").alias("i1"))
+    grid = vec.multi_range(spark, (0, 0), (12, 12)).where(vec.coprime(F.col("i0"), F.col("i1")))
+    return rows.join(grid, ["i0", "i1"]).groupBy("i0", "i1").agg(F.count("*").alias("n"))
 
 
 # ---- statistics
@@ -584,9 +592,17 @@ def _dense(spark) -> tuple[DataFrame, Box]:
     return fourier.dense_wavevectors(spark, box, _BOUNDS), box
 
 
-@query("wavevectors_dense", f"WITH {DENSE} SELECT shell, wavenumber, q_id, {_r(6, qx='qx', qy='qy', qz='qz')} FROM w")
+@query("wavevectors_dense", f"WITH {MODES} SELECT shell, wavenumber, q_id, {_r(6, qx='qx', qy='qy', qz='qz', intensity='re*re + im*im')} FROM m JOIN w USING (q_id)")
 def wavevectors_dense(spark, d):
-    return rounded(_dense(spark)[0], 6, "qx", "qy", "qz")
+    """The wavevectors, and how strongly the particles scatter at each."""
+    p, _ = as_particles(spark, d)
+    w, box = _dense(spark)
+    return rounded(_intensity(p, w, box), 6, "qx", "qy", "qz", "intensity")
+
+
+def _intensity(p: DataFrame, w: DataFrame, box: Box) -> DataFrame:
+    modes = fourier.density_modes(p, w, box)
+    return w.join(modes, "q_id").select("shell", "wavenumber", "q_id", "qx", "qy", "qz", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("intensity"))
 
 
 _SPARSE_Q = (6.3, 9.0, 12.6, 19.0)
@@ -595,10 +611,11 @@ s1 AS (SELECT *, floor(t.q / r + 0.5) AS m FROM s0, (SELECT unnest([{', '.join(m
 s2 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY h + k + l, h + k, h) AS place FROM s1 WHERE m > 0 AND abs(m * r - q) <= q * 0.02)"""
 
 
-@query("wavevectors_sparse", f"WITH {SPARSE} SELECT q AS wavenumber, (dense_rank() OVER (ORDER BY q) - 1)::INT AS shell, row_number() OVER (ORDER BY q, place) - 1 AS q_id, {_r(6, qx=f'm*h*{_TWO_PI}', qy=f'm*k*{_TWO_PI}', qz=f'm*l*{_TWO_PI}')} FROM s2 WHERE place <= 5")
+@query("wavevectors_sparse", f"""WITH {P}, {SPARSE}, w AS (SELECT q AS wavenumber, (dense_rank() OVER (ORDER BY q) - 1)::INT AS shell, row_number() OVER (ORDER BY q, place) - 1 AS q_id, m*h*{_TWO_PI} AS qx, m*k*{_TWO_PI} AS qy, m*l*{_TWO_PI} AS qz FROM s2 WHERE place <= 5),
+m AS (SELECT q_id, sum(cos(qx*x + qy*y + qz*z)) AS re, sum(sin(qx*x + qy*y + qz*z)) AS im FROM p, w GROUP BY q_id) SELECT wavenumber, shell, q_id, {_r(6, qx='qx', qy='qy', qz='qz', intensity='re*re + im*im')} FROM m JOIN w USING (q_id)""")
 def wavevectors_sparse(spark, d):
-    w = fourier.sparse_wavevectors(spark, Box((1.0, 1.0, 1.0)), _SPARSE_Q, 0.02, 5)
-    return rounded(w, 6, "qx", "qy", "qz")
+    p, box = as_particles(spark, d)
+    return rounded(_intensity(p, fourier.sparse_wavevectors(spark, box, _SPARSE_Q, 0.02, 5), box), 6, "qx", "qy", "qz", "intensity")
 
 
 @query("density_modes", f"WITH {MODES} SELECT q_id, {_r(6, re='re', im='im')} FROM m")
@@ -656,9 +673,11 @@ def _rounded_tcf(df: DataFrame, digits: int = 4) -> DataFrame:
 _LAGS = _lags_sql(SCHEME)
 
 
-@query("lag_grid", f"WITH {_LAGS} SELECT level::INT AS level, i::BIGINT AS interval, s::BIGINT AS skip, lag_idx::INT AS lag_idx, lag::BIGINT AS lag, {_r(6, lag_time='lag_time')} FROM l")
+@query("lag_grid", f"WITH {_LAGS} SELECT level::INT AS level, i::BIGINT AS interval, s::BIGINT AS skip, lag_idx::INT AS lag_idx, lag::BIGINT AS lag, {_r(6, lag_time='lag_time')}, count(*) AS pairs FROM l JOIN events a ON a.event_id % (i * s) = 0 JOIN events b ON b.event_id = a.event_id + lag GROUP BY ALL")
 def lag_grid(spark, d):
-    return rounded(SCHEME.lags(spark), 6, "lag_time")
+    """The lags, and how many pairs of a series each of them has."""
+    pairs = tcf.lagged_pairs(as_series(spark, d).select("step", "value"), SCHEME, []).groupBy("level", "lag_idx").agg(F.count("*").alias("pairs"))
+    return rounded(SCHEME.lags(spark).join(pairs, ["level", "lag_idx"]), 6, "lag_time")
 
 
 @query("mean_square_displacement", f"WITH {E}, {_LAGS} {_tcf_sql('pow(b.x - a.x, 2)')}")
@@ -803,29 +822,54 @@ def hilbert(spark, d):
     return with_hilbert_code(p, box, 8).select("id", "hilbert")
 
 
-@query("semilog_grid", "SELECT place, " + _r(9, x="0.1 * CASE WHEN place < 3 THEN 1 + place WHEN place < 6 THEN 4 + 2*(place - 3) WHEN place < 9 THEN 10 + 4*(place - 6) ELSE 22 + 8*(place - 9) END") + " FROM (SELECT range AS place FROM range(12))")
+@query("semilog_grid", """SELECT place, x::DOUBLE AS x, value FROM (SELECT range AS place, (1 + 10 * (pow(2, range // 10)::BIGINT - 1) + (range % 10) * pow(2, range // 10)::BIGINT) AS x FROM range(400))
+JOIN events ON event_id = x""")
 def semilog(spark, d):
-    grid = generate.semilog_grid(0.1, 4.0, 3)
-    return rounded(spark.createDataFrame([(i, x) for i, x in enumerate(grid)], "place long, x double"), 9, "x")
+    """The samples of a series at steps that lie apart ever further."""
+    series = as_series(spark, d)
+    last = series.agg(F.max("step")).first()[0] or 0
+    grid = spark.createDataFrame(list(enumerate(generate.semilog_grid(1.0, last + 1.0, 10))), "place long, x double")  # grows with the logarithm of the steps
+    return grid.join(series.withColumn("x", F.col("step").cast("double")), "x").select("place", "x", "value")
 
 
-@query("fcc_lattice", """WITH s(k, sx, sy, sz) AS (VALUES (0, 0.25, 0.25, 0.25), (1, 0.75, 0.75, 0.25), (2, 0.75, 0.25, 0.75), (3, 0.25, 0.75, 0.75)), c AS (SELECT range AS id, range // 4 AS c, range % 4 AS k FROM range(864))
-SELECT id, """ + _r(9, x="(c % 6 + sx) * 1.5 - 4.5", y="((c // 6) % 6 + sy) * 1.5 - 4.5", z="(c // 36 + sz) * 1.5 - 4.5") + " FROM c JOIN s USING (k)")
+def _lattice_sql(*lengths: float) -> str:
+    """Sites of the largest lattice constant that has as many as there are particles, corner by corner, with vacancies at regular distances."""
+    volume = "*".join(map(repr, lengths))
+    cells = ", ".join(f"floor({n} / a + 1e-9)::BIGINT AS c{k}" for k, n in enumerate(lengths))
+    axes = ", ".join(f"round(((rest // ({' * '.join(['1', *[f'c{i}' for i in range(k)]])})) % c{k} + s{k}) * a - {n / 2}, 9) + 0.0 AS {x}" for k, (n, x) in enumerate(zip(lengths, "xyz")))
+    return f"""WITH {P}, n AS (SELECT count(*) AS n FROM p), top AS (SELECT pow({volume} / ceil(n / 4), 1.0/3) AS most FROM n), cand AS (SELECT most AS a FROM top UNION SELECT l / range AS a FROM (VALUES {", ".join(f"({x}::DOUBLE)" for x in lengths)}) t(l), range(1, 2000), top WHERE l / range < most),
+fit AS (SELECT a, c0, c1, c2, n, 4 * c0 * c1 * c2 AS sites FROM (SELECT a, {cells} FROM cand), n WHERE 4 * c0 * c1 * c2 >= n ORDER BY a DESC LIMIT 1), skip AS (SELECT *, CASE WHEN sites > n THEN ceil(sites / (sites - n))::BIGINT ELSE 0 END AS skip FROM fit),
+k(k, s0, s1, s2) AS (VALUES (0, 0.25, 0.25, 0.25), (1, 0.75, 0.75, 0.25), (2, 0.75, 0.25, 0.75), (3, 0.25, 0.75, 0.75)),
+s AS (SELECT id, species, site // 4 AS rest, site % 4 AS k, a, c0, c1, c2 FROM (SELECT *, place + CASE WHEN skip > 1 THEN place // (skip - 1) ELSE 0 END AS site FROM (SELECT id, species, row_number() OVER (ORDER BY id) - 1 AS place FROM p), skip))
+SELECT id, species, {axes} FROM s JOIN k USING (k)"""
+
+
+def _on_lattice(p: DataFrame, box: Box, slab: tuple[float, ...] | None = None) -> DataFrame:
+    """The particles, in the order of ids, on the sites of a lattice."""
+    ranked = sorting.numbered(p.select("id", "species"), ["id"], "place")
+    sites = generate.fcc_lattice(p.sparkSession, ranked.count(), box, slab).withColumnRenamed("id", "place")
+    return rounded(ranked.join(sites, "place").select("id", "species", "x", "y", "z"), 9, "x", "y", "z")
+
+
+@query("fcc_lattice", _lattice_sql(9.0, 9.0, 9.0))
 def fcc_lattice(spark, d):
-    return rounded(generate.fcc_lattice(spark, 864, Box((9.0, 9.0, 9.0))), 9, "x", "y", "z")
+    return _on_lattice(as_particles(spark, d)[0], Box((9.0, 9.0, 9.0)))
 
 
-@query("lattice_slab", """WITH s(k, sx, sy, sz) AS (VALUES (0, 0.25, 0.25, 0.25), (1, 0.75, 0.75, 0.25), (2, 0.75, 0.25, 0.75), (3, 0.25, 0.75, 0.75)), c AS (SELECT range AS id, range + range // 5 AS site FROM range(1000))
-SELECT id, """ + _r(9, x="((site // 4) % 6 + sx) * 1.6 - 4.8", y="((site // 24) % 5 + sy) * 1.6 - 4.0", z="(site // 120 + sz) * 1.6 - 8.0") + " FROM c JOIN s ON k = site % 4")
+@query("lattice_slab", _lattice_sql(9.6, 8.0, 16.0))
 def lattice_slab(spark, d):
-    """1,000 particles in the middle 9.6 x 8 x 16 of a box: 6 x 5 x 10 cells of edge 1.6, and every sixth of their 1,200 sites vacant."""
-    return rounded(generate.fcc_lattice(spark, 1000, Box((9.6, 16.0, 16.0)), (1.0, 0.5, 1.0)), 9, "x", "y", "z")
+    """In the middle 9.6 x 8 x 16 of a box."""
+    return _on_lattice(as_particles(spark, d)[0], Box((9.6, 16.0, 16.0)), (1.0, 0.5, 1.0))
 
 
-@query("long_range_corrections", "SELECT rc, " + _r(12, energy="8.0/9*pi()*0.3*(pow(rc,-6) - 3)*pow(rc,-3)", pressure="32.0/9*pi()*0.09*(pow(rc,-6) - 1.5)*pow(rc,-3)") + " FROM (SELECT range / 2.0::DOUBLE AS rc FROM range(4, 12))")
+@query("long_range_corrections", f"""WITH {P}, c AS (SELECT species, count(*) / 27.0::DOUBLE AS n, 2.0::DOUBLE + 0.5 * species AS rc FROM p GROUP BY species)
+SELECT species, {_r(9, energy="8.0/9*pi()*n*(pow(rc,-6) - 3)*pow(rc,-3)", pressure="32.0/9*pi()*n*n*(pow(rc,-6) - 1.5)*pow(rc,-3)")} FROM c""")
 def long_range(spark, d):
-    rows = [(k / 2, *statistics.long_range_corrections(0.3, k / 2)) for k in range(4, 12)]
-    return rounded(spark.createDataFrame(rows, "rc double, energy double, pressure double"), 12, "energy", "pressure")
+    """Of each species' density in a box of edge 3, with a cutoff of its own."""
+    p, _ = as_particles(spark, d)
+    density = p.groupBy("species").agg((F.count("*") / 27.0).alias("n"), F.first(2.0 + 0.5 * F.col("species")).alias("rc"))
+    energy, pressure = statistics.long_range_corrections(F.col("n"), F.col("rc"))
+    return rounded(density.select("species", energy.alias("energy"), pressure.alias("pressure")), 9, "energy", "pressure")
 
 
 @query("sample_positions", f"WITH {P}, q AS (SELECT id, species, x * 7 AS x FROM p WHERE {IN_SPHERE}) SELECT id, {_r(9, x='x')} FROM q")
@@ -943,12 +987,15 @@ def store_overwrite(spark, d):
     return out
 
 
-@query("store_box", "SELECT * FROM (VALUES (0, 2.5::DOUBLE, 'periodic'), (1, 3.0::DOUBLE, 'periodic')) t(axis, length, boundary)")
+@query("store_box", f"WITH {P}, q AS (SELECT id, x * 7 AS x, y * 7 AS y FROM p) SELECT id, {_r(9, x='x - 2.5 * ceil(abs(x) / 2.5 - 0.5) * sign(x)', y='y - 3.0 * ceil(abs(y) / 3.0 - 0.5) * sign(y)')} FROM q")
 def store_box(spark, d):
-    path = scratch(spark)
-    Writer(spark, path).box(Box((2.5, 3.0)))
-    box = Reader(spark, path).box()
-    return spark.createDataFrame([(i, n, "periodic") for i, n in enumerate(box.lengths)], "axis int, length double, boundary string")
+    """A box kept with its particles, read back to wrap them."""
+    path, p = scratch(spark), _moved(as_particles(spark, d)[0], 7.0)
+    writer = Writer(spark, path)
+    writer.box(Box((2.5, 3.0)))
+    writer.append("particles/all", p.select(F.lit(0).cast("bigint").alias("step"), F.lit(0.0).alias("time"), "id", "x", "y"))
+    reader = Reader(spark, path)
+    return rounded(reduce_periodic(reader.particles("all", ["x", "y"]), reader.box(), until_inside=True).select("id", "x", "y"), 9, "x", "y")
 
 
 @query("store_averaged", f"""WITH w AS (SELECT (event_id // 64) * 64 AS step, {_moments_sql('value', 9)} FROM events GROUP BY 1) SELECT step, mean AS value, error, count FROM w""")
