@@ -987,6 +987,33 @@ def store_overwrite(spark, d):
     return out
 
 
+def _stored_series(spark: SparkSession, d: str, parts: int) -> str:
+    """A store of a series, appended to in ranges of steps."""
+    path, rows = scratch(spark), as_series(spark, d).select("step", "time", "value")
+    writer, last = Writer(spark, path), rows.agg(F.max("step")).first()[0] or 0
+    width = last // parts + 1
+    for k in range(parts):
+        writer.append("observables/value", rows.where((F.col("step") >= k * width) & (F.col("step") < (k + 1) * width)))
+    return path
+
+
+@query("store_read_steps", "SELECT event_id AS step, value FROM events WHERE event_id >= 100 AND (event_id - 100) % 7 = 0 AND event_id <= (SELECT max(event_id) FROM events) - 50")
+def store_read_steps(spark, d):
+    reader = Reader(spark, _stored_series(spark, d, 4))
+    last = reader.steps("observables/value").agg(F.max("step")).first()[0] or 0
+    return reader.read_steps("observables/value", 100, last - 50, 7).select("step", "value")
+
+
+@query("store_follow", "SELECT event_id AS step, value FROM events")
+def store_follow(spark, d):
+    """A stream of a store, in the order of its appends, each of which becomes a batch of rows of its own."""
+    reader, out = Reader(spark, _stored_series(spark, d, 3)), scratch(spark)
+    q = reader.follow("observables/value", lambda rows, n: rows.select("step", "value").write.mode("overwrite").parquet(f"{out}/part={n}"), scratch(spark))
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.schema("step long, value double, part long").parquet(out).select("step", "value")
+
+
 @query("store_box", f"WITH {P}, q AS (SELECT id, x * 7 AS x, y * 7 AS y FROM p) SELECT id, {_r(9, x='x - 2.5 * ceil(abs(x) / 2.5 - 0.5) * sign(x)', y='y - 3.0 * ceil(abs(y) / 3.0 - 0.5) * sign(y)')} FROM q")
 def store_box(spark, d):
     """A box kept with its particles, read back to wrap them."""

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,29 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def publish(spark: SparkSession, path: str, target: str) -> bool:
+    """Rename a written folder to ``target`` unless that exists: of several who try, one gets True. The rename is
+    the file system's own, in which a look and the rename are one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, to = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(target)
+    to.getFileSystem(conf).mkdirs(to.getParent())
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.getFileSystem(conf).getUri(), conf).rename(source, to, none)
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in str(e.java_exception):
+            raise
+        return False
+    return True
+
+
 def _at_exit(path: str) -> None:
     jvm = SparkContext._jvm
     if jvm is not None:

@@ -7,18 +7,19 @@ holds the format version, the creator and the author.
 
 A time-dependent element is a folder of batches, one for each append, in which
 rows are range-partitioned and sorted by step, so that a step's rows lie in few
-row groups, and a small table ``index`` of its steps (step, time, batch). An
+row groups, and a small table ``index`` of its steps (step, time, batch), in versions. An
 append writes its rows once, checks the order on the steps of the new batch
-and then makes it known to the index; a batch that failed is never read. Reads of
-a step look it up in the index and open its batch alone, with the step pushed
-down to the scan.
+and then publishes the next version of the index by a rename that fails if somebody else has
+published it: of two writers that append to the same state one gets an error, and a batch that failed is
+never read. Reads of steps look them up in the index and open their batches alone, with the steps pushed
+down to the scan. :meth:`Reader.follow` streams what is appended.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
@@ -28,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from moraine.functions.box import Box
 from moraine.operators.groups import dense_index, sampled_steps, set_columns
-from moraine.sources.scratch import delete, written
+from moraine.sources.scratch import delete, names, publish, written
 
 VERSION = (1, 0)
 TIME_TOLERANCE = 100 * sys.float_info.epsilon
@@ -51,6 +52,10 @@ def check(spark: SparkSession, path: str) -> bool:
 _INDEX = "step long, time double, batch string"
 
 
+def _index(spark: SparkSession, element: str) -> DataFrame:
+    return spark.read.schema(_INDEX).option("recursiveFileLookup", "true").parquet(f"{element}/index")
+
+
 class Writer:
     """Makes a store; an old one is only replaced with ``overwrite``, and then
     wholly: nothing of it stays readable."""
@@ -62,41 +67,59 @@ class Writer:
         about = spark.createDataFrame([(*VERSION, creator, "1", author, email)], ABOUT).coalesce(1)
         about.write.mode("errorifexists").parquet(f"{self.path}/about")
         self._last: dict[str, tuple[int, float] | None] = {}
+        self._version: dict[str, int] = {}
+
+    @classmethod
+    def resume(cls, spark: SparkSession, path: str) -> Writer:
+        """A writer to a store that exists."""
+        if not check(spark, path):
+            raise StoreError(f"{path} is not a store of version {VERSION[0]}")
+        out = cls.__new__(cls)
+        out.spark, out.path, out._last, out._version = spark, path.rstrip("/"), {}, {}
+        return out
 
     def _previous(self, element: str) -> tuple[int, float] | None:
         if element not in self._last:
-            try:
-                got = self.spark.read.schema(_INDEX).parquet(f"{self.path}/{element}/index").agg(F.max(F.struct("step", "time")).alias("m")).first()["m"]
-            except AnalysisException:
-                got = None
+            versions = names(self.spark, f"{self.path}/{element}/index")
+            got = _index(self.spark, f"{self.path}/{element}").agg(F.max(F.struct("step", "time")).alias("m")).first()["m"] if versions else None
+            self._version[element] = len(versions)
             self._last[element] = got and (got["step"], got["time"])
         return self._last[element]
 
     def append(self, element: str, rows: DataFrame) -> None:
         """Add steps; they must lie after all stored ones and their times must
-        not fall back. Rows without a step are an error."""
+        not fall back. Rows without a step are an error, and so is an append after one by another writer
+        that this one hasn't seen; it sees it at the next try."""
         batch = uuid4().hex
         path = f"{self.path}/{element}/batch-{batch}"
         rows.repartitionByRange("step").sortWithinPartitions("step").write.parquet(path)
         steps = self.spark.read.parquet(path).groupBy("step").agg(F.min("time").alias("time"), F.max("time").alias("high"), F.count("*").alias("n"))
         steps = written(steps)
         try:
-            if not self._follows(element, steps):
+            last = self._follows(element, steps)
+            if last is None:
                 delete(self.spark, path)
                 return
+            index = steps.select(F.col("step").cast("bigint").alias("step"), F.col("time").cast("double").alias("time"), F.lit(batch).alias("batch"))
+            new = f"{self.path}/{element}/_new-{batch}"
+            index.coalesce(1).write.parquet(new)  # one row a step
+            if not publish(self.spark, new, f"{self.path}/{element}/index/v{self._version[element]:012d}"):
+                delete(self.spark, new)
+                del self._last[element]
+                raise StoreError(f"{element}: another writer has appended")
         except StoreError:
             delete(self.spark, path)
             raise
-        index = steps.select(F.col("step").cast("bigint").alias("step"), F.col("time").cast("double").alias("time"), F.lit(batch).alias("batch"))
-        index.coalesce(1).write.mode("append").parquet(f"{self.path}/{element}/index")  # one row a step
+        self._last[element] = last
+        self._version[element] += 1
 
-    def _follows(self, element: str, steps: DataFrame) -> bool:
-        """Whether there are any; an error if they can't follow the stored ones."""
+    def _follows(self, element: str, steps: DataFrame) -> tuple[int, float] | None:
+        """The last step and its time, None if there are no steps; an error if they can't follow the stored ones."""
         span = steps.agg(F.min(F.struct("step", "time")).alias("first"), F.max(F.struct("step", "high")).alias("last"), F.max(F.col("high") - F.col("time")).alias("spread"), F.count_if(F.col("step").isNull()).alias("none")).first()
         if span["none"]:
             raise StoreError(f"{element}: rows without a step")
         if span["first"] is None:
-            return False
+            return None
         before = self._previous(element)
         if span["spread"] is not None and span["spread"] > 0:
             raise StoreError(f"{element}: a step has several times")
@@ -107,8 +130,7 @@ class Writer:
         following = ranked.select((F.col("place") - 1).alias("place"), F.col("time").alias("next"))
         if not ranked.join(following, "place").where("next < time").isEmpty():
             raise StoreError(f"{element}: time decreases")
-        self._last[element] = (span["last"]["step"], span["last"]["high"])
-        return True
+        return span["last"]["step"], span["last"]["high"]
 
     def append_averaged(self, element: str, rows: DataFrame) -> None:
         """Steps with value, error and count."""
@@ -141,7 +163,7 @@ class Reader:
     def steps(self, name: str) -> DataFrame:
         """(step, time, batch) of a time-dependent element."""
         try:
-            return self.spark.read.schema(_INDEX).parquet(f"{self.path}/{name}/index")
+            return _index(self.spark, f"{self.path}/{name}")
         except AnalysisException as e:
             raise StoreError(f"{name} has no steps in the store") from e
 
@@ -184,6 +206,29 @@ class Reader:
         time = offset if math.copysign(1, offset) > 0 else offset + last
         return self._at(name, steps.where(F.abs(F.col("time") - time) <= TIME_TOLERANCE * max(abs(time), abs(last))), "time")
 
+    def read_steps(self, name: str, first: int, last: int, every: int = 1) -> DataFrame:
+        """The rows of all stored steps from ``first`` to ``last``, or of every so many of them counted from ``first``: only batches
+        that hold any are opened."""
+        chosen = self.steps(name).where(F.col("step").between(first, last) & ((F.col("step") - first) % every == 0))
+        batches = [r[0] for r in chosen.select("batch").distinct().sort("batch").collect()]  # one an append
+        if not batches:
+            return self.element(name).limit(0)
+        rows = self.spark.read.parquet(*[f"{self.path}/{name}/batch-{b}" for b in batches])
+        return rows.where(F.col("step").between(first, last) & ((F.col("step") - first) % every == 0))
+
+    def follow(self, name: str, handle: Callable[[DataFrame, int], None], checkpoint: str):
+        """Start a stream of what is appended to an element, from its first step on: ``handle`` gets the rows of each
+        version of the index as it is published, and the number of the micro-batch. After a restart from the checkpoint it goes on
+        behind the last version that was handled."""
+        index = self.spark.readStream.schema(_INDEX).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{self.path}/{name}/index")
+
+        def run(rows: DataFrame, number: int) -> None:
+            batches = [r[0] for r in rows.select("batch").distinct().collect()]  # of one append
+            if batches:
+                handle(self.spark.read.parquet(*[f"{self.path}/{name}/batch-{b}" for b in batches]), number)
+
+        return index.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
+
     def box(self) -> Box:
         rows = self.element("box").orderBy("axis").collect()
         if any(r["boundary"] != "periodic" for r in rows):

@@ -110,12 +110,63 @@ def test_failed_appends_are_never_read(spark, tmp_path):
     w.append("a", rows(spark, [5]).limit(0))
     r = Reader(spark, str(tmp_path / "store"))
     assert {x["step"] for x in r.element("a").collect()} == {0, 5} and r.steps("a").count() == 2
-    again = Writer.__new__(Writer)
-    again.spark, again.path, again._last = spark, str(tmp_path / "store"), {}
+    again = Writer.resume(spark, str(tmp_path / "store"))
     again.append("a", rows(spark, [6]))  # a writer that comes back finds the last step
     assert Reader(spark, str(tmp_path / "store")).read_at_step("a", -1).count() == 3
 
 
+def test_of_two_writers_one_gets_an_error(spark, tmp_path):
+    path = str(tmp_path / "store")
+    Writer(spark, path).append("a", rows(spark, [0]))
+    one, two = Writer.resume(spark, path), Writer.resume(spark, path)
+    assert one._previous("a") == two._previous("a")  # both have seen the same state
+    one.append("a", rows(spark, [1]))
+    with pytest.raises(StoreError, match="another writer"):
+        two.append("a", rows(spark, [1]))
+    assert sorted(x["step"] for x in Reader(spark, path).steps("a").collect()) == [0, 1] and Reader(spark, path).read_at_step("a", 1).count() == 3
+    with pytest.raises(StoreError, match="does not follow"):
+        two.append("a", rows(spark, [1]))  # now it has seen the other's step
+    two.append("a", rows(spark, [2]))
+    assert Reader(spark, path).read_at_step("a", -1).count() == 3
+    with pytest.raises(StoreError):
+        Writer.resume(spark, str(tmp_path / "none"))
+
+
+def test_only_batches_of_the_steps_are_opened(spark, tmp_path):
+    w = Writer(spark, str(tmp_path / "store"))
+    for first in (0, 10, 20, 30):
+        w.append("a", rows(spark, [*range(first, first + 10)]))
+    r = Reader(spark, str(tmp_path / "store"))
+    some = r.read_steps("a", 12, 24, 4)
+    assert sorted({x["step"] for x in some.collect()}) == [12, 16, 20, 24] and some.count() == 12
+    assert {f.split("batch-")[1][:32] for f in some.inputFiles()} == {x["batch"] for x in r.steps("a").where("step in (12, 20)").collect()}
+    assert r.read_steps("a", 100, 200).count() == 0 and r.read_steps("a", 100, 200).columns == r.element("a").columns
+
+
+def test_a_growing_store_is_followed(spark, tmp_path):
+    path, seen = str(tmp_path / "store"), []
+    w = Writer(spark, path)
+    w.append("a", rows(spark, [0, 1]))
+    w.append("a", rows(spark, [2]))
+
+    def start():
+        return Reader(spark, path).follow("a", lambda b, n: seen.append((n, sorted({x["step"] for x in b.collect()}))), str(tmp_path / "state"))
+
+    q = start()
+    q.processAllAvailable()
+    assert seen == [(0, [0, 1]), (1, [2])]
+    with pytest.raises(StoreError):
+        w.append("a", rows(spark, [1]))  # what fails is never streamed
+    w.append("a", rows(spark, [5]))
+    q.processAllAvailable()
+    q.stop()
+    w.append("a", rows(spark, [6, 7]))
+    q = start()  # goes on where it was
+    q.processAllAvailable()
+    q.stop()
+    assert seen[2:] == [(2, [5]), (3, [6, 7])]
+
+
 def test_a_step_is_read_from_its_row_groups(spark, tmp_path):
     w = Writer(spark, str(tmp_path / "store"))
     for first in (0, 100):
