@@ -9,10 +9,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,22 +106,23 @@ class Tables:
     still reads (written by the function :func:`cut`) takes room after it."""
 
     def __enter__(self) -> Tables:
-        self.paths: dict[int, tuple[DataFrame, str]] = {}  # the frames too, so that no other one gets their ids
+        self.paths: dict[int, str] = {}
+        self.frames: dict[int, DataFrame] = {}  # kept, so that no other one gets their ids
         return self
 
     def cut(self, df: DataFrame) -> DataFrame:
         out, path = _written(df)
-        self.paths[id(out)] = (out, path)
+        self.paths[id(out)], self.frames[id(out)] = path, out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for t in tables:
-            if (found := self.paths.pop(id(t), None)) is not None:
-                remove(found[1])
+            if (path := self.paths.pop(id(t), None)) is not None:
+                remove(path)
 
     def __exit__(self, *_) -> None:
-        for _, path in self.paths.values():
+        for path in self.paths.values():
             remove(path)
 
 
@@ -167,6 +169,16 @@ def encoded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, rows: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and, but for single longer values, ``most`` bytes in a column."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        stop = min(at + rows, max(at + 1, upto))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def record(batch_schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else c for c, t in zip(columns, batch_schema.types)], schema=batch_schema)
 

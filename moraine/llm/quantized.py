@@ -195,9 +195,11 @@ def vector_classes(vectors: DataFrame, cosine: float = COSINE, block: int = BLOC
             return pdf.loc[named, [*tile, "own", "cid", "copies", "codes", "scale", "size", "error"]]
 
         named = t.cut(tiled.groupBy(*tile).applyInPandas(screen, "label string, d int, low int, high int, own int, cid long, copies long, codes binary, scale double, size double, error double"))
-        # full vectors: one row of each class
-        wanted = named.select("cid").distinct().join(classes.select("cid", "label", "digest", F.col("first_id").alias("vec_id")), "cid")
-        whole = codes(vectors, full=True).groupBy("vec_id", "label", "digest").agg(F.first("v").alias("v"))  # repeated rows of an id
+        # full vectors, one row of each class: only vectors of wanted ids are read in full and shuffled
+        wanted = t.cut(named.select("cid").distinct().join(classes.select("cid", "label", "digest", F.col("first_id").alias("vec_id")), "cid"))
+        ids = small(t.cut(wanted.select(F.col("vec_id").alias("_m_wanted")).distinct()))
+        some = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", "embedding").join(ids, F.col("vec_id").eqNullSafe(F.col("_m_wanted")), "left_semi")
+        whole = codes(some, full=True).groupBy("vec_id", "label", "digest").agg(F.first("v").alias("v"))  # repeated rows of an id
         same = [F.col(f"w.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("vec_id", "label", "digest")]
         found = t.cut(wanted.alias("w").join(whole.alias("f"), same[0] & same[1] & same[2]).select("w.cid", "f.v"))
 
