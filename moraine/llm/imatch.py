@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import Tables, cut, encoded, table
+from moraine.llm.common import Tables, by_bytes, cut, encoded, table
 from moraine.llm.words import distinct, mix, word_hashes
 
 BAND = (3.0, 12.0)  # log2 of (documents / documents with the term)
@@ -65,8 +65,8 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(term[at : at + 50_000]), pa.array(n[at : at + 50_000])], ["term", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                for own in distinct(*word_hashes(encoded(batch.column(0).slice(at, BATCH)))):
+            for part in by_bytes(batch, 0, BATCH):
+                for own in distinct(*word_hashes(encoded(part.column(0)))):
                     held.append(own)
                     size += len(own)
                 if size > 1 << 22:
@@ -189,8 +189,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
 
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in by_bytes(b, 2, 256):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([press.compress(x) for x in encoded(part.column(2))], pa.binary())], ["doc_id", "tie", "packed"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, packed binary")
@@ -207,8 +206,7 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
 
         part, last, unpack = TaskContext.get().partitionId(), None, zstandard.ZstdDecompressor()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                b = batch.slice(at, BATCH)
+            for b in by_bytes(batch, 2, BATCH, 1 << 20):  # compressed
                 raw = [unpack.decompress(x) for x in b.column(2).to_pylist()]
                 own = list(zip(b.column(0).to_pylist(), [x.decode() for x in raw], fingerprints(raw, shared.value)))
                 ends = [] if last else [(part, 1, *own[0])]

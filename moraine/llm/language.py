@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from moraine.llm.common import encoded, hash_unit, held_out, small_batches, table
+from moraine.llm.common import by_bytes, encoded, hash_unit, held_out, small_batches, table
 
 SPAN, HIDDEN, STEPS, BATCH = 48, 8, 350, 256
 PER_LANGUAGE, WINDOWS, SEED = 400, 64, 5
@@ -230,8 +230,7 @@ def identify(docs: DataFrame, model: Identifier, keep=None) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                b = whole.slice(start, 512)
+            for b in by_bytes(whole, at, 512):
                 lang, score = model.predict(encoded(b.column(at)))
                 out = pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*(f"c{i}" for i in range(b.num_columns)), *names])
                 yield out if keep is None else out.filter(pa.array([keep(n, s) for n, s in zip(lang, score)], pa.bool_()))

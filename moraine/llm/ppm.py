@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import cut, encoded, held_out, table
+from moraine.llm.common import by_bytes, cut, encoded, held_out, table
 
 ORDER, HEAD, GRAMS_HEAD = 5, 131_072, 1_000_000
 BASE = 3  # contexts of fewer bytes are known to every task
@@ -105,8 +105,8 @@ def corpus_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
             words.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                split = [t.lower().split() for t in encoded(batch.column(0).slice(at, 512))]
+            for part in by_bytes(batch, 0, 512):
+                split = [t.lower().split() for t in encoded(part.column(0))]
                 words.update(chain.from_iterable(split))
                 words[b""] += len(split)
                 k, c = np.unique(grams(*streams(split, order), order), return_counts=True)
@@ -131,74 +131,6 @@ def corpus_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 _COUNTS_DDL = "kind byte, key long, n long"
 
 
-class Trie:
-    """A model that fits into memory. Its contexts as rows: ``child[node, byte class]`` is the node one byte
-    older (0: none), ``logp[node, byte class]`` the log10 probability of the
-    next byte. Node 0 stands for none, node 1 for the empty context."""
-
-    def __init__(self, levels: list[dict[int, tuple[np.ndarray, np.ndarray]]]):
-        """``levels[k]``: context of k bytes -> (symbols, counts)."""
-        symbols = sorted({int(s) for level in levels[:1] for syms, _ in level.values() for s in syms})
-        self.classes = np.zeros(256, np.int64)  # class 0: bytes never seen
-        self.classes[symbols] = np.arange(1, len(symbols) + 1)
-        a = len(symbols) + 1
-        ids: dict[tuple[int, int], int] = {(0, 0): 1}
-        contexts = [(0, 0)]
-        parent = [0, 0]
-        for k in range(1, len(levels)):
-            for ctx in sorted(levels[k]):
-                up = ids.get((k - 1, ctx & ((1 << 8 * (k - 1)) - 1)))
-                if up is not None:
-                    ids[(k, ctx)] = len(parent)
-                    contexts.append((k, ctx))
-                    parent.append(up)
-        n = len(parent)
-        counts = np.zeros((n, a), np.float32)
-        self.child = np.zeros((n, a), np.int32)
-        for node, (k, ctx) in enumerate(contexts, 1):
-            if (got := levels[k].get(ctx)) is not None:
-                counts[node, self.classes[got[0]]] = got[1]
-            if k:
-                self.child[parent[node], self.classes[ctx >> 8 * (k - 1)]] = node
-        self.child[:, 0] = 0
-        self.logp = np.zeros((n, a), np.float32)
-        parents = np.array(parent)
-        width = np.ones(a)
-        width[0] = 256 - (a - 1)  # bytes in each class
-        for at in range(1, n, 4096):
-            node = np.arange(at, min(n, at + 4096))
-            row, out, open_, scale = node, np.zeros((len(node), a)), np.ones((len(node), a), bool), np.ones(len(node))
-            while (row > 0).any():
-                c = np.where(open_, counts[row], 0).astype(np.float64)
-                total, distinct = c.sum(1), (c > 0).sum(1)
-                rest = ((open_ & (c == 0)) * width).sum(1)
-                escape = np.where(total == 0, 1.0, np.where(rest > 0, distinct / np.maximum(2 * total, 1), 0.0))
-                own = np.where(rest > 0, 0.5, 0.0)[:, None] * (c > 0)  # what each symbol gives to the escape
-                out += (scale / np.maximum(total, 1))[:, None] * (c - own)
-                scale = scale * escape
-                open_ &= c == 0
-                row = np.where(row > 0, parents[row], 0)
-            out += np.where(open_, (scale / np.maximum((open_ * width).sum(1), 1))[:, None], 0)
-            self.logp[node] = np.log10(np.maximum(out, 1e-30))
-        self.order = len(levels) - 1
-
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each token stream, its end included."""
-        order = max(self.order, 1)
-        flat, spans = streams(texts, order)
-        x = self.classes[flat]
-        a = self.child.shape[1]
-        n = len(x) - order
-        node = np.ones(n, np.int64)
-        deep, child = node, self.child.ravel()
-        for k in range(1, self.order + 1):
-            node = child.take(node * a + x[order - k : order - k + n]).astype(np.int64)
-            deep = np.where(node > 0, node, deep)
-        p = self.logp.ravel().take(deep * a + x[order:]).astype(np.float64)
-        total = np.r_[0.0, np.cumsum(p)]
-        return total[spans[:, 1] - order] - total[spans[:, 0] - order]
-
-
 def _mask(size: int) -> int:
     return (1 << 8 * size) - 1
 
@@ -347,8 +279,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, head: int =
         table_, known, logs = model.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in by_bytes(batch, 1, 128):
                 split = [t.lower().split() for t in encoded(part.column(1))]
                 flat, spans = streams(split, order)
                 code = grams(flat, spans, order)

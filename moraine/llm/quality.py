@@ -20,12 +20,14 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import crc_mod, encoded, hash_unit, held_out, table
+from moraine.llm.common import by_bytes, crc_mod, encoded, hash_unit, held_out, table
 
 MAX_ROWS, CUTOFF = 20_000, 0.3
 POOLS, RIDGES = (0.02, 0.1, 0.3, 0.6), (0.001, 0.01, 0.05)
@@ -162,7 +164,7 @@ def score(docs: DataFrame, model: Discriminant, column: str = "score", keep: flo
     schema = f"`{column}` double"
 
     def run(batches):
-        for b in batches:
+        for b in chain.from_iterable(by_bytes(whole, at, 512) for whole in batches):
             x = np.array([statistics(t) for t in encoded(b.column(at))]).reshape(b.num_rows, WIDTH)
             s = model.score(x)
             out = pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*(f"c{i}" for i in range(b.num_columns)), column])
