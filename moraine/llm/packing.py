@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import Tables, cut, small_batches, table
+from moraine.llm.common import Tables, by_bytes, cut, small_batches, table
 
 LENGTH, END = 2048, 0
 PER_TASK = 50_000
-CACHE_WORDS = 500_000  # of each of two tables in a worker
+CACHE_WORDS = 250_000  # of each of two tables in a worker
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -148,8 +148,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = word_ids(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in by_bytes(batch, 1, 256):
                 rows = []
                 texts = ["" if t is None else t for t in part.column(1).to_pylist()]
                 for doc, data in zip(part.column(0).to_pylist(), ids.encode(texts)):
