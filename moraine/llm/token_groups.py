@@ -23,14 +23,14 @@ The order of tokens comes from counts of all tokens in a fixed table of hashed
 counters, so that what many documents share is never used to find candidates
 unless a set has little else. It only affects speed, not results.
 
-Tokens are never written: only slim rows (digests and sizes) are, and the tokens
+Tokens are never written but for the first ones: slim rows (digests and sizes) are, and the tokens
 of sets that a step wants are made again from the texts that a bit map of wanted
 documents marks. Intermediate tables are deleted as soon as nothing reads them.
 
 Bounds: broadcasts are the table of counters, bit maps of wanted sets (fixed
 sizes) and rows of hot keys (fewer than 4,096); groups are opened in chunks of
 about ``CHUNK`` tokens of members against as many of queries; a token's row that
-is expected to list more than ``ROW`` groups is dealt into blocks of about that
+lists more than ``ROW`` groups, by a count that is never too small (:func:`hot_tokens`), is dealt into blocks of at most about that
 many, and each pair of blocks is a row of its own; tasks of the matrix hold about
 ``PART`` entries. A bit map's false positives only cost time.
 
@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import Tables, cut, encoded, join_hot, ranges, table
+from moraine.llm.common import Tables, by_bytes, cut, encoded, join_hot, ranges, table
 from moraine.llm.components import components
 from moraine.llm.counters import counted, place
 from moraine.llm.words import distinct, mix, shingle_hashes, word_hashes
@@ -62,6 +62,7 @@ MAP_BITS = 1 << 24
 NO_ID = -(2**63)  # stands for a null id meanwhile
 CHUNK = 500_000  # tokens of a chunk
 ROW, PART = 20_000, 1_000_000  # groups of a token's block; entries of the matrix in a task
+WINDOW, MOST_HOT = 1 << 22, 1_000_000  # entries that a task counts at a time; hot tokens
 _SETS = "doc_id long, text_key binary, n long, key binary, sides array<long>"
 
 
@@ -82,8 +83,8 @@ def token_lists(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 128):
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+    text = next(i for i, t in enumerate(batch.schema.types) if pa.types.is_string(t) or pa.types.is_large_string(t))
+    yield from by_bytes(batch, text, rows)
 
 
 def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -109,16 +110,15 @@ def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SETS)
 
 
-def token_rarity(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, float]:
+def token_rarity(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """uint8 per counter: eight steps for each doubling of the count of the
-    tokens that fall there; and the mean of the counters."""
+    tokens that fall there."""
 
     def values(batch):
         for part in _slices(batch):
             yield from token_lists(encoded(part.column(0)), words)
 
-    got = counted(docs.select("text"), values)
-    return np.minimum(8 * np.log2(got + 1.0), 255).astype(np.uint8), float(got.mean())
+    return np.minimum(8 * np.log2(counted(docs.select("text"), values) + 1.0), 255).astype(np.uint8)
 
 
 def marks(rows: DataFrame, *keys: str) -> DataFrame:
@@ -294,13 +294,58 @@ def row_pairs(token: np.ndarray, g: np.ndarray, low: np.ndarray, high: np.ndarra
         yield _distinct_pairs(np.minimum(i, j), np.maximum(i, j))
 
 
-def in_blocks(token: np.ndarray, g: np.ndarray, rarity: np.ndarray, load: float) -> tuple[np.ndarray, np.ndarray]:
+def hot_tokens(first: DataFrame, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted tokens whose rows list more than ``ROW`` groups, and in how many blocks their groups are to be dealt.
+    ``first``: (first, g), the first tokens of a set of group g; ``entries``: about how many there are.
+
+    Tasks count (token, group) pairs in windows of about ``WINDOW`` and tell of tokens that are listed at least ``least``
+    times there. What a window doesn't tell is less than ``least``, so a sum over all windows is too small by less than ``slack``, half a row at most, which is added.
+    No more than ``2 * entries / row`` tokens can be hot; a row is as long as keeps these below ``MOST_HOT``."""
+    row = max(ROW, 2 * entries // MOST_HOT)
+    windows = first.select(F.spark_partition_id()).distinct().count() + entries // WINDOW
+    least = max(1, row // 2 // max(windows, 1))
+    slack = (least - 1) * windows
+
+    def run(batches):
+        held, size = [], 0
+
+        def told():
+            token, g = (np.concatenate(x) for x in zip(*held))
+            token, _ = _distinct_pairs(token, g)
+            token, n = np.unique(token, return_counts=True)
+            some = n >= least
+            token, n = token[some].view(np.int64), n[some]
+            for at in range(0, len(token), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 50_000]), pa.array(n[at : at + 50_000].astype(np.int64))], ["token", "n"])
+
+        for b in batches:
+            for data, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                token = unpacked_tokens(data)
+                held.append((token, np.full(len(token), g, np.int64)))
+                size += len(token)
+                if size >= WINDOW:
+                    yield from told()
+                    held, size = [], 0
+        if held:
+            yield from told()
+
+    counts = first.select("first", "g").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") + slack > row).toArrow()  # at most MOST_HOT rows
+    token = found["token"].to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.ceil((found["n"].to_numpy()[order] + slack) / row).astype(np.int64)
+
+
+def in_blocks(token: np.ndarray, g: np.ndarray, hot: np.ndarray, hot_blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(entry, token) of the rows in which each entry (token, group) is listed.
-    Of a token that about ``ROW`` groups or less are expected to have, that is
+    Of a token that is not ``hot`` that is
     its own row. Else the groups are dealt into blocks by hash, and each pair of
     blocks is a row, so that any two groups meet in one row at least."""
-    expected = 2.0 ** (rarity[place(token)] / 8) - load  # what else falls into the counter is taken off
-    blocks = np.ceil(np.maximum(expected, 1) / ROW).astype(np.int64)
+    blocks = np.ones(len(token), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+        known = hot[at] == token
+        blocks[known] = hot_blocks[at[known]]
     if (blocks == 1).all():
         return np.arange(len(token)), token
     entry = np.repeat(np.arange(len(token)), np.maximum(blocks - 1, 1))
@@ -312,7 +357,7 @@ def in_blocks(token: np.ndarray, g: np.ndarray, rarity: np.ndarray, load: float)
     return entry, np.where(split, mix(token[entry] + mix(pair.view(np.uint64))) >> np.uint64(16), token[entry])
 
 
-def candidates(docs: DataFrame, groups: DataFrame, rarity: np.ndarray, load: float, words: int, percent: int) -> DataFrame:
+def candidates(docs: DataFrame, groups: DataFrame, rarity: np.ndarray, words: int, percent: int, t: Tables) -> DataFrame:
     """Pairs (g1 < g2) of groups that share a first token, with sizes and places
     that allow a link; ``groups``: (text_key, n, g)."""
     spark = docs.sparkSession
@@ -331,15 +376,17 @@ def candidates(docs: DataFrame, groups: DataFrame, rarity: np.ndarray, load: flo
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.binary()), pa.array(rows, pa.binary())], schema=pa.schema(wide))
 
     first = text_rows(docs).mapInArrow(firsts, "text_key binary, first binary").join(groups.where("n > 0").select("text_key", "n", "g"), "text_key").select("n", "first", "g")
+    first = t.cut(first)  # about a seventh of all tokens
     entries = groups.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries) // PART + 1)
+    hot = hot_tokens(first, int(entries))
 
     def packed(batches):
         held, size = [], 0
 
         def emit():
             token, g, n, left = (np.concatenate(x) for x in zip(*held))
-            entry, token = in_blocks(token, g, shared.value, load)
+            entry, token = in_blocks(token, g, *hot)
             g, n, left = g[entry], n[entry], left[entry]
             order = np.lexsort((n, g, token))
             token, g, n, left = token[order], g[order], n[order], left[order]
@@ -430,8 +477,7 @@ def set_components(sets: DataFrame, docs: DataFrame, words: int, percent: int, t
     links = grouped(ids, docs, words, percent, t)
     found = components(links)
     groups = t.cut(ids.select("sid", "n", "text_key", "doc_id").join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "text_key", "doc_id", F.coalesce("root", "sid").alias("g")))
-    rarity, load = token_rarity(docs, words)
-    pairs = t.cut(candidates(docs, groups, rarity, load, words, percent))
+    pairs = t.cut(candidates(docs, groups, token_rarity(docs, words), words, percent, t))
     roots = groups.select("sid", F.col("g").alias("root"))
     if not pairs.isEmpty():
         links = components(opened(pairs, groups, docs, words, percent, t))

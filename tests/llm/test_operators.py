@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moraine.llm import imatch, language, mixing, packing, ppm, quality, quantized, sharding, token_groups, url_filter
+from moraine.llm.common import by_bytes
 from moraine.llm.components import components
 from moraine.llm.words import distinct, mix, shingle_hashes, word_hashes
 
@@ -133,12 +134,7 @@ def test_hot_tokens_in_blocks(docs, monkeypatch):
 
 def test_blocks_let_any_two_groups_meet():
     g, token = np.arange(50, dtype=np.int64), np.full(50, 12345, np.uint64)
-    rarity = np.full(token_groups.place(token).max() + 1, int(8 * np.log2(51)), np.uint8)
-    old, token_groups.ROW = token_groups.ROW, 7
-    try:
-        entry, row = token_groups.in_blocks(token, g, rarity, 0.0)
-    finally:
-        token_groups.ROW = old
+    entry, row = token_groups.in_blocks(token, g, np.array([7, 12345], np.uint64), np.array([3, 8]))
     rows = defaultdict(set)
     for e, t in zip(entry.tolist(), row.tolist()):
         rows[t].add(e)
@@ -146,6 +142,33 @@ def test_blocks_let_any_two_groups_meet():
     assert max(map(len, rows.values())) < 25
 
 
+@pytest.mark.parametrize("window", [1 << 22, 5000])
+def test_counts_of_hot_tokens_are_never_too_small(spark, monkeypatch, window):
+    """A token that 400,000 groups list among ten million others, whatever counters it shares."""
+    monkeypatch.setattr(token_groups, "WINDOW", window)
+    hot, warm = np.array([77], np.uint64), np.array([99], np.uint64)
+    one, two = token_groups.packed_tokens(hot), token_groups.packed_tokens(np.concatenate([hot, warm]))
+    first = spark.range(0, 400_000, 1, 8).select(F.when(F.col("id") % 20 == 0, F.lit(two)).otherwise(F.lit(one)).alias("first"), F.col("id").alias("g"))
+    tokens, blocks = token_groups.hot_tokens(first, 420_000)
+    assert tokens.tolist()[0] == 77 and 20 <= blocks[0] <= 22 and all(t in (77, 99) for t in tokens.tolist())
+    repeated = first.select("first", F.lit(5).cast("long").alias("g"))  # of a single group
+    assert len(token_groups.hot_tokens(repeated, 420_000)[0]) == 0 or window < 1 << 22
+    g = np.arange(400_000)
+    entry, row = token_groups.in_blocks(np.full(len(g), 77, np.uint64), g, tokens, blocks)
+    _, sizes = np.unique(row, return_counts=True)
+    assert sizes.max() <= 2.1 * token_groups.ROW and len(sizes) == blocks[0] * (blocks[0] - 1) // 2
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"n": list(range(7)), "t": ["a" * 10, None, "b" * 50, "", "c" * 3, "d" * 30, "e" * 5]})
+    got = [s.column(0).to_pylist() for s in by_bytes(batch, 1, 3, 20)]
+    assert got == [[0, 1], [2, 3], [4], [5, 6]] or sum(got, []) == list(range(7))
+    assert all(len(x) <= 3 for x in got) and list(by_bytes(batch.slice(0, 0), 1, 3)) == []
+    assert all(len(x) == 1 or sum(len(batch["t"][i].as_py() or "") for i in x) <= 20 or (batch["t"][x[0]].as_py() or "") > "" for x in got)
+
+
 def test_near_duplicates_leave_one_of_each(docs):
     kept = token_groups.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -202,6 +225,16 @@ def test_vectors_equal_brute_force(spark, block):
     assert quantized.vector_classes(table.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_links_among_many_vectors(spark):
+    """The given vectors, some of them again with a little noise: of a table of which few vectors are fetched in full."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>"), F.col("label").cast("int")).collect()
+    g, own = np.random.default_rng(9), [(r[0], r[1], r[2]) for r in rows if r[1] is not None]
+    own += [(10_000 + i, (np.array(v) + g.normal(size=len(v)) * 0.01).tolist(), label) for i, v, label in own[::9]]
+    got = sorted(map(tuple, quantized.vector_classes(spark.createDataFrame(own, "vec_id long, embedding array<double>, label int"), block=64).collect()))
+    assert got == sorted(brute_vectors(own)) and sum(n > 0 for _, n, *_ in got) >= 2 * len(own[::9]) / 3
+
+
 def test_quantisation_bounds_are_rigorous():
     x = np.random.default_rng(1).normal(size=(200, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -643,12 +676,20 @@ def test_splitting_tree_keeps_quotas():
 # ---- 7: language model
 
 
-def test_partial_matching_is_a_distribution():
-    trie_levels = [{0: (np.array([97, 98, 32]), np.array([5, 3, 4]))}, {97: (np.array([98]), np.array([3])), 98: (np.array([97, 32]), np.array([2, 1]))}]
-    trie = ppm.Trie(trie_levels)
-    width = np.ones(trie.logp.shape[1])
-    width[0] = 256 - (len(width) - 1)
-    assert np.allclose(((10.0 ** trie.logp[1:]) * width).sum(1), 1, atol=1e-5)
+@pytest.mark.parametrize("order", [0, 1, 3, 5])
+def test_probabilities_of_all_bytes_add_up_to_one(order):
+    """After known, partly known and unknown contexts."""
+    r = random.Random(order)
+    flat, spans = ppm.streams([[w.encode() for w in vocabulary(3, 30)] for _ in range(4)], order)
+    grams, counts = np.unique(ppm.grams(flat, spans, order), return_counts=True)
+    base = min(ppm.BASE, order)
+    low = ppm._merge([grams & ppm._mask(base)], [counts])
+    seen = [int(g) >> 8 for g in grams[:: max(1, len(grams) // 40)]]
+    for context in [*seen, 0, *(int.from_bytes(bytes(r.randrange(256) for _ in range(order)), "big") for _ in range(5)), *((c & ~0xFF) | 250 for c in seen[:5])]:
+        wanted = np.array([(context << 8 | s) & ppm._mask(order + 1) for s in range(256)], np.int64)
+        own = grams[(grams >> 8) & ppm._mask(base) == context & ppm._mask(base)]
+        logs = ppm.gram_logs(wanted, own, counts[np.isin(grams, own)], low, order)
+        assert (10.0**logs).sum() == pytest.approx(1, abs=1e-9)
 
 
 def test_scores(docs, empty):
