@@ -3,19 +3,19 @@
 The correlator is a keyed state machine: for every series each level keeps its
 open origins and what they have to meet, so the state is bounded by the block
 size, never by the stream. Steps of a series must come in increasing order;
-late ones are an error, as in a store.
+late ones are an error, as in a store. Every pair is told of as its later sample arrives, so what
+partly filled blocks hold at the end of a stream is in the results already.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from moraine.operators.correlation import BlockingScheme
 from moraine.operators.statistics import merge, moments
@@ -72,6 +72,21 @@ class OnlineCorrelator:
         self.open: list[tuple[np.ndarray, list[np.ndarray]] | None] = [None for _ in self.levels]
         self.last: int | None = None
 
+    def opened(self) -> Iterable[tuple[int, int, list[float]]]:
+        """(level, step, values) of all open origins."""
+        for k, held in enumerate(self.open):
+            if held is not None:
+                for i, step in enumerate(held[0].tolist()):
+                    yield k, step, [float(v[i]) for v in held[1]]
+
+    def resume(self, last: int, origins: Sequence[tuple[int, int, Sequence[float]]]) -> None:
+        """Go on behind the step ``last`` with the open origins of :meth:`opened`."""
+        self.last = last
+        for k in range(len(self.levels)):
+            own = sorted((step, values) for level, step, values in origins if level == k)
+            if own:
+                self.open[k] = np.array([s for s, _ in own], np.int64), [np.array(v, float) for v in zip(*(v for _, v in own))]
+
     def add(self, steps: np.ndarray, samples: Sequence[np.ndarray], function: Callable[[tuple, tuple], np.ndarray]) -> Iterable[tuple[int, int, np.ndarray]]:
         """(level, lag, values) of all pairs whose later sample is one of these;
         ``function`` gets tuples of arrays, one for each value of a sample."""
@@ -100,22 +115,60 @@ class OnlineCorrelator:
 _OUT = "level int, lag_idx int, count long, mean double, variance double"
 
 
-def correlate_stream(stream: DataFrame, scheme: BlockingScheme, values: Sequence[str], function: Callable[[tuple, tuple], np.ndarray], key: str = "id") -> DataFrame:
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SeriesState(StatefulProcessor):
+    """The state of a series: its last step and the open origins of all levels, as typed rows. A series that is idle for
+    ``idle_ms`` is closed by a timer: its origins are dropped, and further steps of it are an error."""
+
+    def __init__(self, scheme: BlockingScheme, values: Sequence[str], function: Callable[[tuple, tuple], np.ndarray], key: str, idle_ms: int | None):
+        self.scheme, self.values, self.function, self.key, self.idle_ms = scheme, list(values), function, key, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "step long, closed boolean")
+        self.origins = handle.getListState("origins", "level int, step long, v array<double>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        own = OnlineCorrelator(self.scheme)
+        if self.last.exists():
+            step, closed = self.last.get()
+            if closed:
+                raise ValueError(f"series {key[0]} was closed after step {step}")
+            own.resume(step, [(r[0], r[1], list(r[2])) for r in self.origins.get()])
+        parts = [[p[c].to_numpy() for c in ("step", *self.values)] for p in rows]
+        steps, *samples = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(steps, kind="stable")
+        out = [(key[0], level, lag, len(v), float(np.mean(v)), float(np.var(v))) for level, lag, v in own.add(steps[order], [s[order] for s in samples], self.function)]
+        self.last.update((own.last, False))
+        self.origins.put(list(own.opened()))
+        if self.idle_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame(out, columns=[self.key, "level", "lag_idx", "count", "mean", "variance"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.origins.clear()
+        self.last.update((self.last.get()[0], True))
+        yield pd.DataFrame({self.key: [], "level": [], "lag_idx": [], "count": [], "mean": [], "variance": []})
+
+    def close(self) -> None:
+        pass
+
+
+def correlate_stream(stream: DataFrame, scheme: BlockingScheme, values: Sequence[str], function: Callable[[tuple, tuple], np.ndarray], key: str = "id", idle_ms: int | None = None) -> DataFrame:
     """(key, level, lag_idx, count, mean, variance): what each micro-batch adds
     to the correlation, to be merged by :func:`finished`. Steps start at 0. A task
     holds what one micro-batch has of a key: limit it by ``maxFilesPerTrigger``
-    where series are long."""
-    kind = dict(stream.dtypes)[key]
-
-    def run(keys: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
-        own = pickle.loads(state.get[0]) if state.exists else OnlineCorrelator(scheme)
-        rows = pd.concat(list(batches)).sort_values("step")
-        out = [(*keys, level, lag, len(v), float(np.mean(v)), float(np.var(v))) for level, lag, v in own.add(rows["step"].to_numpy(), [rows[v].to_numpy() for v in values], function)]
-        state.update((pickle.dumps(own),))
-        yield pd.DataFrame(out, columns=[key, "level", "lag_idx", "count", "mean", "variance"])
-
-    grouped = stream.select(key, "step", *values).groupBy(key)
-    return grouped.applyInPandasWithState(run, f"{key} {kind}, {_OUT}", "state binary", "append", GroupStateTimeout.NoTimeout)
+    where series are long. State is typed, in the RocksDB state store, which the session must name; one that names none gets it."""
+    spark, kind = stream.sparkSession, dict(stream.dtypes)[key]
+    if "RocksDB" not in spark.conf.get(_STORE):
+        spark.conf.set(_STORE, _ROCKS)
+    grouped = stream.select(key, "step", *[F.col(v).cast("double").alias(v) for v in values]).groupBy(key)
+    state = SeriesState(scheme, values, function, key, idle_ms)
+    return grouped.transformWithStateInPandas(statefulProcessor=state, outputStructType=f"{key} {kind}, {_OUT}", outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
 
 
 def finished(parts: DataFrame, scheme: BlockingScheme) -> DataFrame:

@@ -194,6 +194,90 @@ def test_late_steps_are_errors():
             add(*late)
 
 
+def test_streamed_correlation_in_small_batches_and_after_a_restart(spark, tmp_path):
+    """Three series in eleven micro-batches, a stop in between, and the batch operator's result."""
+    from moraine.operators import correlation as tcf
+
+    scheme, g = BlockingScheme(0.5, 12.0, size=4), np.random.default_rng(3)
+    data = [(i, s, float(x)) for i in range(3) for s, x in enumerate(np.cumsum(g.normal(size=66)))]
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    add = lambda k: spark.createDataFrame([r for r in data if 6 * k <= r[1] < 6 * k + 6], "id long, step long, x double").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema("id long, step long, x double").option("maxFilesPerTrigger", 1).parquet(source)
+        parts = online.correlate_stream(stream, scheme, ["x"], lambda a, b: (b[0] - a[0]) ** 2)
+        q = parts.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+
+    for k in range(4):
+        add(k)
+    run()
+    for k in range(4, 11):
+        add(k)
+    run()
+    got = online.finished(spark.read.schema(f"id long, {online._OUT}").parquet(out), scheme)
+    want = tcf.mean_square_displacement(spark.createDataFrame(data, "id long, step long, x double"), scheme, ("x",))
+    got, want = ({(r["level"], r["lag_idx"]): r for r in df.collect()} for df in (got, want))
+    assert got.keys() == want.keys() and len(want) > 8
+    for k, w in want.items():
+        assert got[k]["count"] == w["count"] and got[k]["value"] == pytest.approx(w["value"], rel=1e-9)
+    add(0)  # late steps
+    with pytest.raises(Exception, match="do not grow"):
+        run()
+
+
+def test_open_origins_survive_as_rows():
+    scheme, x = BlockingScheme(1.0, 9.0, size=3), np.arange(40.0)
+    square = lambda a, b: (b[0] - a[0]) ** 2 + 0 * b[1]
+    whole, parts = online.OnlineCorrelator(scheme), []
+    want = [(k, lag, len(v), v.sum()) for k, lag, v in whole.add(np.arange(40), [x, x], square)]
+    now = online.OnlineCorrelator(scheme)
+    for a in range(0, 40, 7):
+        steps = np.arange(a, min(a + 7, 40))
+        parts += list(now.add(steps, [x[steps], x[steps]], square))
+        rows, last = list(now.opened()), now.last
+        assert len(rows) <= len(scheme.levels()) * 3
+        now = online.OnlineCorrelator(scheme)
+        now.resume(last, rows)
+    got = {}
+    for k, lag, v in parts:
+        n, total = got.get((k, lag), (0, 0.0))
+        got[k, lag] = n + len(v), total + v.sum()
+    assert got == {(k, lag): (n, s) for k, lag, n, s in want}
+
+
+def test_idle_series_are_closed(spark, tmp_path):
+    import time
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    add = lambda i, steps: spark.createDataFrame([(i, s, 1.0) for s in steps], "id long, step long, x double").coalesce(1).write.mode("append").parquet(source)
+    add(1, range(4))
+    stream = spark.readStream.schema("id long, step long, x double").parquet(source)
+    parts = online.correlate_stream(stream, BlockingScheme(1.0, 5.0, size=3), ["x"], lambda a, b: a[0] * b[0], idle_ms=200)
+    q = parts.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").start()
+    done = lambda n: spark.read.schema(f"id long, {online._OUT}").parquet(out).where(f"id = {n}").count() > 0
+
+    def wait(until):
+        for _ in range(240):  # timers keep the query busy, so it never has all available
+            if until():
+                return
+            time.sleep(0.25)
+        raise AssertionError("the stream took too long")
+
+    try:
+        wait(lambda: os.path.isdir(out) and done(1))
+        time.sleep(0.5)
+        add(2, range(4))  # another series makes time pass, so that the first one is closed
+        wait(lambda: done(2))
+        time.sleep(1.0)
+        add(1, range(4, 6))
+        wait(lambda: q.exception() is not None)
+        assert "was closed" in str(q.exception())
+    finally:
+        q.stop()
+
+
 def test_streamed_variance_of_large_means(spark):
     scheme = BlockingScheme(1.0, 5.0, size=3)
     c, parts = online.OnlineCorrelator(scheme), []
