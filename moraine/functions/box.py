@@ -66,10 +66,6 @@ def total(columns: Sequence[Column]) -> Column:
     return out
 
 
-def squared_distance(a: Sequence[Column], b: Sequence[Column], box: Box) -> Column:
-    return total([square(minimum_image(x - y, n)) for x, y, n in zip(a, b, box.lengths)])
-
-
 def reduce_periodic(particles: DataFrame, box: Box, until_inside: bool = False) -> DataFrame:
     """Wrap positions into the box and count the crossings in ix, iy, iz (made
     if missing). One wrap per axis, or as many as it takes."""

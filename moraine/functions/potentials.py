@@ -37,10 +37,6 @@ def _p(name: str) -> Column:
     return F.col(name)
 
 
-def _any_power(x: Column, n: int | None, column: str) -> Column:
-    return integer_power(x, n) if n is not None else F.pow(x, _p(column))
-
-
 @register("lennard_jones")
 def lennard_jones(rr: Column) -> Pair:
     s2 = _p("sigma") * _p("sigma")

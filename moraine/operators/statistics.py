@@ -40,8 +40,6 @@ def merge(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     accumulating all their values, parts without values ignored."""
     parts = parts.where("count > 0")
     n = F.sum("count")
-    mean = F.sum(F.col("count") * F.col("mean")) / n
-    second = F.sum(F.col("count") * (F.col("variance") + F.col("mean") * F.col("mean"))) / n
     # about a shift near the means, so that large means do not cancel
     shift = parts.groupBy(*by).agg(F.avg("mean").alias("_shift"))
     shifted = parts.join(shift, list(by)) if by else parts.crossJoin(F.broadcast(shift))  # a single row

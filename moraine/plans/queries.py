@@ -685,6 +685,13 @@ def msd(spark, d):
     return _rounded_tcf(tcf.mean_square_displacement(as_trajectory(spark, d), SCHEME, ["x"]))
 
 
+@query("levels_as_one_series", f"SELECT row_number() OVER (ORDER BY lag_time, level) - 1 AS place, * FROM (WITH {E}, {_LAGS} {_tcf_sql('pow(b.x - a.x, 2)')})")
+def levels_as_one_series(spark, d):
+    """Lags of all levels in the order of time, those of two levels twice."""
+    found = _rounded_tcf(tcf.mean_square_displacement(as_trajectory(spark, d), SCHEME, ("x",)))
+    return tcf.by_time(found).withColumn("place", F.row_number().over(Window.orderBy("lag_time", "level")).cast("bigint") - 1)  # as many rows as lags
+
+
 @query("mean_quartic_displacement", f"WITH {E}, {_LAGS} {_tcf_sql('pow(b.x - a.x, 4)', digits=0)}")
 def mqd(spark, d):
     return _rounded_tcf(tcf.mean_quartic_displacement(as_trajectory(spark, d), SCHEME, ["x"]), 0)
@@ -1014,6 +1021,15 @@ def store_follow(spark, d):
     return spark.read.schema("step long, value double, part long").parquet(out).select("step", "value")
 
 
+@query("store_particles", f"WITH {E} SELECT step, id, {_r(6, x='x')} FROM e WHERE step % 2 = 0")
+def store_particles(spark, d):
+    """One of the stored fields of every second step."""
+    path = scratch(spark)
+    rows = as_trajectory(spark, d).withColumn("time", F.col("step") * 0.5).select("step", "time", "id", "x", "vx")
+    Writer(spark, path).particles("all", rows, ["x", "vx"], every=2)
+    return rounded(Reader(spark, path).particles("all", ["x"]).select("step", "id", "x"), 6, "x")
+
+
 @query("store_box", f"WITH {P}, q AS (SELECT id, x * 7 AS x, y * 7 AS y FROM p) SELECT id, {_r(9, x='x - 2.5 * ceil(abs(x) / 2.5 - 0.5) * sign(x)', y='y - 3.0 * ceil(abs(y) / 3.0 - 0.5) * sign(y)')} FROM q")
 def store_box(spark, d):
     """A box kept with its particles, read back to wrap them."""
