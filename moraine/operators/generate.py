@@ -12,19 +12,21 @@ from moraine.functions.box import Box
 from moraine.functions.draws import normal, permuted
 from moraine.operators.sorting import numbered
 
-#: Sites of a face-centred unit cell, in quarters of its edge.
-FCC_SITES = {2: [(1, 1), (3, 3)], 3: [(1, 1, 1), (3, 3, 1), (3, 1, 3), (1, 3, 3)]}
+#: Sites of a unit cell, in quarters of its edge, by lattice and dimension: face-centred (fcc), simple (sc).
+SITES = {
+    "fcc": {2: [(1, 1), (3, 3)], 3: [(1, 1, 1), (3, 3, 1), (3, 1, 3), (1, 3, 3)]},
+    "sc": {1: [(2,)], 2: [(2, 2)], 3: [(2, 2, 2)]},
+}
 
 
 def iota(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n)
 
 
-def lattice_cells(n: int, lengths: Sequence[float]) -> tuple[list[int], float]:
+def lattice_cells(n: int, lengths: Sequence[float], per_cell: int) -> tuple[list[int], float]:
     """The numbers of unit cells per axis and the largest lattice constant with
     at least ``n`` sites: the one that the volume per cell allows at most, or the
     next smaller one at which a whole number of cells fills an edge."""
-    per_cell = len(FCC_SITES[len(lengths)])
     most = (math.prod(lengths) / math.ceil(n / per_cell)) ** (1 / len(lengths))
     fitting = {x / k for x in lengths for k in range(1, int(x / most) + 3)}
     for a in sorted({most} | {a for a in fitting if a < most}, reverse=True):
@@ -35,17 +37,22 @@ def lattice_cells(n: int, lengths: Sequence[float]) -> tuple[list[int], float]:
 
 
 def fcc_lattice(spark: SparkSession, n: int, box: Box, slab: Sequence[float] | None = None) -> DataFrame:
-    """(id, x..): ``n`` particles on a face-centred lattice in the box, or in a
+    """``n`` particles on a face-centred lattice."""
+    return lattice(spark, n, box, slab, "fcc")
+
+
+def lattice(spark: SparkSession, n: int, box: Box, slab: Sequence[float] | None = None, kind: str = "fcc") -> DataFrame:
+    """(id, x..): ``n`` particles on a lattice (``SITES``) in the box, or in a
     centred slab given by fractions of its edges. Surplus sites become vacancies
     at regular distances."""
     slab = tuple(slab or (1.0,) * box.dimension)
     if len(slab) != box.dimension or not all(0 < s <= 1 for s in slab):
         raise ValueError("slab fractions are in (0, 1], one per axis")
-    if box.dimension not in FCC_SITES:
-        raise ValueError("lattices have two or three dimensions")
+    if box.dimension not in SITES.get(kind, {}):
+        raise ValueError(f"there is no {kind} lattice of {box.dimension} dimensions")
     lengths = [x * s for x, s in zip(box.lengths, slab)]
-    cells, a = lattice_cells(n, lengths)
-    sites = FCC_SITES[box.dimension]
+    sites = SITES[kind][box.dimension]
+    cells, a = lattice_cells(n, lengths, len(sites))
     surplus = len(sites) * math.prod(cells) - n
     skip = math.ceil(len(sites) * math.prod(cells) / surplus) if surplus else 0
     # the k-th particle has k // (skip - 1) vacancies before it

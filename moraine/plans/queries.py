@@ -839,22 +839,22 @@ def semilog(spark, d):
     return grid.join(series.withColumn("x", F.col("step").cast("double")), "x").select("place", "x", "value")
 
 
-def _lattice_sql(*lengths: float) -> str:
+def _lattice_sql(*lengths: float, sites: str = "(0, 0.25, 0.25, 0.25), (1, 0.75, 0.75, 0.25), (2, 0.75, 0.25, 0.75), (3, 0.25, 0.75, 0.75)", m: int = 4) -> str:
     """Sites of the largest lattice constant that has as many as there are particles, corner by corner, with vacancies at regular distances."""
     volume = "*".join(map(repr, lengths))
     cells = ", ".join(f"floor({n} / a + 1e-9)::BIGINT AS c{k}" for k, n in enumerate(lengths))
     axes = ", ".join(f"round(((rest // ({' * '.join(['1', *[f'c{i}' for i in range(k)]])})) % c{k} + s{k}) * a - {n / 2}, 9) + 0.0 AS {x}" for k, (n, x) in enumerate(zip(lengths, "xyz")))
-    return f"""WITH {P}, n AS (SELECT count(*) AS n FROM p), top AS (SELECT pow({volume} / ceil(n / 4), 1.0/3) AS most FROM n), cand AS (SELECT most AS a FROM top UNION SELECT l / range AS a FROM (VALUES {", ".join(f"({x}::DOUBLE)" for x in lengths)}) t(l), range(1, 2000), top WHERE l / range < most),
-fit AS (SELECT a, c0, c1, c2, n, 4 * c0 * c1 * c2 AS sites FROM (SELECT a, {cells} FROM cand), n WHERE 4 * c0 * c1 * c2 >= n ORDER BY a DESC LIMIT 1), skip AS (SELECT *, CASE WHEN sites > n THEN ceil(sites / (sites - n))::BIGINT ELSE 0 END AS skip FROM fit),
-k(k, s0, s1, s2) AS (VALUES (0, 0.25, 0.25, 0.25), (1, 0.75, 0.75, 0.25), (2, 0.75, 0.25, 0.75), (3, 0.25, 0.75, 0.75)),
-s AS (SELECT id, species, site // 4 AS rest, site % 4 AS k, a, c0, c1, c2 FROM (SELECT *, place + CASE WHEN skip > 1 THEN place // (skip - 1) ELSE 0 END AS site FROM (SELECT id, species, row_number() OVER (ORDER BY id) - 1 AS place FROM p), skip))
+    return f"""WITH {P}, n AS (SELECT count(*) AS n FROM p), top AS (SELECT pow({volume} / ceil(n / {m}), 1.0/3) AS most FROM n), cand AS (SELECT most AS a FROM top UNION SELECT l / range AS a FROM (VALUES {", ".join(f"({x}::DOUBLE)" for x in lengths)}) t(l), range(1, 2000), top WHERE l / range < most),
+fit AS (SELECT a, c0, c1, c2, n, {m} * c0 * c1 * c2 AS sites FROM (SELECT a, {cells} FROM cand), n WHERE {m} * c0 * c1 * c2 >= n ORDER BY a DESC LIMIT 1), skip AS (SELECT *, CASE WHEN sites > n THEN ceil(sites / (sites - n))::BIGINT ELSE 0 END AS skip FROM fit),
+k(k, s0, s1, s2) AS (VALUES {sites}),
+s AS (SELECT id, species, site // {m} AS rest, site % {m} AS k, a, c0, c1, c2 FROM (SELECT *, place + CASE WHEN skip > 1 THEN place // (skip - 1) ELSE 0 END AS site FROM (SELECT id, species, row_number() OVER (ORDER BY id) - 1 AS place FROM p), skip))
 SELECT id, species, {axes} FROM s JOIN k USING (k)"""
 
 
-def _on_lattice(p: DataFrame, box: Box, slab: tuple[float, ...] | None = None) -> DataFrame:
+def _on_lattice(p: DataFrame, box: Box, slab: tuple[float, ...] | None = None, kind: str = "fcc") -> DataFrame:
     """The particles, in the order of ids, on the sites of a lattice."""
     ranked = sorting.numbered(p.select("id", "species"), ["id"], "place")
-    sites = generate.fcc_lattice(p.sparkSession, ranked.count(), box, slab).withColumnRenamed("id", "place")
+    sites = generate.lattice(p.sparkSession, ranked.count(), box, slab, kind).withColumnRenamed("id", "place")
     return rounded(ranked.join(sites, "place").select("id", "species", "x", "y", "z"), 9, "x", "y", "z")
 
 
@@ -863,6 +863,11 @@ def fcc_lattice(spark, d):
     return _on_lattice(as_particles(spark, d)[0], Box((9.0, 9.0, 9.0)))
 
 
+@query("simple_lattice", _lattice_sql(9.0, 9.0, 9.0, sites="(0, 0.5, 0.5, 0.5)", m=1))
+def simple_lattice(spark, d):
+    return _on_lattice(as_particles(spark, d)[0], Box((9.0, 9.0, 9.0)), kind="sc")
+
+
 @query("lattice_slab", _lattice_sql(9.6, 8.0, 16.0))
 def lattice_slab(spark, d):
     """In the middle 9.6 x 8 x 16 of a box."""

@@ -384,6 +384,10 @@ def test_lattices(spark):
     rows = p.collect()
     assert len({(r["x"], r["y"], r["z"]) for r in rows}) == 100 and all(abs(r["x"]) <= 2 and abs(r["y"]) <= 2.5 and abs(r["z"]) <= 1.5 for r in rows)
     assert generate.fcc_lattice(spark, 7, Box((2.0, 3.0))).count() == 7
+    simple = sorted(map(tuple, generate.lattice(spark, 12, Box((2.0, 3.0, 2.0)), kind="sc").select("x", "y", "z").collect()))
+    assert simple == sorted((x, y, z) for x in (-0.5, 0.5) for y in (-1.0, 0.0, 1.0) for z in (-0.5, 0.5))
+    with pytest.raises(ValueError):
+        generate.lattice(spark, 7, Box((2.0,)), kind="fcc")
     with pytest.raises(ValueError):
         generate.fcc_lattice(spark, 7, Box((2.0, 3.0)), slab=(0.0, 1.0))
     assert generate.semilog_grid(0.1, 4.0, 3) == pytest.approx([0.1, 0.2, 0.3, 0.4, 0.6, 0.8, 1.0, 1.4, 1.8, 2.2, 3.0, 3.8])
