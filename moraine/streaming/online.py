@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from moraine.operators.correlation import BlockingScheme
 from moraine.operators.statistics import merge, moments
+from moraine.sources.scratch import delete, names, publish
 
 Hook = Callable[[DataFrame, int], None]
 
@@ -47,7 +48,7 @@ def windowed_stream(stream: DataFrame, value: str, every: int, by: Sequence[str]
 def write_windows(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
     """Start a query that writes every micro-batch's changed windows to a folder
     of its own under ``path``, by the executors; a batch that is run again
-    replaces its folder. :func:`latest_windows` reads what holds."""
+    replaces its folder. :func:`latest_windows` reads what holds, :func:`compact_windows` keeps the folders few."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -55,12 +56,40 @@ def write_windows(stream: DataFrame, path: str, checkpoint: str, mode: str = "up
     return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).start()
 
 
+def _window_batches(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The last batch that :func:`compact_windows` has folded in (-1: none), and the batches after it."""
+    found = names(spark, path)
+    upto = max([int(n[5:]) for n in found if n.startswith("upto=")], default=-1)
+    return upto, sorted(k for n in found if n.startswith("batch=") and (k := int(n[6:])) > upto)
+
+
+def _last_states(spark: SparkSession, folders: list[str], schema: str, keys: Sequence[str]) -> DataFrame:
+    batch = F.regexp_extract("_metadata.file_path", r"/(?:batch|upto)=(\d+)/[^/]*$", 1).cast("bigint")
+    rows = spark.read.schema(schema).parquet(*folders).withColumn("_batch", batch)
+    values = [c for c in rows.columns if c not in (*keys, "_batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*")
+
+
 def latest_windows(spark: SparkSession, path: str, schema: str, keys: Sequence[str] = ("window",)) -> DataFrame:
     """The last state of each window that :func:`write_windows` has written."""
-    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return last.select(*keys, "_v.*")
+    upto, batches = _window_batches(spark, path)
+    folders = [*([f"{path}/upto={upto}"] if upto >= 0 else []), *(f"{path}/batch={k}" for k in batches)]
+    return _last_states(spark, folders, schema, keys) if folders else spark.createDataFrame([], schema)
+
+
+def compact_windows(spark: SparkSession, path: str, schema: str, keys: Sequence[str] = ("window",)) -> None:
+    """Fold all batches but the last one, which the stream may write again, into one folder that is published as a whole, and
+    delete them. What :func:`latest_windows` reads is the same before, after and in between; one compaction runs at a time."""
+    upto, batches = _window_batches(spark, path)
+    if len(batches) < 2:
+        return
+    last = batches[-2]
+    folders = [*([f"{path}/upto={upto}"] if upto >= 0 else []), *(f"{path}/batch={k}" for k in batches[:-1])]
+    new = f"{path}/_new-{last}"
+    _last_states(spark, folders, schema, keys).write.mode("overwrite").parquet(new)
+    if publish(spark, new, f"{path}/upto={last}"):
+        for f in folders:
+            delete(spark, f)
 
 
 class OnlineCorrelator:

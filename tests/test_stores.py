@@ -301,6 +301,30 @@ def test_windows_are_written_by_the_executors(spark, tmp_path):
     assert [tuple(r) for r in got] == [(0, 20, 190.0), (20, 20, 590.0), (40, 20, 990.0)]
 
 
+def test_windows_are_compacted(spark, tmp_path):
+    source, out, state, schema = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "window long, count long, sum double"
+    states = lambda: [tuple(r) for r in online.latest_windows(spark, out, schema).sort("window").collect()]
+    assert states() == []
+
+    def run(first, last):
+        for k in range(first, last):
+            spark.range(10 * k, 10 * k + 10).selectExpr("id as step", "cast(id as double) as value").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("step long, value double").option("maxFilesPerTrigger", 1).parquet(source)
+        q = online.write_windows(online.windowed_stream(stream, "value", 25), out, state)
+        q.processAllAvailable()
+        q.stop()
+        return states()
+
+    want = lambda n: [(w, min(25, n - w), float(sum(range(w, min(w + 25, n))))) for w in range(0, n, 25)]
+    assert run(0, 4) == want(40)
+    online.compact_windows(spark, out, schema)
+    assert states() == want(40) and sorted(n for n in os.listdir(out) if n[0] in "bu") == ["batch=3", "upto=2"]
+    assert run(4, 6) == want(60)
+    online.compact_windows(spark, out, schema)
+    online.compact_windows(spark, out, schema)  # nothing is left to do
+    assert states() == want(60) and sorted(n for n in os.listdir(out) if n[0] in "bu") == ["batch=5", "upto=4"]
+
+
 def test_hooks_and_estimates(spark):
     seen = []
     online.with_hooks(lambda b, n: seen.append((b.count(), n)), lambda b, n: seen.append("second"))(spark.range(3), 7)
