@@ -38,7 +38,7 @@ from moraine.llm.common import Tables, by_bytes, cut, small_batches, table
 
 LENGTH, END = 2048, 0
 PER_TASK = 50_000
-CACHE_WORDS = 250_000  # of each of two tables in a worker
+CACHE_WORDS = 500_000  # of each of two tables in a worker; fewer where other stages need its memory
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -127,17 +127,17 @@ class WordIds:
         return [self._encoded([t])[0] if _SEPARATORS.search(t) else b"".join(map(known, t.split())) for t in texts]
 
 
-_kept: dict[str, WordIds] = {}
+_kept: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, cache_words: int = CACHE_WORDS) -> WordIds:
     """One per Python worker, so that tasks go on with what others remembered."""
-    if path not in _kept:
-        _kept[path] = WordIds(path)
-    return _kept[path]
+    if (path, cache_words) not in _kept:
+        _kept[path, cache_words] = WordIds(path, cache_words)
+    return _kept[path, cache_words]
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece; a piece's ids are known by their crc32."""
     small_batches(docs.sparkSession)
     tail = np.array([end], "<u4").tobytes()
@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = word_ids(path)
+        ids = word_ids(path, cache_words)
         for batch in batches:
             for part in by_bytes(batch, 1, 256):
                 rows = []
@@ -227,8 +227,8 @@ def pack(rows: DataFrame, capacity: int = LENGTH, per_task: int = PER_TASK) -> D
         return cut(rows.repartition(tasks).mapInArrow(run, PACKED))
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    return pack(pieces(docs, path or tokenizer_path(), length), length)
+def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, cache_words: int = CACHE_WORDS) -> DataFrame:
+    return pack(pieces(docs, path or tokenizer_path(), length, cache_words=cache_words), length)
 
 
 def op2_sum_of_squares_packing(spark, sf_dir: str) -> DataFrame:
