@@ -36,11 +36,12 @@ def pair_forces(pairs: DataFrame, box: Box, potential: Callable[[Column], tuple[
     return sum_forces(rows, box)
 
 
-def external_forces(particles: DataFrame, box: Box, field: Callable[[list[Column]], tuple[list[Column], Column]]) -> DataFrame:
-    """Per particle: force and energy of a field at the wrapped position; an
-    external field has no stress."""
+def external_forces(particles: DataFrame, box: Box, field: Callable[[list[Column]], tuple[list[Column], Column]],
+                    wrapped: bool = True) -> DataFrame:
+    """Per particle: force and energy of a field at the wrapped position, or, for a field
+    that isn't periodic (``wrapped=False``), at the position as it is; an external field has no stress."""
     keys = ["step"] if "step" in particles.columns else []
-    force, energy = field([F.col(a) - n * wrap_shift(F.col(a), n) for a, n in zip(box.axes, box.lengths)])
+    force, energy = field([F.col(a) - n * wrap_shift(F.col(a), n) if wrapped else F.col(a) for a, n in zip(box.axes, box.lengths)])
     return particles.select(*keys, "id", *[f.alias("f" + a) for f, a in zip(force, box.axes)], energy.alias("en_pot"), *[F.lit(0.0).alias(n) for n in stress_names(box.axes)])
 
 
