@@ -12,17 +12,24 @@ Spheres are placed one after the other (:func:`placed_in_order`) by the cells' f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 from math import floor, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from moraine.functions.box import Box, minimum_image, square, total
 from moraine.sources.scratch import written
 
-TILE_ROWS = 2_048  # rows of a block, about
+TILE_ROWS = 8_192  # rows of a block, about
+BATCH = 100_000  # pairs of a batch, about
+PLAIN_TILE_ROWS = 2_048  # of a block of all pairs, which Spark buffers
+SLICE = 1 << 13  # distances taken at once, few enough for a processor's cache
 MOST_BROADCAST = 500_000
 
 
@@ -34,10 +41,10 @@ def cell_index(r: Column, length: float, cells: int) -> Column:
     return F.pmod(F.floor(r / (length / cells)) + cells, F.lit(cells)).cast("int")
 
 
-def with_cells(particles: DataFrame, box: Box, reach: float) -> DataFrame:
-    """Add the cell number of each axis: cx, cy, cz."""
+def with_cells(particles: DataFrame, box: Box, reach: float, binned: str = "") -> DataFrame:
+    """Add the cell number of each axis: cx, cy, cz, by the positions x.. or by those with the prefix ``binned``."""
     counts = cell_counts(box, reach)
-    return particles.withColumns({"c" + a: cell_index(F.col(a), n, k) for a, n, k in zip(box.axes, box.lengths, counts)})
+    return particles.withColumns({"c" + a: cell_index(F.col(binned + a), n, k) for a, n, k in zip(box.axes, box.lengths, counts)})
 
 
 def _distances(pairs: DataFrame, box: Box) -> DataFrame:
@@ -65,7 +72,7 @@ def _own_block(rows: DataFrame, dense: DataFrame | None, by: list[str], block: s
     return rows.withColumn(block, F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"))
 
 
-def dealt(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[str], same: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+def dealt(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[str], same: bool, binned: str = "") -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with the columns on which rows of near cells meet. A row of ``left`` is copied to the
     cells around its own (half of them in a self-join). The rows of a dense cell are dealt into blocks:
     what is copied to it goes to each of its blocks (``_v``), and where the cell that rows come from is
@@ -78,7 +85,7 @@ def dealt(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[
         offsets = [o for o in offsets if o <= back[o]]
     still = offsets.index((0,) * len(counts))
     by = [*keys, *cells]
-    left, right = with_cells(left, box, reach), with_cells(right, box, reach)
+    left, right = with_cells(left, box, reach, binned), with_cells(right, box, reach, binned)
     from_dense = dense_cells(left, by)
     to_dense = from_dense if same else dense_cells(right, by)
     # what is its own way back, home too, meets from both ends
@@ -105,23 +112,71 @@ def dealt(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[
     return left if same else left.drop("_home"), right.drop("_vs"), [*by, "_v", "_tag", "_u"]
 
 
-def _cell_join(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[str], same: bool) -> DataFrame:
-    """Pairs of near cells closer than ``reach``, with their distances."""
-    left, right, on = dealt(left, right, box, reach, keys, same)
-    met = _distances(_sides(left, "i", on).join(_sides(right, "j", on), on), box).where(F.col("rr") < reach**2).drop(*[c for c in on if c not in keys])
+def _meet(left: DataFrame, right: DataFrame, on: list[str], keys: list[str], box: Box, reach: float, lean: bool) -> DataFrame:
+    """Pairs of rows of both sides that agree in ``on`` and are closer than ``reach``, with their distances: a group is a tile,
+    whose distances are taken in slices, so that a pair is no row before its distance is known. ``lean``: of the rows only their ids."""
+    axes, lengths = list(box.axes), list(box.lengths)
+    left, right = left.dropna(subset=[*on, *axes]), right.dropna(subset=[*on, *axes])
+    ours, theirs = [c for c in left.columns if c not in on], [c for c in right.columns if c not in on]
+    if lean:
+        ours, theirs = [c for c in ours if c in ("id", "_home", *axes)], ["id", *axes]
+    one, two = left.select(*on, F.struct(*ours).alias("_l")), right.select(*on, F.struct(*theirs).alias("_r"))
+    out = [[c for c in side if not lean or c not in axes] for side in (ours, theirs)]
+    kinds = [(k, left.schema[k].dataType) for k in keys] + [(c + "_i", left.schema[c].dataType) for c in out[0]] + [(c + "_j", right.schema[c].dataType) for c in out[1]]
+    schema = T.StructType([T.StructField(n, t) for n, t in kinds] + [T.StructField(n, T.DoubleType()) for n in ["rr", *([] if lean else ["d" + a for a in axes])]])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = pa.Table.from_batches(list(batches))
+        sides = []
+        for name in ("_l", "_r"):
+            column = tables[name].combine_chunks()
+            sides.append(pa.Table.from_struct_array(column.filter(column.is_valid())))
+        (a, b), step = sides, [tables[k][0] for k in keys]
+        if not a.num_rows or not b.num_rows:
+            return
+        at = [(a[x].to_numpy(), b[x].to_numpy(), n) for x, n in zip(axes, lengths)]
+        across = [max(r.max() - q.min(), q.max() - r.min()) > n / 2 for r, q, n in at]  # somewhere
+        size, found, count = max(1, SLICE // b.num_rows), [], 0
+        for low in range(0, a.num_rows, size):
+            apart, rr = [], None
+            for (r, q, n), far in zip(at, across):
+                d = r[low : low + size, None] - q[None, :]
+                if far:
+                    d -= n * ((d > n / 2).astype(float) - (d < -n / 2))
+                apart.append(d)
+                rr = d * d if rr is None else rr + d * d
+            i, j = np.nonzero(rr < reach**2)
+            if len(i):
+                found.append((i + low, j, [d[i, j] for d in [rr, *([] if lean else apart)]]))
+                count += len(i)
+            if count and (count > BATCH or low + size >= a.num_rows):
+                i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                mine, others = a.select(out[0]).take(pa.array(i)), b.select(out[1]).take(pa.array(j))
+                values = [pa.array(np.concatenate(v)) for v in zip(*[f[2] for f in found])]
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(k, count) for k in step], *[c.combine_chunks() for c in [*mine.columns, *others.columns]], *values], names=schema.names)
+                found, count = [], 0
+
+    return one.unionByName(two, allowMissingColumns=True).groupBy(*on).applyInArrow(met, schema)
+
+
+def _cell_join(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[str], same: bool, cutoff: float, binned: str = "", lean: bool = False) -> DataFrame:
+    """Pairs of rows in near cells, ``reach`` wide, that are closer than ``cutoff``, with their distances."""
+    left, right, on = dealt(left, right, box, reach, keys, same, binned)
+    met = _meet(left, right, on, keys, box, cutoff, lean)
     if not same:
         return met
     # a pair of two cells comes once, in either order; make it the order of ids
     met = met.where(~F.col("_home_i") | (F.col("id_i") < F.col("id_j"))).drop("_home_i")
     names, turned = [c[:-2] for c in met.columns if c.endswith("_i")], F.col("id_i") > F.col("id_j")
     ends = [F.when(turned, F.col(f"{c}_{b}")).otherwise(F.col(f"{c}_{a}")).alias(f"{c}_{a}") for a, b in ("ij", "ji") for c in names]
-    return met.select(*keys, *ends, *[F.when(turned, -F.col("d" + a)).otherwise(F.col("d" + a)).alias("d" + a) for a in box.axes], "rr")
+    apart = [] if lean else [F.when(turned, -F.col("d" + a)).otherwise(F.col("d" + a)).alias("d" + a) for a in box.axes]
+    return met.select(*keys, *ends, *apart, "rr")
 
 
 def _blocks(rows: DataFrame, keys: list[str]) -> int:
     """How many blocks of ``TILE_ROWS`` rows the largest step has."""
     most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else rows.count()
-    return -(-(most or 0) // TILE_ROWS) or 1
+    return -(-(most or 0) // min(TILE_ROWS, PLAIN_TILE_ROWS)) or 1
 
 
 def all_pairs(particles: DataFrame, box: Box, others: DataFrame | None = None) -> DataFrame:
@@ -151,20 +206,28 @@ def _ordered(pairs: DataFrame, keys: list[str], same: bool) -> DataFrame:
 
 
 def neighbours(particles: DataFrame, box: Box, cutoff: float, skin: float = 0.0, others: DataFrame | None = None,
-               params: DataFrame | None = None) -> DataFrame:
+               params: DataFrame | None = None, lean: bool = False) -> DataFrame:
     """Pairs (i, j, columns of both as ``_i`` and ``_j``, dx.., rr) with a
     distance below ``cutoff + skin``; each once in a self-join, all ordered pairs
     between two tables. ``params`` (a, b, r_cut, ...) sets the cutoff per species
-    pair, up to ``cutoff``, and joins its columns."""
+    pair, up to ``cutoff``, and joins its columns. ``lean``: only i, j and rr, for those who need no more."""
     keys = ["step"] if "step" in particles.columns else []
     reach, same = cutoff + skin, others is None
-    pairs = _ordered(_cell_join(particles, particles if same else others, box, reach, keys, same), keys, same)
+    pairs = _ordered(_cell_join(particles, particles if same else others, box, reach, keys, same, reach, lean=lean), keys, same)
     if params is not None:  # one row per species pair; Spark broadcasts the table if it is small
         pairs = pairs.join(params, (F.col("species_i") == F.col("a")) & (F.col("species_j") == F.col("b"))).drop("a", "b")
         return pairs.where(F.col("rr") < square(F.col("r_cut") + skin))
     return pairs
 
 
+def followed(rows: DataFrame, box: Box, cutoff: float, skin: float, lean: bool = False) -> DataFrame:
+    """Pairs closer than ``cutoff`` at the positions x.. of rows that are still in the cells, ``cutoff + skin`` wide, of their
+    positions ``_x``.. of some time before; right as long as :func:`max_displacement` is at most half the skin. Pairs aren't
+    stored: what is shuffled grows with the rows."""
+    keys = ["step"] if "step" in rows.columns else []
+    return _ordered(_cell_join(rows, rows, box, cutoff + skin, keys, True, cutoff, "_", lean), keys, True)
+
+
 def within(pairs: DataFrame, now: DataFrame, box: Box, cutoff: float) -> DataFrame:
     """Re-filter stored pairs (i, j), made with a skin, by the positions ``now``;
     right as long as :func:`max_displacement` is at most half the skin."""
@@ -198,22 +261,17 @@ def rebuild_steps(series: DataFrame, box: Box, skin: float, look: int = 16) -> l
         out.append(hit)
 
 
-def neighbour_series(series: DataFrame, box: Box, cutoff: float, skin: float) -> DataFrame:
-    """(step, i, j, dx.., rr) of all pairs below the cutoff at every step of a trajectory. Pairs are found by cells only at the
-    steps of :func:`rebuild_steps`, all in one join, and re-filtered by the positions of each step until the next of
-    them. ``series`` should be a written table, as it is read several times."""
+def neighbour_series(series: DataFrame, box: Box, cutoff: float, skin: float, lean: bool = False) -> DataFrame:
+    """(step, i, j, dx.., rr) of all pairs below the cutoff at every step of a trajectory. Rows are put into cells only by their positions at
+    the steps of :func:`rebuild_steps` and meet in these, all in one join, at each step until the next of them. ``series`` should be a written table, as it is read several times."""
     spark, keys = series.sparkSession, ["step", "_made"]
     made = spark.createDataFrame([(int(s), int(s)) for s in rebuild_steps(series, box, skin)], "step long, _made long")
     # one row a step: each belongs to the last table made before it
     steps = series.select(F.col("step").cast("bigint").alias("step")).distinct().join(made, "step", "left").select("step", F.last("_made", True).over(Window.orderBy("step")).alias("_made"))
-    rows = written(series.select("step", "id", *box.axes).join(steps, "step").select(*keys, "id", *box.axes))
-    stored = neighbours(rows.where(F.col("step") == F.col("_made")).select("step", "id", *box.axes), box, cutoff, skin=skin).select(F.col("step").alias("_made"), "i", "j")
-
-    def side(s: str) -> DataFrame:
-        return rows.select("_made", "step", F.col("id").alias(s), *[F.col(a).alias(f"{a}_{s}") for a in box.axes])
-
-    met = stored.join(side("i"), ["_made", "i"]).join(side("j"), ["_made", "step", "j"])
-    return _distances(met, box).where(F.col("rr") < cutoff**2).select("step", "i", "j", *["d" + a for a in box.axes], "rr")
+    rows = written(series.select("step", "id", *box.axes).join(steps, "step").select("step", "_made", "id", *box.axes))
+    at_made = rows.where(F.col("step") == F.col("_made")).select("_made", "id", *[F.col(a).alias("_" + a) for a in box.axes])
+    pairs = followed(rows.join(at_made, ["_made", "id"]).drop("_made"), box, cutoff, skin, lean)
+    return pairs.select("step", "i", "j", *([] if lean else ["d" + a for a in box.axes]), "rr")
 
 
 def max_displacement(before: DataFrame, now: DataFrame, box: Box) -> DataFrame:

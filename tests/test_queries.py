@@ -6,6 +6,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from moraine.functions.box import Box
+from moraine.operators import neighbours
 from moraine.plans.queries import ORACLES, QUERIES
 
 
@@ -47,3 +49,22 @@ def test_restored_positions_beyond_the_box(spark, beyond):
 
 def test_step_from_beyond_the_box(spark, beyond):
     assert agrees(spark, beyond, "verlet_step") == 60
+
+
+def test_a_dense_cell_is_not_dealt_too_finely(spark):
+    """5,000 rows of one cell: each goes once to each of half of the cells around, and none is copied on the other side."""
+    p = spark.range(5_000).selectExpr("id", "0.05 + id * 1e-7 AS x", "0.05 + id * 1e-7 AS y", "0.05 + id * 1e-7 AS z")
+    left, right, _ = neighbours.dealt(p, p, Box((1.0, 1.0, 1.0)), 0.1, [], True)
+    assert (left.count(), right.count()) == (14 * 5_000, 5_000)
+
+
+@pytest.mark.parametrize("name", ["neighbour_pairs", "neighbours_between", "skin_reuse", "neighbour_series"])
+def test_pairs_beyond_the_box(spark, beyond, name):
+    assert agrees(spark, beyond, name) > 0
+
+
+@pytest.mark.parametrize("name", ["neighbour_pairs", "skin_reuse"])
+def test_pairs_are_joined_by_nothing(spark, beyond, name):
+    """Pairs come from groups of near rows and are not shuffled or joined again."""
+    plan = QUERIES[name](spark, beyond)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
