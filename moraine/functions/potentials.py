@@ -118,6 +118,17 @@ REGISTRY["modified_lennard_jones"] = REGISTRY["mie_48_24"]
 REGISTRY["power_law_12"] = power_law(12)
 REGISTRY["power_law_hard_core_12"] = power_law_hard_core(12)
 
+
+@dataclass(frozen=True)
+class Spring:
+    """k/2 r^2 with the same k for all pairs: linear in the squared distance."""
+
+    stiffness: float
+
+    def __call__(self, rr: Column) -> Pair:
+        return F.lit(-float(self.stiffness)), 0.5 * self.stiffness * rr
+
+
 TRUNCATIONS = ("sharp", "shifted", "force_shifted", "smooth_r4")
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.functions.box import Box, wrap_shift
+from moraine.functions.potentials import Spring
 from moraine.functions.vectors import stress_outer
+from moraine.operators import neighbours, springs
 
 
 def stress_names(axes: Sequence[str]) -> list[str]:
@@ -36,6 +38,16 @@ def pair_forces(pairs: DataFrame, box: Box, potential: Callable[[Column], tuple[
     return sum_forces(rows, box)
 
 
+def full_forces(particles: DataFrame, box: Box, potential: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
+    """Per particle (id): force and en_pot of all pairs of a step, without a cutoff. Of springs these are sums over
+    sorted ranges; any other potential, whose parameters are constants, takes every pair, which is quadratic."""
+    keys = ["step"] if "step" in particles.columns else []
+    if isinstance(potential, Spring):
+        return springs.spring_forces(particles, box, potential.stiffness)
+    pairs = neighbours.all_pairs(particles.select(*keys, "id", *box.axes), box)
+    return pair_forces(pairs, box, potential).select(*keys, "id", *["f" + a for a in box.axes], "en_pot")
+
+
 def external_forces(particles: DataFrame, box: Box, field: Callable[[list[Column]], tuple[list[Column], Column]],
                     wrapped: bool = True) -> DataFrame:
     """Per particle: force and energy of a field at the wrapped position, or, for a field

@@ -12,7 +12,7 @@ from moraine.functions import draws
 from moraine.functions import potentials as pot
 from moraine.functions.box import Box
 from moraine.operators import correlation as tcf
-from moraine.operators import dynamics, forces, fourier, generate, groups, neighbours, sorting, statistics
+from moraine.operators import dynamics, forces, fourier, generate, groups, neighbours, sorting, springs, statistics
 from moraine.operators.thermodynamics import thermodynamics
 from moraine.sources.clustered import read_region, write_clustered
 
@@ -100,6 +100,44 @@ def test_all_pairs_in_tiles(spark, monkeypatch):
     assert neighbours.all_pairs(steps, box).count() == sum(n * (n - 1) // 2 for n in [r["count"] for r in steps.groupBy("step").count().collect()])
 
 
+def _odd_rows(kind: str) -> list[tuple]:
+    """Rows (step, id, x, y) beyond a box of 1 and 2, on its borders, copied, and with values that are no numbers."""
+    g = np.random.default_rng(4)
+    rows = [(i % 2, i, float(x), float(y)) for i, (x, y) in enumerate(g.uniform(-0.8, 0.8, (60, 2)))]
+    if kind == "borders":  # differences of a half, exactly and but for their rounding
+        rows = [(s, i, *[float(v) for v in g.choice([0.5, -0.5, 1e-20, -1e-20, 0.0, -0.0, 0.25, 1.0, -1.5], 2)]) for s, i, _, _ in rows]
+    elif kind == "copies":
+        rows = [(s, i, *rows[i // 20][2:]) for s, i, _, _ in rows]
+    elif kind == "ids":
+        rows = [(s, i // 7, x, y) for s, i, x, y in rows]
+    elif kind == "null":
+        rows = [(s, i, None if i % 5 == 0 else x, None if i % 7 == 0 else y) for s, i, x, y in rows] + [(0, None, 0.1, 0.1), (None, 99, 0.1, 0.1), (7, 8, 0.1, 0.1)]
+    elif kind == "infinite":
+        rows = [(s, i, {3: math.inf, 5: -math.inf, 8: math.inf}.get(i, x), {11: math.nan, 12: math.inf}.get(i, y)) for s, i, x, y in rows]
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["plain", "borders", "copies", "ids", "null", "infinite"])
+def test_springs_equal_all_pairs(spark, monkeypatch, kind):
+    monkeypatch.setattr(springs, "SPAN", 8)
+    p, box = spark.createDataFrame(_odd_rows(kind), "step int, id long, x double, y double"), Box((1.0, 2.0))
+    found = [sorted(tuple(r) for r in forces.full_forces(p, box, f).select("step", "id", "fx", "fy", "en_pot").collect()) for f in (pot.Spring(3.0), lambda rr: (F.lit(-3.0), 1.5 * rr))]
+    assert len(found[0]) == len(found[1]) > 0
+    for a, b in zip(*found):
+        assert a[:2] == b[:2]
+        for x, y in zip(a[2:], b[2:]):
+            assert x is y or x == pytest.approx(y, rel=1e-9, abs=1e-9, nan_ok=True)
+
+
+def test_springs_of_many_rows(spark):
+    """A ring of 100,001 rows at equal distances, which have 5 billion pairs."""
+    n = 100_001
+    p = spark.range(n).select("id", ((F.col("id") + 0.5) / n - 0.5).alias("x"))
+    out = forces.full_forces(p, Box((1.0,)), pot.Spring(4.0)).agg(F.count("*"), F.max(F.abs("fx")), F.min("en_pot"), F.max("en_pot")).first()
+    assert out[0] == n and out[1] < 1e-6
+    assert out[2:] == pytest.approx([(n * n - 1) / (12 * n)] * 2, rel=1e-9)
+
+
 def test_large_tables_have_pairs(spark):
     """More rows than the 20,000 that were once the limit."""
     p = spark.range(20_500).select("id", F.rand(1).alias("x"), (F.rand(2) * 300).alias("y"))

@@ -68,3 +68,9 @@ def test_pairs_are_joined_by_nothing(spark, beyond, name):
     """Pairs come from groups of near rows and are not shuffled or joined again."""
     plan = QUERIES[name](spark, beyond)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+def test_springs_beyond_the_box(spark, beyond):
+    """Agrees with its SQL, and no row is a pair."""
+    assert agrees(spark, beyond, "forces_full_custom") == 60
+    assert "id_j" not in QUERIES["forces_full_custom"](spark, beyond)._jdf.queryExecution().optimizedPlan().toString()
