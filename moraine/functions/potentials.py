@@ -5,20 +5,27 @@ A pair potential maps the squared distance and parameter columns to
 a small table of species pairs (a, b) that is joined to the pairs; lengths are
 absolute. ``cutoff`` wraps a potential by one of four truncations, whose
 constants are worked out once per species pair (:func:`prepare`).
+
+A potential that takes a second argument gets its parameters from it by name, columns or numbers, and so has values for
+arrays of squared distances too (:func:`on_arrays`): pairs need not be rows. One that reads ``F.col`` has columns only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from inspect import signature
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.functions.vectors import integer_power
 
 Pair = tuple[Column, Column]
-Potential = Callable[[Column], Pair]
+Parameter = Callable[[str], Any]
+Potential = Callable[..., Pair]
 
 REGISTRY: dict[str, Potential] = {}
 
@@ -33,20 +40,38 @@ def register(name: str) -> Callable[[Potential], Potential]:
     return add
 
 
-def _p(name: str) -> Column:
-    return F.col(name)
+def valued(potential: Potential, rr: Any, p: Parameter = F.col) -> Pair:
+    return potential(rr, p) if len(signature(potential).parameters) > 1 else potential(rr)
+
+
+def on_arrays(potential: Potential) -> bool:
+    """Whether a potential has values for arrays."""
+    try:
+        with np.errstate(all="ignore"):
+            found = potential(np.ones(1), lambda _: 1.0)
+        return all(isinstance(x, (np.ndarray, float)) for x in found)
+    except Exception:  # one that is made of columns
+        return False
+
+
+def _sqrt(x: Any) -> Any:
+    return F.sqrt(x) if isinstance(x, Column) else np.sqrt(x)
+
+
+def _exp(x: Any) -> Any:
+    return F.exp(x) if isinstance(x, Column) else np.exp(x)
 
 
 @register("lennard_jones")
-def lennard_jones(rr: Column) -> Pair:
-    s2 = _p("sigma") * _p("sigma")
+def lennard_jones(rr: Column, p: Parameter = F.col) -> Pair:
+    s2 = p("sigma") * p("sigma")
     s = s2 / rr
     s3 = s * s * s
-    return 48 * s * _p("epsilon") * s3 * (s3 - 0.5) / s2, 4 * _p("epsilon") * s3 * (s3 - 1)
+    return 48 * s * p("epsilon") * s3 * (s3 - 0.5) / s2, 4 * p("epsilon") * s3 * (s3 - 1)
 
 
 @register("lennard_jones_simple")
-def lennard_jones_simple(rr: Column) -> Pair:
+def lennard_jones_simple(rr: Column, p: Parameter = F.col) -> Pair:
     s = 1 / rr
     s3 = s * s * s
     return 48 * s * s3 * (s3 - 0.5), 4 * s3 * (s3 - 1)
@@ -58,32 +83,32 @@ def mie(m: int, n: int) -> Potential:
         raise ValueError("exponents must be even and m > n")
     c = m / (m - n) * (m / n) ** (n / (m - n))
 
-    def f(rr: Column) -> Pair:
-        s2 = _p("sigma") * _p("sigma")
+    def f(rr: Column, p: Parameter = F.col) -> Pair:
+        s2 = p("sigma") * p("sigma")
         s = s2 / rr
-        rest, own = integer_power(s, (m - n) // 2), c * _p("epsilon") * integer_power(s, n // 2)
+        rest, own = integer_power(s, (m - n) // 2), c * p("epsilon") * integer_power(s, n // 2)
         return 2 * s * own * (m // 2 * rest - n // 2) / s2, own * (rest - 1)
 
     return f
 
 
 @register("morse")
-def morse(rr: Column) -> Pair:
+def morse(rr: Column, p: Parameter = F.col) -> Pair:
     """Needs r_min and distortion besides epsilon and sigma.
 
     With x = (r_min - r) / w, w = sigma * distortion and a = 2 distortion^2 - 1 the energy
     is epsilon / a * (e^((a + 1) x) - (a + 1) e^x); its derivative by r, over -r, is the force value."""
-    w, a = _p("sigma") * _p("distortion"), 2 * _p("distortion") * _p("distortion") - 1
-    r = F.sqrt(rr)
-    x = (_p("r_min") - r) / w
-    wide, steep, scale = F.exp(x), F.exp((a + 1) * x), _p("epsilon") / a
+    w, a = p("sigma") * p("distortion"), 2 * p("distortion") * p("distortion") - 1
+    r = _sqrt(rr)
+    x = (p("r_min") - r) / w
+    wide, steep, scale = _exp(x), _exp((a + 1) * x), p("epsilon") / a
     return scale * (a + 1) * (steep - wide) / (w * r), scale * (steep - (a + 1) * wide)
 
 
 def power_law(n: int) -> Potential:
-    def f(rr: Column) -> Pair:
-        s = _p("sigma") * _p("sigma") / rr
-        u = _p("epsilon") * (integer_power(s, n // 2) if n % 2 == 0 else integer_power(F.sqrt(s), n))
+    def f(rr: Column, p: Parameter = F.col) -> Pair:
+        s = p("sigma") * p("sigma") / rr
+        u = p("epsilon") * (integer_power(s, n // 2) if n % 2 == 0 else integer_power(_sqrt(s), n))
         return n * u / rr, u
 
     return f
@@ -92,11 +117,11 @@ def power_law(n: int) -> Potential:
 def power_law_hard_core(n: int) -> Potential:
     """Singular at r_core (absolute)."""
 
-    def f(rr: Column) -> Pair:
-        r = F.sqrt(rr)
-        d = _p("sigma") / (r - _p("r_core"))
-        u = _p("epsilon") * integer_power(d, n)
-        return n * u / ((r - _p("r_core")) * r), u
+    def f(rr: Column, p: Parameter = F.col) -> Pair:
+        r = _sqrt(rr)
+        d = p("sigma") / (r - p("r_core"))
+        u = p("epsilon") * integer_power(d, n)
+        return n * u / ((r - p("r_core")) * r), u
 
     return f
 
@@ -104,10 +129,10 @@ def power_law_hard_core(n: int) -> Potential:
 def hard_core(potential: Potential) -> Potential:
     """Any potential at the distance from the core's surface."""
 
-    def f(rr: Column) -> Pair:
-        r = F.sqrt(rr)
-        s = r - _p("r_core")
-        fval, u = potential(s * s)
+    def f(rr: Column, p: Parameter = F.col) -> Pair:
+        r = _sqrt(rr)
+        s = r - p("r_core")
+        fval, u = valued(potential, s * s, p)
         return fval * s / r, u
 
     return f
@@ -146,23 +171,23 @@ class Truncated:
 
     def prepare(self, params: DataFrame) -> DataFrame:
         """Add the energy and force at the cutoff to the species-pair table."""
-        fval, u = self.potential(_p("r_cut") * _p("r_cut"))
-        return params.withColumns({"u_cut": u, "f_cut": fval * _p("r_cut")})
+        fval, u = valued(self.potential, F.col("r_cut") * F.col("r_cut"))
+        return params.withColumns({"u_cut": u, "f_cut": fval * F.col("r_cut")})
 
-    def __call__(self, rr: Column) -> Pair:
+    def __call__(self, rr: Column, p: Parameter = F.col) -> Pair:
         """Values for ``rr < r_cut**2``; pairs beyond are the caller's to drop."""
-        fval, u = self.potential(rr)
+        fval, u = valued(self.potential, rr, p)
         if self.kind == "sharp":
             return fval, u
         if self.kind == "shifted":
-            return fval, u - _p("u_cut")
-        r = F.sqrt(rr)
+            return fval, u - p("u_cut")
+        r = _sqrt(rr)
         if self.kind == "force_shifted":
-            return fval - _p("f_cut") / r, u - _p("u_cut") + (r - _p("r_cut")) * _p("f_cut")
-        x = (r - _p("r_cut")) / self.smoothing
+            return fval - p("f_cut") / r, u - p("u_cut") + (r - p("r_cut")) * p("f_cut")
+        x = (r - p("r_cut")) / self.smoothing
         x4 = x * x * x * x
         g, slope = x4 / (1 + x4), 4 * x * x * x / ((1 + x4) * (1 + x4)) / self.smoothing
-        u = u - _p("u_cut")
+        u = u - p("u_cut")
         return g * fval - slope * u / r, g * u
 
 

@@ -12,12 +12,13 @@ Spheres are placed one after the other (:func:`placed_in_order`) by the cells' f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 from math import floor, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +31,12 @@ TILE_ROWS = 8_192  # rows of a block, about
 BATCH = 100_000  # pairs of a batch, about
 PLAIN_TILE_ROWS = 2_048  # of a block of all pairs, which Spark buffers
 SLICE = 1 << 13  # distances taken at once, few enough for a processor's cache
+LARGE = 1 << 20  # distances of a tile that is sorted first
 MOST_BROADCAST = 500_000
 
+#: Places of pairs in two tables, and [rr, dx..].
+Near = tuple[np.ndarray, np.ndarray, list[np.ndarray]]
+
 
 def cell_counts(box: Box, reach: float) -> list[int]:
     return [max(1, floor(n / reach)) for n in box.lengths]
@@ -112,51 +117,146 @@ def dealt(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[
     return left if same else left.drop("_home"), right.drop("_vs"), [*by, "_v", "_tag", "_u"]
 
 
-def _meet(left: DataFrame, right: DataFrame, on: list[str], keys: list[str], box: Box, reach: float, lean: bool) -> DataFrame:
-    """Pairs of rows of both sides that agree in ``on`` and are closer than ``reach``, with their distances: a group is a tile,
-    whose distances are taken in slices, so that a pair is no row before its distance is known. ``lean``: of the rows only their ids."""
+def ranks(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in the order of the ids of both sides; an id that is null has none, which is nan."""
+    if pa.types.is_integer(a.type) and a.type == b.type and not a.null_count + b.null_count:
+        return a.to_numpy(), b.to_numpy()
+    both = pa.chunked_array([*a.chunks, *b.chunks])
+    out = np.where(both.is_null().to_numpy(), np.nan, pc.rank(both, tiebreaker="dense").to_numpy())
+    return out[: len(a)], out[len(a) :]
+
+
+def _sorted(a: pa.Table, b: pa.Table, axes: list[str], lengths: list[float], reach: float) -> tuple[pa.Table, pa.Table, int | None]:
+    """Both sides of a large tile along the axis on which fewest of their rows are near each other, and its number: distances
+    are taken of these alone. None for small tiles and axes on which a distance is that to an image."""
+    best = None
+    if a.num_rows * b.num_rows >= LARGE:
+        for k, (x, n) in enumerate(zip(axes, lengths)):
+            r, q = a[x].to_numpy(), b[x].to_numpy()
+            if not _across(r, q, n):
+                some, ordered = r[:: 1 + len(r) // 64], np.sort(q)
+                near = (np.searchsorted(ordered, some + reach) - np.searchsorted(ordered, some - reach)).mean()
+                best = min(best or (near, k), (near, k))
+    if best is None:
+        return a, b, None
+    a, b = (t.take(pa.array(np.argsort(t[axes[best[1]]].to_numpy(), kind="stable"))) for t in (a, b))
+    return a, b, best[1]
+
+
+def _across(r: np.ndarray, q: np.ndarray, n: float) -> bool:
+    """Whether somewhere the nearest image isn't the row itself."""
+    return bool(max(r.max() - q.min(), q.max() - r.min()) > n / 2)
+
+
+def _near(a: pa.Table, b: pa.Table, box: Box, reach: float, along: int | None, batch: int) -> Iterator[Near]:
+    """Pairs (places in ``a``, ascending, and in ``b``, [rr, dx..]) of rows closer than ``reach``, about ``batch`` at once. They are found in
+    slices, by matrix products of a little more than the reach where no image is nearer, so that a pair is no row before its distance is known."""
+    rows, others = a.num_rows, b.num_rows
+    at = [(a[x].to_numpy(), b[x].to_numpy(), n) for x, n in zip(box.axes, box.lengths)]
+    images = [_across(*x) for x in at]
+    first, last = np.zeros(rows, int), np.full(rows, others)
+    if along is not None:
+        r, q, _ = at[along]
+        wide = reach + 1e-9 * (reach + np.abs(r) + max(abs(q[0]), abs(q[-1])))
+        first, last = np.searchsorted(q, r - wide), np.searchsorted(q, r + wide, "right")
+    product = not any(images) and all(np.isfinite(r).all() and np.isfinite(q).all() for r, q, _ in at)
+    if product:
+        ours, theirs = (np.stack([x[k] - x[1].mean() for x in at]) for k in (0, 1))
+        squares, ends = (ours * ours).sum(0), (theirs * theirs).sum(0)
+        ours, theirs = np.stack([*ours, squares, np.ones(rows)], 1), np.stack([*(-2 * theirs), np.ones(others), ends])
+        bound = reach**2 * (1 + 1e-9) + 1e-13 * (squares.max() + ends.max())
+    places, count, low = [], 0, 0
+    while low < rows:
+        high = min(rows, low + max(1, SLICE // max(1, int(last[low] - first[low]))))
+        while high > low + 1 and (high - low) * (last[high - 1] - first[low]) > 2 * SLICE:
+            high = (low + high) // 2
+        one, two = int(first[low]), int(last[high - 1])
+        if product:
+            close = ours[low:high] @ theirs[:, one:two] < bound
+        else:
+            close = sum(_apart(r[low:high, None], q[None, one:two], n, far) ** 2 for (r, q, n), far in zip(at, images)) < reach**2
+        found = np.flatnonzero(close)
+        if len(found):
+            i = np.repeat(np.arange(low, high), np.count_nonzero(close, axis=1))
+            places.append((i, found + (one - (i - low) * (two - one))))
+            count += len(found)
+        low = high
+        if count and (count > batch or low >= rows):
+            i, j = (np.concatenate(v) for v in zip(*places)) if len(places) > 1 else places[0]
+            apart = [_apart(r[i], q[j], n, far) for (r, q, n), far in zip(at, images)]
+            rr = apart[0] * apart[0]
+            for d in apart[1:]:
+                rr += d * d
+            kept = rr < reach**2
+            if not kept.all():
+                i, j, rr, *apart = (v[kept] for v in (i, j, rr, *apart))
+            if len(i):
+                yield i, j, [rr, *apart]
+            places, count = [], 0
+
+
+def _apart(r: np.ndarray, q: np.ndarray, n: float, far: bool) -> np.ndarray:
+    d = r - q
+    return d - n * ((d > n / 2).astype(float) - (d < -n / 2)) if far else d
+
+
+def tiles(left: DataFrame, right: DataFrame, on: list[str], keys: list[str], box: Box, reach: float, work: Callable[[pa.Table, pa.Table, Iterator[Near]], Iterator[list[pa.Array]]],
+          schema: T.StructType, batch: int = BATCH) -> DataFrame:
+    """What ``work`` makes of the rows of both sides that agree in ``on`` (a tile) and of their pairs closer than ``reach``: columns
+    of ``schema`` behind ``keys``. Where ``left`` has a column ``_home``, pairs met from both ends come once."""
     axes, lengths = list(box.axes), list(box.lengths)
     left, right = left.dropna(subset=[*on, *axes]), right.dropna(subset=[*on, *axes])
-    ours, theirs = [c for c in left.columns if c not in on], [c for c in right.columns if c not in on]
-    if lean:
-        ours, theirs = [c for c in ours if c in ("id", "_home", *axes)], ["id", *axes]
-    one, two = left.select(*on, F.struct(*ours).alias("_l")), right.select(*on, F.struct(*theirs).alias("_r"))
-    out = [[c for c in side if not lean or c not in axes] for side in (ours, theirs)]
-    kinds = [(k, left.schema[k].dataType) for k in keys] + [(c + "_i", left.schema[c].dataType) for c in out[0]] + [(c + "_j", right.schema[c].dataType) for c in out[1]]
-    schema = T.StructType([T.StructField(n, t) for n, t in kinds] + [T.StructField(n, T.DoubleType()) for n in ["rr", *([] if lean else ["d" + a for a in axes])]])
+    one, two = (s.select(*on, F.struct(*[c for c in s.columns if c not in on]).alias(n)) for s, n in ((left, "_l"), (right, "_r")))
+
+    def once(a: pa.Table, b: pa.Table, pairs: Iterator[Near]) -> Iterator[Near]:
+        home = a["_home"].to_numpy()
+        if home.any():
+            (ours, theirs), whole = ranks(a["id"], b["id"]), home.all()
+            for i, j, values in pairs:
+                kept = ours[i] < theirs[j]
+                kept = np.flatnonzero(kept if whole else kept | ~home[i])
+                if len(kept):
+                    yield i[kept], j[kept], [v[kept] for v in values]
+        else:
+            yield from pairs
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = pa.Table.from_batches(list(batches))
-        sides = []
+        rows, sides = pa.Table.from_batches(list(batches)), []
         for name in ("_l", "_r"):
-            column = tables[name].combine_chunks()
+            column = rows[name].combine_chunks()
             sides.append(pa.Table.from_struct_array(column.filter(column.is_valid())))
-        (a, b), step = sides, [tables[k][0] for k in keys]
-        if not a.num_rows or not b.num_rows:
+        if not sides[0].num_rows or not sides[1].num_rows:
             return
-        at = [(a[x].to_numpy(), b[x].to_numpy(), n) for x, n in zip(axes, lengths)]
-        across = [max(r.max() - q.min(), q.max() - r.min()) > n / 2 for r, q, n in at]  # somewhere
-        size, found, count = max(1, SLICE // b.num_rows), [], 0
-        for low in range(0, a.num_rows, size):
-            apart, rr = [], None
-            for (r, q, n), far in zip(at, across):
-                d = r[low : low + size, None] - q[None, :]
-                if far:
-                    d -= n * ((d > n / 2).astype(float) - (d < -n / 2))
-                apart.append(d)
-                rr = d * d if rr is None else rr + d * d
-            i, j = np.nonzero(rr < reach**2)
-            if len(i):
-                found.append((i + low, j, [d[i, j] for d in [rr, *([] if lean else apart)]]))
-                count += len(i)
-            if count and (count > BATCH or low + size >= a.num_rows):
-                i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                mine, others = a.select(out[0]).take(pa.array(i)), b.select(out[1]).take(pa.array(j))
-                values = [pa.array(np.concatenate(v)) for v in zip(*[f[2] for f in found])]
-                yield pa.RecordBatch.from_arrays([*[pa.repeat(k, count) for k in step], *[c.combine_chunks() for c in [*mine.columns, *others.columns]], *values], names=schema.names)
-                found, count = [], 0
+        a, b, along = _sorted(*sides, axes, lengths, reach)
+        pairs = _near(a, b, box, reach, along, batch)
+        for columns in work(a, b, once(a, b, pairs) if "_home" in a.column_names else pairs):
+            yield pa.RecordBatch.from_arrays([*[pa.repeat(rows[k][0], len(columns[0])) for k in keys], *columns], names=schema.names)
+
+    whole = one.unionByName(two, allowMissingColumns=True)
+    # a number of its own: few bytes are much work here, so parts must not be put together by their size
+    spark = whole.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return whole.repartition(parts, *on).groupBy(*on).applyInArrow(met, schema)
 
-    return one.unionByName(two, allowMissingColumns=True).groupBy(*on).applyInArrow(met, schema)
+
+def _fields(side: DataFrame, names: list[str], end: str = "") -> list[T.StructField]:
+    return [T.StructField(c + end, side.schema[c].dataType) for c in names]
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str], keys: list[str], box: Box, reach: float, lean: bool) -> DataFrame:
+    """Pairs of rows of both sides that agree in ``on`` and are closer than ``reach``, with their distances. ``lean``: of the rows only their ids."""
+    if lean:
+        left, right = (s.select(*on, *[c for c in s.columns if c in ("id", "_home", *box.axes)]) for s in (left, right))
+    ours, theirs = ([c for c in s.columns if c not in on and c != "_home" and not (lean and c in box.axes)] for s in (left, right))
+    values = ["rr", *([] if lean else ["d" + a for a in box.axes])]
+    schema = T.StructType([*_fields(left, keys), *_fields(left, ours, "_i"), *_fields(right, theirs, "_j"), *[T.StructField(n, T.DoubleType()) for n in values]])
+
+    def rows(a: pa.Table, b: pa.Table, pairs: Iterator[Near]) -> Iterator[list[pa.Array]]:
+        for i, j, found in pairs:
+            mine, others = a.select(ours).take(pa.array(i)), b.select(theirs).take(pa.array(j))
+            yield [*[c.combine_chunks() for c in [*mine.columns, *others.columns]], *[pa.array(v) for v in found[: len(values)]]]
+
+    return tiles(left, right, on, keys, box, reach, rows, schema)
 
 
 def _cell_join(left: DataFrame, right: DataFrame, box: Box, reach: float, keys: list[str], same: bool, cutoff: float, binned: str = "", lean: bool = False) -> DataFrame:
@@ -166,7 +266,6 @@ def _cell_join(left: DataFrame, right: DataFrame, box: Box, reach: float, keys:
     if not same:
         return met
     # a pair of two cells comes once, in either order; make it the order of ids
-    met = met.where(~F.col("_home_i") | (F.col("id_i") < F.col("id_j"))).drop("_home_i")
     names, turned = [c[:-2] for c in met.columns if c.endswith("_i")], F.col("id_i") > F.col("id_j")
     ends = [F.when(turned, F.col(f"{c}_{b}")).otherwise(F.col(f"{c}_{a}")).alias(f"{c}_{a}") for a, b in ("ij", "ji") for c in names]
     apart = [] if lean else [F.when(turned, -F.col("d" + a)).otherwise(F.col("d" + a)).alias("d" + a) for a in box.axes]
@@ -206,26 +305,34 @@ def _ordered(pairs: DataFrame, keys: list[str], same: bool) -> DataFrame:
 
 
 def neighbours(particles: DataFrame, box: Box, cutoff: float, skin: float = 0.0, others: DataFrame | None = None,
-               params: DataFrame | None = None, lean: bool = False) -> DataFrame:
+               params: DataFrame | None = None, lean: bool = False, binned: str = "") -> DataFrame:
     """Pairs (i, j, columns of both as ``_i`` and ``_j``, dx.., rr) with a
     distance below ``cutoff + skin``; each once in a self-join, all ordered pairs
     between two tables. ``params`` (a, b, r_cut, ...) sets the cutoff per species
-    pair, up to ``cutoff``, and joins its columns. ``lean``: only i, j and rr, for those who need no more."""
+    pair, up to ``cutoff``, and joins its columns. ``lean``: only i, j and rr, for those who need no more. ``binned``: rows lie in the
+    cells of their positions with this prefix, of some time before, and pairs are those below ``cutoff`` alone."""
     keys = ["step"] if "step" in particles.columns else []
     reach, same = cutoff + skin, others is None
-    pairs = _ordered(_cell_join(particles, particles if same else others, box, reach, keys, same, reach, lean=lean), keys, same)
+    pairs = _ordered(_cell_join(particles, particles if same else others, box, reach, keys, same, cutoff if binned else reach, binned, lean), keys, same)
     if params is not None:  # one row per species pair; Spark broadcasts the table if it is small
         pairs = pairs.join(params, (F.col("species_i") == F.col("a")) & (F.col("species_j") == F.col("b"))).drop("a", "b")
         return pairs.where(F.col("rr") < square(F.col("r_cut") + skin))
     return pairs
 
 
+def near_tiles(particles: DataFrame, box: Box, reach: float, work: Callable[[pa.Table, pa.Table, Iterator[Near]], Iterator[list[pa.Array]]],
+               schema: T.StructType, others: DataFrame | None = None, batch: int = BATCH) -> DataFrame:
+    """What ``work`` makes of each tile of near rows and its pairs closer than ``reach``, where each pair of :func:`neighbours` comes in one tile, either way round."""
+    keys = ["step"] if "step" in particles.columns else []
+    left, right, on = dealt(particles, particles if others is None else others, box, reach, keys, others is None)
+    return tiles(left, right, on, keys, box, reach, work, schema, batch)
+
+
 def followed(rows: DataFrame, box: Box, cutoff: float, skin: float, lean: bool = False) -> DataFrame:
     """Pairs closer than ``cutoff`` at the positions x.. of rows that are still in the cells, ``cutoff + skin`` wide, of their
     positions ``_x``.. of some time before; right as long as :func:`max_displacement` is at most half the skin. Pairs aren't
     stored: what is shuffled grows with the rows."""
-    keys = ["step"] if "step" in rows.columns else []
-    return _ordered(_cell_join(rows, rows, box, cutoff + skin, keys, True, cutoff, "_", lean), keys, True)
+    return neighbours(rows, box, cutoff, skin, lean=lean, binned="_")
 
 
 def within(pairs: DataFrame, now: DataFrame, box: Box, cutoff: float) -> DataFrame:

@@ -184,6 +184,65 @@ def test_neighbours_of_a_series(spark, monkeypatch):
     assert neighbours.neighbour_series(series.where("id < 0"), box, 0.5, 0.3).count() == 0
 
 
+_KINDS = [(pot.lennard_jones, "shifted"), (pot.mie(10, 4), "shifted"), (pot.power_law(6), "shifted"), (pot.power_law(7), "shifted"), (pot.power_law_hard_core(6), "shifted"), (pot.hard_core(pot.morse), "shifted"), *[(pot.morse, k) for k in pot.TRUNCATIONS]]
+
+
+def _same_forces(got, want):
+    got, want = ({(r["step"], r["id"]): r for r in t.collect()} for t in (got, want))
+    assert got.keys() == want.keys() and len(want) > 30
+    for k, r in want.items():
+        for n, x in r.asDict().items():
+            assert got[k][n] is x or got[k][n] == pytest.approx(x, rel=1e-9, abs=1e-9 * max(abs(v) for v in r[2:] if v is not None)), (k, n)
+
+
+@pytest.mark.parametrize("potential, kind", _KINDS)
+def test_near_forces_equal_those_of_pairs(spark, monkeypatch, potential, kind):
+    """Steps, images, dense cells, sorted tiles; a table that is not the same both ways and lacks pairs; rows without a position, a species or an id."""
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 30)
+    monkeypatch.setattr(neighbours, "LARGE", 200)
+    monkeypatch.setattr(neighbours, "SLICE", 64)
+    box, g = Box((3.0, 4.0)), np.random.default_rng(5)
+    rows = [(i % 2, i, i % 4, *map(float, g.uniform(-0.4, 0.4, 2) if i < 90 else g.uniform(-1.0, 1.0, 2) * (1.6, 2.1))) for i in range(150)]
+    rows += [(0, 200, 1, None, 0.1), (0, 201, None, 0.2, 0.1), (1, None, 1, 0.2, 0.1), (1, 202, 9, 0.2, 0.1), (1, 203, 2, float("nan"), 0.1), (None, 204, 2, 0.3, 0.1)]
+    p = spark.createDataFrame(rows, "step int, id long, species int, x double, y double").repartition(3).cache()
+    found = [{"a": a, "b": b, "epsilon": 1.0 + a, "sigma": 0.4 + 0.1 * b, "r_cut": 0.8 + 0.05 * a, "r_min": 0.5, "distortion": 1.3, "r_core": 0.0001} for a in range(3) for b in range(4) if (a, b) != (1, 1)]
+    cut = pot.Truncated(potential, kind, 0.3)
+    params = cut.prepare(spark.createDataFrame([tuple(r.values()) for r in found], "a int, b int, epsilon double, sigma double, r_cut double, r_min double, distortion double, r_core double"))
+    got = forces.near_forces(p, box, 0.95, cut, params)
+    assert "id_j" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row is a pair
+    _same_forces(got, forces.pair_forces(neighbours.neighbours(p, box, 0.95, params=params), box, cut))
+    one, two = p.where("id % 3 = 0"), p.where("id % 3 > 0 or id is null")
+    _same_forces(forces.near_forces(one, box, 0.95, cut, params, two, 0.7), forces.pair_forces(neighbours.neighbours(one, box, 0.95, others=two, params=params), box, cut, 0.7, both=False))
+
+
+def test_near_forces_without_a_table(spark):
+    """Constants, and potentials that are made of columns or of numbers only."""
+    box = Box((3.0, 4.0))
+    p = cloud(spark, 80, box).withColumn("step", F.col("id") % 2)
+    pairs = neighbours.neighbours(p.select("step", "id", "x", "y"), box, 0.9)
+    _same_forces(forces.near_forces(p, box, 0.9, pot.lennard_jones, {"epsilon": 2.0, "sigma": 0.5}), forces.pair_forces(pairs.withColumns({"epsilon": F.lit(2.0), "sigma": F.lit(0.5)}), box, pot.lennard_jones))
+    for own, reads in ((lambda rr: (F.col("k") * F.exp(-rr), rr), True), (lambda rr, p: (p("k") / rr, 2.0), True), (pot.Spring(2.0), False)):
+        want = forces.pair_forces(pairs.withColumn("k", F.lit(3.0)), box, own if own.__class__ is pot.Spring or own.__code__.co_argcount == 1 else lambda rr: (F.lit(3.0) / rr, F.lit(2.0)))
+        _same_forces(forces.near_forces(p, box, 0.9, own, {"k": 3.0} if reads else None), want)
+    assert forces.near_forces(p.where("id < 0"), box, 0.9, pot.lennard_jones_simple).count() == 0
+
+
+@pytest.mark.parametrize("potential", [pot.lennard_jones, pot.morse, pot.Truncated(pot.morse, "force_shifted")])
+def test_forces_between_rows_at_one_place(spark, potential):
+    """What divides by zero is an error in ANSI mode, else null, which sums pass over."""
+    box, values = Box((3.0, 4.0)), {"epsilon": 2.0, "sigma": 0.5, "r_min": 0.4, "distortion": 1.2, "r_cut": 0.9, "u_cut": 0.1, "f_cut": 0.2}
+    rows = [(0, i, 0.02 * (i % 40), 0.3 * (i % 4)) for i in range(60)] + [(1, i, 0.5, 0.5) for i in range(2)]
+    p = spark.createDataFrame(rows, "step int, id long, x double, y double")
+    pairs = neighbours.neighbours(p, box, 0.5).withColumns({k: F.lit(v) for k, v in values.items()})
+    with pytest.raises(Exception):
+        forces.near_forces(p, box, 0.5, potential, values).collect()
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        _same_forces(forces.near_forces(p, box, 0.5, potential, values), forces.pair_forces(pairs, box, potential))
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_forces_are_balanced(spark):
     box = Box((4.0, 4.0, 4.0))
     p = cloud(spark, 60, box)

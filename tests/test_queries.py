@@ -70,6 +70,14 @@ def test_pairs_are_joined_by_nothing(spark, beyond, name):
     assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
 
 
+NEAR_FORCES = [n for n in QUERIES if n.startswith("forces_") and n not in ("forces_full_custom", "forces_between", "forces_lennard_jones_simple")] + ["pressure", "harmonic_plus_pairs"]
+
+
+@pytest.mark.parametrize("name", NEAR_FORCES)
+def test_forces_make_no_rows_of_pairs(spark, beyond, name):
+    assert "id_j" not in QUERIES[name](spark, beyond)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_springs_beyond_the_box(spark, beyond):
     """Agrees with its SQL, and no row is a pair."""
     assert agrees(spark, beyond, "forces_full_custom") == 60
