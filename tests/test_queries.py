@@ -58,6 +58,18 @@ def test_a_dense_cell_is_not_dealt_too_finely(spark):
     assert (left.count(), right.count()) == (14 * 5_000, 5_000)
 
 
+def test_rows_are_dealt_where_they_are_near(spark):
+    """A row goes to those cells alone that it can reach; of more rows in dense cells a block has more, so a row's copies stay as many."""
+    p = spark.range(3_000).selectExpr("id", "0.01 + id * 1e-7 AS x", "0.05 AS y", "0.05 AS z")
+    left, right, _ = neighbours.dealt(p, p.selectExpr("id", "x - 0.5 AS x", "y", "z"), Box((1.0, 1.0, 1.0)), 0.06, [], False)  # cells of 1 / 16
+    assert (left.count(), right.count()) == (20 * 3_000, 3_000)
+    for rows in (400_000, 800_000):
+        p = spark.range(rows).selectExpr("id", "0.05 + id * 1e-9 AS x", "0.02 AS y", "0.05 AS z")
+        left, right, _ = neighbours.dealt(p, p, Box((1.0, 1.0, 1.0)), 0.1, [], True)
+        copies = (left.count() + right.count()) / rows
+        assert 30 < copies < 80
+
+
 @pytest.mark.parametrize("name", ["neighbour_pairs", "neighbours_between", "skin_reuse", "neighbour_series"])
 def test_pairs_beyond_the_box(spark, beyond, name):
     assert agrees(spark, beyond, name) > 0
